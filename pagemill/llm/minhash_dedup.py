@@ -249,5 +249,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that a document of smaller id stands for (five-word
+    shingles, similarity 0.8). Rows of null id or without words stay; rows that
+    share an id are one document and stay or go together."""
+    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 QUERIES = {"op7_minhash_dedup": op7_minhash_dedup}
 ORACLE: dict[str, str] = {}

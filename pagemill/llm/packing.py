@@ -221,5 +221,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
 QUERIES = {"op8_packing": op8_packing}
 ORACLE: dict[str, str] = {}
