@@ -140,6 +140,8 @@ class Family:
 
 def runs(row: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, begin, end) of the byte ranges that windows starting there cover."""
+    if not len(row):
+        return row, at, at
     order = np.lexsort((at, row))
     row, at = row[order], at[order]
     first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) > length))
@@ -170,7 +172,9 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
        the levels when their anchor is over.
     3. Windows of an anchor with more than CROWD places (a passage that very
        many texts share) are counted by fingerprint with map-side sums instead,
-       which spreads such an anchor over all tasks and keeps every window.
+       which spreads such an anchor over all tasks and keeps every window; each
+       text counts each of its different windows once, as those that it holds
+       several times are known at once.
     4. Covered ranges are merged per text, and texts are hashed without them.
 
     All this runs on distinct texts (by 128 bits of their SHA-256); a text of
@@ -252,21 +256,26 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                t = text.as_py().encode()
-                some = [m for m in marks if m["crowd"]]
-                for at in range(0, len(some), 256):
-                    part = some[at : at + 256]
-                    k, row, pos = _window_keys([t[m["lo"] : m["hi"] + length] for m in part], np.array([m["h"] for m in part], np.int64), length)
-                    pos = pos + np.array([m["lo"] for m in part], np.int64)[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array([key] * len(k), pa.binary()), pa.array(pos)], names=["w", "key", "s"])
+                some = sorted((m["lo"], m["hi"], m["h"]) for m in marks if m["crowd"])
+                lo, hi, h = (np.array(c, np.int64) for c in zip(*some, strict=True))
+                many = hi - lo + 1
+                pos = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                k = mix(_prints(_sums(np.frombuffer(text.as_py().encode(), np.uint8)), pos, length) ^ np.repeat(mix(h.astype(U)), many))
+                w, first, at, n = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
+                own = pos[n[at] > 1]  # these repeat within the text itself
+                _, s, e = runs(np.zeros(len(own), np.int64), own, length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*w.view(np.int64).tolist(), *[None] * len(s)], pa.int64()), pa.array([key] * (len(w) + len(s)), pa.binary()), pa.array(np.concatenate([np.where(n > 1, -1, pos[first]), s])), pa.array(np.concatenate([pos[first] + length, e]))],
+                    names=["w", "key", "s", "e"],
+                )
 
     dealt = met.where(F.exists("marks", lambda m: ~m["crowd"])).mapInArrow(surroundings, "h long, key binary, lo long, context binary")
     ranges = dealt.repartition("h").sortWithinPartitions("h").mapInArrow(scan, "key binary, s long, e long")
     crowded = alive.where(F.exists("marks", lambda m: m["crowd"]))
     if crowded.limit(1).count():
-        each = put(texts.join(crowded, "key").select("key", "text", "marks").mapInArrow(windows, "w long, key binary, s long"), "windows")
-        twice = each.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-        ranges = ranges.unionByName(each.join(twice, "w").select("key", "s", (F.col("s") + length).alias("e")))
+        each = put(texts.join(crowded, "key").select("key", "text", "marks").mapInArrow(windows, "w long, key binary, s long, e long"), "windows")
+        twice = each.where("w is not null").groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
+        ranges = ranges.unionByName(each.where("s >= 0").join(twice, "w").select("key", "s", "e")).unionByName(each.where("w is null").select("key", "s", "e"))
     per_text = put(ranges.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
