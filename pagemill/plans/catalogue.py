@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.plans import ingestion, retrieval
+from pagemill.plans import answers, ingestion, operations, retrieval
 
-MODULES = [retrieval, ingestion]
+MODULES = [retrieval, ingestion, answers, operations]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:
