@@ -96,7 +96,8 @@ def learn(texts: list[str], toxic: list[int], min_docs: int = 4, min_gain: float
     """A lexicon from labelled texts. Terms are words and word beginnings of 4
     to 8 letters whose document frequencies differ by a G statistic of at least
     min_gain in favour of toxic ones; a longer term that says no more than its
-    beginning goes. Phrases of two words around a term that occur in clean
+    beginning goes, and so does one that few different pairs of words show for
+    its frequency (copies of a text repeat it, not its use). Phrases of two words around a term that occur in clean
     texts alone become exceptions. A ridge logistic fit joins hits and length."""
     folded = [fold(t) for t in texts]
     n = [sum(1 for y in toxic if y == v) for v in (0, 1)]
@@ -112,7 +113,7 @@ def learn(texts: list[str], toxic: list[int], min_docs: int = 4, min_gain: float
     weights: dict[str, float] = {}
     for term in sorted((t for t, c in df[1].items() if c >= min_docs), key=lambda t: (len(t.strip()), len(t))):
         c, t = df[0][term], df[1][term]
-        if t * n[0] < 4 * c * n[1]:
+        if t * n[0] < 8 * c * n[1]:
             continue
         gain = 0.0
         for seen, of in ((t, n[1]), (c, n[0])):
@@ -126,6 +127,13 @@ def learn(texts: list[str], toxic: list[int], min_docs: int = 4, min_gain: float
             continue
         weights[term] = w
     weights = dict(sorted(weights.items(), key=lambda x: -x[1])[:most_terms])
+    auto = Lexicon(weights).automaton()
+    contexts: dict[str, set[str]] = {}
+    for t, y in zip(folded, toxic, strict=True):
+        if y:
+            for s, e, _ in hits(t, auto):
+                contexts.setdefault(t[s:e], set()).add(" ".join((t[max(0, s - 60) : s].rpartition(" ")[2], t[s + 1 : s + 60].partition(" ")[0])))
+    weights = {t: w for t, w in weights.items() if len(contexts.get(t, ())) >= max(min_docs, min(30, df[1][t] / 4))}
     out = Lexicon(weights)
     auto = out.automaton()
     pairs = (Counter(), Counter())
