@@ -97,8 +97,11 @@ def shape(answers: DataFrame, verified: DataFrame, cfg: GroundingConfig | None =
 
     Lines of unsupported facts and of contradicted claims go; an answer whose
     facts hold too rarely, or that has no claim at all, gives way to a question
-    back, unless it is the generator's own refusal."""
+    back, unless it is the generator's own refusal. Answers that come marked
+    abstained pass as they are."""
     cfg = cfg or GroundingConfig()
+    declined = F.coalesce(F.col("_declined"), F.lit(False))
+    answers = answers.withColumn("_declined", F.col("abstained") if "abstained" in answers.columns else F.lit(False)).drop("abstained")
     v = F.col("verdict")
     fact = F.col("kind") == "fact"
     bad = ((v == "insufficient") & fact) | (v == "contradicted")
@@ -122,9 +125,9 @@ def shape(answers: DataFrame, verified: DataFrame, cfg: GroundingConfig | None =
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("t")))
     kept = F.filter(numbered, lambda x: ~F.array_contains(F.coalesce("drop", F.expr("cast(array() as array<int>)")), x["n"]) & (strip(x["t"]) != ""))
     stripped = strip(F.array_join(F.transform(kept, lambda x: x["t"]), "\n"))
-    strips = F.lit(cfg.strip_unsupported) & (F.col("insufficient") + F.col("contradicted") > 0)
+    strips = ~declined & F.lit(cfg.strip_unsupported) & (F.col("insufficient") + F.col("contradicted") > 0)
     back = clarification(F.col("query_type"), F.col("evidence_count"))
-    asks = (silent & ~refused) | (~silent & weak)
+    asks = ~declined & ((silent & ~refused) | (~silent & weak))
     final = F.when(asks, F.concat(F.lit("I could not verify an answer. "), back)).when(strips & (stripped != ""), stripped).otherwise(F.col("answer"))
     quoted = F.array_join(F.transform(F.slice(F.col("weak"), 1, cfg.max_note_claims), lambda s: F.concat(F.lit('"'), s, F.lit('"'))), "; ")
     notes = F.array_compact(
@@ -134,4 +137,4 @@ def shape(answers: DataFrame, verified: DataFrame, cfg: GroundingConfig | None =
             F.when(F.col("insufficient") > 0, F.concat(F.lit("Removed as not verified: "), quoted, F.when(F.size("weak") > cfg.max_note_claims, F.concat(F.lit("; and "), (F.size("weak") - cfg.max_note_claims).cast("string"), F.lit(" more"))).otherwise(""))),
         )
     )
-    return rows.select("query_id", final.alias("final_answer"), (silent | weak).alias("abstained"), F.round(rate, 4).alias("supported_rate"), "claims", "supported", "contradicted", "insufficient", F.when(asks, back).alias("clarification"), notes.alias("notes"))
+    return rows.select("query_id", final.alias("final_answer"), (declined | silent | weak).alias("abstained"), F.round(rate, 4).alias("supported_rate"), "claims", "supported", "contradicted", "insufficient", F.when(asks, back).alias("clarification"), notes.alias("notes"))

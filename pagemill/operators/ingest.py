@@ -25,7 +25,9 @@ def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def flatten(documents: DataFrame) -> DataFrame:
     """Nested documents (pages of blocks) as one row a block."""
     page = documents.select("document_id", F.explode("pages").alias("p"))
-    return page.select("document_id", F.col("p.page_width").alias("page_width"), F.col("p.page_height").alias("page_height"), F.explode("p.blocks").alias("b")).select("document_id", "page_width", "page_height", "b.*")
+    rows = page.select("document_id", F.col("p.page_number").alias("_n"), F.col("p.page_width").alias("page_width"), F.col("p.page_height").alias("page_height"), F.explode("p.blocks").alias("b")).select("document_id", "_n", "page_width", "page_height", "b.*")
+    own = F.coalesce("page_number", "_n") if "page_number" in rows.columns else F.col("_n")
+    return rows.withColumn("page_number", own).drop("_n")
 
 
 def nest(blocks: DataFrame) -> DataFrame:
