@@ -1,4 +1,4 @@
-"""All queries of the reference capabilities, and their SQL."""
+"""All document and answer queries, and their SQL."""
 
 from __future__ import annotations
 
