@@ -89,8 +89,10 @@ def evidence_by_product(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _shown(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight hits a query with their texts. The hits, a few rows a query, are
+    kept: what is answered, claimed and cited all starts from them."""
     d = T.documents(spark, sf)
-    hits = R.bm25(T.queries(spark, sf), P._index(spark, sf), 8, P.CFG).select("query_id", "rank", "doc_id")
+    hits = R.bm25(T.queries(spark, sf), P._index(spark, sf), 8, P.CFG).select("query_id", "rank", "doc_id").persist()
     label = citation_label(F.col("source"), F.lit(None).cast("string"), F.col("doc_id").cast("string"), F.lit(1), F.lit(1), F.col("lang"), F.lit(None).cast("array<string>"))
     return hits.join(d.select("doc_id", "text", "source", label.alias("label")), "doc_id")
 
