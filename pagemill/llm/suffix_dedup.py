@@ -17,7 +17,7 @@ from pagemill.llm.shingles import BASE, BASE_INV, U, mix, powers
 #: Bytes of an anchor; places of an anchor beyond which its windows are counted
 #: apart (so many surroundings are about 6 MB, their suffixes 40 MB, in a task);
 #: bytes handled at once.
-ANCHOR, CROWD, CHUNK = 100, 10_000, 2_000_000
+ANCHOR, CROWD, CHUNK = 100, 10_000, 1_000_000
 
 
 def _sums(b: np.ndarray) -> np.ndarray:
