@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,40 +55,32 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(m.sum(axis=1, dtype=U) + np.arange(bands, dtype=U)).astype(np.int64)
 
 
-def _encoded(texts: pd.Series) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
-
-
-def pieces(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of bounded total bytes (one text at least)."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+def pieces(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 texts) of runs of rows of bounded total bytes (one row
+    at least); nulls are empty."""
+    size = np.cumsum(np.concatenate([[0], pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)]))
+    raw, at = texts.cast(pa.binary()), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
+        yield at, [t or b"" for t in raw[at:end].to_pylist()]
+        at = end
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     """(id, n_shingles, digest of the shingle set, band keys) per row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = _encoded(f["text"])
-            for lo, hi in pieces(texts):
-                sets = shingle_sets(texts[lo:hi], width)
-                yield pd.DataFrame(
-                    {
-                        "id": f["id"].iloc[lo:hi],
-                        "n_shingles": [len(s) for s in sets],
-                        "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                        "keys": [band_keys(signature(s, bands * rows), bands, rows) if len(s) else None for s in sets],
-                    }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, texts in pieces(b.column(1)):
+                sets = shingle_sets(texts, width)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                keys = [band_keys(signature(s, bands * rows), bands, rows) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[lo : lo + len(sets)], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["id", "n_shingles", "digest", "keys"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, "id long, n_shingles long, digest binary, keys array<long>"
     )
 
@@ -100,21 +94,21 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
         .select("a", "b", "text_a", "text_b")
     )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_b, set_b = None, None
-        for f in frames:
-            ta = _encoded(f["text_a"])
-            bs, tb = f["b"].to_numpy(), f["text_b"].to_numpy()
-            hit = np.zeros(len(f), bool)
-            for lo, hi in pieces(ta):
-                for i, s in enumerate(shingle_sets(ta[lo:hi], width), lo):
+        for batch in batches:
+            bs = batch.column(1).to_pylist()
+            for lo, texts in pieces(batch.column(2)):
+                hit = []
+                for i, s in enumerate(shingle_sets(texts, width), lo):
                     if bs[i] != last_b:
-                        last_b, set_b = bs[i], shingle_sets([tb[i].encode("utf-8", "surrogatepass")], width)[0]
-                    both = int((set_b[np.minimum(np.searchsorted(set_b, s), len(set_b) - 1)] == s).sum())
-                    hit[i] = 100 * both >= percent * (len(s) + len(set_b) - both)
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "linked": hit})
+                        last_b, set_b = bs[i], shingle_sets([(batch.column(3)[i].as_py() or "").encode()], width)[0]
+                    both = int((set_b[np.minimum(np.searchsorted(set_b, s), len(set_b) - 1)] == s).sum()) if len(set_b) else 0
+                    hit.append(100 * both >= percent * (len(s) + len(set_b) - both))
+                n = len(hit)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + n], batch.column(1)[lo : lo + n], pa.array(hit, pa.bool_())], names=["a", "b", "linked"])
 
-    return rows.mapInPandas(run, "a long, b long, linked boolean")
+    return rows.mapInArrow(run, "a long, b long, linked boolean")
 
 
 #: Most nodes of one tile of cross_links().
@@ -159,9 +153,8 @@ def cross_links(stars: DataFrame, comp: DataFrame, sizes: DataFrame, texts: Data
         if (comps == comps[0]).all():
             return none
         nodes, sets = f["node"].to_numpy(), []
-        enc = _encoded(f["text"])
-        for lo, hi in pieces(enc):
-            sets += shingle_sets(enc[lo:hi], width)
+        for _, texts in pieces(pa.array(f["text"], pa.string())):
+            sets += shingle_sets(texts, width)
         n = np.array([len(s) for s in sets], np.int64)
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
         word, at, df = np.unique(flat, return_inverse=True, return_counts=True)
