@@ -1,7 +1,12 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions alone."""
+"""Mixing sources to target weights by Pfair scheduling: rows in DataFrame
+functions alone, the blocks' slots by a heap on the driver."""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,36 +18,68 @@ MOST_SOURCES, CYCLE = 256, 1000
 OTHER = "(other)"
 
 
-def shares(sizes: DataFrame, weights: dict[str, float] | None, temper: float) -> DataFrame:
-    """(grp, a): slots a cycle for each source group, one at least. The weight
-    is that given, else size ** temper scaled among those without one."""
+def weigh(sizes: DataFrame, weights: dict[str, float] | None, temper: float) -> DataFrame:
+    """sizes with w, the weight of each source group: that given, else size **
+    temper scaled among those without one. One of 0 or less is 1e-9."""
     w = F.pow(F.col("size").cast("double"), F.lit(temper))
     if weights:
-        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+        given = F.create_map(*[F.lit(float(x) if i else x) for kv in weights.items() for i, x in enumerate(kv)])
         mean = sum(weights.values()) / len(weights)
         w = F.coalesce(given[F.col("grp")], mean * w / F.avg(w).over(Window.partitionBy(F.lit(1))))
+    return sizes.withColumn("w", F.when(w > 0, w).otherwise(1e-9))
+
+
+def shares(sizes: DataFrame, weights: dict[str, float] | None, temper: float) -> DataFrame:
+    """(grp, a): slots a cycle for each source group, one at least: its weight
+    rounded."""
     total = F.sum("w").over(Window.partitionBy(F.lit(1)))
-    return sizes.withColumn("w", w).select("grp", F.greatest(F.lit(1), F.floor(CYCLE * F.col("w") / total + 0.5)).cast("int").alias("a"))
+    return weigh(sizes, weights, temper).select("grp", F.greatest(F.lit(1), F.floor(CYCLE * F.col("w") / total + 0.5)).cast("int").alias("a"))
+
+
+def pfair(a: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(s, k, release, deadline, slot) of each of the blocks[s] blocks of
+    source s, whose weight is a[s] / sum(a), by slot.
+
+    Block k is released at floor(k / weight) and due by ceil((k + 1) / weight).
+    Each slot goes to the released block with the earliest deadline. The
+    weights add up to 1, so every deadline is met and no source is ever a whole
+    block ahead of or behind its weight until it ends. The work grows with the
+    blocks, not with slots or sources.
+    """
+    total, t = sum(a), 0
+    waiting, ready = [(0, s, 0) for s, n in enumerate(blocks) if n], []
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // a[s]), s, k, release))
+        due, s, k, release = heapq.heappop(ready)
+        yield s, k, release, due, t
+        t += 1
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, ((k + 1) * total // a[s], s, k + 1))
 
 
 def schedule(a: DataFrame) -> DataFrame:
     """(grp, a, cycle, k, at): the k-th block of a group within a cycle runs in
-    slot `at` of it.
+    slot `at` of it. At the end of a cycle all stand at zero, so the next is
+    the same."""
+    got = sorted(map(tuple, a.select("grp", "a").collect()))
+    n = [x for _, x in got]
+    rows = [(*got[s], sum(n), k, t) for s, k, _, _, t in pfair(n, n)]
+    return a.sparkSession.createDataFrame(rows, "grp string, a int, cycle int, k int, at int", verifySchema=False)
 
-    With weight a / cycle, block k is released at floor(k * cycle / a) and due
-    by ceil((k + 1) * cycle / a). Each slot goes to the released block with the
-    earliest deadline. The weights add up to 1, so every deadline is met and no
-    group is ever a whole block ahead of or behind its weight; at the end of a
-    cycle all stand at zero, so the next is the same.
-    """
-    lists = a.agg(F.sort_array(F.collect_list(F.struct("grp", "a"))).alias("g"), F.sum("a").cast("int").alias("cycle")).where("cycle > 0")
-    due = "cast((cast(st.c[s] + 1 as bigint) * cycle + g[s].a - 1) div g[s].a as int)"
-    ready = "(cast(st.c[s] as bigint) * cycle) div g[s].a <= t"
-    pick = f"array_min(transform(sequence(0, size(g) - 1), s -> if({ready}, struct({due} as d, s as s), null))).s"
-    step = f"aggregate(array({pick}), st, (old, p) -> struct(transform(old.c, (v, i) -> if(i = p, v + 1, v)) as c, concat(old.picks, array(p)) as picks))"
-    run = lists.withColumn("picks", F.expr(f"aggregate(sequence(0, cycle - 1), struct(array_repeat(0, size(g)) as c, cast(array() as array<int>) as picks), (st, t) -> {step}, st -> st.picks)"))
-    slots = run.select("g", "cycle", F.posexplode("picks").alias("at", "s")).selectExpr("g[s].grp as grp", "g[s].a as a", "cycle", "at")
-    return slots.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("at")) - 1)
+
+def whole_schedule(weighed: DataFrame, block_chars: int) -> DataFrame:
+    """(grp, mix_block, mix_release, mix_deadline, mix_slot) of every block of
+    (grp, size, w) rows, w taken exactly. The driver holds a row per block."""
+    got = sorted(map(tuple, weighed.select("grp", "size", "w").collect()))
+    exact = [Fraction(w) for _, _, w in got]
+    unit = max((x.denominator for x in exact), default=1)  # powers of two
+    rows = [(got[s][0], *rest) for s, *rest in pfair([int(x * unit) for x in exact], [-(-size // block_chars) for _, size, _ in got])]
+    slots = put(weighed.sparkSession.createDataFrame(rows, "grp string, mix_block long, mix_release long, mix_deadline long, mix_slot long", verifySchema=False), "slots")
+    return F.broadcast(slots) if len(rows) < 1_000_000 else slots
 
 
 def mix(
@@ -50,6 +87,7 @@ def mix(
     weights: dict[str, float] | None = None,
     temper: float = 0.5,
     block_chars: int = 65_536,
+    rounded: bool = False,
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
@@ -65,6 +103,9 @@ def mix(
     at most 4096 cells of a source, so a source of any size spreads over many
     tasks. When a source ends, its slots stay empty and the others go on.
 
+    Weights are taken exactly over the whole schedule; `rounded` takes them as
+    whole slots of a cycle of about CYCLE that repeats, as op2_mixing's SQL.
+
     Null sources are one source, sources beyond the 256 largest share one
     group, null and empty texts count one character, null ids sort first,
     repeated rows follow each other, other columns pass unchanged (a column
@@ -85,8 +126,7 @@ def mix(
     by_cell = cells.groupBy("grp", "mix_cell").agg(F.sum("size").alias("size"))
     run = Window.partitionBy("grp").orderBy("mix_cell").rowsBetween(Window.unboundedPreceding, -1)
     begins = by_cell.withColumn("begin", F.coalesce(F.sum("size").over(run), F.lit(0))).select("grp", "mix_cell", "begin")
-    plan = schedule(shares(by_cell.groupBy("grp").agg(F.sum("size").alias("size")), weights, temper))
-    per_group = plan.select("grp", F.col("a").alias("mix_a"), "cycle").distinct()
+    sizes = by_cell.groupBy("grp").agg(F.sum("size").alias("size"))
 
     within = Window.partitionBy("grp", "mix_cell").orderBy("mix_key", F.col(id_col), "mix_source", "mix_n").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -96,24 +136,25 @@ def mix(
         .join(begins, ["grp", "mix_cell"])
         .withColumn("mix_begin", F.col("begin") + F.col("mix_before"))
         .withColumn("mix_block", F.expr(f"mix_begin div {block_chars}"))
-        .join(F.broadcast(per_group), "grp")
-        .withColumn("k", F.expr("cast(mix_block % mix_a as int)"))
-        .join(F.broadcast(plan.select("grp", "k", "at")), ["grp", "k"])
-    )
-    return placed.select(
-        *plain.columns,
-        F.col("grp").alias("mix_source"),
-        "mix_block",
-        F.expr("mix_block * cycle div mix_a").alias("mix_release"),
-        F.expr("((mix_block + 1) * cycle + mix_a - 1) div mix_a").alias("mix_deadline"),
-        F.expr("mix_block div mix_a * cycle + at").alias("mix_slot"),
-        F.expr(f"mix_begin % {block_chars}").alias("mix_offset"),
     )
+    if rounded:
+        plan = put(schedule(shares(sizes, weights, temper)), "cycle")
+        placed = (
+            placed.join(plan.select("grp", F.col("a").alias("mix_a"), "cycle").distinct(), "grp")
+            .withColumn("k", F.expr("cast(mix_block % mix_a as int)"))
+            .join(plan.select("grp", "k", "at"), ["grp", "k"])
+            .withColumn("mix_release", F.expr("mix_block * cycle div mix_a"))
+            .withColumn("mix_deadline", F.expr("((mix_block + 1) * cycle + mix_a - 1) div mix_a"))
+            .withColumn("mix_slot", F.expr("mix_block div mix_a * cycle + at"))
+        )
+    else:
+        placed = placed.join(whole_schedule(weigh(sizes, weights, temper), block_chars), ["grp", "mix_block"])
+    return placed.select(*plain.columns, F.col("grp").alias("mix_source"), "mix_block", "mix_release", "mix_deadline", "mix_slot", F.expr(f"mix_begin % {block_chars}").alias("mix_offset"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset")
+    return mix(docs, rounded=True).select("doc_id", "mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset")
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,30 @@ def test_small_sources_share_a_group(spark, monkeypatch):
         for b, o, n in blocks:
             assert b * 5000 + o == at
             at += n
+
+
+def test_deviation_from_the_target_weight(spark):
+    from fractions import Fraction
+
+    weights = {"a": 48.496, "b": 0.2, "c": 951.304}
+    sizes = spark.createDataFrame([("a", 400_000), ("b", 2_000), ("c", 8_000_000)], "grp string, size long")
+    rows = sorted(mixing.whole_schedule(mixing.weigh(sizes, weights, 0.5), 1000).collect(), key=lambda r: r.mix_slot)
+    assert [sum(r.grp == g for r in rows) for g in "abc"] == [400, 2, 8000]
+    assert len({r.mix_slot for r in rows}) == len(rows)
+    total, left, done = sum(map(Fraction, weights.values())), {"a": 400, "b": 2, "c": 8000}, dict.fromkeys("abc", 0)
+    at = {r.mix_slot: r for r in rows}
+    for t in range(max(at) + 1):
+        if t in at:
+            r = at[t]
+            w = Fraction(weights[r.grp]) / total
+            assert r.mix_block == done[r.grp] and r.mix_release == r.mix_block // w and r.mix_deadline == -(-(r.mix_block + 1) // w)
+            assert r.mix_release <= t < r.mix_deadline
+            done[r.grp] += 1
+        for g, n in done.items():
+            assert n == left[g] or abs(n - (t + 1) * Fraction(weights[g]) / total) < 1, (t, g)
+
+
+def test_mix_takes_the_weight_exactly(spark):
+    df = spark.createDataFrame([(i, "a" if i % 100 else "b", "x" * 10) for i in range(4000)], "doc_id long, source string, text string")
+    got = mix(df, {"a": 4095 / 4096, "b": 1 / 4096}, block_chars=10).where("mix_source = 'b'").orderBy("mix_block").collect()
+    assert [r.mix_release for r in got[:3]] == [0, 4096, 8192]  # a cycle of 1000 gave 1000, 2000
