@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.shelf import put, table
 
-#: Sources scheduled on their own, and about how many slots a cycle has. Both
-#: bound the schedule, which is a table of one row per slot of a cycle.
-MOST_SOURCES, CYCLE = 256, 1000
+#: Where set, only so many sources, the largest, are scheduled on their own.
+MOST_SOURCES: int | None = None
+#: About how many slots a cycle of rounded weights has.
+CYCLE = 1000
 OTHER = "(other)"
 
 
@@ -106,8 +107,8 @@ def mix(
     Weights are taken exactly over the whole schedule; `rounded` takes them as
     whole slots of a cycle of about CYCLE that repeats, as op2_mixing's SQL.
 
-    Null sources are one source, sources beyond the 256 largest share one
-    group, null and empty texts count one character, null ids sort first,
+    Null sources are one source, every source is scheduled by its own
+    weight (unless MOST_SOURCES is set: those beyond it share one group), null and empty texts count one character, null ids sort first,
     repeated rows follow each other, other columns pass unchanged (a column
     named mix_... is replaced), an empty table stays empty.
     """
@@ -119,8 +120,12 @@ def mix(
 
     cells = put(rows.groupBy("mix_source", "mix_cell").agg(F.sum("mix_n").alias("size")), "cells")
     totals = cells.groupBy("mix_source").agg(F.sum("size").alias("size"))
-    large = totals.orderBy(F.desc("size"), "mix_source").limit(MOST_SOURCES).select("mix_source", F.col("mix_source").alias("grp"))
-    cells = cells.join(F.broadcast(large), "mix_source", "left").select("mix_source", "mix_cell", "size", F.coalesce("grp", F.lit(OTHER)).alias("grp"))
+    if MOST_SOURCES is None:
+        grouped = lambda df: df.withColumn("grp", F.col("mix_source"))
+    else:
+        large = totals.orderBy(F.desc("size"), "mix_source").limit(MOST_SOURCES).select("mix_source", F.col("mix_source").alias("grp"))
+        grouped = lambda df: df.join(F.broadcast(large), "mix_source", "left").withColumn("grp", F.coalesce("grp", F.lit(OTHER)))
+    cells = grouped(cells)
     # of the sources that share a group the cells interleave, so a cell's begin
     # is the sum over (cell, source) before it in the group
     by_cell = cells.groupBy("grp", "mix_cell").agg(F.sum("size").alias("size"))
@@ -130,8 +135,7 @@ def mix(
 
     within = Window.partitionBy("grp", "mix_cell").orderBy("mix_key", F.col(id_col), "mix_source", "mix_n").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        rows.join(F.broadcast(large), "mix_source", "left")
-        .withColumn("grp", F.coalesce("grp", F.lit(OTHER)))
+        grouped(rows)
         .withColumn("mix_before", F.coalesce(F.sum("mix_n").over(within), F.lit(0)))
         .join(begins, ["grp", "mix_cell"])
         .withColumn("mix_begin", F.col("begin") + F.col("mix_before"))

@@ -90,3 +90,14 @@ def test_mix_takes_the_weight_exactly(spark):
     df = spark.createDataFrame([(i, "a" if i % 100 else "b", "x" * 10) for i in range(4000)], "doc_id long, source string, text string")
     got = mix(df, {"a": 4095 / 4096, "b": 1 / 4096}, block_chars=10).where("mix_source = 'b'").orderBy("mix_block").collect()
     assert [r.mix_release for r in got[:3]] == [0, 4096, 8192]  # a cycle of 1000 gave 1000, 2000
+
+
+def test_every_source_is_scheduled(spark):
+    df = spark.range(1200).selectExpr("id as doc_id", "concat('s', id % 300) as source", "repeat('x', cast(5 + id % 7 as int)) as text")
+    for rounded in (False, True):
+        got = mix(df, {"s299": 50.0, "s0": 1.0}, block_chars=10, rounded=rounded).collect()
+        assert {r.mix_source for r in got} == {f"s{i}" for i in range(300)}
+        assert all(r.mix_source == f"s{r.doc_id % 300}" for r in got) and len(got) == 1200
+        taken = {(r.mix_slot, r.mix_source) for r in got}
+        assert len(taken) == len({s for s, _ in taken})
+        assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
