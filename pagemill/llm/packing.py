@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.mixing import in_mixed_order
 from pagemill.llm.shelf import table
 
 END_ID = 1
@@ -222,7 +223,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    """The sequences of docs in the order of the mixture, which is taken anew
+    from the documents: files are dealt to partitions in no order of theirs."""
+    return pack(in_mixed_order(spark, docs, sf_dir))
 
 
 QUERIES = {"op8_packing": op8_packing}

@@ -40,3 +40,25 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == packing.COLUMNS
+
+
+def test_sequences_follow_the_mixture_over_many_files(spark, tmp_path):
+    rows = [(i, f"s{i % 3}", f"word{i} " * (300 if i % 3 else 900)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    slots = mixing.mix(docs)
+    slot = {r.doc_id: (r.mix_slot, r.mix_offset) for r in slots.select("doc_id", "mix_slot", "mix_offset").collect()}
+    # many files of unequal size, the late slots' largest: Spark deals those first
+    for i, (low, high) in enumerate([(0, 5), (5, 12), (12, 10**9)]):
+        slots.where(f"mix_slot >= {low} and mix_slot < {high}").select(*docs.columns).repartition(3).write.mode("append").parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions of little data
+    try:
+        got = packing.packed(spark, spark.read.parquet(str(tmp_path / "docs")), SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id for r in got} == set(slot)
+    by_part = {}
+    for r in got:
+        by_part.setdefault(r.sequence_id >> 32, []).append(slot[r.doc_id])
+    parts = [by_part[p] for p in sorted(by_part)]
+    assert len(parts) > 1
+    assert all(max(a) < min(b) for a, b in zip(parts, parts[1:], strict=False))
