@@ -152,8 +152,9 @@ def bootstrap(graph: DataFrame, rounds: int = 3, least: float = 0.8, support: in
     mentions, and at most `most` patterns, the best, reach the driver.
     """
     mentions = put(graph, "mentions")
-    # only contexts that introduce several instances can ever gain support
-    shared = mentions.groupBy("left").agg(F.approx_count_distinct("instance").alias("c"), F.count("kind").alias("s")).where("c >= 2 and s > 0").select("left")
+    # only contexts that introduce several instances can ever gain support; one
+    # without a seed may gain it from instances found in an earlier round
+    shared = mentions.groupBy("left").agg(F.count_distinct("instance").alias("c")).where("c >= 2").select("left")
     live = put(mentions.join(shared, "left", "left_semi"), "live")
     sure = live.where("kind is not null").select("instance", "kind").distinct().withColumn("conf", F.lit(1.0))
     patterns = None

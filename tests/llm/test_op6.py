@@ -65,3 +65,16 @@ def test_odd_rows(spark):
     assert mask(df, []).where("text is null").count() == 1
     empty = df.limit(0)
     assert bootstrap(edges(empty, "text")) == [] and find(empty, []).count() == 0
+
+
+def test_second_hop(spark):
+    """'home at' introduces no seed, only numbers that 'me on' taught."""
+    texts = [f"Reach us: call me on +1 (212) 555-0{i}00 today" for i in range(100, 130)]
+    texts += [f"please call me on 0151 555 {i} soon" for i in range(1000, 1005)]
+    texts += [f"or ring home at 0151 555 {i} soon" for i in range(1000, 1005)]
+    texts += ["or ring home at 0151 555 2000 soon", "item number is 5000 now", "item number is 5001 now"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    patterns = bootstrap(edges(df, "text"), least=0.6)
+    assert {(p[0], p[2]) for p in patterns} == {("me on", "phone"), ("home at", "phone")}
+    got = {r.doc_id: r.spans for r in find(df, patterns).collect()}
+    assert got[40] == "phone:16:29" and got[41] == ""
