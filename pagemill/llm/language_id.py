@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.shelf import table
 
 LONGEST = 5
+#: n-grams of a word that are summed at once.
+PIECE = 1000
 GAPS = {i: " " for i in range(128) if not chr(i).isalpha()} | {ord(c): " " for c in " «»“”„‘’¿¡…–—"}
 
 
@@ -78,11 +80,18 @@ class Scorer:
         for n in range(LONGEST, 0, -1):
             if got is not None:
                 return got
-            known = [x for x in map(self.model.gram[n - 1].get, grams(w[:200], n)) if x is not None]
-            if known:
-                got = np.mean(known, axis=0).tolist()
+            got = self._mean(w, n)
         return got or self.unknown
 
+    def _mean(self, w: str, n: int) -> list[float] | None:
+        """The mean over w's known n-grams, if any, PIECE of them at a time."""
+        whole, known, total, count = f"^{w}$", self.model.gram[n - 1], 0.0, 0
+        for at in range(0, max(len(whole) - n + 1, 1), PIECE):
+            piece = [x for g in range(at, min(at + PIECE, max(len(whole) - n + 1, 1))) if (x := known.get(whole[g : g + n])) is not None]
+            if piece:
+                total, count = total + np.sum(piece, axis=0), count + len(piece)
+        return (total / count).tolist() if count else None
+
     def __call__(self, text: str | None) -> tuple[str, float]:
         m = self.model
         if not text or not m.langs or not any(map(str.isalpha, text)):
@@ -106,16 +115,14 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, most_langs: int = 400) -> Model:
-    """A model of at most per_lang documents of each of the most_langs most
-    frequent languages, those of least id hash outside the held-out quarter.
-    The sample is bounded: its ids are broadcast, the driver counts its texts."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500) -> Model:
+    """A model of at most per_lang documents of each language, those of least
+    id hash outside the held-out quarter. The sample is bounded a language: its
+    ids are broadcast, the driver counts its texts."""
     train = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("v")).where("id is not null and text is not null and v is not null").where(~held_out("id"))
-    langs = [r.v for r in train.groupBy("v").count().orderBy(F.desc("count"), "v").limit(most_langs).collect()]
     pick = Window.partitionBy("v").orderBy(F.xxhash64("id"), "id")
-    sample = train.where(F.col("v").isin(langs)).select("id", "v").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= per_lang).select("id")
+    sample = train.select("id", "v").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= per_lang).select("id")
     rows = train.join(F.broadcast(sample), "id", "left_semi").select("id", "text", "v").toPandas().drop_duplicates("id").sort_values("id")
-    rows = rows[rows["v"].isin(langs)]
     return learn(rows["text"].tolist(), rows["v"].tolist())
 
 

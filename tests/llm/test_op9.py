@@ -28,3 +28,20 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.lang_pred) for r in identify(df, model).collect()) == [(0, "en"), (1, "und"), (2, "und"), (4, "en"), (4, "en")]
     empty = df.limit(0)
     assert identify(empty, fit(empty)).count() == 0
+
+
+def test_a_word_counts_to_its_end():
+    s = Scorer(learn(["abcabcabc xyz"] * 5 + ["uvwuvwuvw xyz"] * 5, ["a"] * 5 + ["u"] * 5))
+    assert s("xyz" * 100 + "abc" * 3000)[0] == "a" and s("xyz" * 100 + "uvw" * 3000)[0] == "u"
+    long = s("uvw" * 100 + "abc" * 3000)
+    assert long[0] == "a" and long[1] > 0.5
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"w{'abcdefghij'[v // 100]}{'klmnopqrst'[v // 10 % 10]}{'uvwxyzabcd'[v % 10]} " * 5, f"l{v:03}") for i, v in enumerate(v for v in range(405) for _ in range(6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df)
+    assert len(model.langs) == 405
+    lang = {i: v for i, _, v in rows}
+    got = identify(df, model).collect()
+    assert all(r.lang_pred == lang[r.doc_id] for r in got)
