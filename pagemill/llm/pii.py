@@ -77,8 +77,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(s: str) -> str:
-    """Digit runs as 9, letter runs as a, other signs as they are."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s))[:40]
+    """Digit runs as 9, letter runs as a, other signs as they are; one of over
+    40 signs ends in a digest of the whole."""
+    out = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s))
+    return out if len(out) <= 40 else f"{out[:40]}{_digest(out):x}"
 
 
 def left_context(text: str, start: int, n: int = 2) -> str | None:
@@ -90,23 +92,25 @@ def left_context(text: str, start: int, n: int = 2) -> str | None:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Spans that could be identifiers but that no seed touches: tokens with
-    four digits or an @ in them, trimmed of outer punctuation, joined where
+    """Spans that could be identifiers but that no seed touches: tokens, of any
+    length, with four digits or an @ in them, trimmed of outer punctuation, joined where
     number-like ones follow each other by one space."""
     out: list[tuple[int, int]] = []
+    number = False  # whether the last span has no letter
     for m in TOKEN.finditer(text):
         t = m.group()
-        digits = sum(c.isdigit() for c in t[:200])
-        if not digits and "@" not in t:
+        if "@" not in t and not any(map(str.isdigit, t)):
             continue
         a = m.start() + len(t) - len(t.lstrip("\"'(<[,;:"))
         b = m.start() + len(t.rstrip("\"')>],;:.!?"))
-        if b - a < 2 or b - a > 60:
+        if b - a < 2:
             continue
-        if out and out[-1][1] + 1 == a and text[a - 1] == " " and not any(c.isalpha() for c in text[out[-1][0] : b]):
+        letters = any(map(str.isalpha, text[a:b]))
+        if number and not letters and out[-1][1] + 1 == a and text[a - 1] == " ":
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
+            number = not letters
     return [(a, b) for a, b in out if sum(c.isdigit() for c in text[a:b]) >= 4 or "@" in text[a:b] if not any(a < e and s < b for s, e, _ in base)]
 
 
@@ -141,7 +145,7 @@ def edges(docs: DataFrame, text_col: str) -> DataFrame:
     return raw.groupBy("left", "shape", "instance", "kind").agg(F.sum("n").alias("n"))
 
 
-def bootstrap(graph: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 3, most: int = 2000) -> list[tuple[str, str, str, float]]:
+def bootstrap(graph: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 3) -> list[tuple[str, str, str, float]]:
     """(left, shape, kind, confidence) of the patterns to trust.
 
     Seeds hold confidence 1 in their kind. Each round, a context's confidence
@@ -149,7 +153,7 @@ def bootstrap(graph: DataFrame, rounds: int = 3, least: float = 0.8, support: in
     `support` different confident instances; an unseen instance's is the
     confidence that not all of its contexts err; instances that gain `least`
     count from the next round on. Contexts that repeat are few next to
-    mentions, and at most `most` patterns, the best, reach the driver.
+    mentions; all patterns to trust, the surest first, reach the driver.
     """
     mentions = put(graph, "mentions")
     # only contexts that introduce several instances can ever gain support; one
@@ -184,7 +188,7 @@ def bootstrap(graph: DataFrame, rounds: int = 3, least: float = 0.8, support: in
         sure = put(live.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("conf")).unionByName(found).groupBy("instance", "kind").agg(F.max("conf").alias("conf")), "sure")
     best = patterns.where(F.col("conf") >= least).select("left", "kind", "conf")
     shapes = live.where("kind is null").select("left", "shape").distinct().join(best, "left")
-    rows = shapes.orderBy(F.desc("conf"), "left", "shape", "kind").limit(most).collect()
+    rows = shapes.orderBy(F.desc("conf"), "left", "shape", "kind").collect()
     return [(r["left"], r["shape"], r["kind"], r["conf"]) for r in rows]
 
 

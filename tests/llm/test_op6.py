@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from pagemill.llm.pii import KINDS, base_spans, bootstrap, edges, find, joined, luhn, mask, op6_pii
+from pagemill.llm.pii import KINDS, base_spans, bootstrap, candidates, edges, find, joined, luhn, mask, op6_pii, shape
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,3 +78,27 @@ def test_second_hop(spark):
     assert {(p[0], p[2]) for p in patterns} == {("me on", "phone"), ("home at", "phone")}
     got = {r.doc_id: r.spans for r in find(df, patterns).collect()}
     assert got[40] == "phone:16:29" and got[41] == ""
+
+
+def test_every_trusted_pattern_is_kept(spark):
+    seen = spark.range(2100).selectExpr("concat('context ', id) as left", "id", "explode(sequence(0, 5)) as j")
+    graph = seen.selectExpr("left", "if(j < 5, '+9', '9') as shape", "if(j < 5, j, 1000 + id) as instance", "if(j < 5, 'phone', null) as kind", "1L as n")
+    patterns = bootstrap(graph)
+    assert len(patterns) == len({p[0] for p in patterns}) == 2100
+
+
+def test_candidates_of_any_length():
+    name = "user-" + "x" * 300 + "-12345"
+    text = f"the account {name}, ok"
+    assert [text[a:b] for a, b in candidates(text, [])] == [name]
+    assert shape("a-" * 30 + "1") != shape("a-" * 30 + "1_") and shape("abc-12") == "a-9"
+    many = "12 " * 200_000
+    assert candidates(many, []) == [(0, len(many) - 1)]  # linear time
+
+
+def test_a_long_identifier_is_learned_and_masked(spark):
+    long = [f"acct-{'y' * 80}-{i}" for i in range(1000, 1004)]
+    texts = [f"write login as m{i}@ex.org now" for i in range(30)] + [f"write login as {x} now" for x in long]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = [r.text for r in mask(df, bootstrap(edges(df, "text"))).orderBy("doc_id").collect()]
+    assert masked[30:] == ["write login as <email> now"] * 4
