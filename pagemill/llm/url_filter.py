@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,9 +63,9 @@ def tokens(url: str, host: str, path: str) -> Column:
             F.concat(
                 one(F.col(host) != "", F.concat(F.lit("scheme="), F.lower(F.regexp_extract(F.col(url), r"^([^:]*)://", 1)))),
                 F.when(F.col(host) != "", domains).otherwise(F.expr("cast(array() as array<string>)")),
-                F.transform(F.slice(parts, 1, 8), lambda p: F.concat(F.lit("part="), F.substring(p, 1, 60))),
+                F.transform(parts, lambda p: F.concat(F.lit("part="), p)),
                 one(ending != "", F.concat(F.lit("ending="), ending)),
-                F.transform(F.slice(keys, 1, 8), lambda k: F.concat(F.lit("key="), F.substring(k, 1, 60))),
+                F.transform(keys, lambda k: F.concat(F.lit("key="), k)),
                 one(F.col(url).contains("#"), F.lit("fragment")),
             )
         ),
@@ -72,12 +73,11 @@ def tokens(url: str, host: str, path: str) -> Column:
     )
 
 
-def mine(labelled: DataFrame, support: float = 0.01, least: int = 20, confidence: float = 0.8, most_rules: int = 1000, longest: int = 3) -> list[Mined]:
+def mine(labelled: DataFrame, support: float = 0.01, least: int = 20, confidence: float = 0.8, longest: int | None = 3) -> list[Mined]:
     """Blocking rules of (tokens, bad) rows by FP-growth: token sets of at most
-    `longest` that `support` of the rows have (and `least` rows), bad ones among
+    `longest` (None: of any size) that `support` of the rows have (and `least` rows), bad ones among
     them to `confidence`. A rule that a part of it equals or betters goes.
-    Tokens of 19 rows in 20 or more say nothing and are left out. The rules'
-    count is bounded by most_rules, the best first."""
+    Tokens of 19 rows in 20 or more say nothing and are left out."""
     rows = put(labelled.where("bad is not null").select("tokens", "bad"), "labelled")
     n = rows.count()
     if not n:
@@ -90,18 +90,21 @@ def mine(labelled: DataFrame, support: float = 0.01, least: int = 20, confidence
         return []
     model = FPGrowth(itemsCol="items", minSupport=share * confidence, minConfidence=confidence).fit(baskets)
     found = (
-        model.associationRules.where(F.array_contains("consequent", BLOCK) & ~F.array_contains("antecedent", ALLOW) & (F.size("antecedent") <= longest))
+        model.associationRules.where(F.array_contains("consequent", BLOCK) & ~F.array_contains("antecedent", ALLOW) & (F.lit(True) if longest is None else F.size("antecedent") <= longest))
         .where((F.col("lift") > 1) & (F.col("support") / F.col("confidence") >= share))
         .orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.sort_array("antecedent"))
-        .limit(4 * most_rules)
         .collect()
     )
-    out: list[Mined] = []
+    out: dict[tuple[str, ...], Mined] = {}
     for r in found:
         items = tuple(sorted(r.antecedent))
-        if not any(set(m.items) <= set(items) and m.confidence >= r.confidence for m in out):
-            out.append(Mined(items, float(r.confidence), round(r.support * n / r.confidence)))
-    return out[:most_rules]
+        if 2 ** len(items) < len(out):
+            parts = (out[p] for k in range(1, len(items)) for p in combinations(items, k) if p in out)
+        else:
+            parts = (m for p, m in out.items() if set(p) <= set(items))
+        if not any(m.confidence >= r.confidence for m in parts):
+            out[items] = Mined(items, float(r.confidence), round(r.support * n / r.confidence))
+    return list(out.values())
 
 
 def best_mined(rules: list[Mined], tokens_col: str) -> Column:
@@ -148,7 +151,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = pages.select("url").withColumn("host", host).withColumn("path", path)
     shown = asked.select(F.expr("try_cast(regexp_extract(path, '([0-9]+)(?:[.][a-z]+)?/?$', 1) as bigint)").alias("doc_id"), tokens("url", "host", "path").alias("tokens"))
     labels = table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
-    return judge(pages, RULES, mine(shown.join(labels, "doc_id")))
+    return judge(pages, RULES, mine(shown.join(labels, "doc_id"), longest=None))
 
 
 QUERIES = {"op4_url_filter": op4_url_filter}

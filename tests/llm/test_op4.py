@@ -2,7 +2,7 @@ import random
 import re
 from itertools import combinations
 
-from pagemill.llm.url_filter import RULES, Mined, judge, mine, op4_url_filter
+from pagemill.llm.url_filter import RULES, Mined, host_path, judge, mine, op4_url_filter, tokens
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,3 +70,30 @@ def test_odd_rows(spark):
         assert r.verdict == (verdict or ("block" if r.page_id == 9 else "allow")), u
     assert next(r.confidence for r in got if r.page_id == 9) == 0.95
     assert judge(df.limit(0), RULES, []).count() == 0
+
+
+def test_whole_urls_become_tokens(spark):
+    long = "p" * 70
+    url = "http://x.org/" + "/".join("abcdefghi") + f"/{long}1x/{long}2y/?" + "&".join(f"k{c}=1" for c in "abcdefghij") + f"&{long}=2"
+    df = spark.createDataFrame([(1, url), (2, f"http://x.org/{long}q")], "page_id long, url string")
+    host, path = host_path("url")
+    got = {r.page_id: set(r.t) for r in df.withColumn("host", host).withColumn("path", path).select("page_id", tokens("url", "host", "path").alias("t")).collect()}
+    assert {"part=i", f"part={long}#x", f"part={long}#y", "key=kj", f"key={long}"} <= got[1]
+    out = {r.page_id: r.verdict for r in judge(df, [], [Mined(("part=i",), 0.9, 30)]).collect()}
+    assert out == {1: "block", 2: "allow"}
+    assert {r.verdict for r in judge(df, [], [Mined((f"part={long}",), 0.9, 30)]).collect()} == {"allow"}
+
+
+def test_every_mined_rule_is_kept(spark):
+    rows = [([f"t{i}"], int(i < 1100)) for i in range(1400) for _ in range(20)]
+    df = spark.createDataFrame(rows, "tokens array<string>, bad int")
+    got = mine(df, support=0.0001)
+    assert {m.items for m in got} == {(f"t{i}",) for i in range(1100)}
+    assert len(got) == 1100
+
+
+def test_rules_of_any_size(spark):
+    sets = ["abcd", "abc", "abd", "acd", "bcd"]
+    rows = [(list(s), int(s == "abcd")) for s in sets for _ in range(40)] + [(["z"], 0)] * 100
+    df = spark.createDataFrame(rows, "tokens array<string>, bad int")
+    assert {m.items for m in mine(df, longest=None)} == {tuple("abcd")} and mine(df) == []
