@@ -17,6 +17,8 @@ from pagemill.llm.mixing import in_mixed_order
 from pagemill.llm.shelf import table
 
 END_ID = 1
+#: The vocabulary's added token and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -69,11 +71,14 @@ class Encoder:
     white space or ends the text; a text whose white space is single spaces and
     line feeds between words is split by the same pattern without the
     lookahead, which runs faster.
+
+    With `added`, the added token's text is its id, and what stands between is
+    encoded on its own, as tokenizers does by default; else it is plain text.
     """
 
     LOOKAHEAD = r"|\s+(?!\S)"
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, added: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -82,18 +87,26 @@ class Encoder:
         full = public_tokenizers.PATTERN
         make = lambda p: tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.full, self.plain = make(full), make(full.replace(self.LOOKAHEAD, ""))
-        self.end = END_ID.to_bytes(4, "little")
+        self.end, self.between = END_ID.to_bytes(4, "little"), ADDED_ID.to_bytes(4, "little")
+        self.added = added
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
+        if self.added and ADDED in text:
+            return self.between.join(map(self._ids, text.split(ADDED))) + self.end
+        return self._ids(text) + self.end
+
+    def _ids(self, text: str) -> bytes:
+        if not text:
+            return b""
         words, gaps = text.split(), text.count(" ") + text.count("\n")
         single = len(words) == gaps + 1 and len("".join(words)) + gaps == len(text)
         bpe = self.plain if single else self.full
-        return bytes(bpe.encode_to_tiktoken_buffer(text, set())) + self.end
+        return bytes(bpe.encode_to_tiktoken_buffer(text, set()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 class Packer:
@@ -184,6 +197,7 @@ def pack(
     windows: int = 128,
     max_piece: int = 256,
     slack: int = 4,
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset (see Packer).
@@ -196,16 +210,16 @@ def pack(
 
     Null and empty texts are the end id alone; null ids stay null; rows that
     share an id are packed as often as they occur; other columns are ignored;
-    an empty table gives no row.
+    an empty table gives no row. `added`: see Encoder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-        if path not in _ENCODERS:  # a worker keeps it for its next tasks
-            _ENCODERS[path] = Encoder(path)
-        encode = _ENCODERS[path]
+        if (path, added) not in _ENCODERS:  # a worker keeps it for its next tasks
+            _ENCODERS[path, added] = Encoder(path, added)
+        encode = _ENCODERS[path, added]
         packer = Packer(capacity, windows, max_piece, slack, TaskContext.get().partitionId() << 32)
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -219,13 +233,13 @@ def pack(
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of docs in the order of the mixture, which is taken anew
     from the documents: files are dealt to partitions in no order of theirs."""
-    return pack(in_mixed_order(spark, docs, sf_dir))
+    return pack(in_mixed_order(spark, docs, sf_dir), added=True)
 
 
 QUERIES = {"op8_packing": op8_packing}

@@ -73,3 +73,12 @@ def test_differencing_is_near_equal():
     fill = np.bincount(differencing(sizes, 50), weights=sizes, minlength=50)
     assert fill.sum() == sum(sizes) and fill.max() - fill.min() <= 8
     assert differencing([5], 1).tolist() == [0]
+
+
+def test_added_token_as_the_tokenizer_by_default(spark, tmp_path):
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n x  ", "a  <|endoftext|>\n\nb c", "<|endoftext|", "plain text", "", None]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert default.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    check(docs, op8_packing(spark, str(tmp_path)).collect(), default)
