@@ -1,4 +1,6 @@
-"""Exact-substring deduplication with a logarithmic family of suffix arrays."""
+"""Exact-substring deduplication with a logarithmic family of sparse suffix
+arrays: suffixes that begin at content-chosen anchors, sorted by what they
+begin with."""
 
 from __future__ import annotations
 
@@ -8,21 +10,54 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.shelf import put, table
-from pagemill.llm.shingles import BASE, BASE_INV, U, mix, powers
+from pagemill.llm.minhash_dedup import pieces
+from pagemill.llm.shelf import drop, put, table
+from pagemill.llm.shingles import BASE, BASE_INV, SPACE, U, mix, powers, word_prints
 
-#: Bytes of an anchor; places of an anchor beyond which its windows are counted
-#: apart (so many surroundings are about 6 MB, their suffixes 40 MB, in a task);
-#: bytes handled at once.
-ANCHOR, CROWD, CHUNK = 100, 10_000, 1_000_000
+#: Bytes (or symbols) handled at once; batches of a corpus; windows of a block
+#: at each refinement.
+CHUNK, BATCHES, STEPS = 1_000_000, 4, (20, 1)
 
 
-def _sums(b: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(b) + 1, U)
-    np.cumsum((b.astype(U) + U(1)) * powers(len(b), BASE, "up"), out=out[1:])
+@dataclass(frozen=True)
+class Unit:
+    """What windows are made of: kind 0 bytes, 1 words; symbols of a window,
+    of an anchor."""
+
+    kind: int
+    length: int
+    anchor: int
+
+
+def symbols(text: bytes, kind: int) -> np.ndarray:
+    """The bytes of a text, or fingerprints of its words (A-Z lower-cased), the
+    words of about CHUNK bytes at a time."""
+    if not kind:
+        return np.frombuffer(text, np.uint8)
+    out, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + CHUNK)
+        while end < len(text) and not SPACE[text[end]]:
+            end += 1
+        out.append(word_prints([text[at:end]])[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, U)
+
+
+def all_symbols(texts: list[bytes], kind: int) -> list[np.ndarray]:
+    if not kind or len(texts) == 1:
+        return [symbols(t, kind) for t in texts]
+    words, counts = word_prints(texts)
+    return np.split(words, np.cumsum(counts)[:-1])
+
+
+def _sums(s: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(s) + 1, U)
+    np.cumsum((s.astype(U) + U(1)) * powers(len(s), BASE, "up"), out=out[1:])
     return out
 
 
@@ -41,26 +76,25 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(texts: list[bytes], length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """For every text of at least `length` bytes its anchors: (text, position,
+def anchors(parts: list[np.ndarray], length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """For every part of at least `length` symbols its anchors: (part, position,
     first and last window start that it stands for, fingerprint).
 
-    The anchor of a window of `length` bytes is its anchor-byte string of least
-    fingerprint, the leftmost of such: what it is depends on the window alone,
-    so equal windows have equal anchors at equal offsets.
+    The anchor of a window of `length` symbols is its string of `anchor`
+    symbols of least fingerprint, the leftmost of such: what it is depends on
+    the window alone, so equal windows have equal anchors at equal offsets.
     """
-    size = np.array([len(t) for t in texts], np.int64)
-    b = np.frombuffer(b"".join(texts), np.uint8)
-    if len(b) < length:
+    size = np.array([len(p) for p in parts], np.int64)
+    if size.max(initial=0) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U),)
+    flat = np.concatenate(parts)
     begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(texts)), size)
-    sums = _sums(b)
-    print_at = _prints(sums, np.arange(len(b) - anchor + 1), anchor)
+    owner = np.repeat(np.arange(len(parts)), size)
+    print_at = _prints(_sums(flat), np.arange(len(flat) - anchor + 1), anchor)
     low = U((1 << 24) - 1)
     least = sliding_min((print_at & ~low) | np.arange(len(print_at), dtype=U), length - anchor + 1)
     at = (least & low).astype(np.int64)
-    inside = owner[: len(b) - length + 1] == owner[length - 1 :]
+    inside = owner[: len(flat) - length + 1] == owner[length - 1 :]
     window = np.flatnonzero(inside)
     at = at[window]
     first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1) | (np.diff(owner[window], prepend=-1) != 0))
@@ -69,9 +103,10 @@ def anchors(texts: list[bytes], length: int, anchor: int = ANCHOR) -> tuple[np.n
     return who, at[first] - begin[who], window[first] - begin[who], window[last] - begin[who], print_at[at[first]]
 
 
-def segments(texts: list[bytes], length: int, chunk: int = CHUNK) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (text, offset, bytes) of about chunk bytes; a longer text comes
-    in overlapping parts that hold each of its windows once."""
+def segments(texts: list[np.ndarray], length: int, chunk: int | None = None) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Lists of (text, offset, symbols) of about chunk symbols; a longer text
+    comes in overlapping parts that hold each of its windows once."""
+    chunk = chunk or CHUNK
     group, size = [], 0
     for i, t in enumerate(texts):
         for off in range(0, max(1, len(t) - length + 1), chunk):
@@ -85,228 +120,227 @@ def segments(texts: list[bytes], length: int, chunk: int = CHUNK) -> Iterator[li
         yield group
 
 
-@dataclass
-class Level:
-    """Suffixes in the order of their first `length` bytes (as fingerprinted
-    with their anchor): keys, the row and position of each, whether matched."""
+class Family:
+    """A logarithmic family of suffix arrays, kept as tables in the shared
+    folder. A suffix is one that begins at an anchor; a level holds the heads
+    (the anchors' fingerprints) of its suffixes in order, equal ones as one row
+    with the least and greatest place, so no head is hot.
 
-    keys: np.ndarray
-    row: np.ndarray
-    at: np.ndarray
-    matched: np.ndarray
+    add() makes a batch's array, merge-scans it against every level for heads
+    that stand at two places, and then merges levels of as many batches: there
+    are logarithmically many, and each suffix is rewritten as many times."""
 
-    def __len__(self) -> int:
-        return len(self.keys)
+    KEY = ["kind", "core"]
 
+    def __init__(self) -> None:
+        self.levels: list[tuple[int, DataFrame]] = []
+        self.found: list[DataFrame] = []
+
+    def _array(self, rows: DataFrame) -> DataFrame:
+        return put(rows.groupBy(*self.KEY).agg(F.min("a").alias("a"), F.max("b").alias("b")).sortWithinPartitions(*self.KEY), "level")
+
+    def add(self, suffixes: DataFrame) -> None:
+        """suffixes: (kind, core, who)."""
+        new = self._array(suffixes.select(*self.KEY, F.col("who").alias("a"), F.col("who").alias("b")))
+        met = new.where("a <> b").select(*self.KEY)
+        for _, level in self.levels:
+            old = level.select(*self.KEY, F.col("a").alias("c"), F.col("b").alias("d"))
+            met = met.unionByName(new.join(old, self.KEY).where("least(a, c) <> greatest(b, d)").select(*self.KEY))
+        self.found.append(put(met, "found"))
+        self.levels.append((1, new))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (n, x), (m, y) = self.levels.pop(), self.levels.pop()
+            self.levels.append((n + m, self._array(x.unionByName(y))))
+            drop(x)
+            drop(y)
+
+    def matches(self) -> DataFrame:
+        """Heads that stand at two places, over all batches added."""
+        out = self.found[0]
+        for f in self.found[1:]:
+            out = out.unionByName(f)
+        return put(out.distinct(), "heads")
+
+    def close(self) -> None:
+        for t in [*(level for _, level in self.levels), *self.found]:
+            drop(t)
+        self.levels, self.found = [], []
+
+
+MARK = "kind int, core binary, span binary, key binary, at long, lo long, hi long"
+_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=[c.split()[0] for c in MARK.split(", ")])
+
+
+def first_marks(keys: list[bytes], texts: list[np.ndarray], unit: Unit) -> Iterator[list[tuple]]:
+    """MARK rows of the texts' anchors: core is the anchor's fingerprint, span
+    128 bits of all that the anchor's windows cover."""
+    digest = xxhash.xxh3_128_digest
+    for group in segments(texts, unit.length):
+        who, at, lo, hi, h = anchors([g[2] for g in group], unit.length, unit.anchor)
+        cores, views, out = h.tobytes(), [memoryview(g[2]).cast("B") if len(g[2]) else b"" for g in group], []
+        w = texts[0].itemsize
+        for n, (i, a, x, y) in enumerate(zip(who.tolist(), at.tolist(), lo.tolist(), hi.tolist(), strict=True)):
+            off = group[i][1]
+            out.append((unit.kind, cores[8 * n : 8 * n + 8], digest(views[i][w * x : w * (y + unit.length)], seed=a - x), keys[group[i][0]], a + off, x + off, y + off))
+        yield out
+
+
+def finer_marks(key: bytes, text: np.ndarray, marks: list[tuple[int, int, int]], unit: Unit, step: int) -> list[tuple]:
+    """MARK rows of the marks' windows in blocks of `step` neighbours, counted
+    from the anchor: core is what all windows of a block share (so equal
+    windows of other texts share it), span what those of this mark cover. With
+    step 1 both are the window."""
+    digest, view, w, out = xxhash.xxh3_128_digest, memoryview(text).cast("B"), text.itemsize, []
+    step = min(step, unit.length - unit.anchor + 1)
+    for at, lo, hi in marks:
+        for b in range((at - hi) // step, (at - lo) // step + 1):
+            x, y = max(lo, at - (b + 1) * step + 1), min(hi, at - b * step)
+            core = digest(view[w * (at - b * step) : w * (at - (b + 1) * step + 1 + unit.length)], seed=b)
+            span = core if step == 1 else digest(view[w * x : w * (y + unit.length)], seed=at - x)
+            out.append((unit.kind, core, span, key, at, x, y))
+    return out
 
-class Family:
-    """A logarithmic family of suffix arrays. add() sorts a batch's suffixes,
-    merge-scans them against every level and returns all (row, position) of the
-    batch or of a level that now have a match and had none; levels of equal
-    size then merge, so there are logarithmically many."""
 
-    def __init__(self) -> None:
-        self.levels: list[Level] = []
-
-    def add(self, keys: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        new = Level(keys[order], row[order], at[order], np.zeros(len(keys), bool))
-        same = new.keys[1:] == new.keys[:-1]
-        new.matched[1:] |= same
-        new.matched[:-1] |= same
-        rows, ats = [], []
-        for old in self.levels:
-            j = np.minimum(np.searchsorted(old.keys, new.keys), max(len(old) - 1, 0))
-            new.matched |= old.keys[j] == new.keys
-            j = np.minimum(np.searchsorted(new.keys, old.keys), max(len(new) - 1, 0))
-            fresh = (new.keys[j] == old.keys) & ~old.matched
-            old.matched |= fresh
-            rows.append(old.row[fresh])
-            ats.append(old.at[fresh])
-        rows.append(new.row[new.matched])
-        ats.append(new.at[new.matched])
-        self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-1]) >= len(self.levels[-2]):
-            a, b = self.levels.pop(), self.levels.pop()
-            k = np.concatenate([a.keys, b.keys])
-            o = np.argsort(k, kind="stable")
-            self.levels.append(Level(k[o], *(np.concatenate([getattr(a, f), getattr(b, f)])[o] for f in ("row", "at", "matched"))))
-        return np.concatenate(rows), np.concatenate(ats)
-
-    def keep(self, rows: np.ndarray) -> None:
-        """Forgets all suffixes but those of rows."""
-        kept = [(level, np.isin(level.row, rows)) for level in self.levels]
-        self.levels = [Level(v.keys[m], v.row[m], v.at[m], v.matched[m]) for v, m in kept if m.any()]
-
-
-def runs(row: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, begin, end) of the byte ranges that windows starting there cover."""
-    if not len(row):
-        return row, at, at
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) > length))
-    last = np.append(first[1:], len(row)) - 1
-    return row[first], at[first], at[last] + length
-
-
-def _window_keys(contexts: list[bytes], seeds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, context, position) of every window of the contexts."""
-    size = np.array([len(c) for c in contexts], np.int64)
-    many = size - length + 1
-    row = np.repeat(np.arange(len(contexts)), many)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    flat = np.frombuffer(b"".join(contexts), np.uint8)
-    place = at + np.repeat(np.cumsum(size) - size, many)
-    return mix(_prints(_sums(flat), place, length) ^ mix(seeds.astype(U))[row]), row, at
-
-
-def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) per row: each byte
-    goes that a string of `length` bytes covers which also starts elsewhere.
-
-    1. One pass finds every text's anchors (anchors()). An anchor that no other
-       place has stands for windows that repeat nowhere; the rest survive.
-    2. The survivors' surroundings are dealt by anchor, so equal windows meet.
-       Each task streams its anchors in order through a Family: batches become
-       suffix arrays that are merge-scanned against the levels; suffixes leave
-       the levels when their anchor is over.
-    3. Windows of an anchor with more than CROWD places (a passage that very
-       many texts share) are counted by fingerprint with map-side sums instead,
-       which spreads such an anchor over all tasks and keeps every window; each
-       text counts each of its different windows once, as those that it holds
-       several times are known at once.
-    4. Covered ranges are merged per text, and texts are hashed without them.
-
-    All this runs on distinct texts (by 128 bits of their SHA-256); a text of
-    `length` bytes that several rows hold goes whole. Null texts are empty;
-    null ids and repeated rows are texts like others (rows that repeat cover
-    each other); extra columns are ignored; shorter texts stay whole.
+def _who() -> F.Column:
+    """The place of a mark. Bytes: a position. Words: a text, as only passages
+    that other texts hold count."""
+    return F.when(F.col("kind") == 0, F.xxhash64("key", "at")).otherwise(F.xxhash64("key"))
+
+
+def _met(marks: DataFrame, by: str) -> DataFrame:
+    """(kind, by, a, b) of those that stand at two places, a and b the least and
+    greatest. Written, so that the joins with it
+    read two plain shuffles, of which a skewed one can be split."""
+    return put(marks.withColumn("who", _who()).groupBy("kind", by).agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b"), "met")
+
+
+def without_repeats(docs: DataFrame, length: int = 400, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words) per
+    row: each byte goes that a string of `length` bytes covers which also
+    starts elsewhere. n_shared_words counts the words that runs of `words`
+    words cover which another row has too (A-Z lower-cased, whatever the white
+    space); it removes nothing.
+
+    1. One pass finds every text's anchors (anchors()); an anchor stands for
+       neighbouring windows. Batches of the corpus go through a Family of
+       suffix arrays, which tells the anchors that stand at two places; the
+       others' windows repeat nowhere.
+    2. A mark whose whole span stands at two places is covered. The rest, at
+       the edges of repeated passages, is refined: blocks of STEPS[0] windows
+       whose common part repeats, then single windows. Whatever is refined is
+       a small row that is counted with map-side sums, so a passage that very
+       many texts share is spread over all tasks, at every size in one way.
+    3. Covered ranges are merged per text, and texts are hashed without them.
+
+    All this runs on distinct texts (by 128 bits of their SHA-256); equality of
+    spans, blocks and windows is by 128 bits of XXH3 (words by 64 each). A text
+    that several rows hold goes whole if it has `length` bytes, and all its
+    words are shared if it has `words`. Null texts are empty; null ids and
+    repeated rows are texts like others (rows that repeat cover each other);
+    extra columns are ignored; shorter texts stay whole.
     """
+    units = {0: Unit(0, length, max(1, length // 4)), 1: Unit(1, words, max(1, words // 4))}
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("sha", F.sha2("text", 256)).withColumn("key", F.unhex(F.substring("sha", 1, 32)))
-    long_rows = rows.where(F.octet_length("text") >= length).select("key", "text")
+    # `words` words have a byte each at least, and white space between them
+    able = rows.where(F.octet_length("text") >= min(length, 2 * words - 1)).select("key", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t.as_py().encode() for t in b.column(1)]
-            for group in segments(texts, length):
-                who, at, lo, hi, h = anchors([g[2] for g in group], length)
-                off = np.array([g[1] for g in group], np.int64)[who]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array([keys[group[w][0]] for w in who.tolist()], pa.binary()), pa.array(at + off), pa.array(lo + off), pa.array(hi + off)],
-                    names=["h", "key", "at", "lo", "hi"],
-                )
-
-    marks = put(long_rows.mapInArrow(find, "h long, key binary, at long, lo long, hi long"), "anchors")
-    place = F.xxhash64("key", "at")
-    repeated = marks.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("c")).where("a <> b").select("h", (F.col("c") > CROWD).alias("crowd"))
-    alive = put(
-        marks.join(repeated, "h").groupBy("key").agg(F.collect_set(F.struct("h", "lo", "hi", "crowd")).alias("marks")),
-        "survivors",
-    )
-    texts = long_rows.dropDuplicates(["key"])
-    met = texts.join(alive, "key").select("key", "text", "marks")
-
-    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, size = [], 0
-            for key, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                t = text.as_py().encode()
-                for m in marks:
-                    if not m["crowd"]:
-                        out.append((m["h"], key, m["lo"], t[m["lo"] : m["hi"] + length]))
-                        size += m["hi"] - m["lo"] + length
-                if size > 8_000_000:
-                    yield _batch(out)
-                    out, size = [], 0
-            yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["h", "key", "lo", "context"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, open_h, keys, los, next_row = Family(), None, {}, {}, 0
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            h = b.column(0).to_numpy()
-            if open_h is not None and h[0] != open_h:
-                family, keys, los = Family(), {}, {}
-            row_ids = np.arange(next_row, next_row + n)
-            next_row += n
-            keys.update(zip(row_ids.tolist(), b.column(1).to_pylist(), strict=True))
-            los.update(zip(row_ids.tolist(), b.column(2).to_pylist(), strict=True))
-            k, row, at = _window_keys(b.column(3).to_pylist(), h, length)
-            got, where = family.add(k, row + row_ids[0], at)
-            if len(got):
-                r, s, e = runs(got, where, length)
-                lo = np.array([los[i] for i in r.tolist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in r.tolist()], pa.binary()), pa.array(s + lo), pa.array(e + lo)], names=["key", "s", "e"])
-            open_h = h[-1]
-            # of this batch only the last anchor may go on, of former ones only the same
-            stay = row_ids[h == open_h]
-            if h[0] == open_h:
-                stay = np.concatenate([np.fromiter(keys, np.int64, len(keys)), stay])
-            family.keep(stay)
-            ids = set(stay.tolist())
-            keys, los = {i: v for i, v in keys.items() if i in ids}, {i: v for i, v in los.items() if i in ids}
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                some = sorted((m["lo"], m["hi"], m["h"]) for m in marks if m["crowd"])
-                lo, hi, h = (np.array(c, np.int64) for c in zip(*some, strict=True))
-                many = hi - lo + 1
-                pos = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-                k = mix(_prints(_sums(np.frombuffer(text.as_py().encode(), np.uint8)), pos, length) ^ np.repeat(mix(h.astype(U)), many))
-                w, first, at, n = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
-                own = pos[n[at] > 1]  # these repeat within the text itself
-                _, s, e = runs(np.zeros(len(own), np.int64), own, length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*w.view(np.int64).tolist(), *[None] * len(s)], pa.int64()), pa.array([key] * (len(w) + len(s)), pa.binary()), pa.array(np.concatenate([np.where(n > 1, -1, pos[first]), s])), pa.array(np.concatenate([pos[first] + length, e]))],
-                    names=["w", "key", "s", "e"],
-                )
-
-    dealt = met.where(F.exists("marks", lambda m: ~m["crowd"])).mapInArrow(surroundings, "h long, key binary, lo long, context binary")
-    ranges = dealt.repartition("h").sortWithinPartitions("h").mapInArrow(scan, "key binary, s long, e long")
-    crowded = alive.where(F.exists("marks", lambda m: m["crowd"]))
-    if crowded.limit(1).count():
-        each = put(texts.join(crowded, "key").select("key", "text", "marks").mapInArrow(windows, "w long, key binary, s long, e long"), "windows")
-        twice = each.where("w is not null").groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-        ranges = ranges.unionByName(each.where("s >= 0").join(twice, "w").select("key", "s", "e")).unionByName(each.where("w is null").select("key", "s", "e"))
-    per_text = put(ranges.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "ranges")
+            keys = b.column(0).to_pylist()
+            for at, texts in pieces(b.column(1), CHUNK):
+                for unit in units.values():
+                    for out in first_marks(keys[at : at + len(texts)], all_symbols(texts, unit.kind), unit):
+                        yield _batch(out)
+
+    def refine(step: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for key, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                    t = text.as_py().encode()
+                    for unit in units.values():
+                        own = [(m["at"], m["lo"], m["hi"]) for m in marks if m["kind"] == unit.kind]
+                        s = symbols(t, unit.kind) if own else None
+                        for at in range(0, len(own), 1000):
+                            out += finer_marks(key, s, own[at : at + 1000], unit, step)
+                            if len(out) > 50_000:
+                                yield _batch(out)
+                                out = []
+                yield _batch(out)
+
+        return run
+
+    marks = put(able.mapInArrow(find, MARK), "marks")
+    family = Family()
+    for i in range(BATCHES):
+        family.add(marks.where(F.pmod(F.xxhash64("key"), F.lit(BATCHES)) == i).select("kind", "core", _who().alias("who")))
+    heads = family.matches()
+    family.close()
+    texts = able.dropDuplicates(["key"])
+    covered = []
+    for step in (*STEPS, 0):
+        alive = put(marks.join(heads, ["kind", "core"], "left_semi"), "alive")
+        drop(marks)
+        drop(heads)
+        if not step:
+            covered.append(alive)
+            break
+        spans = _met(alive, "span")
+        told = put(alive.withColumn("who", _who()).join(spans, ["kind", "span"], "left").select("kind", "core", "key", "at", "lo", "hi", "who", "a", "b"), "told")
+        drop(alive)
+        drop(spans)
+        covered.append(told.where("a is not null"))
+        # an uncovered mark may share a part with a covered one: where a core has
+        # both, each covered span's first place (of words also its last, as a
+        # text is no partner of its own) goes on too
+        edge = told.where("a is null")
+        some = told.where("who = a or (kind = 1 and who = b)").join(put(edge.select("kind", "core").distinct(), "open"), ["kind", "core"], "left_semi")
+        rest = edge.unionByName(some).groupBy("key").agg(F.collect_set(F.struct("kind", "at", "lo", "hi")).alias("marks"))
+        marks = put(texts.join(rest, "key").select("key", "text", "marks").mapInArrow(refine(step), MARK), "marks")
+        heads = _met(marks, "core")
+
+    ends = F.struct("kind", F.col("lo").alias("s"), (F.col("hi") + F.when(F.col("kind") == 0, length).otherwise(words)).alias("e"))
+    slim = rows.select("id", "key", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
+    copied = slim.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e")).alias("r"))
+    ranges = copied
+    for c in covered:
+        ranges = ranges.unionByName(c.select("key", ends.alias("r")))
+    per_text = put(ranges.groupBy("key").agg(F.collect_set("r").alias("ranges")), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for key, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 t = text.as_py().encode()
-                spans, kept, end = merge_ranges([(r["s"], r["e"]) for r in found]), hashlib.sha256(), 0
+                spans, shared = ([(r["s"], r["e"]) for r in found if r["kind"] == k] for k in (0, 1))
+                if any(r["kind"] == 2 for r in found):
+                    n = len(symbols(t, 1))
+                    spans, shared = [(0, len(t))] * (len(t) >= length), [(0, n)] * (n >= words)
+                spans, kept, end = merge_ranges(spans), hashlib.sha256(), 0
                 for s, e in spans:
                     kept.update(t[end:s])
                     end = e
                 kept.update(t[end:])
-                out.append((key, sum(e - s for s, e in spans), len(spans), kept.hexdigest()))
-            c = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], names=["key", "n_removed", "n_spans", "kept"])
-
-    results = texts.join(per_text, "key").select("key", "text", "ranges").mapInArrow(cut, "key binary, n_removed long, n_spans long, kept string")
-    slim = rows.select("id", "key", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
-    copies = slim.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.lit(True).alias("copied"))
-    whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
-    return (
-        slim.join(results, "key", "left")
-        .join(copies, "key", "left")
-        .select(
-            F.col("id").alias(id_col),
-            "n_bytes",
-            F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-            F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        )
+                out.append((key, sum(e - s for s, e in spans), len(spans), kept.hexdigest(), sum(e - s for s, e in merge_ranges(shared))))
+            c = list(zip(*out, strict=True)) or [()] * 5
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["key", "n_removed", "n_spans", "kept", "n_shared_words"])
+
+    whole = rows.select("key", "text").dropDuplicates(["key"])
+    results = put(whole.join(per_text, "key").select("key", "text", "ranges").mapInArrow(cut, "key binary, n_removed long, n_spans long, kept string, n_shared_words long"), "cut")
+    return slim.join(results, "key", "left").select(
+        F.col("id").alias(id_col),
+        "n_bytes",
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept", "sha").alias("kept_sha256"),
+        F.coalesce("n_shared_words", F.lit(0)).cast("long").alias("n_shared_words"),
     )
 
 
