@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.shelf import components, put, table
+from pagemill.llm.shelf import components, drop, put, table
 from pagemill.llm.shingles import U, mix, shingle_sets
 
 #: 40 bands of 6 bins: a pair at similarity 0.85 shares no band with
@@ -225,11 +225,16 @@ def near_duplicates(
     extra = put(cross_links(stars, comp, nodes.select("node", "n"), first_id, width, percent), "cross")
     if extra.limit(1).count():
         comp = put(components(tested.where("linked").select("a", "b").unionByName(extra)), "components")
-    class_of = (
+    # written, so that the join below reads two plain shuffles: that of the rows
+    # can then be split where one set has very many copies
+    class_of = put(
         nodes.select("digest", "node")
         .join(comp, "node", "left")
-        .select("digest", F.coalesce("component", "node").alias("component"))
+        .select("digest", F.coalesce("component", "node").alias("component")),
+        "classes",
     )
+    for t in (keyed, shared, tested, extra):
+        drop(t)
     return (
         sk.select("id", "n_shingles", "digest")
         .join(class_of, "digest", "left")

@@ -112,11 +112,13 @@ def mix(
     repeated rows follow each other, other columns pass unchanged (a column
     named mix_... is replaced), an empty table stays empty.
     """
+    kept = [c for c in docs.columns if not c.startswith("mix_")]
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     key = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
     n = F.greatest(F.char_length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1)).cast("long")
-    plain = docs.select(*[c for c in docs.columns if not c.startswith("mix_")])
-    rows = plain.withColumn("mix_source", src).withColumn("mix_key", key).withColumn("mix_cell", F.substring(key, 1, 3)).withColumn("mix_n", n)
+    # the given columns travel as numbered ones, so no helper's name meets theirs
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"mix_own_{i}") for i, c in enumerate(kept)], src.alias("mix_source"), key.alias("mix_key"), F.substring(key, 1, 3).alias("mix_cell"), n.alias("mix_n"))
+    own_id = f"mix_own_{kept.index(id_col)}"
 
     cells = put(rows.groupBy("mix_source", "mix_cell").agg(F.sum("mix_n").alias("size")), "cells")
     totals = cells.groupBy("mix_source").agg(F.sum("size").alias("size"))
@@ -133,7 +135,7 @@ def mix(
     begins = by_cell.withColumn("begin", F.coalesce(F.sum("size").over(run), F.lit(0))).select("grp", "mix_cell", "begin")
     sizes = by_cell.groupBy("grp").agg(F.sum("size").alias("size"))
 
-    within = Window.partitionBy("grp", "mix_cell").orderBy("mix_key", F.col(id_col), "mix_source", "mix_n").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("grp", "mix_cell").orderBy("mix_key", own_id, "mix_source", "mix_n").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         grouped(rows)
         .withColumn("mix_before", F.coalesce(F.sum("mix_n").over(within), F.lit(0)))
@@ -153,7 +155,7 @@ def mix(
         )
     else:
         placed = placed.join(whole_schedule(weigh(sizes, weights, temper), block_chars), ["grp", "mix_block"])
-    return placed.select(*plain.columns, F.col("grp").alias("mix_source"), "mix_block", "mix_release", "mix_deadline", "mix_slot", F.expr(f"mix_begin % {block_chars}").alias("mix_offset"))
+    return placed.select(*[F.col(f"mix_own_{i}").alias(c) for i, c in enumerate(kept)], F.col("grp").alias("mix_source"), "mix_block", "mix_release", "mix_deadline", "mix_slot", F.expr(f"mix_begin % {block_chars}").alias("mix_offset"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,8 +164,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs, whole, in the order of the mixture."""
-    return mix(docs).sort("mix_slot", "mix_offset").select(*docs.columns)
+    """docs, whole and as they are, in the order of the mixture: null sources
+    are one source, repeated rows follow each other, whatever other columns
+    are named; an empty table stays empty."""
+    numbered = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")])
+    mixed = mix(numbered).sort("mix_slot", "mix_offset")
+    return mixed.select(*[F.col(c if c in ("doc_id", "source", "text") else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 QUERIES = {"op2_mixing": op2_mixing}

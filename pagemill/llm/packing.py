@@ -238,7 +238,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of docs in the order of the mixture, which is taken anew
-    from the documents: files are dealt to partitions in no order of theirs."""
+    from the documents: files are dealt to partitions in no order of theirs.
+    Null texts are the end id alone, null ids stay null, repeated rows are
+    packed each, other columns are left out whatever they are named."""
     return pack(in_mixed_order(spark, docs, sf_dir), added=True)
 
 

@@ -264,7 +264,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with personal data masked and n_chars as it then is."""
+    """docs with personal data masked and n_chars as it then is. Null texts
+    stay null, null ids and repeated rows are masked like others, other columns
+    pass unchanged whatever they are named; an empty table stays empty."""
     out = mask(docs, bootstrap(edges(docs, "text")))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 

@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir of the
-    cluster; a temporary one only where that is unset (local tests)."""
+    cluster; a temporary one only where that is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagemill-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

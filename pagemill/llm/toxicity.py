@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from pagemill.llm.shelf import table
 
@@ -179,17 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return learn([t if isinstance(t, str) else "" for t in rows["text"]], rows["y"].astype(int).tolist())
 
 
-def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id_col, score (0 to 1), predicted (1 if score >= 0.5), n_hits and the
-    columns named in keep, one row per row of docs.
-
-    score is the logistic of the found weight and of the length, both in logs:
-    the same hits count less in a longer text. Null texts count as empty; null
-    ids, repeated rows and extra columns pass as they are.
-    """
-    keep = keep or []
-    fields = [f for f in docs.select(*keep).schema.fields]
-    schema = "id long, score double, predicted int, n_hits long"
+def _scored(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """id, score, predicted, n_hits, and the columns of keep as k0, k1, ..."""
     bias, slope, length = lexicon.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +196,20 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             columns = [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [b.column(2 + i) for i in range(len(keep))], names=["id", "score", "predicted", "n_hits", *[f"k{i}" for i in range(len(keep))]])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    for i, f in enumerate(fields):
-        schema += f", k{i} {f.dataType.simpleString()}"
-    out = picked.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), "score", "predicted", "n_hits", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    schema = StructType([StructField("id", LongType()), StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("n_hits", LongType()), *picked.schema.fields[2:]])
+    return picked.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, score (0 to 1), predicted (1 if score >= 0.5) and n_hits, one
+    row per row of docs.
+
+    score is the logistic of the found weight and of the length, both in logs:
+    the same hits count less in a longer text. Null texts count as empty; null
+    ids and repeated rows pass; extra columns are left out.
+    """
+    return _scored(docs, lexicon, id_col, text_col, []).withColumnRenamed("id", id_col)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,10 +219,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the lexicon doesn't reject, their columns as given."""
+    """The documents that the lexicon doesn't reject, their columns as given,
+    whatever they are named. Null and empty texts stay; rows of null id, and
+    rows that share an id or all else, are each judged by their own text; an
+    empty table stays empty."""
     lexicon = fit(docs, table(spark, sf_dir, "labels"))
-    others = [c for c in docs.columns if c != "doc_id"]
-    return score(docs, lexicon, keep=others).where("predicted = 0").select(*docs.columns)
+    kept = _scored(docs, lexicon, "doc_id", "text", docs.columns).where("predicted = 0")
+    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 QUERIES = {"op5_toxicity": op5_toxicity}

@@ -62,3 +62,23 @@ def test_sequences_follow_the_mixture_over_many_files(spark, tmp_path):
     parts = [by_part[p] for p in sorted(by_part)]
     assert len(parts) > 1
     assert all(max(a) < min(b) for a, b in zip(parts, parts[1:], strict=False))
+
+
+CLASHING = ["grp", "cycle", "at", "begin", "size", "w", "id", "key", "score", "predicted", "n_hits", "k0", "c3", "node", "component", "digest", "component_id", "kept", "mix_slot", "mix_offset", "mix_source", "mix_key", "mix_own_0", "base", "spans", "left", "sequence_id"]
+
+
+def test_clashing_columns_nulls_and_empty_tables_in_every_stage(spark):
+    rows = [(i, f"some words of text number {i} and {i * 7919 % 1000} more of them here", None if i % 5 == 0 else f"s{i % 3}") for i in range(40)]
+    rows += [(100, None, "s1"), (101, "", "s1"), (None, "a text without an id", "s2"), (None, "a text without an id", "s2"), (102, "the same row", None), (102, "the same row", None), (103, "long " * 60_000, "s0")]
+    docs = spark.createDataFrame([(*r, "en", 5, *[f"{c}{n}" for c in CLASHING]) for n, r in enumerate(rows)], "doc_id long, text string, source string, lang string, n_chars int, " + ", ".join(f"{c} string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = {tuple(r[c] for c in CLASHING): (r.doc_id, r.text, r.source) for r in out.collect()}
+        want = {tuple(f"{c}{n}" for c in CLASHING): r for n, r in enumerate(rows)}
+        assert got.items() <= want.items(), name
+        assert len(got) == len(rows), name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(1 for r in packed if r.start == 0) == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
