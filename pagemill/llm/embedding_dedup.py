@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pagemill.llm.shelf import components, put, table
 from pagemill.llm.topk import _pack, _unpack, valid
 
-TILE_ROWS, STRIP_ROWS = 4096, 256
+#: Tiles that vectors are dealt into until a tile would pass so many rows or
+#: bytes; rows of a tile multiplied at once.
+TILES, TILE_ROWS, TILE_BYTES, STRIP_ROWS = 8, 65_536, 16_000_000, 256
 
 
 def quantise(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -81,10 +83,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     have cosine >= least, the smallest id that links reach, whether it is it.
 
     Equal vectors are one node that weighs as many as they are, so a group of
-    copies never meets itself. Nodes are dealt by hash into tiles of about
-    TILE_ROWS; each pair of tiles is one task, which decides almost all pairs
-    from int8 products and their bounds, the rest in double precision, and
-    returns counts and a least reachable id a row, never pairs.
+    copies never meets itself. Nodes are dealt by hash into TILES tiles, more
+    only where one would pass TILE_ROWS or TILE_BYTES, as each vector is sent once a tile;
+    each pair of tiles is one task, which quantises them, decides almost all
+    pairs from int8 products and their bounds, the rest in double precision,
+    and returns counts and a least reachable id a row, never pairs.
 
     Null, empty and zero vectors and those with null or non-finite components
     link with nothing (component their own id). Vectors of different length
@@ -96,11 +99,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     able = rows.where(valid("x") & F.col("id").isNotNull()).where(F.exists("x", lambda v: v != 0))
     nodes = put(able.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("w")), "nodes")
     sized = nodes.withColumn("dim", F.size("x"))
-    parts = sized.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / TILE_ROWS)).cast("int").alias("parts"))
+    parts = sized.groupBy("dim").agg(F.greatest(F.least(F.lit(TILES), F.count("*")), F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.count("*") * F.col("dim") * 4 / TILE_BYTES)).cast("int").alias("parts"))
 
     def tile(f: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(f["x"].to_numpy())
-        blob = _pack(ids=f["id"].to_numpy(np.int64), w=f["w"].to_numpy(np.int64), x=x, **quantise(x))
+        blob = _pack(ids=f["id"].to_numpy(np.int64), w=f["w"].to_numpy(np.int64), x=x)
         return pd.DataFrame({"dim": [f["dim"].iloc[0]], "parts": [f["parts"].iloc[0]], "part": [f["part"].iloc[0]], "blob": [blob]})
 
     dealt = sized.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -111,7 +114,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t in f.itertuples():
-                yield link_tiles(_unpack(t.a), _unpack(t.b), t.i == t.j, least)
+                a, b = _unpack(t.a), _unpack(t.b)
+                yield link_tiles(a | quantise(a["x"]), b | quantise(b["x"]), t.i == t.j, least)
 
     pairs = first.join(second, ["dim", "i", "j"]).repartition("dim", "i", "j")
     links = put(pairs.mapInPandas(run, "id long, n long, root long"), "links")
