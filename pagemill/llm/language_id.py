@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shelf import table
+from pagemill.llm.shelf import drop, put, table
 
 LONGEST = 5
 #: n-grams of a word that are summed at once.
@@ -38,30 +38,43 @@ class Model:
     gram: list[dict[str, list[float]]]
 
 
-def _logs(counts: list[Counter], least: int, most: int) -> dict[str, list[float]]:
-    total = Counter()
-    for c in counts:
-        total.update(c)
-    kept = sorted((k for k, v in total.items() if v >= least), key=lambda k: (-total[k], k))[:most]
-    sums = [sum(c.values()) + 0.5 * len(kept) + 1 for c in counts]
-    return {k: [math.log((c[k] + 0.5) / s) for c, s in zip(counts, sums, strict=True)] for k in kept}
+#: Times that a word (0) or n-gram (1 to LONGEST) must occur to be known.
+LEAST = [3] + [2] * LONGEST
 
 
-def learn(texts: list[str], langs: list[str], most_words: int = 60_000, most_grams: int = 20_000) -> Model:
-    names = sorted(set(langs))
-    at = {v: i for i, v in enumerate(names)}
-    word = [Counter() for _ in names]
+def count(texts: list[str], langs: list[str]) -> Counter:
+    """Counts of (language, 0, word) and (language, n, n-gram)."""
+    word: Counter = Counter()
     for t, v in zip(texts, langs, strict=True):
-        word[at[v]].update(words(t))
-    gram = []
-    for n in range(1, LONGEST + 1):
-        by = [Counter() for _ in names]
-        for c, out in zip(word, by, strict=True):
-            for w, k in c.items():
-                for g in grams(w, n):
-                    out[g] += k
-        gram.append(_logs(by, 2, most_grams))
-    return Model(names, _logs(word, 3, most_words), gram)
+        for w in words(t):
+            word[v, 0, w] += 1
+    out = Counter(word)
+    for (v, _, w), k in word.items():
+        for n in range(1, LONGEST + 1):
+            for g in grams(w, n):
+                out[v, n, g] += k
+    return out
+
+
+def model_of(names: list[str], totals: dict[tuple[str, int], int], kept: list[dict[str, dict[str, int]]]) -> Model:
+    """totals: counts by (language, n), of rare ones too; kept: by n, those of
+    the words or n-grams that are known, by language."""
+    tables = []
+    for n, table in enumerate(kept):
+        sums = [totals.get((v, n), 0) + 0.5 * len(table) + 1 for v in names]
+        tables.append({k: [math.log((c.get(v, 0) + 0.5) / s) for v, s in zip(names, sums, strict=True)] for k, c in table.items()})
+    return Model(names, tables[0], tables[1:])
+
+
+def learn(texts: list[str], langs: list[str]) -> Model:
+    """The model of texts held in memory; fit() counts in Spark."""
+    totals: Counter = Counter()
+    by: list[dict[str, dict[str, int]]] = [{} for _ in LEAST]
+    for (v, n, g), k in count(texts, langs).items():
+        totals[v, n] += k
+        by[n].setdefault(g, {})[v] = k
+    kept = [{g: c for g, c in t.items() if sum(c.values()) >= least} for t, least in zip(by, LEAST, strict=True)]
+    return model_of(sorted(set(langs)), totals, kept)
 
 
 class Scorer:
@@ -115,15 +128,41 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500) -> Model:
-    """A model of at most per_lang documents of each language, those of least
-    id hash outside the held-out quarter. The sample is bounded a language: its
-    ids are broadcast, the driver counts its texts."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
+    """(id, text, v) of at most per_lang documents of each language, those of
+    least id hash outside the held-out quarter. Rows that share id and language
+    are one document, that of least text. A share of each language's hashes
+    that surely holds them is ranked, so no task sorts a whole language."""
     train = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("v")).where("id is not null and text is not null and v is not null").where(~held_out("id"))
-    pick = Window.partitionBy("v").orderBy(F.xxhash64("id"), "id")
-    sample = train.select("id", "v").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= per_lang).select("id")
-    rows = train.join(F.broadcast(sample), "id", "left_semi").select("id", "text", "v").toPandas().drop_duplicates("id").sort_values("id")
-    return learn(rows["text"].tolist(), rows["v"].tolist())
+    sizes = train.groupBy("v").agg(F.count("*").alias("size"))  # a row a language, as the model has
+    low = train.select("id", "v").join(F.broadcast(sizes), "v").where(F.xxhash64("id") / 2.0**64 + 0.5 < 4.0 * per_lang / F.col("size")).select("id", "v")
+    ranked = low.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("id"), "id")))
+    ids = ranked.where(F.col("n") <= per_lang).select("id", "v")
+    return train.join(F.broadcast(ids), ["id", "v"], "left_semi").groupBy("id", "v").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500) -> Model:
+    """A model of sample(). Its texts are counted in Spark; the driver reads
+    the counts of what is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(count(b.column(0).to_pylist(), b.column(1).to_pylist()).items())
+            for at in range(0, len(rows), 100_000):
+                part = rows[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in part], t) for i, t in ((0, pa.string()), (1, pa.int32()), (2, pa.string()))] + [pa.array([c for _, c in part], pa.int64())], names=["v", "n", "g", "c"])
+
+    picked = put(sample(docs, id_col, text_col, lang_col, per_lang), "sample")
+    counts = put(picked.select("text", "v").mapInArrow(run, "v string, n int, g string, c long").groupBy("v", "n", "g").agg(F.sum("c").alias("c")), "counts")
+    names = sorted(r.v for r in picked.select("v").distinct().collect())
+    totals = {(r.v, r.n): r.c for r in counts.groupBy("v", "n").agg(F.sum("c").alias("c")).collect()}
+    known = counts.groupBy("n", "g").agg(F.sum("c").alias("t"), F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("by")).where(F.col("t") >= F.array(*[F.lit(x) for x in LEAST])[F.col("n")])
+    kept: list[dict[str, dict[str, int]]] = [{} for _ in LEAST]
+    for r in known.select("n", "g", "by").collect():
+        kept[r.n][r.g] = r.by
+    drop(picked)
+    drop(counts)
+    return model_of(names, totals, kept)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

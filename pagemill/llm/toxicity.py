@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from pagemill.llm.shelf import table
+from pagemill.llm.shelf import drop, put, table
 
 # Letters that look like Latin ones, and digits or signs that
 # stand for letters.
@@ -93,27 +94,40 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def learn(texts: list[str], toxic: list[int], min_docs: int = 4, min_gain: float = 25.0, most_terms: int = 5000) -> Lexicon:
-    """A lexicon from labelled texts. Terms are words and word beginnings of 4
-    to 8 letters whose document frequencies differ by a G statistic of at least
+def terms_of(folded: str) -> set[str]:
+    """Words, and word beginnings of 4 to 8 letters."""
+    out = set()
+    for w in set(folded.split()):
+        out.add(f" {w} ")
+        out.update(f" {w[:k]}" for k in range(4, min(8, len(w)) + 1))
+    return out
+
+
+def contexts_of(folded: str, auto: ahocorasick.Automaton | None) -> set[tuple[str, str]]:
+    """Each term found, with the words before and after it."""
+    return {(folded[s:e], " ".join((folded[max(0, s - 60) : s].rpartition(" ")[2], folded[s + 1 : s + 60].partition(" ")[0]))) for s, e, _ in hits(folded, auto)}
+
+
+def phrases_of(folded: str, auto: ahocorasick.Automaton | None) -> set[str]:
+    """Phrases of two words that begin or end with a term's word."""
+    out = set()
+    for s, _, _ in hits(folded, auto):
+        rest, before = folded[s : s + 200].split(), folded[max(0, s - 100) : s].split()
+        if len(rest) > 1:
+            out.add(f" {rest[0]} {rest[1]} ")
+        if before and rest:
+            out.add(f" {before[-1]} {rest[0]} ")
+    return out
+
+
+def weigh(df: dict[str, tuple[int, int]], n: tuple[int, int], min_docs: int = 4, min_gain: float = 25.0) -> dict[str, float]:
+    """Weights of terms, given their document frequencies (clean, toxic) and
+    the numbers of documents: those that differ by a G statistic of at least
     min_gain in favour of toxic ones; a longer term that says no more than its
-    beginning goes, and so does one that few different pairs of words show for
-    its frequency (copies of a text repeat it, not its use). Phrases of two words around a term that occur in clean
-    texts alone become exceptions. A ridge logistic fit joins hits and length."""
-    folded = [fold(t) for t in texts]
-    n = [sum(1 for y in toxic if y == v) for v in (0, 1)]
-    if not all(n):
-        return Lexicon()
-    df = (Counter(), Counter())
-    for t, y in zip(folded, toxic, strict=True):
-        terms = set()
-        for w in set(t.split()):
-            terms.add(f" {w} ")
-            terms.update(f" {w[:k]}" for k in range(4, min(8, len(w)) + 1))
-        df[y].update(terms)
+    beginning goes."""
     weights: dict[str, float] = {}
-    for term in sorted((t for t, c in df[1].items() if c >= min_docs), key=lambda t: (len(t.strip()), len(t))):
-        c, t = df[0][term], df[1][term]
+    for term in sorted((t for t, c in df.items() if c[1] >= min_docs), key=lambda t: (len(t.strip()), len(t), t)):
+        c, t = df[term]
         if t * n[0] < 8 * c * n[1]:
             continue
         gain = 0.0
@@ -127,30 +141,11 @@ def learn(texts: list[str], toxic: list[int], min_docs: int = 4, min_gain: float
         if any(weights.get(term[: k + 1], 0) >= w - 0.7 for k in range(4, len(term.strip()) + 1)):
             continue
         weights[term] = w
-    weights = dict(sorted(weights.items(), key=lambda x: -x[1])[:most_terms])
-    auto = Lexicon(weights).automaton()
-    contexts: dict[str, set[str]] = {}
-    for t, y in zip(folded, toxic, strict=True):
-        if y:
-            for s, e, _ in hits(t, auto):
-                contexts.setdefault(t[s:e], set()).add(" ".join((t[max(0, s - 60) : s].rpartition(" ")[2], t[s + 1 : s + 60].partition(" ")[0])))
-    weights = {t: w for t, w in weights.items() if len(contexts.get(t, ())) >= max(min_docs, min(30, df[1][t] / 4))}
-    out = Lexicon(weights)
-    auto = out.automaton()
-    pairs = (Counter(), Counter())
-    for t, y in zip(folded, toxic, strict=True):
-        near = set()
-        for s, _, _ in hits(t, auto):
-            rest, before = t[s : s + 200].split(), t[max(0, s - 100) : s].split()
-            if len(rest) > 1:
-                near.add(f" {rest[0]} {rest[1]} ")
-            if before and rest:
-                near.add(f" {before[-1]} {rest[0]} ")
-        pairs[y].update(near)
-    out.exceptions = [p for p, c in pairs[0].items() if c >= 3 and not pairs[1][p]]
-    auto = out.automaton()
-    x = np.array([(1.0, *features(t, auto)) for t in folded])
-    y = np.array(toxic, float)
+    return weights
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """A ridge fit by Newton's steps."""
     b = np.array([-2.0, 1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
@@ -158,26 +153,85 @@ def learn(texts: list[str], toxic: list[int], min_docs: int = 4, min_gain: float
         b = b + step
         if np.abs(step).max() < 1e-8:
             break
-    out.model = tuple(b.tolist())
+    return tuple(b.tolist())
+
+
+def learn_counts(n: tuple[int, int], count, min_docs: int = 4) -> Lexicon:
+    """A lexicon from n (clean, toxic) labelled texts. count(of, least, clean)
+    gives {item: (clean, toxic) texts} of the items that `of` finds in folded
+    texts, `least` toxic ones at least, clean texts left out if not asked. A term goes that few different pairs
+    of neighbours show for its frequency (copies of a text repeat it, not its
+    use). Phrases of two words around a term that occur in clean texts alone
+    become exceptions. A logistic fit joins hits and length."""
+    if not all(n):
+        return Lexicon()
+    df = count(terms_of, least=min_docs)
+    weights = weigh(df, n, min_docs)
+    auto = Lexicon(weights).automaton()
+    seen = Counter(term for term, _ in count(lambda t: contexts_of(t, auto), clean=False))
+    out = Lexicon({t: w for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])) if seen[t] >= max(min_docs, min(30, df[t][1] / 4))})
+    auto = out.automaton()
+    out.exceptions = sorted(p for p, (c, t) in count(lambda t: phrases_of(t, auto)).items() if c >= 3 and not t)
+    auto = out.automaton()
+    points = count(lambda t: [features(t, auto)])
+    rows = sorted((f, y, k) for f, by in points.items() for y, k in enumerate(by) if k)
+    x = np.array([(1.0, *f) for f, _, k in rows for _ in range(k)])
+    out.model = logistic(x, np.array([y for _, y, k in rows for _ in range(k)], float))
     return out
 
 
+def learn(texts: list[str], toxic: list[int]) -> Lexicon:
+    """The lexicon of texts held in memory; fit() counts in Spark."""
+    folded = [fold(t) for t in texts]
+
+    def count(of, least: int = 0, clean: bool = True) -> dict:
+        out: dict = {}
+        for t, y in zip(folded, toxic, strict=True):
+            if y or clean:
+                for item in of(t):
+                    c = out.get(item, (0, 0))
+                    out[item] = (c[0] + (not y), c[1] + bool(y))
+        return {k: c for k, c in out.items() if c[1] >= least}
+
+    return learn_counts((sum(not y for y in toxic), sum(map(bool, toxic))), count)
+
+
 def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000) -> Lexicon:
     """The lexicon of at most per_class labelled documents of each class, those
-    of least id hash, outside the held-out fifth. The sample's size is bounded,
-    so its ids are broadcast and its texts read by the driver."""
+    of least id hash, outside the held-out fifth. Rows that share an id are one
+    document, that of least text; an id labelled both ways is toxic. The
+    sample's size is bounded, so its ids are broadcast; its texts are counted
+    in Spark and the driver reads counts."""
     known = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("y")).where(~held_out("id"))
-    sample = None
+    picked = None
     for v in (0, 1):
         part = known.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(per_class)
-        sample = part if sample is None else sample.unionAll(part)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "y", "id").toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
-    return learn([t if isinstance(t, str) else "" for t in rows["text"]], rows["y"].astype(int).tolist())
+        picked = part if picked is None else picked.unionAll(part)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    rows = put(texts.groupBy("id").agg(F.min("text").alias("text"), F.max("y").cast("int").alias("y")).select("text", "y"), "labelled")
+
+    def count(of, least: int = 0, clean: bool = True) -> dict:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                seen = (Counter(), Counter())
+                for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    seen[y].update(map(repr, of(fold(t.as_py()))))
+                items = sorted(seen[0].keys() | seen[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), *[pa.array([seen[y][i] for i in items], pa.int64()) for y in (0, 1)]], names=["item", "clean", "toxic"])
+
+        asked = rows if clean else rows.where("y = 1")
+        found = asked.mapInArrow(run, "item string, clean long, toxic long").groupBy("item").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        found = found.where(F.col("toxic") >= least)
+        return {ast.literal_eval(r.item): (r.clean, r.toxic) for r in found.collect()}
+
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    out = learn_counts((n.get(0, 0), n.get(1, 0)), count)
+    drop(rows)
+    return out
 
 
 def _scored(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, keep: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
+from math import log1p
 from zlib import crc32
 
-from pagemill.llm.toxicity import Lexicon, features, fold, hits, learn, op5_toxicity, score
+from pagemill.llm.toxicity import Lexicon, _sigmoid, features, fit, fold, hits, learn, op5_toxicity, score
 
 SF = "/root/testdata/sf0.1"
 
@@ -41,3 +42,47 @@ def test_odd_rows(spark):
     assert score(df, Lexicon()).where("score <> 0").count() == 0
     assert learn([], []).weights == {}
     assert score(df.limit(0), lex).count() == 0
+
+
+def test_against_brute_force(spark):
+    small = SF.replace("0.1", "0.01")
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.toxic in (0, 1)}
+    train = sorted(i for i in label if i in docs and crc32(str(i).encode()) % 5)
+    lex = learn([docs[i] for i in train], [label[i] for i in train])
+    own = fit(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))
+    assert (own.weights, own.exceptions) == (lex.weights, lex.exceptions) and lex.weights
+    assert max(abs(a - b) for a, b in zip(own.model, lex.model, strict=True)) < 1e-9
+    for r in op5_toxicity(spark, small).collect():
+        found = naive_hits(fold(docs[r.doc_id]), lex)
+        assert r.n_hits == len(found)
+        words = len(fold(docs[r.doc_id]).split())
+        want = _sigmoid(lex.model[0] + lex.model[1] * log1p(sum(found.values())) + lex.model[2] * log1p(words))
+        assert abs(r.score - want) < 1e-9
+
+
+def naive_hits(folded, lex):
+    """The heaviest term at each place, by looking each one up everywhere."""
+    at = {}
+    for term, w in lex.weights.items():
+        i = folded.find(term)
+        while i >= 0:
+            if w > at.get(i, (0.0, 0))[0]:
+                at[i] = (w, i + len(term))
+            i = folded.find(term, i + 1)
+    spared = []
+    for p in lex.exceptions:
+        i = folded.find(p)
+        while i >= 0:
+            spared.append((i, i + len(p)))
+            i = folded.find(p, i + 1)
+    return {i: w for i, (w, e) in at.items() if not any(a <= i and e <= b for a, b in spared)}
+
+
+def test_rows_that_share_an_id_and_both_labels(spark):
+    rows = [(i, f"plain words here number {i}") for i in range(40)] + [(100 + i, f"plain vequ{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} words") for i in range(40)] + [(0, None), (None, "x"), (100, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows if i is not None] + [(100, 0), (None, 1)], "doc_id long, toxic int")
+    a, b = fit(docs, labels), fit(docs.repartition(7), labels)
+    assert a == b and " vequ" in a.weights
+    assert fit(docs.limit(0), labels).weights == {}
