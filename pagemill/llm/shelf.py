@@ -25,12 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def put(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage
-    ends there and a lost executor costs nothing that was already written."""
+def put(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder, in a folder for each value of
+    `by`, and reads it again: lineage ends there and a lost executor costs
+    nothing that was already written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shelf_path = path
     return out

@@ -18,9 +18,9 @@ from pagemill.llm.minhash_dedup import pieces
 from pagemill.llm.shelf import drop, put, table
 from pagemill.llm.shingles import BASE, BASE_INV, SPACE, U, mix, powers, word_prints
 
-#: Bytes (or symbols) handled at once; batches of a corpus; windows of a block
-#: at each refinement.
-CHUNK, BATCHES, STEPS = 1_000_000, 4, (20, 1)
+#: Bytes (or symbols) handled at once, few enough for a processor's cache;
+#: batches of a corpus; windows of a block at each refinement.
+CHUNK, BATCHES, STEPS = 131_072, 4, (20, 1)
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ class Family:
     that stand at two places, and then merges levels of as many batches: there
     are logarithmically many, and each suffix is rewritten as many times."""
 
-    KEY = ["kind", "core"]
+    KEY = ["core", "more"]
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
@@ -140,7 +140,7 @@ class Family:
         return put(rows.groupBy(*self.KEY).agg(F.min("a").alias("a"), F.max("b").alias("b")).sortWithinPartitions(*self.KEY), "level")
 
     def add(self, suffixes: DataFrame) -> None:
-        """suffixes: (kind, core, who)."""
+        """suffixes: (core, more, who), core and more being the head."""
         new = self._array(suffixes.select(*self.KEY, F.col("who").alias("a"), F.col("who").alias("b")))
         met = new.where("a <> b").select(*self.KEY)
         for _, level in self.levels:
@@ -167,56 +167,67 @@ class Family:
         self.levels, self.found = [], []
 
 
-MARK = "kind int, core binary, span binary, key binary, at long, lo long, hi long"
-_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+#: A mark: some neighbouring windows of a text, those that start `back` to
+#: `back` - `fwd` symbols before the anchor at `at`. core and more: 128 bits of
+#: what they share (of an anchor 64); span and end: of all that they cover; k1
+#: and k2: of the text.
+MARK = "kind int, core long, more long, span long, end long, k1 long, k2 long, at long, back int, fwd int"
+_TYPES = [t.split()[1] for t in MARK.split(", ")]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(_TYPES)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=[c.split()[0] for c in MARK.split(", ")])
+def _batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    arrays = [np.full(len(columns[0]), kind), *columns]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.int64()) for c, t in zip(arrays, _TYPES, strict=True)], names=[c.split()[0] for c in MARK.split(", ")])
 
 
-def first_marks(keys: list[bytes], texts: list[np.ndarray], unit: Unit) -> Iterator[list[tuple]]:
-    """MARK rows of the texts' anchors: core is the anchor's fingerprint, span
-    128 bits of all that the anchor's windows cover."""
+def _digests(view: memoryview, begin: np.ndarray, end: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of view[begin:end], as two numbers, for each."""
     digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(view[i:j], s) for i, j, s in zip(begin.tolist(), end.tolist(), seed.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def first_marks(k1: np.ndarray, k2: np.ndarray, texts: list[np.ndarray], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """Marks of the texts' anchors."""
     for group in segments(texts, unit.length):
+        which, off = (np.array([g[i] for g in group], np.int64) for i in (0, 1))
         who, at, lo, hi, h = anchors([g[2] for g in group], unit.length, unit.anchor)
-        cores, views, out = h.tobytes(), [memoryview(g[2]).cast("B") if len(g[2]) else b"" for g in group], []
-        w = texts[0].itemsize
-        for n, (i, a, x, y) in enumerate(zip(who.tolist(), at.tolist(), lo.tolist(), hi.tolist(), strict=True)):
-            off = group[i][1]
-            out.append((unit.kind, cores[8 * n : 8 * n + 8], digest(views[i][w * x : w * (y + unit.length)], seed=a - x), keys[group[i][0]], a + off, x + off, y + off))
-        yield out
-
-
-def finer_marks(key: bytes, text: np.ndarray, marks: list[tuple[int, int, int]], unit: Unit, step: int) -> list[tuple]:
-    """MARK rows of the marks' windows in blocks of `step` neighbours, counted
-    from the anchor: core is what all windows of a block share (so equal
-    windows of other texts share it), span what those of this mark cover. With
-    step 1 both are the window."""
-    digest, view, w, out = xxhash.xxh3_128_digest, memoryview(text).cast("B"), text.itemsize, []
+        if not len(who):
+            continue
+        flat, size = np.concatenate([g[2] for g in group]), np.array([len(g[2]) for g in group], np.int64)
+        start, w = (np.cumsum(size) - size)[who], flat.itemsize
+        spans = _digests(memoryview(flat).cast("B"), w * (start + lo), w * (start + hi + unit.length), 2 * (at - lo) + unit.kind)
+        yield _batch(unit.kind, h.view(np.int64) ^ np.int64(unit.kind), np.zeros(len(h), np.int64), *spans, k1[which[who]], k2[which[who]], at + off[who], at - lo, hi - lo)
+
+
+def finer_marks(k1: int, k2: int, text: np.ndarray, at: np.ndarray, back: np.ndarray, fwd: np.ndarray, unit: Unit, step: int) -> pa.RecordBatch:
+    """The marks' windows in blocks of `step` neighbours, counted from the
+    anchor: core is what all windows of a block share (so equal windows of
+    other texts share it), span what those of this mark cover. With step 1
+    both are the window."""
+    view, w = memoryview(text).cast("B"), text.itemsize
     step = min(step, unit.length - unit.anchor + 1)
-    for at, lo, hi in marks:
-        for b in range((at - hi) // step, (at - lo) // step + 1):
-            x, y = max(lo, at - (b + 1) * step + 1), min(hi, at - b * step)
-            core = digest(view[w * (at - b * step) : w * (at - (b + 1) * step + 1 + unit.length)], seed=b)
-            span = core if step == 1 else digest(view[w * x : w * (y + unit.length)], seed=at - x)
-            out.append((unit.kind, core, span, key, at, x, y))
-    return out
+    least = (back - fwd) // step
+    many = back // step - least + 1
+    row = np.repeat(np.arange(len(at)), many)
+    b = np.arange(len(row)) - np.repeat(np.cumsum(many) - many - least, many)
+    at, far, near = at[row], np.minimum(back[row], (b + 1) * step - 1), np.maximum((back - fwd)[row], b * step)
+    core = _digests(view, w * (at - b * step), w * (at - (b + 1) * step + 1 + unit.length), 2 * b + unit.kind)
+    span = core if step == 1 else _digests(view, w * (at - far), w * (at - near + unit.length), 2 * far + unit.kind)
+    return _batch(unit.kind, *core, *span, np.full(len(row), k1), np.full(len(row), k2), at, far, far - near)
 
 
 def _who() -> F.Column:
     """The place of a mark. Bytes: a position. Words: a text, as only passages
     that other texts hold count."""
-    return F.when(F.col("kind") == 0, F.xxhash64("key", "at")).otherwise(F.xxhash64("key"))
+    return F.when(F.col("kind") == 0, F.xxhash64("k1", "k2", "at")).otherwise(F.xxhash64("k1", "k2"))
 
 
-def _met(marks: DataFrame, by: str) -> DataFrame:
-    """(kind, by, a, b) of those that stand at two places, a and b the least and
-    greatest. Written, so that the joins with it
-    read two plain shuffles, of which a skewed one can be split."""
-    return put(marks.withColumn("who", _who()).groupBy("kind", by).agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b"), "met")
+def _met(marks: DataFrame, *by: str) -> DataFrame:
+    """(*by, a, b) of those that stand at two places, a and b the least and
+    greatest. Written, so that the joins with it read two plain shuffles, of
+    which a skewed one can be split."""
+    return put(marks.withColumn("who", _who()).groupBy(*by).agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b"), "met")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +248,7 @@ def without_repeats(docs: DataFrame, length: int = 400, words: int = 50, id_col:
        many texts share is spread over all tasks, at every size in one way.
     3. Covered ranges are merged per text, and texts are hashed without them.
 
-    All this runs on distinct texts (by 128 bits of their SHA-256); equality of
+    All this runs on distinct texts (by 120 bits of their SHA-256); equality of
     spans, blocks and windows is by 128 bits of XXH3 (words by 64 each). A text
     that several rows hold goes whole if it has `length` bytes, and all its
     words are shared if it has `words`. Null texts are empty; null ids and
@@ -246,53 +257,55 @@ def without_repeats(docs: DataFrame, length: int = 400, words: int = 50, id_col:
     """
     units = {0: Unit(0, length, max(1, length // 4)), 1: Unit(1, words, max(1, words // 4))}
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("sha", F.sha2("text", 256)).withColumn("key", F.unhex(F.substring("sha", 1, 32)))
+    rows = rows.withColumn("sha", F.sha2("text", 256))
+    half = lambda i: F.conv(F.substring("sha", i, 15), 16, 10).cast("long")
+    rows = rows.withColumn("k1", half(1)).withColumn("k2", half(16))
     # `words` words have a byte each at least, and white space between them
-    able = rows.where(F.octet_length("text") >= min(length, 2 * words - 1)).select("key", "text")
+    able = rows.where(F.octet_length("text") >= min(length, 2 * words - 1)).select("k1", "k2", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_pylist()
-            for at, texts in pieces(b.column(1), CHUNK):
+            k1, k2 = (b.column(i).to_numpy() for i in (0, 1))
+            for at, texts in pieces(b.column(2)):
                 for unit in units.values():
-                    for out in first_marks(keys[at : at + len(texts)], all_symbols(texts, unit.kind), unit):
-                        yield _batch(out)
+                    yield from first_marks(k1[at:], k2[at:], all_symbols(texts, unit.kind), unit)
 
     def refine(step: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                for key, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                    t = text.as_py().encode()
+                lists = b.column(3)
+                cuts = lists.offsets.to_numpy()
+                kind, at, back, fwd = (lists.values.field(i).to_numpy().astype(np.int64) for i in range(4))
+                for i, (k1, k2, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
+                    t, own = text.as_py().encode(), np.arange(cuts[i], cuts[i + 1])
                     for unit in units.values():
-                        own = [(m["at"], m["lo"], m["hi"]) for m in marks if m["kind"] == unit.kind]
-                        s = symbols(t, unit.kind) if own else None
-                        for at in range(0, len(own), 1000):
-                            out += finer_marks(key, s, own[at : at + 1000], unit, step)
-                            if len(out) > 50_000:
-                                yield _batch(out)
-                                out = []
-                yield _batch(out)
+                        some = own[kind[own] == unit.kind]
+                        s = symbols(t, unit.kind) if len(some) else None
+                        for lo in range(0, len(some), 1000):
+                            m = some[lo : lo + 1000]
+                            yield finer_marks(k1, k2, s, at[m], back[m], fwd[m], unit, step)
 
         return run
 
-    marks = put(able.mapInArrow(find, MARK), "marks")
+    text = ["k1", "k2"]
+    marks = put(able.mapInArrow(find, MARK).withColumn("batch", F.pmod("k1", F.lit(BATCHES)).cast("int")), "marks", by="batch")
     family = Family()
     for i in range(BATCHES):
-        family.add(marks.where(F.pmod(F.xxhash64("key"), F.lit(BATCHES)) == i).select("kind", "core", _who().alias("who")))
+        family.add(marks.where(F.col("batch") == i).select(*Family.KEY, _who().alias("who")))
     heads = family.matches()
     family.close()
-    texts = able.dropDuplicates(["key"])
+    marks_read, marks = marks, marks.drop("batch")
+    texts = able.dropDuplicates(text)
     covered = []
     for step in (*STEPS, 0):
-        alive = put(marks.join(heads, ["kind", "core"], "left_semi"), "alive")
-        drop(marks)
+        alive = put(marks.join(heads.hint("shuffle_hash"), Family.KEY, "left_semi"), "alive")
+        drop(marks_read)
         drop(heads)
         if not step:
             covered.append(alive)
             break
-        spans = _met(alive, "span")
-        told = put(alive.withColumn("who", _who()).join(spans, ["kind", "span"], "left").select("kind", "core", "key", "at", "lo", "hi", "who", "a", "b"), "told")
+        spans = _met(alive, "span", "end")
+        told = put(alive.withColumn("who", _who()).join(spans.hint("shuffle_hash"), ["span", "end"], "left").drop("span", "end"), "told")
         drop(alive)
         drop(spans)
         covered.append(told.where("a is not null"))
@@ -300,24 +313,25 @@ def without_repeats(docs: DataFrame, length: int = 400, words: int = 50, id_col:
         # both, each covered span's first place (of words also its last, as a
         # text is no partner of its own) goes on too
         edge = told.where("a is null")
-        some = told.where("who = a or (kind = 1 and who = b)").join(put(edge.select("kind", "core").distinct(), "open"), ["kind", "core"], "left_semi")
-        rest = edge.unionByName(some).groupBy("key").agg(F.collect_set(F.struct("kind", "at", "lo", "hi")).alias("marks"))
-        marks = put(texts.join(rest, "key").select("key", "text", "marks").mapInArrow(refine(step), MARK), "marks")
-        heads = _met(marks, "core")
-
-    ends = F.struct("kind", F.col("lo").alias("s"), (F.col("hi") + F.when(F.col("kind") == 0, length).otherwise(words)).alias("e"))
-    slim = rows.select("id", "key", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
-    copied = slim.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e")).alias("r"))
+        some = told.where("who = a or (kind = 1 and who = b)").join(put(edge.select(*Family.KEY).distinct(), "open").hint("shuffle_hash"), Family.KEY, "left_semi")
+        rest = edge.unionByName(some).groupBy(*text).agg(F.collect_set(F.struct("kind", "at", "back", "fwd")).alias("marks"))
+        marks = marks_read = put(texts.join(rest, text).select(*text, "text", "marks").mapInArrow(refine(step), MARK), "marks")
+        heads = _met(marks, *Family.KEY)
+
+    first = F.col("at") - F.col("back")
+    ends = F.struct("kind", first.alias("s"), (first + F.col("fwd") + F.when(F.col("kind") == 0, length).otherwise(words)).alias("e"))
+    slim = rows.select("id", *text, "sha", F.octet_length("text").cast("long").alias("n_bytes"))
+    copied = slim.groupBy(*text).agg(F.count("*").alias("c")).where("c > 1").select(*text, F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e")).alias("r"))
     ranges = copied
     for c in covered:
-        ranges = ranges.unionByName(c.select("key", ends.alias("r")))
-    per_text = put(ranges.groupBy("key").agg(F.collect_set("r").alias("ranges")), "ranges")
+        ranges = ranges.unionByName(c.select(*text, ends.alias("r")))
+    per_text = put(ranges.groupBy(*text).agg(F.collect_set("r").alias("ranges")), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for key, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                t = text.as_py().encode()
+            for k1, k2, whole, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                t = whole.as_py().encode()
                 spans, shared = ([(r["s"], r["e"]) for r in found if r["kind"] == k] for k in (0, 1))
                 if any(r["kind"] == 2 for r in found):
                     n = len(symbols(t, 1))
@@ -327,14 +341,14 @@ def without_repeats(docs: DataFrame, length: int = 400, words: int = 50, id_col:
                     kept.update(t[end:s])
                     end = e
                 kept.update(t[end:])
-                out.append((key, sum(e - s for s, e in spans), len(spans), kept.hexdigest(), sum(e - s for s, e in merge_ranges(shared))))
-            c = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["key", "n_removed", "n_spans", "kept", "n_shared_words"])
-
-    whole = rows.select("key", "text").dropDuplicates(["key"])
-    results = put(whole.join(per_text, "key").select("key", "text", "ranges").mapInArrow(cut, "key binary, n_removed long, n_spans long, kept string, n_shared_words long"), "cut")
-    return slim.join(results, "key", "left").select(
+                out.append((k1, k2, sum(e - s for s, e in spans), len(spans), kept.hexdigest(), sum(e - s for s, e in merge_ranges(shared))))
+            c = list(zip(*out, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["k1", "k2", "n_removed", "n_spans", "kept", "n_shared_words"])
+
+    whole = rows.select(*text, "text").dropDuplicates(text)
+    results = put(whole.join(per_text, text).select(*text, "text", "ranges").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, kept string, n_shared_words long"), "cut")
+    return slim.join(results, text, "left").select(
         F.col("id").alias(id_col),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
