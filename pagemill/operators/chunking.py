@@ -1,12 +1,15 @@
-"""Structure-aware chunks of body blocks."""
+"""Structure-aware chunks of body blocks.
+
+Everything is an expression. Blocks start runs where the structure says so
+(windows over the document); within a run sizes alone decide, in one fold; small
+chunks join their neighbours in two more. One shuffle, by document.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.config import ChunkConfig
@@ -15,171 +18,171 @@ from pagemill.functions.text import strip
 from pagemill.operators.ingest import body_blocks
 from pagemill.schemas import CHUNKS
 
-PARAGRAPH = re.compile(r"\n\s*\n")
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
-
-
-def _packed(parts: Iterator[str], glue: str, limit: int) -> Iterator[str]:
-    """Joins parts while they fit in limit; a longer part stands alone."""
-    held = ""
-    for part in parts:
-        joined = f"{held}{glue}{part}".strip() if held else part
-        if held and len(joined) > limit:
-            yield held
-            held = part
-        else:
-            held = joined
-    if held:
-        yield held
-
-
-def _words(text: str, limit: int) -> Iterator[str]:
-    """Pieces of at most limit characters, at words, else within one."""
-    if len(text) <= limit:
-        yield text
-        return
-    held = ""
-    for w in text.split():
-        if len(w) > limit:
-            if held:
-                yield held
-                held = ""
-            yield from (w[i : i + limit] for i in range(0, len(w), limit))
-        elif held and len(held) + 1 + len(w) > limit:
-            yield held
-            held = w
-        else:
-            held = f"{held} {w}".strip()
-    if held:
-        yield held
-
-
-def _sentences(text: str, limit: int) -> list[str]:
-    if len(text) <= limit:
-        return [text]
-    return [p for p in _packed((w for s in SENTENCE.split(text) for w in _words(s, limit)), " ", limit) if p.strip()]
-
-
-def split_long(text: str, limit: int) -> list[str]:
+#: A part of a text, and whether it must stand alone.
+PART = "struct<t:string,alone:boolean>"
+_NONE = "cast(array() as array<string>)"
+
+
+def _parts(texts: Column, alone: bool) -> Column:
+    return F.transform(texts, lambda t: F.struct(t.alias("t"), F.lit(alone).alias("alone")))
+
+
+def _filled(parts: Column, glue: str, limit: int) -> Column:
+    """Parts joined in order for as long as they fit in limit; those that must
+    stand alone are never joined."""
+
+    def step(state: Column, x: Column) -> Column:
+        full = F.when(state["held"] == "", state["done"]).otherwise(F.array_append(state["done"], state["held"]))
+        both = strip(F.concat(state["held"], F.lit(glue), x["t"]))
+        fits = (state["held"] != "") & (F.length(both) <= limit)
+        return F.when(x["alone"], F.struct(F.array_append(full, x["t"]).alias("done"), F.lit("").alias("held"))).when(fits, F.struct(state["done"].alias("done"), both.alias("held"))).otherwise(F.struct(full.alias("done"), x["t"].alias("held")))
+
+    begin = F.struct(F.expr(_NONE).alias("done"), F.lit("").alias("held"))
+    end = lambda s: F.filter(F.array_append(s["done"], s["held"]), lambda t: strip(t) != "")
+    return F.aggregate(F.filter(parts, lambda x: x["t"] != ""), begin, step, end)
+
+
+def split_pieces(text: Column, limit: int) -> Column:
     """A text as pieces of at most limit: by paragraphs, then sentences, then
     words, then characters, as many as fit together."""
-    if len(text) <= limit:
-        return [text]
-    paragraphs = [p for p in PARAGRAPH.split(text) if p.strip()]
-    if len(paragraphs) < 2:
-        return _sentences(text, limit)
-    out: list[str] = []
-    held = ""
-    for p in paragraphs:
-        joined = f"{held}\n\n{p}".strip() if held else p
-        if held and len(joined) > limit:
-            out.append(held)
-            joined = p
-        held = joined
-        if len(held) > limit:
-            out += _sentences(held, limit)
-            held = ""
-    return [p for p in [*out, held] if p.strip()]
-
-
-class _Builder:
-    """The chunk being filled, and those that are done."""
-
-    def __init__(self) -> None:
-        self.done: list[dict] = []
-        self.cur: dict | None = None
-
-    def close(self) -> None:
-        if self.cur and self.cur["texts"]:
-            self.done.append(self.cur)
-        self.cur = None
-
-    def put(self, piece: str, page: int, clause: str | None, **fresh) -> None:
-        if self.cur is None:
-            self.cur = {"texts": [], "size": 0, "page_start": page, "clause_ids": [], **fresh}
-        c = self.cur
-        c["texts"].append(piece)
-        c["size"] += len(piece)
-        c["page_end"] = page
-        if clause and clause not in c["clause_ids"]:
-            c["clause_ids"].append(clause)
-
-
-def assemble(blocks: list[dict], cfg: ChunkConfig) -> list[dict]:
-    """Chunks of blocks in order. A section or subsection marker ends a chunk
-    that has other content; so does a change between table and prose, a clause
-    once target_chars is reached, and what would pass max_chars. A chunk keeps
-    the section under which it began."""
-    b, section, subsection, only_markers = _Builder(), None, None, False
-    for x in blocks:
-        text, marker = x["text"], x["is_section"] or x["is_subsection"]
-        kind = "table" if x["type"] == "table" else "prose"
-        if marker:
-            if not only_markers:
-                b.close()
-            if x["is_section"]:
-                section, subsection = x["title"], None
+    short = lambda t: F.length(t) <= limit
+    slices = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / limit).cast("int")), lambda i: F.substring(w, i * limit + 1, F.lit(limit)))
+    words = lambda t: _filled(F.flatten(F.transform(F.split(strip(t), r"(?U)\s+"), lambda w: F.when(short(w), _parts(F.array(w), False)).otherwise(_parts(slices(w), True)))), " ", limit)
+    sentences = lambda t: _filled(F.flatten(F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), lambda s: F.when(short(s), _parts(F.array(s), False)).otherwise(_parts(words(s), False)))), " ", limit)
+    paragraphs = F.filter(F.split(text, r"(?U)\n\s*\n"), lambda p: strip(p) != "")
+    by_paragraph = _filled(F.flatten(F.transform(paragraphs, lambda p: F.when(short(p), _parts(F.array(p), False)).otherwise(_parts(sentences(p), True)))), "\n\n", limit)
+    return F.when(short(text), F.array(text)).when(F.size(paragraphs) > 1, by_paragraph).otherwise(sentences(text))
+
+
+_LEVELS = [(re.compile(r"\n\s*\n"), "\n\n"), (re.compile(r"(?<=[.!?])\s+"), " "), (re.compile(r"\s+"), " ")]
+
+
+def split_long(text: str, limit: int, level: int = 0) -> list[str]:
+    """split_pieces() of one text, for table functions: what is too long is
+    split at the next finer level, and what a level split joins again; pieces
+    of a paragraph and of a word stand alone."""
+    if len(text) <= limit or level == len(_LEVELS):
+        return [text[i : i + limit] for i in range(0, len(text) or 1, limit)]
+    (gap, glue), out, last_free = _LEVELS[level], [], False
+    for part in filter(str.strip, gap.split(text)):
+        free = level == 1 or len(part) <= limit
+        for piece in split_long(part, limit, level + 1):
+            joined = f"{out[-1]}{glue}{piece}".strip() if free and last_free else ""
+            if joined and len(joined) <= limit:
+                out[-1] = joined
             else:
-                subsection = text
-        only_markers = marker
-        if b.cur and (b.cur["chunk_type"] != kind or (x["type"] == "clause" and b.cur["size"] >= cfg.target_chars) or b.cur["size"] + len(text) > cfg.max_chars):
-            b.close()
-        for i, piece in enumerate(split_long(text, cfg.max_chars)):
-            if i or (b.cur and b.cur["size"] + len(piece) > cfg.max_chars):
-                b.close()
-                only_markers = False
-            b.put(piece, x["page_number"], x["clause_id"], chunk_type=kind, section=section, subsection=subsection)
-    b.close()
-    out = []
-    for c in b.done:
-        text = "\n".join(c.pop("texts")).strip()
-        if text:
-            out.append({**c, "text": text, "size": len(text)})
+                out.append(piece)
+            last_free = free
     return out
 
 
-def _join(into: dict, other: dict, before: bool) -> None:
-    pair = (other["text"], into["text"]) if before else (into["text"], other["text"])
-    into["text"] = "\n".join(pair).strip()
-    into["size"] = len(into["text"])
-    into["page_start"], into["page_end"] = min(into["page_start"], other["page_start"]), max(into["page_end"], other["page_end"])
-    into["clause_ids"] += [c for c in other["clause_ids"] if c not in into["clause_ids"]]
-    into["subsection"] = into["subsection"] or other["subsection"]
+def pieces_of_blocks(body: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """Each block's pieces (document_id, run, ord, piece, ...), with the run
+    that they belong to. A run begins where structure demands a new chunk: at a
+    marker that follows something else, at a change between table and prose, at
+    a text beyond max_chars and at each of its pieces."""
+    order = Window.partitionBy("document_id").orderBy("page_number", "reading_order")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = body.withColumn("marker", F.col("is_section") | F.col("is_subsection")).withColumn("kind", F.when(F.col("type") == "table", "table").otherwise("prose")).withColumn("pieces", split_pieces(F.col("text"), cfg.max_chars))
+    lone = F.col("marker") & (F.size("pieces") == 1)
+    rows = (
+        rows.withColumn("prior", F.lag(F.struct("kind", lone.alias("lone"))).over(order))
+        .withColumn("section", F.last(F.when(F.col("is_section"), F.col("title")), ignorenulls=True).over(upto))
+        .withColumn("_s", F.sum(F.col("is_section").cast("int")).over(upto))
+        .withColumn("_n", F.row_number().over(order))
+    )
+    within = Window.partitionBy("document_id", "_s").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("subsection", F.last(F.when(F.col("is_subsection") & ~F.col("is_section"), F.col("text")), ignorenulls=True).over(within))
+    turn = F.coalesce(F.col("prior.kind") != F.col("kind"), F.lit(True)) | (F.col("marker") & ~F.coalesce("prior.lone", F.lit(False))) | (F.length("text") > cfg.max_chars)
+    flat = rows.select("document_id", "_n", turn.alias("turn"), "page_number", "clause_id", (F.col("type") == "clause").alias("is_clause"), "kind", "section", "subsection", F.posexplode("pieces").alias("i", "piece"))
+    return flat.withColumn("ord", F.struct("_n", "i")).withColumn("run", F.sum((F.col("turn") | (F.col("i") > 0)).cast("int")).over(Window.partitionBy("document_id").orderBy("_n", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def fill(pieces: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """Chunks (document_id, run, c, text, ...) of runs of pieces: a clause
+    begins one once target_chars is reached, and so does what would pass
+    max_chars. A chunk keeps the section under which it began."""
+
+    def step(state: Column, x: Column) -> Column:
+        size = F.length(x["piece"])
+        new = (state["size"] > 0) & ((x["is_clause"] & (state["size"] >= cfg.target_chars)) | (state["size"] + size > cfg.max_chars))
+        c = state["c"] + new.cast("int")
+        return F.struct(F.when(new, size).otherwise(state["size"] + size).alias("size"), c.alias("c"), F.array_append(state["at"], c).alias("at"))
+
+    fields = ["ord", "piece", "is_clause", "page_number", "clause_id", "kind", "section", "subsection"]
+    runs = pieces.groupBy("document_id", "run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x"))
+    begin = F.struct(F.lit(0).alias("size"), F.lit(0).alias("c"), F.expr("cast(array() as array<int>)").alias("at"))
+    placed = runs.withColumn("at", F.aggregate("x", begin, step, lambda s: s["at"]))
+    each = placed.select("document_id", "run", F.explode(F.arrays_zip("at", "x")).alias("z")).select("document_id", "run", F.col("z.at").alias("c"), "z.x")
+    whole = each.groupBy("document_id", "run", "c").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    first = F.get("x", F.lit(0))
+    return whole.select(
+        "document_id",
+        "run",
+        "c",
+        strip(F.array_join(F.col("x.piece"), "\n")).alias("text"),
+        first["page_number"].alias("page_start"),
+        F.element_at("x", -1)["page_number"].alias("page_end"),
+        first["kind"].alias("chunk_type"),
+        first["section"].alias("section"),
+        first["subsection"].alias("subsection"),
+        F.array_distinct(F.array_compact(F.col("x.clause_id"))).alias("clause_ids"),
+    ).where("text <> ''")
+
+
+_CHUNK = ["text", "page_start", "page_end", "chunk_type", "section", "subsection", "clause_ids"]
+
+
+def _both(a: Column, b: Column, second_leads: bool = False) -> Column:
+    """a and b as one chunk, in this order; section, clauses and subsection are
+    first those of the one that leads."""
+    lead, other = (b, a) if second_leads else (a, b)
+    joined = {
+        "text": strip(F.concat(a["text"], F.lit("\n"), b["text"])),
+        "page_start": F.least(a["page_start"], b["page_start"]),
+        "page_end": F.greatest(a["page_end"], b["page_end"]),
+        "chunk_type": lead["chunk_type"],
+        "section": lead["section"],
+        "subsection": F.coalesce(F.nullif(lead["subsection"], F.lit("")), other["subsection"]),
+        "clause_ids": F.array_union(lead["clause_ids"], other["clause_ids"]),
+    }
+    return F.struct(*[joined[k].alias(k) for k in _CHUNK])
+
+
+def _with_last(done: Column, x: Column) -> Column:
+    """done, its last element replaced by x."""
+    return F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), x)
+
+
+def merged(chunks: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """(document_id, n, ...) of chunks: those under min_chars join the one
+    before (same section and type, no table), the rest of them the one after,
+    the last again the one before; never beyond max_chars + min_chars."""
+    room = cfg.max_chars + cfg.min_chars
+    size = lambda c: F.length(c["text"])
+    same = lambda a, b: F.coalesce(a["section"], F.lit("")) == F.coalesce(b["section"], F.lit(""))
+    small = lambda c: (size(c) < cfg.min_chars) & (c["chunk_type"] != "table")
+    docs = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("run", "c", F.struct(*_CHUNK).alias("k")))).alias("l")).select("document_id", F.col("l.k").alias("l"))
+    if cfg.min_chars > 0:
+        none = F.slice("l", 1, 0)
 
+        def back(done: Column, x: Column) -> Column:
+            p = F.element_at(done, -1)
+            joins = small(x) & (x["chunk_type"] == p["chunk_type"]) & x["section"].eqNullSafe(p["section"]) & (size(p) + size(x) <= room)
+            return F.when(F.size(done) == 0, F.array(x)).when(joins, _with_last(done, _both(p, x))).otherwise(F.array_append(done, x))
 
-def merge_small(chunks: list[dict], cfg: ChunkConfig) -> list[dict]:
-    """Chunks under min_chars join the one before (same section and type, no
-    table), the rest of them the one after, the last again the one before;
-    never beyond max_chars + min_chars."""
-    if cfg.min_chars <= 0 or len(chunks) < 2:
-        return chunks
-    room = cfg.max_chars + cfg.min_chars
-    back: list[dict] = []
-    for c in chunks:
-        p = back[-1] if back else None
-        if p and c["size"] < cfg.min_chars and c["chunk_type"] == p["chunk_type"] != "table" and c["section"] == p["section"] and p["size"] + c["size"] <= room:
-            _join(p, c, before=False)
-        else:
-            back.append(c)
-    out: list[dict] = []
-    wait: dict | None = None
-    for c in back:
-        if wait:
-            if c["chunk_type"] == wait["chunk_type"] and (c["section"] or "") == (wait["section"] or "") and c["size"] + wait["size"] <= room:
-                _join(c, wait, before=True)
-            else:
-                out.append(wait)
-            wait = None
-        if c["size"] < cfg.min_chars and c["chunk_type"] != "table":
-            wait = c
-        else:
-            out.append(c)
-    if wait:
-        if out and (out[-1]["section"] or "") == (wait["section"] or "") and out[-1]["size"] + wait["size"] <= room:
-            _join(out[-1], wait, before=False)
-        else:
-            out.append(wait)
-    return out
+        def ahead(done: Column, x: Column) -> Column:
+            p = F.element_at(done, -1)
+            joins = small(p) & (x["chunk_type"] == p["chunk_type"]) & same(p, x) & (size(p) + size(x) <= room)
+            return F.when(F.size(done) == 0, F.array(x)).when(joins, _with_last(done, _both(p, x, second_leads=True))).otherwise(F.array_append(done, x))
+
+        def ending(done: Column) -> Column:
+            x, p = F.element_at(done, -1), F.element_at(done, -2)
+            joins = small(x) & same(p, x) & (size(p) + size(x) <= room)
+            return F.when(F.size(done) < 2, done).when(joins, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 2, F.lit(0))), _both(p, x))).otherwise(done)
+
+        docs = docs.withColumn("l", F.aggregate("l", none, back)).withColumn("l", F.aggregate("l", none, ahead, ending))
+    return docs.select("document_id", F.posexplode("l").alias("n", "k")).select("document_id", "n", "k.*")
 
 
 def context_text(product: Column, section: Column, subsection: Column, text: Column, prefix: bool = True) -> Column:
@@ -194,11 +197,8 @@ def context_text(product: Column, section: Column, subsection: Column, text: Col
 
 def chunk(blocks: DataFrame, meta: DataFrame | None = None, cfg: ChunkConfig | None = None) -> DataFrame:
     """chunks (schemas.CHUNKS) of typed blocks; meta: document_id and any of
-    filename, insurer, product, uin, document_type, source_path.
-
-    Markers and titles are expressions; the state machine over a document's
-    blocks, whose breaks depend on what came before, runs once a document in
-    an Arrow batch, so one document is the unit that must fit in memory."""
+    filename, insurer, product, uin, document_type, source_path. One document's
+    blocks meet in a task."""
     cfg = cfg or ChunkConfig()
     for c, kind in (("subtype", "string"), ("heading_level", "int"), ("clause_id", "string")):
         if c not in blocks.columns:
@@ -214,18 +214,7 @@ def chunk(blocks: DataFrame, meta: DataFrame | None = None, cfg: ChunkConfig | N
         is_subsection(F.col("type"), F.col("subtype"), F.col("heading_level")).alias("is_subsection"),
         section_title(F.col("text")).alias("title"),
     )
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for doc, blocks in zip(f["document_id"], f["blocks"], strict=True):
-                rows = [b if isinstance(b, dict) else b.asDict() for b in blocks]
-                rows.sort(key=lambda x: (x["page_number"], x["reading_order"]))
-                out += [(doc, i, c["text"], c["page_start"], c["page_end"], c["section"], c["subsection"], c["clause_ids"], c["chunk_type"]) for i, c in enumerate(merge_small(assemble(rows, cfg), cfg))]
-            yield pd.DataFrame(out, columns=["document_id", "n", "text", "page_start", "page_end", "section", "subsection", "clause_ids", "chunk_type"])
-
-    whole = body.groupBy("document_id").agg(F.collect_list(F.struct(*[c for c in body.columns if c != "document_id"])).alias("blocks"))
-    made = whole.mapInPandas(run, "document_id string, n int, text string, page_start int, page_end int, section string, subsection string, clause_ids array<string>, chunk_type string")
+    made = merged(fill(pieces_of_blocks(body, cfg), cfg), cfg)
     fields = ["filename", "insurer", "product", "uin", "document_type", "source_path"]
     if meta is None:
         made = made.select("*", *[F.lit(None).cast("string").alias(c) for c in fields])

@@ -138,6 +138,30 @@ _CLAUSE = r"coalesce(nullif(regexp_extract(trim(text), '^(\d{1,3}(?:\.\d{1,3}){0
 _BARE = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
 _INSPECT = rf"""p AS (SELECT page_id, {_BARE} AS t, len(regexp_extract_all(html, '(?i)<p[ >]')) AS block_count, len(regexp_extract_all(html, '(?i)<img[ >]')) AS image_count, len(regexp_extract_all(html, '(?i)<h1[ >]')) AS heading_count FROM pages),
 ins AS (SELECT *, length(t) AS char_count, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS word_count FROM p)"""
+# Folds: a list of one-element lists is reduced by appending to the last element
+# or after it.
+_PACK = "list_reduce(list_transform({0}, lambda x: [x]), lambda a, b: CASE WHEN length(a[-1]) + 1 + length(b[1]) <= 1300 THEN a[:-2] || [a[-1] || ' ' || b[1]] ELSE a || b END)"
+_WORD_PACK = _PACK.format("regexp_split_to_array(s, '\\s+')")
+_PIECES = _PACK.format(f"flatten(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: CASE WHEN length(s) <= 1300 THEN [s] ELSE {_WORD_PACK} END))")
+_NORM = r"trim(regexp_replace(regexp_replace(replace(text, chr(9), ' '), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), ' {2,}', ' ', 'g'), ' ' || chr(10) || chr(13))"
+_CHUNKS = f"""{_LINES}, c AS (SELECT *, {_CLAUSE} AS clause FROM lines), k AS (SELECT doc_id, line_no, text, clause, {_classify_sql('text')} AS k FROM c),
+b AS (SELECT doc_id, line_no, k[1] AS type, k[2] AS subtype, clause, {_NORM} AS t FROM k WHERE k[1] NOT IN ('header', 'footer')),
+m AS (SELECT *, (type = 'heading' AND subtype = 'section_heading') OR (type = 'clause' AND regexp_matches(t, '^[A-Z]\.\s+[A-Z][A-Z&/''-]+')) AS marker, regexp_replace(t, '\s+', ' ', 'g') AS flat, CASE WHEN length(t) <= 1300 THEN [t] ELSE {_PIECES} END AS ps FROM b WHERE t <> ''),
+o AS (SELECT *, CASE WHEN marker THEN CASE WHEN length(trim(regexp_extract(flat, '^([A-Z]\.\s+(?:[A-Z][A-Z&/''-]+(?:\s|$))+)', 1))) >= 4 THEN trim(regexp_extract(flat, '^([A-Z]\.\s+(?:[A-Z][A-Z&/''-]+(?:\s|$))+)', 1)) ELSE left(flat, 80) END END AS title,
+  coalesce(lag(marker AND len(ps) = 1) OVER w, false) AS lone FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+s AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM o),
+e AS (SELECT doc_id, list(struct_pack(text := ps[i], size := length(ps[i]), hard := i > 1 OR length(t) > 1300 OR (marker AND NOT lone), clause := type = 'clause', section := coalesce(section, '')) ORDER BY line_no, i) AS l FROM s, generate_series(1, len(ps)) g(i) GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN b[1].hard OR (b[1].clause AND a[-1].size >= 900) OR a[-1].size + b[1].size > 1300 THEN a || b
+  ELSE a[:-2] || [struct_pack(text := a[-1].text || chr(10) || b[1].text, size := a[-1].size + b[1].size, hard := false, clause := false, section := a[-1].section)] END) AS l FROM e),
+h AS (SELECT doc_id, list_transform(l, lambda x: struct_pack(text := trim(x.text), section := x.section)) AS l FROM f),
+p1 AS (SELECT doc_id, list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN length(b[1].text) < 120 AND a[-1].section = b[1].section AND length(a[-1].text) + length(b[1].text) <= 1420
+  THEN a[:-2] || [struct_pack(text := a[-1].text || chr(10) || b[1].text, section := a[-1].section)] ELSE a || b END) AS l FROM h),
+p2 AS (SELECT doc_id, list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN length(a[-1].text) < 120 AND a[-1].section = b[1].section AND length(a[-1].text) + length(b[1].text) <= 1420
+  THEN a[:-2] || [struct_pack(text := a[-1].text || chr(10) || b[1].text, section := b[1].section)] ELSE a || b END) AS l FROM p1),
+p3 AS (SELECT doc_id, CASE WHEN len(l) > 1 AND length(l[-1].text) < 120 AND l[-2].section = l[-1].section AND length(l[-2].text) + length(l[-1].text) <= 1420
+  THEN l[:-3] || [struct_pack(text := l[-2].text || chr(10) || l[-1].text, section := l[-2].section)] ELSE l END AS l FROM p2),
+ch AS (SELECT doc_id, i - 1 AS n, l[i].text AS text, nullif(l[i].section, '') AS section FROM p3, generate_series(1, len(l)) g(i)),
+cx AS (SELECT ch.*, concat_ws(' > ', nullif(source, ''), CASE WHEN NOT starts_with(lower(left(ltrim(ch.text), 30)), lower(left(section, 30))) THEN section END) AS crumbs FROM ch JOIN documents d ON ch.doc_id = d.doc_id)"""
 _VALUES = ", ".join("({}, '{}', '{}')".format(i, f, t.replace("'", "''")) for i, f, t in SAMPLES)
 ORACLE = {
     "normalize_text": r"""WITH r AS (SELECT doc_id, text, ' ' || chr(9) || replace(replace(text, ', ', ',' || chr(9) || '  '), '.' || chr(10), '.  ' || chr(10) || chr(7)) || chr(10) || ' ' AS raw FROM documents),
@@ -165,6 +189,8 @@ coalesce(nullif(concat_ws(',', CASE WHEN char_count = 0 THEN 'no_extractable_tex
     "manual_review": f"""WITH {_INSPECT}, v AS (SELECT page_id, page_id % 3 + 1 AS page_number, CASE WHEN page_id % 5 = 0 THEN page_id % 300 ELSE char_count END AS char_count, page_id % 11 = 0 AS o, page_id % 7 AS nt, heading_count AS nh FROM ins)
 SELECT page_id, page_number, char_count, unnest(CASE WHEN o THEN ['ocr_processed_page'] WHEN char_count < 50 THEN ['low_text_content'] WHEN nt > 0 THEN ['table_page'] ELSE list_filter([CASE WHEN page_number = 1 THEN 'cover_page' END, CASE WHEN nh > 0 AND char_count < 200 THEN 'heading_only_page' END], lambda x: x IS NOT NULL) END) AS reason FROM v""",
     "extraction_report": "SELECT source AS document_id, count(*) AS pages, count(*) FILTER (n_chars > 0) AS text_pages, count(*) FILTER (doc_id % 9 = 0) AS ocr_pages, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS words FROM documents GROUP BY ROLLUP (source)",
+    "chunk_documents": f"""WITH {_CHUNKS} SELECT printf('%d::c%04d', doc_id, n) AS chunk_id, CAST(doc_id AS VARCHAR) AS document_id, text, CASE WHEN crumbs = '' THEN text ELSE crumbs || chr(10) || text END AS context_text,
+'prose' AS chunk_type, CAST(length(text) AS INT) AS char_count, CAST(len(regexp_split_to_array(text, '\\s+')) AS INT) AS word_count FROM cx""",
     "chunk_invariants": r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS bare_chars, true AS numbered, true AS fits FROM documents WHERE trim(regexp_replace(text, '\s+', '', 'g')) <> ''",
     "upsert_chunks": "SELECT doc_id AS chunk_id, 'new' AS state, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'old', n_chars FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0",
 }
