@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import tokenize
@@ -42,6 +42,38 @@ def build_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return TermIndex(postings, terms, corpus)
 
 
+#: Folders that persisted postings are dealt into by term.
+BUCKETS = 32
+
+
+def bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(index: TermIndex, path: str) -> None:
+    """An index as tables: postings with their term's idf, in folders by term
+    and sorted by it, so that a query reads its terms' folders only; terms; and
+    the corpus row."""
+    rows = index.postings.join(index.terms.select("term", "idf"), "term").withColumn("bucket", bucket("term"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.corpus.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def read_index(spark: SparkSession, path: str) -> TermIndex:
+    """What write_index() wrote. A missing one raises."""
+    return TermIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus")))
+
+
+def with_idf(terms: DataFrame, index: TermIndex) -> DataFrame:
+    """terms (term, ...) joined to their postings and idf. What a batch of
+    queries asks for is small next to the postings, which stay where they are
+    if they carry their idf and bucket."""
+    if "idf" in index.postings.columns:
+        return terms.withColumn("bucket", bucket("term")).join(index.postings, ["bucket", "term"]).drop("bucket")
+    return terms.join(index.terms, "term").join(index.postings, "term")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -57,9 +89,12 @@ def hashed_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return cells.withColumn("raw", raw).withColumn("norm", norm).select("chunk_id", F.transform("raw", lambda v: F.when(F.col("norm") > 0, v / F.col("norm")).otherwise(0.0).cast("float")).alias("embedding"))
 
 
-def index_stats(index: TermIndex, vectors: DataFrame | None = None) -> DataFrame:
-    """One row: documents, distinct terms, mean length to two places, vectors."""
+def index_stats(index: TermIndex, vectors: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """One row: documents, distinct terms, mean length to two places; vectors
+    and, of chunks (document_id), the sorted distinct document ids."""
     out = index.corpus.select("n_docs", F.bround("avgdl", 2).alias("avgdl")).crossJoin(F.broadcast(index.terms.agg(F.count("*").alias("unique_terms"))))
     if vectors is not None:
         out = out.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n_vectors"))))
+    if chunks is not None:
+        out = out.crossJoin(F.broadcast(chunks.agg(F.sort_array(F.collect_set("document_id")).alias("document_ids"))))
     return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill.config import RetrievalConfig
 from pagemill.functions.text import tokenize
-from pagemill.operators.index import TermIndex, dot
+from pagemill.operators.index import TermIndex, dot, with_idf
 
 
 def metadata_filter(where: dict | None) -> Column | None:
@@ -48,32 +48,50 @@ def term_score(tf: Column, dl: Column, avgdl: Column, cfg: RetrievalConfig) -> C
     return tf * (cfg.k1 + 1) / (tf + cfg.k1 * norm)
 
 
-def bm25(queries: DataFrame, index: TermIndex, k: int, cfg: RetrievalConfig | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, rank, score): documents by summed term scores, query
-    terms counted as often as they stand. An equi-join on terms, so documents
-    without a query term are never touched; allowed (doc_id) filters before
-    scoring."""
+#: Rows of a query set that are broadcast at once.
+QUERY_BLOCK = 20_000
+
+
+def score_terms(queries: DataFrame, index: TermIndex, cfg: RetrievalConfig | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every document that has a query term."""
     cfg = cfg or RetrievalConfig()
-    postings = index.postings if allowed is None else index.postings.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    scored = (
-        query_terms(queries)
-        .join(index.terms, "term")
-        .join(postings, "term")
-        .crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one-row side
+    found = with_idf(query_terms(queries), index)
+    if allowed is not None:
+        found = found.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    return (
+        found.crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one-row side
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), cfg)), 9).alias("score"))
     )
+
+
+def bm25(queries: DataFrame, index: TermIndex, k: int, cfg: RetrievalConfig | None = None, allowed: DataFrame | None = None, only=None) -> DataFrame:
+    """(query_id, doc_id, rank, score): documents by summed term scores, query
+    terms counted as often as they stand. An equi-join on terms, so documents
+    without a query term are never touched; allowed (doc_id) filters before
+    scoring, only (a function of the scored rows) before ranking."""
+    scored = score_terms(queries, index, cfg, allowed)
+    if only is not None:
+        scored = only(scored)
     return _ranked(scored, k, F.desc("score"), F.col("doc_id")) if k > 0 else scored.withColumn("rank", F.lit(0)).limit(0)
 
 
-def dense(query_vectors: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def dense(query_vectors: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, only=None) -> DataFrame:
     """(query_id, doc_id, rank, similarity): exact cosine of unit vectors. The
-    query vectors are a stated set met by every row; each task keeps its best k
-    a query before anything is shuffled (a limit within the window)."""
+    query vectors are a stated set met by every row: counted, and broadcast in
+    blocks of at most QUERY_BLOCK; each task keeps its best k a query before
+    anything is shuffled (a limit within the window)."""
     rows = vectors if allowed is None else vectors.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    pairs = rows.select("doc_id", "embedding").join(query_vectors.select("query_id", F.col("embedding").alias("qv")), F.lit(True))
-    sims = pairs.select("query_id", "doc_id", F.round(dot(F.col("qv"), F.col("embedding")), 9).alias("similarity"))
-    return _ranked(sims, k, F.desc("similarity"), F.col("doc_id"))
+    asked = query_vectors.select("query_id", F.col("embedding").alias("qv"))
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = None
+    for i in range(n):
+        block = asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        pairs = rows.select("doc_id", "embedding").join(F.broadcast(block), F.lit(True))
+        sims = pairs.select("query_id", "doc_id", F.round(dot(F.col("qv"), F.col("embedding")), 9).alias("similarity"))
+        best = _ranked(sims if only is None else only(sims), k, F.desc("similarity"), F.col("doc_id"))
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, cfg: RetrievalConfig) -> DataFrame:
@@ -111,21 +129,21 @@ def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def lexical_rerank(queries: DataFrame, pool: DataFrame, docs: DataFrame, index: TermIndex, k: int, cfg: RetrievalConfig) -> DataFrame:
+def lexical_rerank(queries: DataFrame, pool: DataFrame, docs: DataFrame, index: TermIndex | None, k: int, cfg: RetrievalConfig) -> DataFrame:
     """pool reordered by a blend of lexical score, similarity and term coverage,
     each scaled within its query (a constant one counts 0). A known keyword
-    score is the lexical one; others are computed over distinct query terms."""
+    score is the lexical one; others are computed over distinct query terms:
+    with the index's idf and mean length, or, without one, with idf 1 and the
+    pool's mean length (an empty text counts 1)."""
     terms = query_terms(queries).select("query_id", "term")
     n_terms = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    cand = pool.select("query_id", "doc_id")
-    found = (
-        cand.join(index.postings, "doc_id")
-        .join(terms, ["query_id", "term"], "left_semi")
-        .join(index.terms, "term")
-        .crossJoin(F.broadcast(index.corpus.select("avgdl")))
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("idf") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), cfg)).alias("lex"), F.count("*").alias("seen_terms"))
-    )
+    if index is not None:
+        own = with_idf(terms, index).crossJoin(F.broadcast(index.corpus.select("avgdl"))).join(pool.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    else:
+        toks = pool.select("query_id", "doc_id").join(docs.select("doc_id", tokenize(F.col("text")).alias("toks")), "doc_id").withColumn("dl", F.size("toks"))
+        toks = toks.withColumn("avgdl", F.avg(F.greatest("dl", F.lit(1))).over(Window.partitionBy("query_id")))
+        own = toks.select("query_id", "doc_id", "dl", "avgdl", F.explode("toks").alias("term")).join(terms, ["query_id", "term"], "left_semi").groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("avgdl").alias("avgdl")).withColumn("idf", F.lit(1.0))
+    found = own.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), cfg)).alias("lex"), F.count("*").alias("seen_terms"))
     rows = (
         pool.join(found, ["query_id", "doc_id"], "left")
         .join(n_terms, "query_id", "left")
@@ -166,14 +184,14 @@ class PairReranker:
 class LexicalReranker:
     name = "lexical"
 
-    def __init__(self, index: TermIndex, docs: DataFrame, cfg: RetrievalConfig | None = None):
+    def __init__(self, index: TermIndex | None, docs: DataFrame, cfg: RetrievalConfig | None = None):
         self.index, self.docs, self.cfg = index, docs, cfg or RetrievalConfig()
 
     def rerank(self, queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
         return lexical_rerank(queries, pool, self.docs, self.index, k, self.cfg)
 
 
-def build_reranker(kind: str, index: TermIndex, docs: DataFrame, cfg: RetrievalConfig | None = None, load=None) -> Reranker | None:
+def build_reranker(kind: str, index: TermIndex | None, docs: DataFrame, cfg: RetrievalConfig | None = None, load=None) -> Reranker | None:
     """none or off; lexical (also fallback, bm25); cross-encoder, which falls
     back to lexical where load() can't give a pair scorer."""
     kind = (kind or "none").lower()
@@ -189,16 +207,27 @@ def build_reranker(kind: str, index: TermIndex, docs: DataFrame, cfg: RetrievalC
     raise ValueError(f"unknown reranker: {kind}")
 
 
-def hybrid(queries: DataFrame, query_vectors: DataFrame | None, index: TermIndex, vectors: DataFrame | None, cfg: RetrievalConfig, k: int | None = None, reranker: Reranker | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, query_vectors: DataFrame | None, index: TermIndex, vectors: DataFrame | None, cfg: RetrievalConfig, k: int | None = None, reranker: Reranker | None = None, allowed: DataFrame | None = None, only=None) -> DataFrame:
     """(query_id, doc_id, rank, ...): the mode's lists over a candidate pool,
     fused, optionally reranked, cut to k. A mode whose index is missing adds
     an empty list."""
     k = k or cfg.default_k
     pool = max(cfg.candidate_k, k)
     empty = queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("rank")).limit(0)
-    sem = dense(query_vectors, vectors, pool, allowed) if cfg.mode != "keyword" and vectors is not None and query_vectors is not None else empty.withColumn("similarity", F.lit(None).cast("double"))
-    key = bm25(queries, index, pool, cfg, allowed) if cfg.mode != "semantic" and index is not None else empty.withColumn("score", F.lit(None).cast("double"))
-    fused = fuse(sem, key, cfg).where(F.col("fused_rank") <= pool)
+    sem = dense(query_vectors, vectors, pool, allowed, only) if cfg.mode != "keyword" and vectors is not None and query_vectors is not None else empty.withColumn("similarity", F.lit(None).cast("double"))
+    key = bm25(queries, index, pool, cfg, allowed, only) if cfg.mode != "semantic" and index is not None else empty.withColumn("score", F.lit(None).cast("double"))
+    return ranked(queries, sem, key, cfg, k, reranker)
+
+
+def ranked(queries: DataFrame, semantic: DataFrame, keyword: DataFrame, cfg: RetrievalConfig, k: int, reranker: Reranker | None = None) -> DataFrame:
+    """hybrid()'s fusion, reranking and cut of two candidate lists; the mode
+    says which of them counts."""
+    pool = max(cfg.candidate_k, k)
+    if cfg.mode == "keyword":
+        semantic = semantic.limit(0)
+    if cfg.mode == "semantic":
+        keyword = keyword.limit(0)
+    fused = fuse(semantic, keyword, cfg).where(F.col("fused_rank") <= pool)
     if reranker is not None:
         return reranker.rerank(queries, fused, k)
     return fused.where(F.col("fused_rank") <= k).withColumn("rank", F.col("fused_rank"))

@@ -144,7 +144,7 @@ _PACK = "list_reduce(list_transform({0}, lambda x: [x]), lambda a, b: CASE WHEN
 _WORD_PACK = _PACK.format("regexp_split_to_array(s, '\\s+')")
 _PIECES = _PACK.format(f"flatten(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: CASE WHEN length(s) <= 1300 THEN [s] ELSE {_WORD_PACK} END))")
 _NORM = r"trim(regexp_replace(regexp_replace(replace(text, chr(9), ' '), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), ' {2,}', ' ', 'g'), ' ' || chr(10) || chr(13))"
-_CHUNKS = f"""{_LINES}, c AS (SELECT *, {_CLAUSE} AS clause FROM lines), k AS (SELECT doc_id, line_no, text, clause, {_classify_sql('text')} AS k FROM c),
+_CHUNKS = rf"""{_LINES}, c AS (SELECT *, {_CLAUSE} AS clause FROM lines), k AS (SELECT doc_id, line_no, text, clause, {_classify_sql('text')} AS k FROM c),
 b AS (SELECT doc_id, line_no, k[1] AS type, k[2] AS subtype, clause, {_NORM} AS t FROM k WHERE k[1] NOT IN ('header', 'footer')),
 m AS (SELECT *, (type = 'heading' AND subtype = 'section_heading') OR (type = 'clause' AND regexp_matches(t, '^[A-Z]\.\s+[A-Z][A-Z&/''-]+')) AS marker, regexp_replace(t, '\s+', ' ', 'g') AS flat, CASE WHEN length(t) <= 1300 THEN [t] ELSE {_PIECES} END AS ps FROM b WHERE t <> ''),
 o AS (SELECT *, CASE WHEN marker THEN CASE WHEN length(trim(regexp_extract(flat, '^([A-Z]\.\s+(?:[A-Z][A-Z&/''-]+(?:\s|$))+)', 1))) >= 4 THEN trim(regexp_extract(flat, '^([A-Z]\.\s+(?:[A-Z][A-Z&/''-]+(?:\s|$))+)', 1)) ELSE left(flat, 80) END END AS title,

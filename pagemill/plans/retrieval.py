@@ -13,6 +13,7 @@ from pagemill.operators import evaluate as E
 from pagemill.operators import index as I
 from pagemill.operators import retrieve as R
 from pagemill.plans import tables as T
+from pagemill.sources import store
 
 CFG = RetrievalConfig()
 POOL, K = CFG.candidate_k, CFG.default_k
@@ -93,7 +94,30 @@ MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in E.METRICS)
 
 
 def _index(spark: SparkSession, sf: str) -> I.TermIndex:
-    return I.build_terms(T.documents(spark, sf))
+    """The documents' index: written when first asked for, read from then on."""
+
+    def build() -> str:
+        path = store.fresh_path(spark, "index")
+        I.write_index(I.build_terms(T.documents(spark, sf)), path)
+        return path
+
+    return I.read_index(spark, store.once(spark, ("index", sf), build))
+
+
+def _kept(spark: SparkSession, sf: str, label: str, make) -> DataFrame:
+    """A small result that several queries start from, written once."""
+    return store.once(spark, (label, sf), lambda: store.keep(make(), label))
+
+
+def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The pools of the dense and of the lexical retriever."""
+    sem = _kept(spark, sf, "semantic", lambda: R.dense(T.query_vectors(spark, sf), T.vectors(spark, sf), POOL))
+    key = _kept(spark, sf, "keyword", lambda: R.bm25(T.queries(spark, sf), _index(spark, sf), POOL, CFG))
+    return sem, key
+
+
+def _qrels(spark: SparkSession, sf: str) -> DataFrame:
+    return _kept(spark, sf, "qrels", lambda: T.qrels(spark, sf))
 
 
 def tokenize_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +150,7 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 def _hits(spark: SparkSession, sf: str, **kw) -> DataFrame:
     cfg, index = replace(CFG, **kw), _index(spark, sf)
     rr = R.build_reranker(cfg.rerank, index, T.documents(spark, sf), cfg)
-    return R.hybrid(T.queries(spark, sf), T.query_vectors(spark, sf), index, T.vectors(spark, sf), cfg, K, rr)
+    return R.ranked(T.queries(spark, sf), *_lists(spark, sf), cfg, K, rr)
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,12 +161,22 @@ def hybrid_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf, fusion="weighted").select("query_id", F.col("rank").cast("long"), "doc_id", "fused_score")
 
 
+def rerank_without_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The semantic list reranked by a scorer that knows no corpus."""
+    return _hits(spark, sf, mode="semantic", rerank="none").transform(lambda h: R.lexical_rerank(T.queries(spark, sf), h, T.documents(spark, sf), None, K, replace(CFG, lexical_weight=0.5, semantic_weight=0.3, coverage_weight=0.2))).select("query_id", F.col("rank").cast("long"), "doc_id", "rerank_score")
+
+
+def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings as they are read back: per document its terms and length."""
+    return _index(spark, sf).postings.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("dl").cast("long").alias("dl"))
+
+
 def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf, rerank="lexical").select("query_id", F.col("rank").cast("long"), "doc_id", "rerank_score")
 
 
 def _metrics(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    return E.retrieval_metrics(_hits(spark, sf, **kw), T.qrels(spark, sf), T.queries(spark, sf), K)
+    return E.retrieval_metrics(_hits(spark, sf, **kw), _qrels(spark, sf), T.queries(spark, sf), K)
 
 
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +193,7 @@ def retrieval_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missed_relevant(spark: SparkSession, sf: str) -> DataFrame:
-    return E.missed(_hits(spark, sf), T.qrels(spark, sf), K)
+    return E.missed(_hits(spark, sf), _qrels(spark, sf), K)
 
 
 def mode_comparison(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +206,7 @@ def ablation_grid(spark: SparkSession, sf: str) -> DataFrame:
     return E.ablation(overlays, lambda o: E.macro(_metrics(spark, sf, **o)))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, term_stats, corpus_stats, bm25_topk, bm25_filtered, dense_topk, hybrid_rrf, hybrid_weighted, rerank_lexical, retrieval_metrics, retrieval_macro, retrieval_by_category, missed_relevant, mode_comparison, ablation_grid)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, term_stats, corpus_stats, bm25_topk, bm25_filtered, dense_topk, hybrid_rrf, hybrid_weighted, rerank_lexical, rerank_without_index, index_round_trip, retrieval_metrics, retrieval_macro, retrieval_by_category, missed_relevant, mode_comparison, ablation_grid)}
 _W = f"WITH {INDEX_SQL}"
 _ALL = f"{_W}, {bm_sql(POOL)}, {sem_sql(POOL)}, "
 _HY = f"{_ALL} {fuse_sql('rrf')}, hy AS (SELECT query_id, doc_id, fused_rank AS rank FROM ranked WHERE fused_rank <= {K}), {QRELS_SQL}, {metrics_sql('hy', 'mh')}"
@@ -193,6 +227,15 @@ ORACLE = {
     "hybrid_rrf": f"{_ALL} {fuse_sql('rrf')} SELECT query_id, fused_rank AS rank, doc_id, fused_score, CASE WHEN similarity IS NULL THEN 'keyword' WHEN keyword_score IS NULL THEN 'semantic' ELSE 'keyword+semantic' END AS sources FROM ranked WHERE fused_rank <= {K}",
     "hybrid_weighted": f"{_ALL} {fuse_sql('weighted')} SELECT query_id, fused_rank AS rank, doc_id, fused_score FROM ranked WHERE fused_rank <= {K}",
     "rerank_lexical": f"{_ALL} {fuse_sql('rrf')}, {RERANK_SQL} SELECT query_id, rank, doc_id, round(sc, 6) AS rerank_score FROM rer WHERE rank <= {K}",
+    "rerank_without_index": f"""{_ALL} {fuse_sql('rrf')}, s5 AS (SELECT query_id, doc_id, rank AS fused_rank, similarity FROM sem WHERE rank <= {K}),
+dls AS (SELECT s5.*, len(toks) AS dl0, avg(greatest(len(toks), 1)) OVER (PARTITION BY query_id) AS avg0 FROM s5 JOIN toks USING (doc_id)),
+lx1 AS (SELECT query_id, doc_id, sum(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(dl0, 1) / avg0))) AS lex, count(*) AS seen FROM dls JOIN post USING (doc_id) JOIN qt USING (query_id, term) GROUP BY query_id, doc_id),
+nt1 AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY query_id),
+f1 AS (SELECT s5.*, coalesce(round(lex, 9), 0.0) AS l, coalesce(similarity, 0.0) AS s, coalesce(CAST(seen AS DOUBLE) / n_terms, 0.0) AS c FROM s5 LEFT JOIN lx1 USING (query_id, doc_id) LEFT JOIN nt1 USING (query_id)),
+g1 AS (SELECT *, min(l) OVER w AS ll, max(l) OVER w AS lh, min(s) OVER w AS sl, max(s) OVER w AS sh, min(c) OVER w AS cl, max(c) OVER w AS ch FROM f1 WINDOW w AS (PARTITION BY query_id)),
+h1 AS (SELECT *, 0.5 * (CASE WHEN lh - ll < 1e-12 THEN 0.0 ELSE (l - ll) / (lh - ll) END) + 0.3 * (CASE WHEN sh - sl < 1e-12 THEN 0.0 ELSE (s - sl) / (sh - sl) END) + 0.2 * (CASE WHEN ch - cl < 1e-12 THEN 0.0 ELSE (c - cl) / (ch - cl) END) AS sc FROM g1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, fused_rank) AS rank, doc_id, round(sc, 6) AS rerank_score FROM h1""",
+    "index_round_trip": f"{_W} SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, CAST(max(dl) AS BIGINT) AS dl FROM post GROUP BY doc_id",
     "retrieval_metrics": f"{_HY} SELECT * FROM mh",
     "retrieval_macro": f"{_HY} SELECT * FROM {_macro_of('mh')}",
     "retrieval_by_category": f"{_W}, {bm_sql(POOL)}, ks AS (SELECT query_id, doc_id, rank FROM kw), {QRELS_SQL}, {metrics_sql('ks', 'mk')} SELECT CASE WHEN length(b.text) > 300 THEN 'long' ELSE 'short' END AS category, count(*) AS n_queries, {MEANS} FROM mk JOIN benchmark b ON mk.query_id = b.item_id WHERE n_relevant > 0 GROUP BY 1",
