@@ -45,6 +45,7 @@ class AgentConfig:
     max_steps: int = 24
     max_products: int = 4
     max_evidence_chunks: int = 80
+    llm_confidence: float = 0.7
     llm_confidence_threshold: float = 0.55
     word_boundary: bool = False
 
@@ -59,6 +60,11 @@ class GroundingConfig:
     max_note_claims: int = 5
     min_claim_chars: int = 12
     note_chars: int = 160
+    excerpt_chars: int = 500
+    #: Words that containment ignores. None by default, as verdicts then agree
+    #: with the engine that this one replaces; text.GROUNDING_STOPWORDS is the
+    #: list that its documentation names.
+    stopwords: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -29,9 +29,10 @@ def tokenize(text: Column, stopwords: list[str] | None = None) -> Column:
 
 
 def content_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
-    """The set of lower-case runs of three or more, without stopwords."""
+    """The set of lower-case runs of three or more, without stopwords (none
+    unless given: see GroundingConfig)."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{3,}"), 0)
-    return F.array_except(found, words_of(stopwords or GROUNDING_STOPWORDS))
+    return F.array_except(found, words_of(list(stopwords))) if stopwords else F.array_distinct(found)
 
 
 def numbers(text: Column) -> Column:

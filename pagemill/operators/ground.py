@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.config import GroundingConfig
-from pagemill.functions.text import containment, content_tokens, is_refusal, markers, numbers, sentences, shorten, strip, without_markers
+from pagemill.functions.text import containment, content_tokens, excerpt, is_refusal, markers, numbers, sentences, shorten, strip, without_markers
 
+# Headings under which a line concludes, and what a heading is.
 CONCLUSIONS = ["conclusion", "summary", "recommendation", "verdict", "caveat", "note"]
 HEADING = r"^\s*\**\s*[A-Za-z][A-Za-z /-]{2,48}:\**\s*$"
 # The questions asked back.
@@ -20,6 +21,7 @@ QUESTIONS = {
     "multi_step": "Could you split the question so I can verify each part against the policy documents?",
 }
 ANY_QUESTION = "Could you restate the question with the specific term, procedure or product it should be checked against?"
+# How a question back begins.
 NO_EVIDENCE = "No matching policy evidence was retrieved for this question."
 NO_SUPPORT = "No retrieved excerpt supports the key part of this question."
 
@@ -53,9 +55,9 @@ def verify(found: DataFrame, evidence: DataFrame, cfg: GroundingConfig | None =
     support_score and reason. evidence: query_id, marker, text. Numbers that no
     cited text shares contradict before containment can support."""
     cfg = cfg or GroundingConfig()
-    ev = evidence.select("query_id", "marker", content_tokens(F.col("text")).alias("et"), numbers(F.col("text")).alias("en"))
+    ev = evidence.select("query_id", "marker", content_tokens(F.col("text"), cfg.stopwords).alias("et"), numbers(F.col("text")).alias("en"))
     cited = found.select("query_id", "claim_index", "text", F.explode("markers").alias("marker")).join(ev, ["query_id", "marker"])
-    score = cited.withColumn("s", containment(content_tokens(F.col("text")), F.col("et"))).groupBy("query_id", "claim_index").agg(F.max("s").alias("best"), F.array_distinct(F.flatten(F.collect_list("en"))).alias("seen"))
+    score = cited.withColumn("s", containment(content_tokens(F.col("text"), cfg.stopwords), F.col("et"))).groupBy("query_id", "claim_index").agg(F.max("s").alias("best"), F.array_distinct(F.flatten(F.collect_list("en"))).alias("seen"))
     rows = found.join(score, ["query_id", "claim_index"], "left").join(evidence.select("query_id").distinct().withColumn("has", F.lit(True)), "query_id", "left")
     own = numbers(F.col("text"))
     clash = (F.size(own) > 0) & (F.size("seen") > 0) & ~F.arrays_overlap(own, "seen") & F.lit(cfg.number_strict)
@@ -73,15 +75,43 @@ def verify(found: DataFrame, evidence: DataFrame, cfg: GroundingConfig | None =
     return rows.select(*found.columns, verdict.alias("verdict"), F.when(~concl & F.col("best").isNotNull(), F.round("best", 4)).otherwise(0.0).alias("support_score"), reason.alias("reason"))
 
 
+def opinion_prompts(verified: DataFrame, evidence: DataFrame, cfg: GroundingConfig | None = None) -> DataFrame:
+    """(query_id, prompt) of queries with pending verdicts: every excerpt, cut
+    to excerpt_chars, and every claim with what it cites. evidence: query_id,
+    marker, doc_id, text."""
+    cfg = cfg or GroundingConfig()
+    line = F.concat(F.lit("["), F.col("marker").cast("string"), F.lit("] ("), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(")\n"), excerpt(strip(F.col("text")), cfg.excerpt_chars))
+    shown = evidence.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("marker", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("shown"))
+    cites = F.when(F.size("markers") > 0, F.concat(F.lit("["), F.array_join("markers", ", "), F.lit("]"))).otherwise("none")
+    said = F.concat(F.lit("CLAIM "), F.col("claim_index").cast("string"), F.lit(": "), F.col("text"), F.lit(" (cites: "), cites, F.lit(")"))
+    asked = verified.withColumn("pending", F.col("verdict").isin("insufficient", "contradicted")).groupBy("query_id").agg(F.max("pending").alias("pending"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_index", said.alias("l")))), lambda x: x["l"]), "\n").alias("claims")).where("pending")
+    return asked.join(shown, "query_id", "left").select("query_id", F.concat(F.lit("Excerpts:\n"), F.coalesce("shown", F.lit("")), F.lit("\n\nClaims:\n"), F.col("claims"), F.lit("\n\nAnswer one line per claim: CLAIM <number>: supported, contradicted or insufficient")).alias("prompt"))
+
+
+def parse_verdicts(replies: DataFrame) -> DataFrame:
+    """(query_id, claim_index, verdict) of replies (query_id, raw): lines like
+    `CLAIM 3: supported`, in any case, with a colon or a dash; the last one of
+    a claim counts."""
+    pattern = r"(?i)CLAIM\s*(\d+)\s*[:\-]\s*(supported|contradicted|insufficient)"
+    found = replies.select("query_id", F.posexplode(F.regexp_extract_all(F.coalesce("raw", F.lit("")), F.lit(pattern), 0)).alias("i", "m"))
+    each = found.select("query_id", "i", F.regexp_extract("m", pattern, 1).cast("int").alias("claim_index"), F.lower(F.regexp_extract("m", pattern, 2)).alias("verdict"))
+    return each.groupBy("query_id", "claim_index").agg(F.max_by("verdict", "i").alias("verdict"))
+
+
+def merge_verdicts(verified: DataFrame, said: DataFrame) -> DataFrame:
+    """Pending verdicts (insufficient, contradicted) with what was said of them
+    (query_id, claim_index, verdict). A contradiction is lifted by `supported`
+    only; an insufficient claim takes any verdict named; silence changes nothing."""
+    known = said.select("query_id", "claim_index", F.lower(F.trim("verdict")).alias("_v")).where(F.col("_v").isin("supported", "contradicted", "insufficient"))
+    new = F.when((F.col("verdict") == "contradicted") & (F.col("_v") == "supported"), "supported").when((F.col("verdict") == "insufficient") & F.col("_v").isNotNull(), F.col("_v")).otherwise(F.col("verdict"))
+    return verified.join(known, ["query_id", "claim_index"], "left").withColumn("verdict", new).drop("_v")
+
+
 def second_opinion(verified: DataFrame, model) -> DataFrame:
-    """Pending verdicts (insufficient, contradicted) judged again by model, a
-    function of an iterator of pandas frames (query_id, claim_index, text) to
-    frames with verdict. A contradiction is lifted by `supported` only; an
-    insufficient claim takes any verdict named; silence changes nothing."""
+    """merge_verdicts() of what model says: a function of an iterator of pandas
+    frames (query_id, claim_index, text) to frames with verdict."""
     ask = verified.where(F.col("verdict").isin("insufficient", "contradicted")).select("query_id", "claim_index", "text")
-    said = ask.mapInPandas(model, "query_id long, claim_index int, verdict string").select("query_id", "claim_index", F.lower(F.trim("verdict")).alias("_v")).where(F.col("_v").isin("supported", "contradicted", "insufficient"))
-    new = F.when((F.col("verdict") == "contradicted") & (F.col("_v") == "supported"), "supported").when((F.col("verdict") == "insufficient") & F.col("_v").isNotNull(), F.col("_v")).otherwise(F.col("verdict"))
-    return verified.join(said, ["query_id", "claim_index"], "left").withColumn("verdict", new).drop("_v")
+    return merge_verdicts(verified, ask.mapInPandas(model, "query_id long, claim_index int, verdict string"))
 
 
 def clarification(query_type: Column, evidence_count: Column) -> Column:

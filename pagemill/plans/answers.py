@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.config import AgentConfig, GroundingConfig, RetrievalConfig
 from pagemill.functions.text import GROUNDING_STOPWORDS, citation_label
 from pagemill.operators import agent as A
 from pagemill.operators import generate as N
@@ -145,8 +146,25 @@ def aligned_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return N.aligned_evidence(cited, T.documents(spark, sf)).select("query_id", F.col("marker").cast("long"), "doc_id", F.md5("text").alias("text_md5"))
 
 
-def _verified(spark: SparkSession, sf: str) -> DataFrame:
-    return V.verify(_claims(spark, sf), _shown(spark, sf).select("query_id", F.col("rank").alias("marker"), "text"))
+#: The queries below were written for containment without these words.
+WITH_STOPWORDS = GroundingConfig(stopwords=tuple(GROUNDING_STOPWORDS))
+
+
+def _verified(spark: SparkSession, sf: str, cfg: GroundingConfig = WITH_STOPWORDS) -> DataFrame:
+    return V.verify(_claims(spark, sf), _shown(spark, sf).select("query_id", F.col("rank").alias("marker"), "text"), cfg)
+
+
+def verify_claims_all_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The default: every token of three characters counts."""
+    return _verified(spark, sf, GroundingConfig()).select("query_id", F.col("claim_index").cast("long"), "verdict", "support_score")
+
+
+def second_opinions(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies, made from the ids, parsed and merged into the verdicts."""
+    v = _verified(spark, sf)
+    said = F.concat(F.lit("CLAIM 1: SUPPORTED\nclaim 2 - contradicted\nCLAIM 3: maybe\nCLAIM "), (F.col("query_id") % 7).cast("string"), F.lit(": Insufficient\nCLAIM 4: supported"))
+    replies = T.queries(spark, sf).where("query_id % 3 <> 2").select("query_id", said.alias("raw"))
+    return V.merge_verdicts(v, V.parse_verdicts(replies)).select("query_id", F.col("claim_index").cast("long"), "verdict")
 
 
 def verify_claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +178,7 @@ def shape_response(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("query_id", F.md5("final_answer").alias("final_md5"), "abstained", F.round("supported_rate", 3).alias("supported_rate"), "claims", "supported", "contradicted", "insufficient", "clarification")
 
 
-QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, shape_response)}
+QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(QUESTIONS, 1)) + ") v(query_id, query))"
 _L = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
@@ -244,6 +262,8 @@ ci AS (SELECT c.query_id, c.claim_index, c.ct, ev.et, ev.en FROM (SELECT query_i
 cs2 AS (SELECT query_id, claim_index, max(CASE WHEN len(ct) = 0 THEN 0.0 WHEN len(list_intersect(ct, et)) <= 1 AND len(ct) > 1 THEN 0.0 ELSE len(list_intersect(ct, et)) / CAST(len(ct) AS DOUBLE) END) AS best, list_distinct(flatten(list(en))) AS seen FROM ci GROUP BY query_id, claim_index),
 vr AS (SELECT cl.*, {_NUM.format('cl.text')} AS own, best, seen FROM cl LEFT JOIN cs2 USING (query_id, claim_index)),
 vd AS (SELECT *, CASE WHEN kind = 'conclusion' THEN 'not_verified' WHEN best IS NULL THEN 'insufficient' WHEN len(own) > 0 AND len(seen) > 0 AND len(list_intersect(own, seen)) = 0 THEN 'contradicted' WHEN best >= 0.35 THEN 'supported' ELSE 'insufficient' END AS verdict FROM vr)"""
+# every token of three characters, none dropped
+_VER_ALL = _VER.replace(f", lambda z: NOT list_contains({_L(GROUNDING_STOPWORDS)}, z)", ", lambda z: true")
 ORACLE = {
     "product_aliases": f"WITH {_ALIAS} SELECT alias, product FROM al",
     "match_products": f"WITH {_MATCH} SELECT query_id, array_to_string(products, '|') AS products FROM mt",
@@ -265,6 +285,10 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn, CASE WH
     "aligned_evidence": f"""{_ANS}, um AS (SELECT DISTINCT query_id, CAST(unnest(regexp_extract_all(answer, '\\[(\\d{{1,2}})\\]', 1)) AS BIGINT) AS marker FROM ans), ct AS (SELECT um.query_id, marker, doc_id FROM um JOIN shown ON um.query_id = shown.query_id AND marker = rank WHERE marker % 3 <> 1),
 ev AS (SELECT query_id, unnest(range(1, max(marker) + 1)) AS marker FROM ct GROUP BY query_id) SELECT ev.query_id, ev.marker, ct.doc_id, md5(coalesce(d.text, '')) AS text_md5 FROM ev LEFT JOIN ct ON ev.query_id = ct.query_id AND ev.marker = ct.marker LEFT JOIN documents d ON ct.doc_id = d.doc_id""",
     "verify_claims": f"{_VER} SELECT query_id, claim_index, verdict, CASE WHEN kind <> 'conclusion' AND best IS NOT NULL THEN round(best, 4) ELSE 0.0 END AS support_score FROM vd",
+    "verify_claims_all_words": f"{_VER_ALL} SELECT query_id, claim_index, verdict, CASE WHEN kind <> 'conclusion' AND best IS NOT NULL THEN round(best, 4) ELSE 0.0 END AS support_score FROM vd",
+    "second_opinions": f"""{_VER}, rp AS (SELECT item_id AS query_id, [1, 2, item_id % 7, 4] AS ix, ['supported', 'contradicted', 'insufficient', 'supported'] AS vs FROM benchmark WHERE item_id % 3 <> 2),
+sd AS (SELECT query_id, c, arg_max(v, i) AS said FROM (SELECT query_id, i, ix[i] AS c, vs[i] AS v FROM rp, generate_series(1, 4) g(i)) GROUP BY query_id, c)
+SELECT vd.query_id, claim_index, CASE WHEN verdict = 'contradicted' AND said = 'supported' THEN 'supported' WHEN verdict = 'insufficient' AND said IS NOT NULL THEN said ELSE verdict END AS verdict FROM vd LEFT JOIN sd ON vd.query_id = sd.query_id AND vd.claim_index = sd.c""",
     "shape_response": f"""{_VER}, pq AS (SELECT query_id, count(*) AS claims, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'insufficient' AND kind = 'fact') AS insufficient,
   count(*) FILTER (kind = 'fact' AND verdict <> 'not_verified') AS facts, list(line) FILTER ((verdict = 'insufficient' AND kind = 'fact') OR verdict = 'contradicted') AS dropped FROM vd GROUP BY query_id),
 rw AS (SELECT a.query_id, a.answer, coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported, coalesce(contradicted, 0) AS contradicted, coalesce(insufficient, 0) AS insufficient, coalesce(facts, 0) AS facts, coalesce(dropped, []) AS dropped,
