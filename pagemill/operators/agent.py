@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.config import AgentConfig, RetrievalConfig
 from pagemill.functions.text import count_cues, words_of
 from pagemill.operators.index import TermIndex
-from pagemill.operators.retrieve import bm25
+from pagemill.operators.retrieve import bm25, hybrid
 
 # Phrases that mark what a question asks for.
 CUES = {
@@ -23,6 +23,7 @@ CUES = {
     "product_comparison": ["compare", "comparison", "versus", " vs ", "which is better", "which one is better", "difference between", "better than"],
     "recommendation": ["recommend", "suggest", "best policy", "best plan", "which policy should", "which plan should", "best for me", "suitable for", "should i buy"],
 }
+# Words of the domain, and of what lies outside.
 DOMAIN_TERMS = [
     "insurance", "policy", "premium", "claim", "insured", "insurer", "hospital", "hospitalisation", "hospitalization", "network", "cashless", "tpa",
     "irdai", "sum insured", "cover", "coverage", "benefit", "waiting", "exclusion", "exclude", "deductible", "co-payment", "copayment", "renewal",
@@ -34,6 +35,8 @@ OUT_OF_DOMAIN = [
     "stock market", "share price", "cricket", "weather forecast", "recipe", "capital of", "who won", "python code", "write a function", "javascript",
     "football", "movie", "cryptocurrency", "bitcoin",
 ]
+# What a criterion is called, the criteria taken by default, and
+# words for goals and priorities.
 CRITERIA = {
     "coverage": ["cover", "coverage", "benefit"],
     "eligibility": ["eligib", "age"],
@@ -52,6 +55,7 @@ PRIORITIES = {
     "higher sum insured": ["higher sum insured", "high sum insured", "larger cover"],
     "fewer exclusions": ["fewer exclusions", "less exclusions", "minimal exclusions"],
 }
+# Words that name no product.
 ALIAS_STOPWORDS = ["policy", "insurance", "health", "general", "the", "and", "of", "ltd", "limited", "company"]
 #: Families a question can combine, in order of precedence.
 FAMILIES = ["waiting_period", "exclusion", "eligibility", "coverage"]
@@ -170,6 +174,49 @@ def refine(analysis: DataFrame, model, cfg: AgentConfig | None = None) -> DataFr
     return analysis.join(new, "query_id", "left").withColumn("query_type", F.coalesce("_q", "query_type")).withColumn("confidence", F.coalesce("_c", "confidence")).drop("_q", "_c")
 
 
+REPLY = "query_type string, criteria array<string>, products array<string>, requirements struct<age:double,sum_insured:string,coverage_objective:string,priorities:array<string>>"
+
+
+def json_object(raw: Column) -> Column:
+    """What stands from the first brace to the last of a reply, null if none."""
+    return F.nullif(F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def refine_with_replies(analysis: DataFrame, replies: DataFrame, cfg: AgentConfig | None = None) -> DataFrame:
+    """analysis with the rows that replies (query_id, raw) judge anew, where
+    their confidence is below the threshold. A reply is a JSON object somewhere
+    in a text; one that can't be read, or that names no known type, changes
+    nothing. What the rules found of a person's requirements stays, the rest is
+    taken; criteria and products are the reply's where it has any."""
+    cfg = cfg or AgentConfig()
+    said = replies.select("query_id", F.from_json(json_object(F.col("raw")), REPLY).alias("_j")).where("_j is not null").withColumn("_t", F.lower(F.trim("_j.query_type"))).where(F.col("_t").isin("out_of_domain", "multi_step", *CUES))
+    rows = analysis.join(said, "query_id", "left").withColumn("_on", F.col("_t").isNotNull() & (F.col("confidence") < cfg.llm_confidence_threshold))
+    known = F.filter("_j.criteria", lambda c: F.array_contains(words_of(list(CRITERIA)), c))
+    some = lambda new, old: F.when(F.col("_on") & (F.coalesce(F.size(new), F.lit(0)) > 0), new).otherwise(old)
+    pick = lambda old, new: F.when(F.col("_on"), F.coalesce(old, new)).otherwise(old)
+    r, j = F.col("requirements"), F.col("_j.requirements")
+    needs = F.struct(
+        pick(r["age"], j["age"].cast("int")).alias("age"),
+        pick(r["sum_insured"], F.nullif(j["sum_insured"], F.lit(""))).alias("sum_insured"),
+        pick(r["objective"], F.nullif(j["coverage_objective"], F.lit(""))).alias("objective"),
+        F.when(F.col("_on") & (F.size(r["priorities"]) == 0), F.coalesce(j["priorities"], r["priorities"])).otherwise(r["priorities"]).alias("priorities"),
+        r["tenure"].alias("tenure"),
+    )
+    complex_ = F.col("_t").isin("product_comparison", "recommendation", "multi_step")
+    return rows.select(
+        "query_id",
+        "query",
+        F.when(F.col("_on"), F.col("_t")).otherwise(F.col("query_type")).alias("query_type"),
+        F.when(F.col("_on"), F.lit(cfg.llm_confidence)).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(F.col("_on"), complex_).otherwise(F.col("is_complex")).alias("is_complex"),
+        some(known, F.col("criteria")).alias("criteria"),
+        some(F.col("_j.products"), F.col("products")).alias("products"),
+        F.when(F.col("_on"), F.array_append("matched_cues", F.lit("llm"))).otherwise(F.col("matched_cues")).alias("matched_cues"),
+        "detected_types",
+        needs.alias("requirements"),
+    )
+
+
 def plan(analysis: DataFrame, products: list[str], k: int = 5, cfg: AgentConfig | None = None) -> DataFrame:
     """(query_id, step_id, query, product, criteria, top_k) steps; questions out
     of domain or to be clarified have none."""
@@ -205,29 +252,52 @@ def needs_clarification(analysis: DataFrame, steps: DataFrame) -> DataFrame:
     return analysis.where("query_type <> 'out_of_domain'").join(steps.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "query_type")
 
 
-def execute(steps: DataFrame, index: TermIndex, docs: DataFrame, product_col: str, cfg: AgentConfig | None = None, rcfg: RetrievalConfig | None = None) -> DataFrame:
-    """(query_id, step_id, rank, doc_id, score): every step's lexical hits (of
-    its product, where it names one), a document in the first step that has it,
-    at most max_evidence_chunks a query. All steps of all queries are scored in
-    one join on terms; products restrict it by an equi-join."""
+def execute(steps: DataFrame, index: TermIndex, docs: DataFrame, product_col: str, cfg: AgentConfig | None = None, rcfg: RetrievalConfig | None = None, vectors: DataFrame | None = None, step_vectors: DataFrame | None = None, reranker=None) -> DataFrame:
+    """(query_id, step_id, rank, doc_id, score): every step's hits, in the order
+    of steps, a document in the first step that has it.
+
+    Step by step a query may fetch min(top_k, what is left of
+    max_evidence_chunks) hits; those that a step before had are dropped after
+    that and leave their room to later steps. Steps may name a product, a
+    document_id and a chunk_type (columns of docs; null asks for none).
+
+    All steps of all queries are scored in one join on terms and, where
+    vectors and step_vectors (query_id, step_id, embedding) are given, one
+    dense search; what a step asks for restricts the scored rows by equi-joins
+    before they are ranked.
+    """
     cfg, rcfg = cfg or AgentConfig(), rcfg or RetrievalConfig()
+    wants = {"product": product_col, "document_id": "document_id", "chunk_type": "chunk_type"}
+    wants = {w: c for w, c in wants.items() if w in steps.columns and c in docs.columns}
     flat = steps.withColumn("sid", F.struct("query_id", "step_id"))
     by_step = flat.select(F.col("sid").alias("query_id"), "query")
-    wide = _scored(by_step, index, rcfg)
-    kept = (
-        wide.join(flat.select(F.col("sid").alias("query_id"), F.col("product").alias("want"), "top_k"), "query_id")
-        .join(docs.select("doc_id", F.col(product_col).alias("has")), "doc_id")
-        .where(F.col("want").isNull() | (F.col("want") == F.col("has")))
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    hits = kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("top_k")).select("query_id.query_id", "query_id.step_id", "rank", "doc_id", "score")
-    once = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("step_id"))).where("n = 1").drop("n")
-    order = Window.partitionBy("query_id").orderBy("step_id", "rank")
-    return once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cfg.max_evidence_chunks).drop("n")
+    asked = flat.select(F.col("sid").alias("query_id"), *[F.col(w).cast("string").alias(f"want_{w}") for w in wants])
+    have = docs.select("doc_id", *[F.col(c).cast("string").alias(f"has_{w}") for w, c in wants.items()])
+
+    def only(scored: DataFrame) -> DataFrame:
+        rows = scored.join(asked, "query_id").join(have, "doc_id")
+        for w in wants:
+            rows = rows.where(F.col(f"want_{w}").isNull() | (F.col(f"want_{w}") == F.col(f"has_{w}")))
+        return rows.select(*scored.columns)
+
+    most = cfg.max_evidence_chunks
+    if vectors is None or step_vectors is None:
+        hits = bm25(by_step, index, most, rcfg, only=only).select("query_id", "doc_id", "rank", "score")
+    else:
+        asked_vectors = step_vectors.select(F.struct("query_id", "step_id").alias("query_id"), "embedding")
+        found = hybrid(by_step, asked_vectors, index, vectors, rcfg, most, reranker, only=only)
+        hits = found.select("query_id", "doc_id", "rank", F.col("rerank_score" if reranker is not None else "fused_score").alias("score"))
+    lists = hits.select("query_id.query_id", "query_id.step_id", F.struct("rank", "doc_id", "score").alias("h")).groupBy("query_id", "step_id").agg(F.array_sort(F.collect_list("h")).alias("hits"))
+    ordered = steps.select("query_id", "step_id", "top_k").join(lists, ["query_id", "step_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("step_id", "top_k", "hits"))).alias("steps"))
 
+    def fetch(state, step):
+        seen = F.transform(state, lambda x: x["doc_id"])
+        left = F.greatest(F.lit(most) - F.size(state), F.lit(0))
+        fresh = F.filter(F.slice(step["hits"], 1, F.least(step["top_k"].cast("int"), left)), lambda h: ~F.array_contains(seen, h["doc_id"]))
+        return F.concat(state, F.transform(fresh, lambda h: F.struct(step["step_id"].alias("step_id"), h["rank"].alias("rank"), h["doc_id"].alias("doc_id"), h["score"].alias("score"))))
 
-def _scored(queries: DataFrame, index: TermIndex, cfg: RetrievalConfig) -> DataFrame:
-    return bm25(queries, index, 2**31 - 1, cfg)
+    none = F.transform(F.slice(F.get("steps", F.lit(0))["hits"], 1, 0), lambda h: F.struct(F.get("steps", F.lit(0))["step_id"].alias("step_id"), h["rank"].alias("rank"), h["doc_id"].alias("doc_id"), h["score"].alias("score")))
+    return ordered.select("query_id", F.explode(F.aggregate("steps", none, fetch)).alias("x")).select("query_id", "x.*")
 
 
 def by_product(hits: DataFrame, docs: DataFrame, product_col: str) -> DataFrame:

@@ -56,6 +56,30 @@ def generate(queries: DataFrame, evidence: DataFrame, model) -> DataFrame:
     return out.select("query_id", F.coalesce("answer", F.lit(REFUSAL)).alias("answer"), (F.col("answer").isNull() | is_refusal(F.col("answer"))).alias("abstained"))
 
 
+def prompts(queries: DataFrame, blocks: DataFrame, comparison: DataFrame | None = None) -> DataFrame:
+    """(query_id, query, prompt) of evidence blocks (query_id, rank, block);
+    comparison (query_id, products, criteria) heads those that compare."""
+    shown = blocks.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("shown"))
+    rows = queries.select("query_id", "query").join(shown, "query_id")
+    head = F.lit("")
+    if comparison is not None:
+        named = lambda c, none: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(none)
+        rows = rows.join(comparison.select("query_id", "products", "criteria"), "query_id", "left")
+        head = F.when(F.col("products").isNotNull(), F.concat(F.lit("Compare: "), named("products", "(all that are shown)"), F.lit("\nBy: "), named("criteria", "(as asked)"), F.lit("\n\n"))).otherwise("")
+    rules = "\n\nAnswer from these excerpts alone, each statement with the number of its excerpt in brackets. If they hold no answer, say: " + REFUSAL
+    return rows.select("query_id", "query", F.concat(head, F.lit("Excerpts:\n"), F.col("shown"), F.lit("\n\nQuestion: "), F.col("query"), F.lit(rules)).alias("prompt"))
+
+
+def comparison_blocks(hits: DataFrame, wanted: DataFrame | None = None, cfg: GenerationConfig | None = None) -> DataFrame:
+    """hits (query_id, product, rank, label, text) in turns of one a product,
+    numbered anew, with the block shown for each as far as comparison_chars
+    reach; rank is the new number."""
+    cfg = cfg or GenerationConfig()
+    named = hits.withColumn("product", F.coalesce(F.nullif("product", F.lit("")), F.lit("(unspecified)")))
+    turns = interleave(named, wanted).withColumn("rank", F.col("marker")).drop("marker")
+    return evidence_blocks(turns, cfg, cfg.comparison_chars)
+
+
 def citations(answers: DataFrame, shown: DataFrame) -> DataFrame:
     """(query_id, marker, doc_id) of the markers in answers that name a shown
     block (query_id, rank, doc_id); others don't resolve."""

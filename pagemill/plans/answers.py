@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pagemill.config import AgentConfig, GroundingConfig, RetrievalConfig
 from pagemill.functions.text import GROUNDING_STOPWORDS, citation_label
 from pagemill.operators import agent as A
+from pagemill.operators import answer as W
 from pagemill.operators import generate as N
 from pagemill.operators import ground as V
 from pagemill.operators import retrieve as R
 from pagemill.plans import retrieval as P
 from pagemill.plans import tables as T
+from pagemill.sources import store
 
 PRODUCTS = ["Aurora Health Shield", "Borealis Care Plan", "Cedar Family Floater", "my:Delta Secure", "Aurora Travel Guard"]
 QUESTIONS = [
@@ -74,10 +76,12 @@ def clarifications(spark: SparkSession, sf: str) -> DataFrame:
     return A.needs_clarification(a, A.plan(a, PRODUCTS))
 
 
-def _executed(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.documents(spark, sf)
-    steps = T.queries(spark, sf).select("query_id", "query", F.posexplode(F.array(F.lit(None).cast("string"), F.lit("src0"), F.lit("src1"))).alias("i", "product")).select("query_id", (F.col("i") + 1).alias("step_id"), "query", "product", F.lit(4).alias("top_k"))
-    return A.execute(steps, P._index(spark, sf), d, "source")
+def _executed(spark: SparkSession, sf: str, cfg: AgentConfig | None = None) -> DataFrame:
+    return A.execute(_steps(spark, sf), P._index(spark, sf), T.documents(spark, sf), "source", cfg)
+
+
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    return T.queries(spark, sf).select("query_id", "query", F.posexplode(F.array(F.lit(None).cast("string"), F.lit("src0"), F.lit("src1"))).alias("i", "product")).select("query_id", (F.col("i") + 1).alias("step_id"), "query", "product", F.lit(4).alias("top_k"))
 
 
 def execute_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,10 +94,14 @@ def evidence_by_product(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _shown(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight hits a query with their texts. The hits, a few rows a query, are
-    kept: what is answered, claimed and cited all starts from them."""
+    """Eight hits a query with their texts; written once, as what is answered,
+    claimed and cited all starts from them."""
+    return P._kept(spark, sf, "shown", lambda: _eight(spark, sf))
+
+
+def _eight(spark: SparkSession, sf: str) -> DataFrame:
     d = T.documents(spark, sf)
-    hits = R.bm25(T.queries(spark, sf), P._index(spark, sf), 8, P.CFG).select("query_id", "rank", "doc_id").persist()
+    hits = R.bm25(T.queries(spark, sf), P._index(spark, sf), 8, P.CFG).select("query_id", "rank", "doc_id")
     label = citation_label(F.col("source"), F.lit(None).cast("string"), F.col("doc_id").cast("string"), F.lit(1), F.lit(1), F.col("lang"), F.lit(None).cast("array<string>"))
     return hits.join(d.select("doc_id", "text", "source", label.alias("label")), "doc_id")
 
@@ -178,7 +186,87 @@ def shape_response(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("query_id", F.md5("final_answer").alias("final_md5"), "abstained", F.round("supported_rate", 3).alias("supported_rate"), "claims", "supported", "contradicted", "insufficient", "clarification")
 
 
-QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
+def execute_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps of execute_plan with room for seven hits a query: later steps
+    fetch what is left, and lose what earlier ones had."""
+    return _executed(spark, sf, AgentConfig(max_evidence_chunks=7)).select("query_id", "step_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
+
+
+def execute_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The same steps over both retrievers, each within the step's source."""
+    steps = _steps(spark, sf)
+    v = T.query_vectors(spark, sf).join(steps.select("query_id", "step_id"), "query_id")
+    got = A.execute(steps, P._index(spark, sf), T.documents(spark, sf), "source", AgentConfig(max_evidence_chunks=9), RetrievalConfig(), T.vectors(spark, sf), v)
+    return got.select("query_id", "step_id", F.col("rank").cast("long"), "doc_id", "score")
+
+
+def refine_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Analyses of the questions, unsure ones refined by replies of all kinds."""
+    reply = (
+        F.when(F.col("query_id") % 4 == 0, 'Sure: {"query_type": " Exclusion ", "criteria": ["coverage", "colour"], "products": ["X"], "requirements": {"age": 41, "sum_insured": "5 lakh", "priorities": ["p"]}} ok')
+        .when(F.col("query_id") % 4 == 1, "no object here")
+        .when(F.col("query_id") % 4 == 2, '{"query_type": "bogus"}')
+        .otherwise('{"query_type": "multi_step", "criteria": []}')
+    )
+    a = _analysis(spark)
+    r = A.refine_with_replies(a, a.select("query_id", reply.alias("raw")), AgentConfig(llm_confidence_threshold=0.7))
+    return r.select("query_id", "query_type", "confidence", "is_complex", *[F.array_join(c, "|").alias(c) for c in ("criteria", "products", "matched_cues")], F.col("requirements.age").alias("age"), F.col("requirements.sum_insured").alias("sum_insured"), F.array_join("requirements.priorities", "|").alias("priorities"))
+
+
+def _said(spark: SparkSession, sf: str) -> DataFrame:
+    """What users say in the conversations, as questions."""
+    return T.table(spark, sf, "conversations").where("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.element_at(F.array(*[F.lit(x) for x in _OPENINGS]), (F.col("conv_id") % len(_OPENINGS) + 1).cast("int")), F.col("text")).alias("query"))
+
+
+_OPENINGS = ["", "What is the waiting period for ", "Compare Cedar Family Floater and my:Delta Secure on ", "recommend a plan with 10 lakh cover, age: 45, for ", "Are these exclusions and is the entry age fine: ", "who won "]
+
+
+def analyze_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    q = _said(spark, sf)
+    a = A.analyze(q, A.match_products(q, A.product_aliases(_products(spark))))
+    return a.select("query_id", "query_type", "confidence", "is_complex", F.array_join("criteria", "|").alias("criteria"), F.array_join("products", "|").alias("products"), F.col("requirements.age").alias("age"), F.col("requirements.sum_insured").alias("sum_insured"))
+
+
+def plan_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """How many steps each question takes, and on which products."""
+    q = _said(spark, sf)
+    steps = A.plan(A.analyze(q, A.match_products(q, A.product_aliases(_products(spark)))), PRODUCTS)
+    return steps.groupBy("query_id").agg(F.count("*").alias("n_steps"), F.count_distinct("product").alias("n_products"), F.sum(F.length("query")).cast("long").alias("chars"))
+
+
+SOURCES = ["src0", "src1", "src2", "src3"]
+_ASKED = ["Is this covered: ", "", "Compare the policies src1 and src2 on coverage of ", "recommend something like "]
+
+
+def _questions_of_all_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    opening = F.element_at(F.array(*[F.lit(x) for x in _ASKED]), (F.col("query_id") % len(_ASKED) + 1).cast("int"))
+    return T.queries(spark, sf).select("query_id", F.concat(opening, F.col("query")).alias("query"))
+
+
+def _corpus(spark: SparkSession, sf: str) -> W.Corpus:
+    return W.Corpus(T.documents(spark, sf), P._index(spark, sf), "source", SOURCES)
+
+
+def _run(spark: SparkSession, sf: str) -> W.Run:
+    return store.once(spark, ("run", sf), lambda: W.run(_questions_of_all_kinds(spark, sf), _corpus(spark, sf)))
+
+
+def answer_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(spark, sf).routed.select("query_id", "query_type", "route", "n_steps", F.md5("short_answer").alias("short_md5"))
+
+
+def agent_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of all kinds through the pipeline without a claim check."""
+    return W.unverified(_run(spark, sf)).select("query_id", "query_type", "route", F.md5("final_answer").alias("final_md5"), "abstained", F.md5("clarification").alias("clarification_md5"), "evidence_count", "n_citations")
+
+
+def answer_and_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with their claims checked."""
+    out = W.verified(_run(spark, sf), _corpus(spark, sf))
+    return out.select("query_id", "query_type", "route", F.md5("final_answer").alias("final_md5"), "abstained", "evidence_count", "claims", "supported", "contradicted", "insufficient", F.round("supported_rate", 3).alias("supported_rate"))
+
+
+QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(QUESTIONS, 1)) + ") v(query_id, query))"
 _L = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
@@ -228,6 +316,48 @@ kws AS (SELECT query_id, doc_id, round(sum(qtf * idf * {P.NORM}), 9) AS score FR
 st AS (SELECT * FROM (VALUES (1, NULL), (2, 'src0'), (3, 'src1')) v(step_id, product)),
 sh AS (SELECT query_id, step_id, doc_id, score, source, row_number() OVER (PARTITION BY query_id, step_id ORDER BY score DESC, doc_id) AS rank FROM kws JOIN documents USING (doc_id), st WHERE product IS NULL OR product = source),
 ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY step_id) AS n FROM sh WHERE rank <= 4) WHERE n = 1)"""
+# Rule by rule: step 1 fetches its first hits; step 2 as many as are left of the
+# room, less those that step 1 had; step 3 likewise.
+def _budget_sql(lists: str, room: int, top: int) -> str:
+    """bud (query_id, step_id, rank, doc_id, score) of ranked hits of three steps."""
+    return f"""
+b1 AS (SELECT * FROM {lists} WHERE step_id = 1 AND rank <= least({top}, {room})),
+n1 AS (SELECT item_id AS query_id, (SELECT count(*) FROM b1 WHERE b1.query_id = item_id) AS n FROM benchmark),
+b2 AS (SELECT l.* FROM {lists} l JOIN n1 ON l.query_id = n1.query_id WHERE step_id = 2 AND rank <= least({top}, {room} - n) AND NOT EXISTS (SELECT 1 FROM b1 WHERE b1.query_id = l.query_id AND b1.doc_id = l.doc_id)),
+n2 AS (SELECT n1.query_id, n + (SELECT count(*) FROM b2 WHERE b2.query_id = n1.query_id) AS n FROM n1),
+b3 AS (SELECT l.* FROM {lists} l JOIN n2 ON l.query_id = n2.query_id WHERE step_id = 3 AND rank <= least({top}, {room} - n) AND NOT EXISTS (SELECT 1 FROM b1 WHERE b1.query_id = l.query_id AND b1.doc_id = l.doc_id) AND NOT EXISTS (SELECT 1 FROM b2 WHERE b2.query_id = l.query_id AND b2.doc_id = l.doc_id)),
+bud AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)"""
+
+
+_HYB = f"""WITH {P.INDEX_SQL},
+st AS (SELECT * FROM (VALUES (1, NULL), (2, 'src0'), (3, 'src1')) v(step_id, product)),
+kws AS (SELECT query_id, doc_id, round(sum(qtf * idf * {P.NORM}), 9) AS score FROM qt JOIN ts USING (term) JOIN post USING (term), cs GROUP BY query_id, doc_id),
+sims AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(v.embedding, lambda x: CAST(x AS DOUBLE))), 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+li AS (SELECT *, row_number() OVER (PARTITION BY src, query_id, step_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT src, query_id, step_id, doc_id, score FROM (SELECT 0 AS src, * FROM sims UNION ALL SELECT 1, * FROM kws) JOIN documents USING (doc_id), st WHERE product IS NULL OR product = source)),
+fu AS (SELECT query_id, step_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(src * 1000 + rank) AS seen FROM li WHERE rank <= 20 GROUP BY query_id, step_id, doc_id),
+fr AS (SELECT query_id, step_id, doc_id, score, row_number() OVER (PARTITION BY query_id, step_id ORDER BY score DESC, seen, doc_id) AS rank FROM fu)"""
+_REPLY = "[CASE query_id % 4 WHEN 0 THEN 'exclusion' WHEN 3 THEN 'multi_step' END][1]"
+_OPEN = lambda xs: f"{_L(xs)}"
+_SAID = f"q AS (SELECT conv_id * 1000 + turn AS query_id, {_L(_OPENINGS)}[conv_id % {len(_OPENINGS)} + 1] || text AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL)"
+_KINDS = f"q AS (SELECT item_id AS query_id, {_L(_ASKED)}[item_id % {len(_ASKED)} + 1] || text AS query FROM benchmark)"
+_KPLAN = _PLAN.replace(_Q, _KINDS).replace(_L(PRODUCTS), _L(SOURCES)).replace(_ALLP, _L(SOURCES))
+_ROUTE = f"""{_KPLAN}, ns AS (SELECT query_id, count(*) AS n_steps FROM steps GROUP BY query_id),
+rt AS (SELECT an.query_id, an.query, query_type, coalesce(n_steps, 0) AS n_steps, CASE WHEN query_type = 'out_of_domain' THEN 'out_of_domain' WHEN n_steps IS NULL THEN 'clarify' ELSE 'retrieve' END AS route FROM an LEFT JOIN ns ON an.query_id = ns.query_id),
+ro AS (SELECT *, CASE WHEN route = 'clarify' THEN CASE WHEN query_type = 'product_comparison' THEN '{W.ASK_PRODUCTS}' ELSE '{W.ASK_NEEDS.replace("'", "''")}' END END AS ask FROM rt),
+r1 AS (SELECT *, CASE WHEN route = 'out_of_domain' THEN '{W.OUT_OF_DOMAIN}' ELSE ask END AS short FROM ro)"""
+_KRUN = f"""{_ROUTE}, {P.INDEX_SQL.replace("qt AS", "qt_unused AS")},
+stq AS (SELECT query_id, step_id, term, count(*) AS qtf FROM (SELECT query_id, step_id, unnest({P.tok('query')}) AS term FROM steps) GROUP BY query_id, step_id, term),
+sk AS (SELECT stq.query_id, step_id, doc_id, round(sum(qtf * idf * {P.NORM}), 9) AS score FROM stq JOIN ts USING (term) JOIN post USING (term), cs GROUP BY stq.query_id, step_id, doc_id),
+sr AS (SELECT sk.*, row_number() OVER (PARTITION BY sk.query_id, sk.step_id ORDER BY score DESC, sk.doc_id) AS rank FROM sk JOIN steps ON sk.query_id = steps.query_id AND sk.step_id = steps.step_id JOIN documents d ON sk.doc_id = d.doc_id WHERE steps.product IS NULL OR steps.product = d.source),
+so AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY step_id) AS first FROM sr WHERE rank <= 5) WHERE first = 1),
+shown AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY step_id, rank) AS rank, doc_id, text FROM so JOIN documents USING (doc_id)),
+s6 AS (SELECT query_id, rank, list_filter(list_transform(string_split(replace(trim(text), chr(10), ' '), '. '), lambda s: trim(s)), lambda s: length(s) >= 15)[1:2] AS l FROM shown WHERE rank <= 6),
+pt AS (SELECT query_id, rank, array_to_string(list_transform(l, lambda s: regexp_replace(s, '\\.+$', '') || '. [' || rank || ']'), chr(10)) AS part FROM s6 WHERE len(l) > 0),
+ea AS (SELECT r1.query_id, string_agg(part, chr(10) ORDER BY rank) AS answer FROM r1 LEFT JOIN pt ON r1.query_id = pt.query_id WHERE route = 'retrieve' GROUP BY r1.query_id),
+ans AS (SELECT query_id, coalesce(answer, '{N.REFUSAL}') AS answer, answer IS NULL AS declined FROM ea),
+ec AS (SELECT query_id, count(*) AS evidence_count FROM shown GROUP BY query_id),
+um AS (SELECT DISTINCT query_id, CAST(unnest(regexp_extract_all(answer, '\\[(\\d{{1,2}})\\]', 1)) AS BIGINT) AS marker FROM ans),
+nc AS (SELECT um.query_id, count(*) AS n_citations FROM um JOIN shown ON um.query_id = shown.query_id AND marker = rank GROUP BY um.query_id)"""
 _SHOWN = f"WITH {P.INDEX_SQL}, {P.bm_sql(8)}, shown AS (SELECT query_id, rank, doc_id, text, source, source || ' — p. 1 — ' || lang AS label FROM kw JOIN documents USING (doc_id))"
 _ANS = f"""{_SHOWN},
 s6 AS (SELECT query_id, rank, list_filter(list_transform(string_split(replace(trim(text), chr(10), ' '), '. '), lambda s: trim(s)), lambda s: length(s) >= 15)[1:2] AS l FROM shown WHERE rank <= 6),
@@ -264,6 +394,15 @@ vr AS (SELECT cl.*, {_NUM.format('cl.text')} AS own, best, seen FROM cl LEFT JOI
 vd AS (SELECT *, CASE WHEN kind = 'conclusion' THEN 'not_verified' WHEN best IS NULL THEN 'insufficient' WHEN len(own) > 0 AND len(seen) > 0 AND len(list_intersect(own, seen)) = 0 THEN 'contradicted' WHEN best >= 0.35 THEN 'supported' ELSE 'insufficient' END AS verdict FROM vr)"""
 # every token of three characters, none dropped
 _VER_ALL = _VER.replace(f", lambda z: NOT list_contains({_L(GROUNDING_STOPWORDS)}, z)", ", lambda z: true")
+_KVER = f"""{_KRUN}, stood AS (SELECT query_id, answer FROM ans WHERE NOT declined), {_claims_sql('stood')},
+ev AS (SELECT query_id, rank AS marker, {_ct('text').replace(f", lambda z: NOT list_contains({_L(GROUNDING_STOPWORDS)}, z)", ", lambda z: true")} AS et, {_NUM.format('text')} AS en FROM shown),
+{_VER_ALL[_VER_ALL.index("ci AS ("):]}, pq AS (SELECT query_id, count(*) AS claims, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'insufficient' AND kind = 'fact') AS insufficient,
+  count(*) FILTER (kind = 'fact' AND verdict <> 'not_verified') AS facts, list(line) FILTER ((verdict = 'insufficient' AND kind = 'fact') OR verdict = 'contradicted') AS dropped FROM vd GROUP BY query_id),
+rw AS (SELECT a.query_id, a.answer, declined, coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported, coalesce(contradicted, 0) AS contradicted, coalesce(insufficient, 0) AS insufficient, coalesce(facts, 0) AS facts, coalesce(dropped, []) AS dropped,
+  coalesce(CAST(supported AS DOUBLE) / nullif(facts, 0), 0.0) AS rate, contains(lower(a.answer), 'do not contain this information') AS refused FROM ans a LEFT JOIN pq USING (query_id)),
+fl AS (SELECT rw.*, claims = 0 AS silent, facts > 0 AND (supported = 0 OR rate < 0.5) AS weak, CASE WHEN coalesce(evidence_count, 0) = 0 THEN '{V.NO_EVIDENCE} ' ELSE '{V.NO_SUPPORT} ' END || CASE query_type {" ".join("WHEN '" + k + "' THEN '" + v.replace("'", "''") + "'" for k, v in V.QUESTIONS.items())} ELSE '{V.ANY_QUESTION}' END AS back,
+  trim(array_to_string(list_filter(string_split(answer, chr(10)), lambda x, i: NOT list_contains(dropped, i) AND trim(x) <> ''), chr(10))) AS kept FROM rw JOIN r1 ON rw.query_id = r1.query_id LEFT JOIN ec ON rw.query_id = ec.query_id),
+fi AS (SELECT *, NOT declined AND ((silent AND NOT refused) OR (NOT silent AND weak)) AS asks FROM fl)"""
 ORACLE = {
     "product_aliases": f"WITH {_ALIAS} SELECT alias, product FROM al",
     "match_products": f"WITH {_MATCH} SELECT query_id, array_to_string(products, '|') AS products FROM mt",
@@ -272,6 +411,19 @@ ORACLE = {
     "plan_steps": f"WITH {_PLAN} SELECT query_id, CAST(step_id AS INT) AS step_id, query, product, criteria, CAST(5 AS INT) AS top_k FROM steps",
     "clarifications": f"WITH {_PLAN} SELECT query_id, query_type FROM an WHERE query_type <> 'out_of_domain' AND query_id NOT IN (SELECT query_id FROM steps)",
     "execute_plan": f"{_EXEC} SELECT query_id, step_id, rank, doc_id, round(score, 6) AS score FROM ex",
+    "execute_budget": f"{_EXEC}, {_budget_sql('sh', 7, 4)} SELECT query_id, step_id, rank, doc_id, round(score, 6) AS score FROM bud",
+    "execute_hybrid": f"{_HYB}, {_budget_sql('fr', 9, 4)} SELECT query_id, step_id, rank, doc_id, score FROM bud",
+    "refine_replies": f"""WITH {_ANALYZE}, {_REQ}, j AS (SELECT an.*, rq.age, rq.sum_insured, rq.priorities, confidence < 0.7 AND query_id % 4 IN (0, 3) AS turned FROM an JOIN rq USING (query_id))
+SELECT query_id, CASE WHEN NOT turned THEN query_type WHEN query_id % 4 = 0 THEN 'exclusion' ELSE 'multi_step' END AS query_type, CASE WHEN turned THEN 0.7::DOUBLE ELSE confidence END AS confidence, CASE WHEN turned THEN query_id % 4 = 3 ELSE is_complex END AS is_complex,
+CASE WHEN turned AND query_id % 4 = 0 THEN 'coverage' ELSE array_to_string(criteria, '|') END AS criteria, CASE WHEN turned AND query_id % 4 = 0 THEN 'X' ELSE array_to_string(products, '|') END AS products, array_to_string(CASE WHEN turned THEN matched || ['llm'] ELSE matched END, '|') AS matched_cues,
+CASE WHEN turned AND query_id % 4 = 0 THEN coalesce(age, 41) ELSE age END AS age, CASE WHEN turned AND query_id % 4 = 0 THEN coalesce(sum_insured, '5 lakh') ELSE sum_insured END AS sum_insured, CASE WHEN turned AND query_id % 4 = 0 AND len(priorities) = 0 THEN 'p' ELSE array_to_string(priorities, '|') END AS priorities FROM j""",
+    "analyze_conversations": f"WITH {_ANALYZE}, {_REQ} SELECT an.query_id, query_type, confidence, is_complex, array_to_string(criteria, '|') AS criteria, array_to_string(products, '|') AS products, age, sum_insured FROM an JOIN rq USING (query_id)".replace(_Q, _SAID),
+    "plan_conversations": f"WITH {_PLAN} SELECT query_id, count(*) AS n_steps, count(DISTINCT product) AS n_products, CAST(sum(length(query)) AS BIGINT) AS chars FROM steps GROUP BY query_id".replace(_Q, _SAID),
+    "answer_routes": f"WITH {_ROUTE} SELECT query_id, query_type, route, n_steps, md5(short) AS short_md5 FROM r1",
+    "agent_answers": f"WITH {_KRUN} SELECT r1.query_id, query_type, route, md5(coalesce(short, answer)) AS final_md5, coalesce(declined, true) AS abstained, md5(ask) AS clarification_md5, coalesce(evidence_count, 0) AS evidence_count, coalesce(n_citations, 0) AS n_citations FROM r1 LEFT JOIN ans ON r1.query_id = ans.query_id LEFT JOIN ec ON r1.query_id = ec.query_id LEFT JOIN nc ON r1.query_id = nc.query_id",
+    "answer_and_verify": f"""WITH {_KVER} SELECT r1.query_id, r1.query_type, r1.route, md5(coalesce(r1.short, CASE WHEN asks THEN 'I could not verify an answer. ' || back WHEN NOT declined AND insufficient + contradicted > 0 AND kept <> '' THEN kept ELSE answer END)) AS final_md5,
+coalesce(declined OR silent OR weak, true) AS abstained, coalesce(ec.evidence_count, 0) AS evidence_count, coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported, coalesce(contradicted, 0) AS contradicted, coalesce(insufficient, 0) AS insufficient, coalesce(round(round(rate, 4), 3), 0.0) AS supported_rate
+FROM r1 LEFT JOIN fi ON r1.query_id = fi.query_id LEFT JOIN ec ON r1.query_id = ec.query_id""",
     "evidence_by_product": f"{_EXEC} SELECT query_id, source AS product, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY step_id, rank) AS doc_ids FROM ex GROUP BY query_id, source",
     "evidence_budget": f"""{_SHOWN}, bl AS (SELECT query_id, rank, doc_id, '[' || rank || '] Source: ' || label || chr(10) || CASE WHEN length(text) > 1200 THEN rtrim(left(text, 1200)) || '…' ELSE text END AS block FROM shown),
 u AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_chars FROM bl) SELECT query_id, rank, doc_id, used_chars, md5(block) AS block_md5 FROM u WHERE used_chars <= 6000 OR rank = 1""",
