@@ -122,9 +122,16 @@ PRODUCTS = [
     (r"activ\s*one", "Activ One"),
 ]
 FILE_INSURERS = [
-    (["hdfc"], 0), (["niva", "nbhl", "reassure"], 1), (["care", "chihlip"], 2), (["icici"], 3), (["star"], 4),
-    (["digit"], 5), (["tata"], 6), (["aditya", "birla"], 7), (["newindia", "policyclause"], 8),
-]
+    (["hdfc"], "HDFC ERGO General Insurance Company Limited"),
+    (["niva", "nbhl", "reassure"], "Niva Bupa Health Insurance Company Limited"),
+    (["care", "chihlip"], "Care Health Insurance Limited"),
+    (["icici"], "ICICI Lombard General Insurance Company Limited"),
+    (["star"], "Star Health and Allied Insurance Company Limited"),
+    (["digit"], "Go Digit General Insurance Limited"),
+    (["tata"], "Tata AIG General Insurance Company Limited"),
+    (["aditya", "birla"], "Aditya Birla Health Insurance Company Limited"),
+    (["newindia", "policyclause"], "The New India Assurance Company Limited"),
+]
 FILE_PRODUCTS = [
     (["optima"], "my:Optima Secure"), (["reassure"], "ReAssure 2.0"), (["ultimate"], "Ultimate Care"), (["elevate"], "Elevate"),
     (["star", "comprehensive"], "Star Comprehensive"), (["digit"], "Digit Health Insurance Policy"), (["medicare", "tata"], "MediCare"),
@@ -169,7 +176,7 @@ def metadata(text: str, filename: str) -> dict[str, Column]:
     in_text = F.coalesce(F.get(valid, F.lit(0)), F.get(uins, F.lit(0)))
     in_file = F.nullif(F.regexp_extract(f, r"([A-Z]{3,6}LIP\d+[A-Z]?\d+)", 1), F.lit(""))
     insurer = _first([(low.contains(k), v) for k, v in INSURERS])
-    file_insurer = _first([(_any(flow, ks), INSURERS[i][1]) for ks, i in FILE_INSURERS])
+    file_insurer = _first([(_any(flow, ks), name) for ks, name in FILE_INSURERS])
     label = F.regexp_extract(t, r"(?is)Product\s*(?:Name)?\s*[:\-]?\s*\n?\s*(.+?)(?:\n|$)", 1)
     label = strip(F.regexp_replace(F.regexp_replace(label, r"(?s)\s*[Uu][Ii][Nn]\s*.*", ""), r"(?s)\s*Product\s*.*", ""))
     label = strip(F.regexp_replace(label, "[;,]+$", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import blocks as B
+from pagemill.functions import pages as H
 from pagemill.functions.text import clause_number, has_unicode_issues, normalize_text, strip
 
 
@@ -149,21 +150,113 @@ def ocr_confidence(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("document_id", "page_number").agg(F.avg("confidence").alias("ocr_confidence_mean"), F.min("confidence").alias("ocr_confidence_min"))
 
 
+def numbered(df: DataFrame, by: str, parts: int = 64) -> DataFrame:
+    """df with n, its rows' place from 1 in the order of `by` (no two alike).
+
+    Rows are dealt into ranges at the values of a small sample, numbered within
+    their range, and moved by the ranges before; where the cuts fall changes
+    the work, not the numbers."""
+    sample = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).orderBy(F.xxhash64(by), by).limit(20 * parts).collect()]
+    cuts = sorted(sample)[20::20]
+    at = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(by)))
+    rows = df.withColumn("_r", F.coalesce(at, F.lit(0)))
+    sizes = rows.groupBy("_r").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_size").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_r", "_b")  # a row a range
+    own = F.row_number().over(Window.partitionBy("_r").orderBy(by))
+    return rows.withColumn("_o", own).join(F.broadcast(before), "_r").withColumn("n", (F.col("_b") + F.col("_o")).cast("int")).drop("_r", "_o", "_b")
+
+
 def registry(files: DataFrame) -> DataFrame:
     """Registry rows of (path, text[, checksum]): ids by sorted path, metadata,
-    and the first earlier document with the same content."""
+    the first earlier document with the same content, and the first earlier one
+    with the same policy number."""
     out = files.withColumn("filename", F.regexp_extract("path", r"([^/]*)$", 1))
     for k, v in B.metadata("text", "filename").items():
         out = out.withColumn(k, v)
     if "checksum" not in out.columns:
         out = out.withColumn("checksum", F.sha2(F.coalesce("text", F.lit("")), 256))
-    # the corpus's file list is what one driver could list; ids need its total order
-    out = out.withColumn("n", F.row_number().over(Window.orderBy("path")))
-    first = out.groupBy("checksum").agg(F.min("n").alias("first"))
+    out = numbered(out, "path")
     name = lambda c: F.format_string("DOC-%03d", c)
-    out = out.join(first, "checksum").withColumn("duplicate_of", F.when(F.col("first") < F.col("n"), name(F.col("first"))))
-    flags = F.when(F.col("duplicate_of").isNotNull(), F.array_append("review_flags", F.lit("exact_duplicate"))).otherwise(F.col("review_flags"))
-    return out.select(name(F.col("n")).alias("document_id"), "path", "filename", "insurer", "product", "uin", "document_type", "version", "checksum", "duplicate_of", flags.alias("review_flags"))
+    for key, into in (("checksum", "duplicate_of"), ("uin", "variant_of")):
+        first = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("n").alias("_f"))
+        out = out.join(first, key, "left").withColumn(into, F.when(F.col("_f") < F.col("n"), name(F.col("_f")))).drop("_f")
+    flags = F.concat("review_flags", F.array_compact(F.array(F.when(F.col("variant_of").isNotNull(), F.concat(F.lit("possible_version_variant_of_"), F.col("variant_of"))), F.when(F.col("duplicate_of").isNotNull(), F.lit("exact_duplicate")))))
+    return out.select(name(F.col("n")).alias("document_id"), "path", "filename", "insurer", "product", "uin", "document_type", "version", "checksum", "duplicate_of", "variant_of", flags.alias("review_flags"))
+
+
+def with_status(rows: DataFrame, outcome: DataFrame | None = None) -> DataFrame:
+    """Registry rows stamped with the time, `pending` or, given the outcome
+    (document_id, status), as it says; a document without one has failed."""
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    rows = rows.withColumn("ingested_at", stamp)
+    if outcome is None:
+        return rows.withColumn("status", F.lit("pending"))
+    rows = rows.drop("status")
+    return rows.join(outcome.select("document_id", "status"), "document_id", "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+
+
+def cover_texts(pages: DataFrame, first: int = 5, typed: int = 2) -> DataFrame:
+    """(document_id, cover_text, first_text) of pages (document_id, page_number,
+    text): the first `first` pages and the last, joined by lines, from which
+    metadata are read; the first `typed`, which tell the document's type."""
+    last = pages.groupBy("document_id").agg(F.max("page_number").alias("_last"))
+    # page numbers decide, so that all other pages are left out before they meet
+    some = pages.join(last, "document_id").where((F.col("page_number") <= first) | (F.col("page_number") == F.col("_last")))
+    got = some.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("t")))).alias("l"))
+    text = lambda l: F.array_join(F.transform(l, lambda x: x["t"]), "\n")
+    return got.select("document_id", text(F.col("l")).alias("cover_text"), text(F.filter("l", lambda x: x["page_number"] <= typed)).alias("first_text"))
+
+
+def detected_tables(blocks: DataFrame, raw_indent: bool = False) -> DataFrame:
+    """(document_id, page_number, reading_order, text, detection_method,
+    has_unicode_issues) of blocks that are tables, their text cleaned."""
+    found = blocks.withColumn("detection_method", H.table_method(F.col("text"), raw_indent)).where("detection_method is not null")
+    clean = H.clean_table(F.left("text", F.lit(1000)), 1000)
+    return found.select("document_id", "page_number", "reading_order", F.left(clean, F.lit(500)).alias("text"), "detection_method", clean.contains("\ufffd").alias("has_unicode_issues"))
+
+
+def page_signals(blocks: DataFrame, raw_indent: bool = False) -> DataFrame:
+    """Per page: characters, how many blocks look tabular, whether a line
+    begins a numbered clause, whether one is a heading."""
+    t = F.coalesce("text", F.lit(""))
+    rows = blocks.select("document_id", "page_number", F.length(t).alias("n"), H.looks_tabular(t, raw_indent).alias("tab"), H.has_clauses(t).alias("clause"), H.has_heading_line(t).alias("head"))
+    return rows.groupBy("document_id", "page_number").agg(F.sum("n").alias("char_count"), F.count_if("tab").alias("n_tables"), F.max("tab").alias("has_tables"), F.max("clause").alias("has_numbered_clauses"), F.max("head").alias("has_headings"))
+
+
+def normalize_pages(blocks: DataFrame, ocr: DataFrame | None = None, share: float = 1 / 3) -> DataFrame:
+    """Extracted blocks (document_id, page_number, block_id, text, bbox,
+    page_height and style columns where known) as canonical ones: in reading
+    order, typed by their raw text, cleaned, with OCR text where a page has
+    little of its own, and repeated headers and footers marked."""
+    out = reading_order(blocks)
+    if ocr is not None:
+        out = with_ocr(out, ocr)
+    out = normalize_blocks(out).withColumn("y", F.coalesce(F.try_divide(F.get("bbox", F.lit(1)), F.col("page_height")), F.lit(0.5)))
+    return mark_bands(out, repeated_bands(out, share))
+
+
+def document_report(pages: DataFrame, inspected: DataFrame, registered: DataFrame) -> DataFrame:
+    """One row per registered document, its normalised pages (document_id,
+    page_number, char_count, ocr_used, n_tables) and inspected ones
+    (document_id, page_number, char_count, image_count) joined by id, so a
+    document that failed misaligns no other."""
+    seen = inspected.select("document_id", "page_number", F.col("char_count").alias("_c"), F.col("image_count").alias("_i"))
+    odd = F.when((F.col("_c") == 0) & (F.col("_i") > 0), "no_text_with_images").when((F.col("_c") < 50) & (F.col("_i") > 0), "very_low_text_with_images")
+    per = (
+        pages.join(seen, ["document_id", "page_number"], "left")
+        .groupBy("document_id")
+        .agg(
+            F.count("*").alias("pages"),
+            F.count_if(~F.col("ocr_used") & (F.col("char_count") > 50)).alias("native_text_pages"),
+            F.count_if("ocr_used").alias("ocr_pages"),
+            F.coalesce(F.sum("_i"), F.lit(0)).cast("long").alias("images"),
+            F.coalesce(F.sum("n_tables"), F.lit(0)).cast("long").alias("tables"),
+            F.count_if(odd.isNotNull()).alias("suspicious_pages"),
+            F.sum("char_count").cast("long").alias("chars"),
+        )
+    )
+    counts = ["pages", "native_text_pages", "ocr_pages", "images", "tables", "suspicious_pages", "chars"]
+    return registered.join(per, "document_id", "left").select(*registered.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
 
 
 def exact_duplicates(rows: DataFrame, id_col: str, checksum_col: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import blocks as B
@@ -120,7 +120,76 @@ def upsert_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return io.upsert(old, new)
 
 
-QUERIES = {f.__name__.removesuffix("_query"): f for f in (normalize_text_query, block_classify, structure_lists, repeated_headers, section_carry, registry_duplicates, duplicate_of, version_variants, metadata_extract, registry, page_inspection, manual_review, extraction_report, chunk_documents, chunk_invariants, upsert_chunks)}
+def metadata_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata of web pages by their text and the last part of their URL."""
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    opening = F.element_at(F.array(*[F.lit(t) for _, _, t in SAMPLES]), (F.col("page_id") % len(SAMPLES) + 1).cast("int"))
+    name = F.concat(F.element_at(F.array(*[F.lit(f) for _, f, _ in SAMPLES]), (F.col("page_id") % 4 + 1).cast("int")), F.coalesce(F.regexp_extract("url", r"([^/]*)$", 1), F.lit("")))
+    rows = T.table(spark, sf, "pages").select("page_id", F.concat(opening, F.lit("\n"), F.left(F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")), F.lit(400))).alias("text"), name.alias("filename"))
+    m = B.metadata("text", "filename")
+    return rows.select("page_id", *[(F.array_join(v, ",") if k == "review_flags" else v).alias(k) for k, v in m.items()])
+
+
+def registry_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A registry of the documents, a file each: ids by path, first earlier
+    documents of the same content."""
+    rows = T.documents(spark, sf).select(F.concat(F.lit("/corpus/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.left("text", F.lit(60)).alias("text"))
+    return G.registry(rows).select("document_id", "path", "duplicate_of")
+
+
+def _as_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as documents, whose pages are their documents by id."""
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return T.documents(spark, sf).where("source is not null").select(F.col("source").alias("document_id"), n.alias("page_number"), "doc_id", "text", "n_chars")
+
+
+def cover_texts(spark: SparkSession, sf: str) -> DataFrame:
+    got = G.cover_texts(_as_pages(spark, sf))
+    return got.select("document_id", F.md5("cover_text").alias("cover_md5"), F.md5("first_text").alias("first_md5"))
+
+
+def _table_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as blocks, every third with tabs for commas."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(", "), F.lit(" \t\u0007  "))).otherwise(F.col("text"))
+    return T.documents(spark, sf).select("doc_id", F.coalesce("source", F.lit("")).alias("document_id"), F.col("doc_id").alias("page_number"), F.lit(0).alias("reading_order"), t.alias("text"))
+
+
+def detected_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return G.detected_tables(_table_blocks(spark, sf)).select(F.col("page_number").alias("doc_id"), "detection_method", F.md5("text").alias("text_md5"), "has_unicode_issues")
+
+
+def page_signals(spark: SparkSession, sf: str) -> DataFrame:
+    lines = G.line_blocks(T.documents(spark, sf)).withColumn("text", F.when(F.col("reading_order") % 6 == 2, F.concat(F.lit("PART "), F.col("reading_order").cast("string"))).when(F.col("reading_order") % 6 == 4, F.concat(F.lit(" 2.1 "), F.col("text"))).otherwise(F.col("text")))
+    both = lines.select("document_id", "page_number", "text").unionByName(_table_blocks(spark, sf).select(F.col("doc_id").alias("document_id"), F.lit(2).alias("page_number"), "text"))
+    return G.page_signals(both).select(F.col("document_id").alias("doc_id"), F.col("page_number").cast("long"), F.col("char_count").cast("long"), "n_tables", "has_tables", "has_numbered_clauses", "has_headings")
+
+
+def normalize_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Extracted lines through the whole normalisation; counted by page."""
+    d = T.documents(spark, sf).where("source is not null").select("doc_id", "source", F.split("text", "\n").alias("l"))
+    b = d.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), F.size("l").alias("m"), F.posexplode("l").alias("i", "text"))
+    # given bottom up; the boxes tell the order
+    b = b.select("document_id", "page_number", F.format_string("b%06d", F.col("m") - F.col("i")).alias("block_id"), "text", F.array(F.lit(10.0), F.col("i") * 20.0, F.lit(500.0), F.col("i") * 20.0 + 15).alias("bbox"), (F.col("m") * 20.0).alias("page_height"))
+    ocr = d.where("doc_id % 5 = 0").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), F.lit("scanned words").alias("ocr_text"))
+    got = G.normalize_pages(b, ocr, 0.0)
+    return got.groupBy(F.col("page_number").alias("doc_id"), "type").agg(F.count("*").alias("n"), F.count_if("is_repeated").alias("repeated"), F.count_if("ocr_used").alias("ocr"), F.sum(F.col("reading_order") * F.col("char_count")).cast("long").alias("order_sum"))
+
+
+def page_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Layouts by the left edges that the lengths of lines stand for."""
+    xs = F.transform(F.split("text", "\n"), lambda t: (F.length(t) * 37 % 560).cast("double"))
+    return T.documents(spark, sf).select("doc_id", B.layout_type(xs, F.lit(560.0)).alias("layout"))
+
+
+def document_report(spark: SparkSession, sf: str) -> DataFrame:
+    p = _as_pages(spark, sf)
+    pages = p.select("document_id", "page_number", F.col("n_chars").alias("char_count"), (F.col("doc_id") % 9 == 0).alias("ocr_used"), (F.col("doc_id") % 3).alias("n_tables"))
+    seen = p.where("doc_id % 11 <> 0").select("document_id", "page_number", F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") % 60).otherwise(F.col("n_chars")).alias("char_count"), (F.col("doc_id") % 4).alias("image_count"))
+    files = p.select("document_id").distinct().unionByName(spark.createDataFrame([("missing",)], "document_id string")).withColumn("filename", F.concat("document_id", F.lit(".pdf")))
+    return G.document_report(pages, seen, files)
+
+
+QUERIES = {f.__name__.removesuffix("_query"): f for f in (normalize_text_query, block_classify, structure_lists, repeated_headers, section_carry, registry_duplicates, duplicate_of, version_variants, metadata_extract, registry, page_inspection, manual_review, extraction_report, chunk_documents, chunk_invariants, upsert_chunks, metadata_pages, registry_pages, cover_texts, detected_tables, page_signals, normalize_document, page_layout, document_report)}
 
 _LINES = "lines AS (SELECT doc_id, i - 1 AS line_no, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), generate_series(1, len(l)) g(i))"
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s ]+', ''), '[\s ]+$', '')"
@@ -162,8 +231,43 @@ p3 AS (SELECT doc_id, CASE WHEN len(l) > 1 AND length(l[-1].text) < 120 AND l[-2
   THEN l[:-3] || [struct_pack(text := l[-2].text || chr(10) || l[-1].text, section := l[-2].section)] ELSE l END AS l FROM p2),
 ch AS (SELECT doc_id, i - 1 AS n, l[i].text AS text, nullif(l[i].section, '') AS section FROM p3, generate_series(1, len(l)) g(i)),
 cx AS (SELECT ch.*, concat_ws(' > ', nullif(source, ''), CASE WHEN NOT starts_with(lower(left(ltrim(ch.text), 30)), lower(left(section, 30))) THEN section END) AS crumbs FROM ch JOIN documents d ON ch.doc_id = d.doc_id)"""
+_PAGES = "pg AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, doc_id, text, n_chars FROM documents WHERE source IS NOT NULL)"
+_TABS = "tb AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ', ', ' ' || chr(9) || chr(7) || '  ') ELSE text END AS text FROM documents)"
 _VALUES = ", ".join("({}, '{}', '{}')".format(i, f, t.replace("'", "''")) for i, f, t in SAMPLES)
+
+
+def _first_sql(cases: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join("WHEN {} THEN '{}'".format(c, v.replace("'", "''")) for c, v in cases) + " END"
+
+
+def _metadata_sql(rows: str) -> str:
+    """md: the metadata of rows (id, filename, text)."""
+    low, flow = "lower(t)", "lower(f)"
+    has = lambda c, ks: " OR ".join(f"contains({c}, '{k}')" for k in ks)
+    plain = f"replace(replace({flow}, 'policy wordings - ', ''), '.pdf', '')"
+    return f"""x0 AS (SELECT id, coalesce(text, '') AS t, coalesce(filename, '') AS f FROM {rows}),
+x1 AS (SELECT *, list_filter(regexp_extract_all(t, 'UIN\\s*[:\\-]?\\s*([A-Z0-9]+)', 1, 'i'), lambda u: NOT regexp_matches(u, '^X+$') AND length(u) > 2) AS lab, regexp_extract_all(t, '{B.UIN}') AS bare FROM x0),
+x2 AS (SELECT *, list_filter(bare || lab, lambda u, i: list_position(bare || lab, u) = i) AS uins FROM x1),
+x3 AS (SELECT *, list_filter(uins, lambda u: regexp_matches(u, '^{B.UIN}$') OR (length(u) >= 12 AND regexp_matches(u, '^[A-Z]{{3,6}}LIP'))) AS valid FROM x2),
+x4 AS (SELECT *, coalesce(valid[1], uins[1]) AS in_text, nullif(regexp_extract(f, '([A-Z]{{3,6}}LIP\\d+[A-Z]?\\d+)', 1), '') AS in_file,
+  {_first_sql([(f"contains({low}, '{k}')", v) for k, v in B.INSURERS])} AS ins, {_first_sql([(has(flow, ks), v) for ks, v in B.FILE_INSURERS])} AS fins,
+  {_first_sql([(f"regexp_matches({low}, '{p}')", v) for p, v in B.PRODUCTS])} AS pr, {_first_sql([(" AND ".join(f"contains({plain}, '{k}')" for k in ks[:2]), v) for ks, v in B.FILE_PRODUCTS])} AS fpr, {plain} AS bare_name,
+  {_first_sql([(f"regexp_matches({low}, '{p}')", v) for p, v in B.DOCUMENT_TYPES])} AS kind, {_first_sql([(has(flow, ks), v) for ks, v in B.FILE_TYPES])} AS fkind,
+  trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_extract(t, 'Product\\s*(?:Name)?\\s*[:\\-]?\\s*\\n?\\s*(.+?)(?:\\n|$)', 1, 'is'), '\\s*[Uu][Ii][Nn]\\s*.*', '', 's'), '\\s*Product\\s*.*', '', 's')), '[;,]+$', '')) AS lb FROM x3),
+x5 AS (SELECT *, coalesce(pr, CASE WHEN length(lb) > 2 AND length(lb) < 60 AND NOT starts_with(lb, 'the') THEN regexp_replace(lb, '\\s+', ' ', 'g') END) AS prod, coalesce(kind <> fkind, false) AS differ FROM x4),
+md AS (SELECT id, coalesce(ins, fins) AS insurer, coalesce(prod, fpr, bare_name) AS product, coalesce(in_text, in_file) AS uin, in_text IS NOT NULL AND len(valid) = 0 AS uin_low_confidence, coalesce(fkind, kind, 'Policy Wording') AS document_type, nullif(regexp_extract(t, '\\bV\\.?\\s*(\\d{{1,3}})\\b', 1), '') AS version,
+  array_to_string(list_filter([CASE WHEN in_text IS NULL AND in_file IS NOT NULL THEN 'uin_from_filename_not_content' END, CASE WHEN in_text IS NULL AND in_file IS NULL THEN 'uin_not_found' END, CASE WHEN prod IS NULL THEN 'product_from_filename' END, CASE WHEN ins IS NULL THEN 'insurer_from_filename' END,
+  CASE WHEN differ THEN 'document_type_mismatch_content_vs_filename' END, CASE WHEN kind IS NULL AND fkind IS NULL THEN 'document_type_inferred' END, CASE WHEN differ OR (kind IS NULL AND fkind IS NULL) THEN 'document_type_from_filename' END], lambda z: z IS NOT NULL), ',') AS review_flags FROM x5)"""
+
+
+_FILES = [*SAMPLES, (7, "zz.pdf", SAMPLES[1][2])]
+_FILE_VALUES = ", ".join("({}, '{}', '{}')".format(i, f, t.replace("'", "''")) for i, f, t in _FILES)
 ORACLE = {
+    "metadata_extract": f"WITH r AS (SELECT * FROM (VALUES {_VALUES}) v(id, filename, text)), {_metadata_sql('r')} SELECT CAST(id AS BIGINT) AS id, * EXCLUDE (id) FROM md",
+    "metadata_pages": f"""WITH r AS (SELECT page_id AS id, [{", ".join("'" + f + "'" for _, f, _ in SAMPLES)}][page_id % 4 + 1] || coalesce(regexp_extract(url, '([^/]*)$', 1), '') AS filename, [{", ".join("'" + t + "'" for _, _, t in SAMPLES)}][page_id % {len(SAMPLES)} + 1] || chr(10) || left({_BARE}, 400) AS text FROM pages), {_metadata_sql('r')} SELECT id AS page_id, * EXCLUDE (id) FROM md""",
+    "registry": f"""WITH r AS (SELECT * FROM (VALUES {_FILE_VALUES}) v(id, filename, text)), {_metadata_sql('r')}, n AS (SELECT md.*, r.filename, r.text, row_number() OVER (ORDER BY '/p/' || r.filename) AS n FROM md JOIN r ON md.id = r.id),
+o AS (SELECT *, min(n) OVER (PARTITION BY text) AS f, CASE WHEN uin IS NOT NULL THEN min(n) OVER (PARTITION BY uin) END AS u FROM n)
+SELECT printf('DOC-%03d', n) AS document_id, filename, CASE WHEN f < n THEN printf('DOC-%03d', f) END AS duplicate_of, concat_ws(',', nullif(review_flags, ''), CASE WHEN u < n THEN printf('possible_version_variant_of_DOC-%03d', u) END, CASE WHEN f < n THEN 'exact_duplicate' END) AS review_flags FROM o""",
     "normalize_text": r"""WITH r AS (SELECT doc_id, text, ' ' || chr(9) || replace(replace(text, ', ', ',' || chr(9) || '  '), '.' || chr(10), '.  ' || chr(10) || chr(7)) || chr(10) || ' ' AS raw FROM documents),
 n AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(replace(raw, chr(9), ' '), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|\x{80}|[\x{81}-\x{9F}]', '', 'g'), ' {2,}', ' ', 'g'), ' +\n', chr(10), 'g'), ' ' || chr(10) || chr(13)) AS t FROM r)
 SELECT doc_id, md5(t) AS md5, length(t) AS n, contains(text, chr(65533)) AS issues FROM n""",
@@ -192,5 +296,32 @@ SELECT page_id, page_number, char_count, unnest(CASE WHEN o THEN ['ocr_processed
     "chunk_documents": f"""WITH {_CHUNKS} SELECT printf('%d::c%04d', doc_id, n) AS chunk_id, CAST(doc_id AS VARCHAR) AS document_id, text, CASE WHEN crumbs = '' THEN text ELSE crumbs || chr(10) || text END AS context_text,
 'prose' AS chunk_type, CAST(length(text) AS INT) AS char_count, CAST(len(regexp_split_to_array(text, '\\s+')) AS INT) AS word_count FROM cx""",
     "chunk_invariants": r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS bare_chars, true AS numbered, true AS fits FROM documents WHERE trim(regexp_replace(text, '\s+', '', 'g')) <> ''",
+    "registry_pages": """WITH f AS (SELECT '/corpus/' || coalesce(source, 'none') || '/' || doc_id || '.pdf' AS path, left(text, 60) AS t FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY path) AS n FROM f),
+m AS (SELECT *, min(n) OVER (PARTITION BY coalesce(t, '')) AS f FROM n) SELECT printf('DOC-%03d', n) AS document_id, path, CASE WHEN f < n THEN printf('DOC-%03d', f) END AS duplicate_of FROM m""",
+    "cover_texts": f"""WITH {_PAGES}, s AS (SELECT *, max(page_number) OVER (PARTITION BY document_id) AS last FROM pg)
+SELECT document_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY page_number)) AS cover_md5, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY page_number) FILTER (page_number <= 2)) AS first_md5 FROM s WHERE page_number <= 5 OR page_number = last GROUP BY document_id""",
+    "detected_tables": f"""WITH {_TABS}, l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM tb),
+f AS (SELECT doc_id, regexp_replace(regexp_replace(left(text, 1000), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t]+([ \\t])', ' \\1', 'g') AS t FROM l WHERE len(l) >= 2 AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 30 AND len(list_filter(l, lambda x: contains(x, chr(9)))) >= 2)
+SELECT doc_id, 'tab_separated' AS detection_method, md5(left(t, 500)) AS text_md5, contains(t, chr(65533)) AS has_unicode_issues FROM f""",
+    "page_signals": f"""WITH {_LINES}, {_TABS}, b AS (SELECT doc_id, 1 AS page_number, CASE WHEN line_no % 6 = 2 THEN 'PART ' || line_no WHEN line_no % 6 = 4 THEN ' 2.1 ' || text ELSE text END AS text FROM lines UNION ALL SELECT doc_id, 2, text FROM tb),
+s AS (SELECT doc_id, page_number, coalesce(text, '') AS text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM b),
+g AS (SELECT doc_id, page_number, length(text) AS n, len(l) >= 2 AND len(list_filter(l, lambda x: contains(x, chr(9)))) > 0 AS tab, regexp_matches(text || chr(10), '(?m)^\\s*(\\d+\\.|\\d+\\.\\d+|\\d+\\.\\d+\\.\\d+|[A-Z]\\.|[IVX]+\\.)\\s') AS c,
+  len(list_filter(l, lambda x: length(x) BETWEEN 4 AND 79 AND upper(x) = x AND lower(x) <> x)) > 0 AS h FROM s)
+SELECT doc_id, CAST(page_number AS BIGINT) AS page_number, CAST(sum(n) AS BIGINT) AS char_count, count(*) FILTER (tab) AS n_tables, bool_or(tab) AS has_tables, bool_or(c) AS has_numbered_clauses, bool_or(h) AS has_headings FROM g GROUP BY doc_id, page_number""",
+    "normalize_document": f"""WITH {_LINES}, d AS (SELECT lines.*, source, count(*) OVER (PARTITION BY lines.doc_id) AS m, sum(length(lines.text)) OVER (PARTITION BY lines.doc_id) AS chars FROM lines JOIN documents ON lines.doc_id = documents.doc_id WHERE source IS NOT NULL),
+x AS (SELECT doc_id, source, line_no, text, CASE WHEN line_no / CAST(m AS DOUBLE) < 0.15 THEN 'header' WHEN line_no / CAST(m AS DOUBLE) > 0.9 THEN 'footer' END AS band, false AS o FROM d
+  UNION ALL SELECT DISTINCT doc_id, source, m, 'scanned words', NULL, true FROM d WHERE doc_id % 5 = 0 AND chars < 50),
+c AS (SELECT *, {_CLAUSE} AS clause, {_NORM} AS t FROM x), k AS (SELECT *, {_classify_sql('text')} AS k FROM c),
+r AS (SELECT source, band, t FROM k WHERE band IS NOT NULL AND t <> '' GROUP BY source, band, t HAVING count(*) >= 2),
+z AS (SELECT k.*, r.t IS NOT NULL AS rep FROM k LEFT JOIN r ON k.source = r.source AND k.band = r.band AND k.t = r.t)
+SELECT doc_id, CASE WHEN rep THEN band ELSE k[1] END AS type, count(*) AS n, count(*) FILTER (rep) AS repeated, count(*) FILTER (o) AS ocr, CAST(sum(line_no * length(t)) AS BIGINT) AS order_sum FROM z GROUP BY 1, 2""",
+    "page_layout": """WITH x AS (SELECT doc_id, list_sort(list_transform(string_split(text, chr(10)), lambda t: CAST(length(t) * 37 % 560 AS DOUBLE))) AS x FROM documents),
+g AS (SELECT *, list_filter(list_transform(range(2, len(x) + 1), lambda i: x[i] - x[i - 1]), lambda v: v > 50) AS g, len(list_filter(x, lambda v: v < 280)) AS l FROM x)
+SELECT doc_id, CASE WHEN NOT coalesce(len(x) >= 4 AND len(g) >= 2 AND list_max(g) > 200 AND l > 0 AND len(x) - l > 0, false) THEN 'single_column' WHEN l > len(x) - l THEN CASE WHEN l > 5 THEN 'two_column' ELSE 'mixed' END WHEN list_max(g) > 300 THEN 'two_column' ELSE 'mixed' END AS layout FROM g WHERE doc_id IN (SELECT doc_id FROM documents)""",
+    "document_report": f"""WITH {_PAGES}, i AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN doc_id % 60 ELSE n_chars END AS c, doc_id % 4 AS im FROM pg WHERE doc_id % 11 <> 0),
+f AS (SELECT DISTINCT document_id FROM pg UNION ALL SELECT 'missing'),
+p AS (SELECT pg.document_id, count(*) AS pages, count(*) FILTER (pg.doc_id % 9 <> 0 AND pg.n_chars > 50) AS native_text_pages, count(*) FILTER (pg.doc_id % 9 = 0) AS ocr_pages, coalesce(sum(im), 0) AS images, sum(pg.doc_id % 3) AS tables, count(*) FILTER (c < 50 AND im > 0) AS suspicious_pages, sum(pg.n_chars) AS chars
+  FROM pg LEFT JOIN i ON pg.document_id = i.document_id AND pg.page_number = i.page_number GROUP BY pg.document_id)
+SELECT f.document_id, f.document_id || '.pdf' AS filename, coalesce(pages, 0) AS pages, coalesce(native_text_pages, 0) AS native_text_pages, coalesce(ocr_pages, 0) AS ocr_pages, CAST(coalesce(images, 0) AS BIGINT) AS images, CAST(coalesce(tables, 0) AS BIGINT) AS tables, coalesce(suspicious_pages, 0) AS suspicious_pages, CAST(coalesce(chars, 0) AS BIGINT) AS chars FROM f LEFT JOIN p USING (document_id)""",
     "upsert_chunks": "SELECT doc_id AS chunk_id, 'new' AS state, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'old', n_chars FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0",
 }
