@@ -61,6 +61,7 @@ class GroundingConfig:
     min_claim_chars: int = 12
     note_chars: int = 160
     excerpt_chars: int = 500
+    second_pass: bool = True
     #: Words that containment ignores. None by default, as verdicts then agree
     #: with the engine that this one replaces; text.GROUNDING_STOPWORDS is the
     #: list that its documentation names.

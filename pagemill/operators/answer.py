@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.config import EngineConfig
 from pagemill.functions.text import citation_label
-from pagemill.operators import agent, generate, ground
+from pagemill.operators import agent, evaluate, generate, ground, retrieve
 from pagemill.operators.index import TermIndex
 from pagemill.sources.store import keep
 
@@ -153,7 +153,7 @@ def claims_of(r: Run, corpus: Corpus, second=None) -> DataFrame:
     stood = r.answers.where("not abstained").select("query_id", "answer")
     aligned = generate.aligned_evidence(r.citations, corpus.docs, corpus.cfg.generation)
     found = keep(ground.verify(ground.claims(stood, cfg), aligned, cfg), "verdicts")
-    return found if second is None else ground.second_opinion(found, second)
+    return found if second is None or not cfg.second_pass else ground.second_opinion(found, second)
 
 
 def verified(r: Run, corpus: Corpus, second=None) -> DataFrame:
@@ -169,6 +169,27 @@ def verified(r: Run, corpus: Corpus, second=None) -> DataFrame:
     return rows.withColumn("supported_rate", F.coalesce("supported_rate", F.lit(0.0))).withColumn("notes", F.coalesce("notes", F.expr("cast(array() as array<string>)"))).select(*RESPONSE)
 
 
+def full_records(eval_set: DataFrame, corpus: Corpus, label: str = "full", generator: Generator | None = None, second=None, k: int | None = None) -> DataFrame:
+    """evaluate.run_records() of the whole pipeline. eval_set: query_id, query,
+    category, relevant."""
+    r = run(eval_set.select("query_id", "query"), corpus, generator, k)
+    said = verified(r, corpus, second).join(r.routed.select("query_id", "n_steps"), "query_id")
+    return evaluate.run_records(label, eval_set, said, claims_of(r, corpus, second), r.citations, corpus.docs.select("doc_id", F.col(corpus.product_col).alias("product")))
+
+
+def baseline_records(eval_set: DataFrame, query_vectors: DataFrame, corpus: Corpus, label: str = "baseline", generator: Generator | None = None, k: int | None = None) -> DataFrame:
+    """The same of the plain way: dense retrieval, one answer, and the rules'
+    verdicts on it as a measure only."""
+    cfg = corpus.cfg
+    hits = retrieve.dense(query_vectors, corpus.vectors, k or cfg.retrieval.default_k)
+    found = keep(hits.select("query_id", "rank", "doc_id").join(corpus.docs.select("doc_id", "text", F.col(corpus.product_col).cast("string").alias("product"), label_of(corpus.docs, corpus.product_col).alias("label")), "doc_id"), "retrieved")
+    answers = keep((generator or extractive(cfg))(eval_set.select("query_id", "query"), found), "answers")
+    stood = answers.where("not abstained").select("query_id", "answer")
+    checked = ground.verify(ground.claims(stood, cfg.grounding), found.select("query_id", F.col("rank").alias("marker"), "text"), cfg.grounding)
+    said = answers.select("query_id", F.lit("policy_information").alias("query_type"), "abstained", F.lit(None).cast("string").alias("clarification"), F.col("answer").alias("final_answer"), F.lit(0).alias("n_steps"), F.lit(0.0).alias("supported_rate"))
+    return evaluate.run_records(label, eval_set, said, checked, generate.citations(answers, found), corpus.docs.select("doc_id", F.col(corpus.product_col).alias("product")), found.select("query_id", "rank", "doc_id"))
+
+
 def respond(responses: DataFrame, cited: DataFrame | None = None, mode: str = "extractive") -> DataFrame:
     """(query_id, body): each response as the JSON object that a service
     returns: citations numbered from 1, counts under `grounding`, the answer

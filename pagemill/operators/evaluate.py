@@ -156,3 +156,92 @@ def ablation(configs: dict, run) -> DataFrame:
         one = run(cfg).withColumn("label", F.lit(label))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def run_records(label: str, eval_set: DataFrame, responses: DataFrame, checked: DataFrame, cited: DataFrame, products: DataFrame, retrieved: DataFrame | None = None) -> DataFrame:
+    """One record a question (schemas.CHECKPOINT's columns but times and use),
+    the same for every pipeline.
+
+    eval_set: query_id, query, category, relevant (ids as strings); responses:
+    query_id, query_type, abstained, clarification, final_answer, n_steps,
+    supported_rate; checked: claims with kind, verdict, reason; cited:
+    query_id, marker, doc_id; products: doc_id, product. With retrieved
+    (query_id, rank, doc_id) the evidence is what was cited, or else all that
+    was retrieved, and contradictions count as stripped as well: a pipeline
+    without a handler."""
+    none = F.expr("cast(array() as array<string>)")
+    listed = lambda df, by, name: df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(by, F.col("doc_id").cast("string").alias("d")))), lambda x: x["d"]).alias(name))
+    fact = checked.where("kind = 'fact'").groupBy("query_id").agg(*[F.count_if(F.col("verdict") == v).cast("int").alias(v) for v in ("supported", "contradicted", "insufficient")], F.count("*").cast("int").alias("claims"))
+    loose = checked.groupBy("query_id").agg(F.count_if(F.col("reason").startswith("unresolved")).cast("int").alias("unresolved_citations"))
+    shown = cited if retrieved is None else retrieved
+    named = shown.select("query_id", "doc_id").join(products, "doc_id").where("product <> ''").groupBy("query_id").agg(F.sort_array(F.collect_set("product")).alias("evidence_products"))
+    rows = eval_set.join(responses.select("query_id", "query_type", "abstained", "clarification", "final_answer", "n_steps", F.col("supported_rate").alias("_rate")), "query_id", "left")
+    for t in (fact, loose, named, listed(cited, "marker", "cited"), *([] if retrieved is None else [listed(retrieved, "rank", "found")])):
+        rows = rows.join(t, "query_id", "left")
+    for c in ("claims", "supported", "contradicted", "insufficient", "unresolved_citations"):
+        rows = rows.withColumn(c, F.coalesce(c, F.lit(0)))
+    some = F.array_sort(F.array_distinct(F.coalesce("cited", none)))
+    if retrieved is not None:
+        found = F.coalesce("found", none)
+        some = F.when(F.size(some) > 0, some).otherwise(found)
+    abstained = F.coalesce("abstained", F.lit(True))
+    relevant = F.coalesce("relevant", none)
+    hit = (F.size(relevant) > 0) & F.arrays_overlap(relevant, "evidence_chunk_ids")
+    rate = F.coalesce("_rate", F.lit(0.0)) if retrieved is None else F.coalesce(F.round(F.try_divide(F.col("supported").cast("double"), F.col("claims").cast("double")), 4), F.lit(0.0))
+    rows = rows.withColumn("evidence_chunk_ids", some)
+    return rows.select(
+        F.lit(label).alias("label"),
+        F.col("query_id").cast("string").alias("qid"),
+        "query",
+        "category",
+        (F.size(relevant) > 0).alias("answerable"),
+        "query_type",
+        abstained.alias("abstained"),
+        "clarification",
+        "final_answer",
+        "claims",
+        "supported",
+        "contradicted",
+        "insufficient",
+        rate.alias("supported_rate"),
+        "unresolved_citations",
+        (F.col("insufficient") if retrieved is None else F.col("insufficient") + F.col("contradicted")).alias("unsupported_stripped"),
+        F.lit(0).alias("contradicted_kept"),
+        relevant.alias("relevant_chunk_ids"),
+        "evidence_chunk_ids",
+        (F.coalesce("cited", none) if retrieved is None else F.coalesce("found", none)).alias("retrieval_top_chunk_ids"),
+        F.coalesce("evidence_products", none).alias("evidence_products"),
+        ((F.coalesce("n_steps", F.lit(0)) == 0) & ~abstained & F.lit(retrieved is None)).alias("plan_empty"),
+        ((F.col("claims") == 0) & ~abstained).alias("degenerate"),
+        (~abstained & hit).alias("answered_with_relevant_evidence"),
+    )
+
+
+def failure_summary(coded: DataFrame) -> DataFrame:
+    """Queries, failed ones and their share to four places."""
+    n, bad = F.count("*"), F.count_if("failed")
+    return coded.agg(n.alias("num_queries"), bad.alias("num_failed"), F.coalesce(F.round(F.try_divide(bad.cast("double"), n.cast("double")), 4), F.lit(0.0)).alias("failure_rate"))
+
+
+def components_of(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Times of runs (latency_ms: a map of component to ms) by component."""
+    keys = by or []
+    each = runs.select(*keys, F.explode("latency_ms").alias("component", "ms")).where("ms > 0")
+    return each.groupBy(*keys, "component").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.median("ms").alias("median_ms"), F.max("ms").alias("max_ms"))
+
+
+def usage_of(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What runs used (usage: a map of counter to number), summed."""
+    keys = by or []
+    return runs.select(*keys, F.explode("usage").alias("counter", "n")).groupBy(*keys, "counter").agg(F.sum("n").alias("total"))
+
+
+#: What each overlay of the pipeline changes, by configuration section.
+PIPELINE_OVERLAYS: dict[str, dict] = {
+    "default": {},
+    "no_rerank": {"retrieval": {"rerank": "none"}},
+    "keyword_only": {"retrieval": {"mode": "keyword"}},
+    "semantic_only": {"retrieval": {"mode": "semantic"}},
+    "no_strip": {"grounding": {"strip_unsupported": False}},
+    "rules_only": {"grounding": {"second_pass": False}},
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,13 @@ from pagemill.config import AgentConfig, GroundingConfig, RetrievalConfig
 from pagemill.functions.text import GROUNDING_STOPWORDS, citation_label
 from pagemill.operators import agent as A
 from pagemill.operators import answer as W
+from pagemill.operators import evaluate as E
 from pagemill.operators import generate as N
 from pagemill.operators import ground as V
 from pagemill.operators import retrieve as R
 from pagemill.plans import retrieval as P
 from pagemill.plans import tables as T
+from pagemill.plans.operations import CODES
 from pagemill.sources import store
 
 PRODUCTS = ["Aurora Health Shield", "Borealis Care Plan", "Cedar Family Floater", "my:Delta Secure", "Aurora Travel Guard"]
@@ -266,7 +270,37 @@ def answer_and_verify(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "query_type", "route", F.md5("final_answer").alias("final_md5"), "abstained", "evidence_count", "claims", "supported", "contradicted", "insufficient", F.round("supported_rate", 3).alias("supported_rate"))
 
 
-QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
+def _eval_set(spark: SparkSession, sf: str) -> DataFrame:
+    rel = P._qrels(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("relevant"))
+    kind = F.when(F.col("query_id") % 3 == 0, "comparison").when(F.col("query_id") % 3 == 1, "coverage").otherwise("factual")
+    return _questions_of_all_kinds(spark, sf).withColumn("category", kind).join(rel, "query_id", "left")
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Both pipelines' records of the questions."""
+
+    def make() -> DataFrame:
+        c, e = _corpus(spark, sf), _eval_set(spark, sf)
+        plain = replace(c, vectors=T.vectors(spark, sf))
+        return store.keep(W.full_records(e, c).unionByName(W.baseline_records(e, T.query_vectors(spark, sf), plain)), "records")
+
+    return store.once(spark, ("records", sf), make)
+
+
+def pipeline_records(spark: SparkSession, sf: str) -> DataFrame:
+    r = E.failure_codes(_records(spark, sf))
+    return r.select("label", F.col("qid").cast("long").alias("query_id"), "category", "answerable", "query_type", "abstained", "claims", "supported", "contradicted", "insufficient", F.round("supported_rate", 3).alias("supported_rate"), "unsupported_stripped", F.array_join("evidence_chunk_ids", ",").alias("evidence"), F.array_join("retrieval_top_chunk_ids", ",").alias("top"), F.array_join("evidence_products", ",").alias("products"), "answered_with_relevant_evidence", F.array_join("codes", ",").alias("codes"), "failed")
+
+
+def failure_rates(spark: SparkSession, sf: str) -> DataFrame:
+    both = None
+    for label in ("full", "baseline"):
+        one = E.failure_summary(E.failure_codes(_records(spark, sf).where(F.col("label") == label))).withColumn("label", F.lit(label))
+        both = one if both is None else both.unionByName(one)
+    return both
+
+
+QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, pipeline_records, failure_rates, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(QUESTIONS, 1)) + ") v(query_id, query))"
 _L = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
@@ -403,6 +437,34 @@ rw AS (SELECT a.query_id, a.answer, declined, coalesce(claims, 0) AS claims, coa
 fl AS (SELECT rw.*, claims = 0 AS silent, facts > 0 AND (supported = 0 OR rate < 0.5) AS weak, CASE WHEN coalesce(evidence_count, 0) = 0 THEN '{V.NO_EVIDENCE} ' ELSE '{V.NO_SUPPORT} ' END || CASE query_type {" ".join("WHEN '" + k + "' THEN '" + v.replace("'", "''") + "'" for k, v in V.QUESTIONS.items())} ELSE '{V.ANY_QUESTION}' END AS back,
   trim(array_to_string(list_filter(string_split(answer, chr(10)), lambda x, i: NOT list_contains(dropped, i) AND trim(x) <> ''), chr(10))) AS kept FROM rw JOIN r1 ON rw.query_id = r1.query_id LEFT JOIN ec ON rw.query_id = ec.query_id),
 fi AS (SELECT *, NOT declined AND ((silent AND NOT refused) OR (NOT silent AND weak)) AS asks FROM fl)"""
+# Verdicts on the answers that quote the dense hits, as the measure of the plain way.
+_BASE = f"""{P.sem_sql(5)}, bs AS (SELECT query_id, rank, doc_id, text, source FROM sem JOIN documents USING (doc_id)),
+b6 AS (SELECT query_id, rank, list_filter(list_transform(string_split(replace(trim(text), chr(10), ' '), '. '), lambda s: trim(s)), lambda s: length(s) >= 15)[1:2] AS l FROM bs),
+bp AS (SELECT query_id, rank, array_to_string(list_transform(l, lambda s: regexp_replace(s, '\\.+$', '') || '. [' || rank || ']'), chr(10)) AS part FROM b6 WHERE len(l) > 0),
+ba AS (SELECT item_id AS query_id, string_agg(part, chr(10) ORDER BY rank) AS a FROM benchmark LEFT JOIN bp ON item_id = query_id GROUP BY item_id),
+bans AS (SELECT query_id, a AS answer FROM ba WHERE a IS NOT NULL)"""
+
+
+def _record_sql(label: str, vd: str, abstained: str, query_type: str, steps: str, evidence: str, top: str, products: str, rate: str, stripped: str) -> str:
+    """rec_<label>: the record of every question, from its parts."""
+    return f"""
+fc_{label} AS (SELECT query_id, count(*) FILTER (kind = 'fact') AS claims, count(*) FILTER (kind = 'fact' AND verdict = 'supported') AS supported, count(*) FILTER (kind = 'fact' AND verdict = 'contradicted') AS contradicted, count(*) FILTER (kind = 'fact' AND verdict = 'insufficient') AS insufficient FROM {vd} GROUP BY query_id),
+r0_{label} AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'comparison' WHEN 1 THEN 'coverage' ELSE 'factual' END AS category, coalesce((SELECT list(DISTINCT CAST(doc_id AS VARCHAR)) FROM qrels WHERE qrels.query_id = item_id), []) AS relevant_chunk_ids,
+  {query_type} AS query_type, {abstained} AS abstained, {steps} AS n_steps, coalesce({evidence}, []) AS evidence_chunk_ids, coalesce({top}, []) AS retrieval_top_chunk_ids, coalesce({products}, []) AS evidence_products, {rate} AS given_rate,
+  coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported, coalesce(contradicted, 0) AS contradicted, coalesce(insufficient, 0) AS insufficient FROM benchmark LEFT JOIN fc_{label} ON item_id = query_id),
+r1_{label} AS (SELECT *, len(relevant_chunk_ids) > 0 AS answerable, 0 AS unresolved_citations, 0 AS contradicted_kept, {stripped} AS unsupported_stripped, coalesce(given_rate, coalesce(round(supported / CAST(nullif(claims, 0) AS DOUBLE), 4), 0.0)) AS supported_rate, claims = 0 AND NOT abstained AS degenerate, {"n_steps = 0 AND NOT abstained" if label == "full" else "false"} AS plan_empty FROM r0_{label}),
+r_{label} AS (SELECT *, len(list_intersect(relevant_chunk_ids, evidence_chunk_ids)) AS hits, len(list_intersect(relevant_chunk_ids, CASE WHEN len(retrieval_top_chunk_ids) > 0 THEN retrieval_top_chunk_ids ELSE evidence_chunk_ids END)) AS seen, claims = 0 AND (NOT abstained OR degenerate) AS silent, insufficient + contradicted AS bad FROM r1_{label}),
+rec_{label} AS (SELECT '{label}' AS label, *, list_filter([{', '.join(f'CASE WHEN {v} THEN {k!r} END' for k, v in CODES.items())}], lambda x: x IS NOT NULL) AS codes, NOT abstained AND answerable AND hits > 0 AS used FROM r_{label})"""
+
+
+_ids = lambda rows, order: f"(SELECT list(CAST(doc_id AS VARCHAR) ORDER BY {order}) FROM {rows} WHERE query_id = item_id)"
+_RECORDS = f"""WITH {_KVER}, {P.QRELS_SQL}, cit AS (SELECT um.query_id, marker, doc_id, source FROM um JOIN shown ON um.query_id = shown.query_id AND marker = rank JOIN documents USING (doc_id)),
+{_record_sql('full', 'vd', "coalesce((SELECT declined OR silent OR weak FROM fi WHERE fi.query_id = item_id), true)", "(SELECT query_type FROM r1 WHERE r1.query_id = item_id)", "(SELECT n_steps FROM r1 WHERE r1.query_id = item_id)", "list_sort(list_distinct(" + _ids('cit', 'marker') + "))", _ids('cit', 'marker'), "(SELECT list(DISTINCT source ORDER BY source) FROM cit WHERE query_id = item_id AND source <> '')", "coalesce((SELECT round(rate, 4) FROM fi WHERE fi.query_id = item_id), 0.0)", "insufficient")}"""
+_BASED = f"""WITH {_BASE}, {_claims_sql('bans')}, ev AS (SELECT query_id, rank AS marker, {_ct('text').replace(f", lambda z: NOT list_contains({_L(GROUNDING_STOPWORDS)}, z)", ", lambda z: true")} AS et, {_NUM.format('text')} AS en FROM bs), {_VER_ALL[_VER_ALL.index("ci AS ("):]}, {P.QRELS_SQL},
+um AS (SELECT DISTINCT query_id, CAST(unnest(regexp_extract_all(answer, '\\[(\\d{{1,2}})\\]', 1)) AS BIGINT) AS marker FROM bans), cit AS (SELECT um.query_id, marker, doc_id FROM um JOIN bs ON um.query_id = bs.query_id AND marker = rank),
+{_record_sql('baseline', 'vd', "(SELECT a IS NULL FROM ba WHERE ba.query_id = item_id)", "'policy_information'", "0", "coalesce(list_sort(list_distinct(" + _ids('cit', 'marker') + ")), " + _ids('bs', 'rank') + ")", _ids('bs', 'rank'), "(SELECT list(DISTINCT source ORDER BY source) FROM bs WHERE query_id = item_id AND source <> '')", "NULL", "insufficient + contradicted")}"""
+_SHOWREC = "SELECT label, query_id, category, answerable, query_type, abstained, CAST(claims AS INT) AS claims, CAST(supported AS INT) AS supported, CAST(contradicted AS INT) AS contradicted, CAST(insufficient AS INT) AS insufficient, round(supported_rate, 3) AS supported_rate, CAST(unsupported_stripped AS INT) AS unsupported_stripped, array_to_string(evidence_chunk_ids, ',') AS evidence, array_to_string(retrieval_top_chunk_ids, ',') AS top, array_to_string(evidence_products, ',') AS products, used AS answered_with_relevant_evidence, array_to_string(codes, ',') AS codes, len(list_filter(codes, lambda x: x NOT IN ('F15', 'F16'))) > 0 AS failed FROM rec_"
+_RATE = "SELECT '{0}' AS label, count(*) AS num_queries, count(*) FILTER (failed) AS num_failed, coalesce(round(count(*) FILTER (failed) / CAST(nullif(count(*), 0) AS DOUBLE), 4), 0.0) AS failure_rate FROM ({1})"
 ORACLE = {
     "product_aliases": f"WITH {_ALIAS} SELECT alias, product FROM al",
     "match_products": f"WITH {_MATCH} SELECT query_id, array_to_string(products, '|') AS products FROM mt",
@@ -424,6 +486,8 @@ CASE WHEN turned AND query_id % 4 = 0 THEN coalesce(age, 41) ELSE age END AS age
     "answer_and_verify": f"""WITH {_KVER} SELECT r1.query_id, r1.query_type, r1.route, md5(coalesce(r1.short, CASE WHEN asks THEN 'I could not verify an answer. ' || back WHEN NOT declined AND insufficient + contradicted > 0 AND kept <> '' THEN kept ELSE answer END)) AS final_md5,
 coalesce(declined OR silent OR weak, true) AS abstained, coalesce(ec.evidence_count, 0) AS evidence_count, coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported, coalesce(contradicted, 0) AS contradicted, coalesce(insufficient, 0) AS insufficient, coalesce(round(round(rate, 4), 3), 0.0) AS supported_rate
 FROM r1 LEFT JOIN fi ON r1.query_id = fi.query_id LEFT JOIN ec ON r1.query_id = ec.query_id""",
+    "pipeline_records": f"SELECT * FROM ({_RECORDS} {_SHOWREC}full) UNION ALL SELECT * FROM ({_BASED} {_SHOWREC}baseline)",
+    "failure_rates": f"{_RATE.format('full', f'{_RECORDS} {_SHOWREC}full')} UNION ALL {_RATE.format('baseline', f'{_BASED} {_SHOWREC}baseline')}",
     "evidence_by_product": f"{_EXEC} SELECT query_id, source AS product, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY step_id, rank) AS doc_ids FROM ex GROUP BY query_id, source",
     "evidence_budget": f"""{_SHOWN}, bl AS (SELECT query_id, rank, doc_id, '[' || rank || '] Source: ' || label || chr(10) || CASE WHEN length(text) > 1200 THEN rtrim(left(text, 1200)) || '…' ELSE text END AS block FROM shown),
 u AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_chars FROM bl) SELECT query_id, rank, doc_id, used_chars, md5(block) AS block_md5 FROM u WHERE used_chars <= 6000 OR rank = 1""",

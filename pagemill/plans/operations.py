@@ -86,7 +86,7 @@ _R = (
     + ", ".join(f"list_distinct([{', '.join(v)}]) AS {k}" for k, v in _SETS.items())
     + " FROM documents), r AS (SELECT *, len(list_intersect(relevant_chunk_ids, evidence_chunk_ids)) AS hits, len(list_intersect(relevant_chunk_ids, retrieval_top_chunk_ids)) AS seen, claims = 0 AND (NOT abstained OR degenerate) AS silent, insufficient + contradicted AS bad FROM r0)"
 )
-_CODES = {
+CODES = {
     "F1": "answerable AND hits = 0",
     "F2": "answerable AND hits > 0 AND len(relevant_chunk_ids) > hits",
     "F3": "answerable AND hits = 0 AND seen > 0",
@@ -104,7 +104,7 @@ _CODES = {
     "F15": "unsupported_stripped > 0",
     "F16": "NOT answerable AND abstained",
 }
-_C = f"{_R}, c AS (SELECT doc_id, list_filter([{', '.join(f'CASE WHEN {v} THEN {k!r} END' for k, v in _CODES.items())}], lambda x: x IS NOT NULL) AS codes FROM r)"
+_C = f"{_R}, c AS (SELECT doc_id, list_filter([{', '.join(f'CASE WHEN {v} THEN {k!r} END' for k, v in CODES.items())}], lambda x: x IS NOT NULL) AS codes FROM r)"
 _PM = """count(*) FILTER (answerable) AS answerable_queries, count(*) FILTER (answerable AND NOT abstained) AS answered,
  coalesce(round(count(*) FILTER (answerable AND NOT abstained) / CAST(nullif(count(*) FILTER (answerable), 0) AS DOUBLE), 4), 0.0) AS answer_rate,
  count(*) FILTER (NOT answerable) AS ood_probes, count(*) FILTER (NOT answerable AND abstained) AS ood_abstained, count(*) FILTER (answerable AND abstained) AS abstentions_on_answerable,
