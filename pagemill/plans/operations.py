@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators import evaluate as E
 from pagemill.plans import tables as T
+from pagemill.sources import store
 from pagemill.streaming import logs as L
 
 # One run a document, its fields by arithmetic on the id, the same in SQL.
@@ -69,7 +67,7 @@ def usage_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The event log as a stream, run to its end: hourly windows by type."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).rstrip("/") + f"/log-windows-{uuid.uuid4().hex}"
+    base = store.fresh_path(spark, "log-windows")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     stream = L.windowed(L.log_stream(spark, sf, schema, "parquet", "events.parquet"), "ts", "event_type", "value")
     L.run_available(stream, f"{base}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out"), "complete")
@@ -77,7 +75,36 @@ def log_stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), "largest")
 
 
-QUERIES = {f.__name__: f for f in (taxonomy_codes, taxonomy_counts, pipeline_metrics, pipeline_by_category, latency_components, usage_diff, log_stream_windows)}
+def log_stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log dealt into files, the third with rows older than the
+    watermark allows, in append mode: windows close, late rows are dropped. (A
+    batch drops by the watermark that the batch before it began with.)"""
+    base = store.fresh_path(spark, "log-late")
+    e = T.table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    day = F.to_date("ts")
+    first = e.where("event_id % 2 = 0")
+    start = first.agg(F.min("ts")).first()[0]
+    for n, part in enumerate((first.where("event_id % 4 = 0"), first.where("event_id % 4 = 2"), e.where("event_id % 2 = 1").where(day == F.to_date(F.lit(start))), first.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("interval 30 days")))):
+        part.coalesce(1).write.mode("overwrite").parquet(f"{base}/in/part={n}")
+    out = None
+    stream = L.windowed(spark.readStream.schema("event_id long, event_type string, ts timestamp, value double, part int").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{base}/in"), "ts", "event_type", "value", "1 day", "2 days")
+    L.run_available(stream, f"{base}/checkpoint", lambda df, i: df.write.mode("append").parquet(f"{base}/out"), "append")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def run_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of runs by component, from their maps."""
+    d = T.documents(spark, sf).select("doc_id", F.create_map(F.lit("retrieval"), (F.col("doc_id") % 97).cast("double"), F.lit("generation"), (F.col("doc_id") % 13).cast("double"), F.lit("total"), (F.col("doc_id") % 97 + F.col("doc_id") % 13).cast("double")).alias("latency_ms"))
+    return E.components_of(d)
+
+
+def run_usage(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.documents(spark, sf).select("lang", F.create_map(F.lit("calls"), F.lit(1).cast("long"), F.lit("prompt_tokens"), F.col("n_chars").cast("long")).alias("usage"))
+    return E.usage_of(d, ["lang"])
+
+
+QUERIES = {f.__name__: f for f in (taxonomy_codes, taxonomy_counts, pipeline_metrics, pipeline_by_category, latency_components, usage_diff, log_stream_windows, log_stream_late, run_components, run_usage)}
 
 _R = (
     "WITH r0 AS (SELECT doc_id, "
@@ -120,5 +147,11 @@ ORACLE = {
     "pipeline_by_category": f"{_R} SELECT category, {_PM} FROM r GROUP BY category",
     "latency_components": "SELECT event_type AS component, count(*) AS n, round(avg(value), 4) AS mean_ms, median(value) AS median_ms, max(value) AS max_ms FROM events WHERE value > 0 GROUP BY event_type",
     "usage_diff": "SELECT event_id, event_id * 3 - coalesce(lag(event_id * 3) OVER w, 0) AS calls_diff, event_id * 7 + user_id - coalesce(lag(event_id * 7 + user_id) OVER w, 0) AS tokens_diff FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+    "run_components": """WITH r AS (SELECT doc_id % 97 AS a, doc_id % 13 AS b FROM documents), c AS (SELECT 'retrieval' AS component, CAST(a AS DOUBLE) AS ms FROM r UNION ALL SELECT 'generation', b FROM r UNION ALL SELECT 'total', a + b FROM r)
+SELECT component, count(*) AS n, round(avg(ms), 4) AS mean_ms, median(ms) AS median_ms, max(ms) AS max_ms FROM c WHERE ms > 0 GROUP BY component""",
+    "run_usage": "SELECT lang, 'calls' AS counter, count(*) AS total FROM documents GROUP BY lang UNION ALL SELECT lang, 'prompt_tokens', CAST(sum(n_chars) AS BIGINT) FROM documents GROUP BY lang",
+    "log_stream_late": """WITH e AS (SELECT *, date_trunc('day', ts) AS d FROM events), f AS (SELECT * FROM e WHERE event_id % 2 = 0), m AS (SELECT date_trunc('day', min(ts)) AS first, max(ts) AS top FROM f),
+k AS (SELECT f.* FROM f UNION ALL SELECT e.* FROM e, m WHERE event_id % 2 = 1 AND d = first AND d + INTERVAL 1 DAY > top - INTERVAL 2 DAY)
+SELECT strftime(d, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM k GROUP BY 1, 2""",
     "log_stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2",
 }

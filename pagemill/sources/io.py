@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill import schemas as S
+from pagemill.operators.index import TermIndex, index_stats, read_index
+from pagemill.operators.ingest import nest, with_status
+from pagemill.sources import store
 
 PRUNED = ("normalized", "extracted", "raw")
 
@@ -67,24 +72,62 @@ def read_checkpoint(spark: SparkSession, path: str, label: str) -> DataFrame:
     return rows.where((F.col("label") == label) & F.col("qid").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at")
 
 
+def first_of(rows: DataFrame, n: int | None, by: str = "pos") -> DataFrame:
+    """The first n by position, all if n is None."""
+    return rows if n is None else rows.orderBy(by).limit(n)
+
+
 def pending(queries: DataFrame, finished: DataFrame) -> DataFrame:
     """Queries that no finished row has."""
     return queries.join(finished.select(F.col("qid").alias("query_id")), "query_id", "left_anti")
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+def read_postings(spark: SparkSession, path: str) -> TermIndex:
+    """A persisted term index, as index.write_index() leaves it."""
+    return read_index(spark, path)
+
+
+def open_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path, made empty where there is none."""
+    if not store.exists(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Deletes what is at path; nothing there is no error."""
+    if store.exists(spark, path):
+        store.delete(spark, path)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Writes df as JSON lines and returns how many rows that were, counted as
+    they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    return seen.get["n"]
 
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_documents(blocks: DataFrame, path: str) -> None:
-    """Nested documents, a folder each."""
-    from pagemill.operators.ingest import nest
+def write_checkpoint(rows: DataFrame, path: str) -> None:
+    """Finished records, appended: files of an append are whole or not there,
+    and read_checkpoint() passes over what a crash elsewhere has torn."""
+    rows.write.mode("append").json(path)
+
 
-    nest(blocks).write.mode("overwrite").partitionBy("document_id").json(path)
+def write_registry(rows: DataFrame, path: str, outcome: DataFrame | None = None) -> int:
+    """The registry, first with every document pending, later, given the
+    outcome (document_id, status), with what became of it."""
+    return write_json(with_status(rows, outcome), path)
+
+
+def write_documents(blocks: DataFrame, path: str, parts: int = 64) -> None:
+    """Nested documents as JSON lines, sorted by id within `parts` folders."""
+    whole = nest(blocks).withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(parts)))
+    whole.repartition("part").sortWithinPartitions("part", "document_id").write.mode("overwrite").partitionBy("part").json(path)
 
 
 def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
@@ -92,13 +135,44 @@ def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
     postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+def write_stats(index: TermIndex, path: str, vectors: DataFrame | None = None, chunks: DataFrame | None = None) -> int:
+    return write_json(index_stats(index, vectors, chunks), path)
+
+
+def write_report(spark: SparkSession, path: str, title: str, tables: dict[str, DataFrame]) -> str:
+    """A report of small tables as path.json and path.md; gives the latter's text."""
+    got = {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in tables.items()}
+    text = "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown(rows)}" for name, rows in got.items())]) + "\n"
+    store.write_text(spark, f"{path}.json", json.dumps({"title": title, **got}, default=str, indent=2, ensure_ascii=False))
+    store.write_text(spark, f"{path}.md", text)
+    return text
+
+
+def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
     """existing with the rows of new added or put in place of those of equal
-    key; of several new rows of a key any one counts."""
-    fresh = new.dropDuplicates([key])
+    key. Of several new rows of a key the one of greatest `order` counts, then
+    that of greatest hash, so a run that is repeated gives the same."""
+    plain = [c for c, t in new.dtypes if not t.startswith(("map", "variant"))]
+    last = Window.partitionBy(key).orderBy(*([F.desc(order)] if order else []), F.desc(F.xxhash64(*plain)))
+    fresh = new.withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_last")
     return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def hits_of_store(rows: DataFrame) -> DataFrame:
+    """Rows of scalar metadata (chunking.store_rows(), with a distance) as hits:
+    lists from their commas, empty texts as null, similarity 1 - distance."""
+    text = [c for c, t in rows.dtypes if t == "string" and c not in ("chunk_id", "context_text", "clause_ids")]
+    out = rows.withColumn("clause_ids", F.filter(F.split("clause_ids", ","), lambda c: c != "")).withColumn("similarity", 1 - F.col("distance").cast("double"))
+    for c in text:
+        out = out.withColumn(c, F.nullif(c, F.lit("")))
+    return out.withColumn("page_start", F.col("page_start").cast("int")).withColumn("page_end", F.col("page_end").cast("int"))
+
+
+def as_json(rows: DataFrame, key: str) -> DataFrame:
+    """(key, body): each row as a JSON object, nulls kept."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("body"))
+
+
 def markdown(rows: list[dict], columns: list[str] | None = None) -> str:
     """A small collected result as a Markdown table."""
     if not rows:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.index import build_terms
+from pagemill.sources import store
 from pagemill.sources.io import upsert
 
 
@@ -35,33 +36,39 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
 
 
 def maintain_index(spark: SparkSession, chunks: DataFrame, base: str, id_col: str = "chunk_id") -> Callable[[], None]:
-    """A run that takes a stream of chunks (id_col, text, ...) into base/chunks
-    by key and rebuilds base/postings and base/terms of it.
+    """A run that takes a stream of chunks (id_col, text, ...) into base's
+    current version: chunks by key, postings of what changed, and terms.
 
     Each batch writes a new version beside the old and then names it in
-    base/current, so readers see whole versions and a batch that runs again
-    gives the same one."""
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def current() -> str | None:
-        try:
-            return spark.read.text(f"{base}/current").first()[0]
-        except Exception:
-            return None
+    base/current, one file put in place by a rename: readers see whole versions
+    and a batch that runs again gives the same one. The version before stays
+    for those that read it, the one before that goes. Only a missing name means
+    that there is no index yet; any other error stops the run.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        old = current()
-        version = f"{base}/v{batch_id}"
+        old, version = store.read_text(spark, f"{base}/current"), f"{base}/v{batch_id}"
         if old == version:
             return
-        rows = upsert(spark.read.parquet(f"{old}/chunks"), batch, id_col) if old else batch.dropDuplicates([id_col])
+        fresh = upsert(batch.limit(0), batch, id_col)
+        rows = upsert(spark.read.parquet(f"{old}/chunks"), batch, id_col) if old else fresh
         rows.write.mode("overwrite").parquet(f"{version}/chunks")
-        index = build_terms(spark.read.parquet(f"{version}/chunks"), id_col)
-        index.postings.write.mode("overwrite").parquet(f"{version}/postings")
-        index.terms.write.mode("overwrite").parquet(f"{version}/terms")
-        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/current")
+        postings = build_terms(fresh, id_col).postings
+        if old:
+            kept = spark.read.parquet(f"{old}/postings").join(fresh.select(F.col(id_col).alias("doc_id")), "doc_id", "left_anti")
+            postings = kept.unionByName(postings)
+        postings.write.mode("overwrite").parquet(f"{version}/postings")
+        n = spark.read.parquet(f"{version}/chunks").count()
+        df = spark.read.parquet(f"{version}/postings").groupBy("term").agg(F.count("*").alias("df"))
+        df.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).write.mode("overwrite").parquet(f"{version}/terms")
+        store.write_text(spark, f"{base}/current", version)
         if old:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+            for gone in _versions(spark, base) - {old, version}:
+                store.delete(spark, f"{base}/{gone.rpartition('/')[2]}")
 
     return lambda: run_available(chunks, f"{base}/checkpoint", each)
+
+
+def _versions(spark: SparkSession, base: str) -> set[str]:
+    fs, p = store.filesystem(spark, base)
+    return {f"{base}/{f.getPath().getName()}" for f in fs.listStatus(p) if f.getPath().getName()[:1] == "v" and f.getPath().getName()[1:].isdigit()}
