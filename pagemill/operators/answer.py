@@ -83,17 +83,29 @@ def extractive(cfg: EngineConfig) -> Generator:
     return lambda queries, shown: generate.extractive_answers(queries, shown, cfg.generation)
 
 
-def by_model(model, cfg: EngineConfig) -> Generator:
+def by_model(model) -> Generator:
     """A generator of a text model: a function of an iterator of pandas frames
-    (query_id, query, prompt) to frames (query_id, answer)."""
+    (query_id, query, prompt) to frames (query_id, answer). It is shown blocks
+    within a budget, in turns of one a product for questions that compare."""
 
-    def run(queries: DataFrame, shown: DataFrame) -> DataFrame:
-        asked = generate.prompts(queries, shown)
+    def answers(queries: DataFrame, shown: DataFrame) -> DataFrame:
+        asked = generate.prompts(queries, shown, queries.where("compares").select("query_id", "products", "criteria"))
         made = asked.mapInPandas(model, "query_id long, answer string")
         out = queries.select("query_id").join(made, "query_id", "left")
         return out.select("query_id", F.coalesce("answer", F.lit(generate.REFUSAL)).alias("answer"), (F.col("answer").isNull() | generate.is_refusal(F.col("answer"))).alias("abstained"))
 
-    return run
+    answers.blocks = True
+    return answers
+
+
+def blocks_of(routed: DataFrame, found: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """What a model is shown of the evidence, numbered as it is shown."""
+    asks = routed.select("query_id", "products", F.col("query_type").isin("product_comparison", "recommendation").alias("compares"))
+    rows = found.join(asks.select("query_id", "compares"), "query_id")
+    wanted = asks.where("compares").select("query_id", F.posexplode("products").alias("pos", "product"))
+    plain = generate.evidence_blocks(rows.where("not compares").drop("compares"), cfg.generation)
+    turns = generate.comparison_blocks(rows.where("compares").drop("compares"), wanted, cfg.generation)
+    return plain.unionByName(turns.select(*plain.columns))
 
 
 @dataclass(frozen=True)
@@ -117,7 +129,9 @@ def run(queries: DataFrame, corpus: Corpus, generator: Generator | None = None,
     routed = route(analysis, steps)
     # what is shown and answered is a few rows a question that much starts from
     shown = keep(evidence(steps, corpus), "evidence")
-    asked = routed.where("route = 'retrieve'").select("query_id", "query")
+    if getattr(generator, "blocks", False):
+        shown = keep(blocks_of(routed, shown, cfg), "blocks")
+    asked = routed.where("route = 'retrieve'").select("query_id", "query", "products", "criteria", F.col("query_type").isin("product_comparison", "recommendation").alias("compares"))
     answers = keep((generator or extractive(cfg))(asked, shown), "answers")
     return Run(routed, steps, shown, answers, generate.citations(answers, shown))
 

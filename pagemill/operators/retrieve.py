@@ -213,7 +213,8 @@ def hybrid(queries: DataFrame, query_vectors: DataFrame | None, index: TermIndex
     an empty list."""
     k = k or cfg.default_k
     pool = max(cfg.candidate_k, k)
-    empty = queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("rank")).limit(0)
+    kind = dict((index.postings if index is not None else vectors).dtypes)["doc_id"]
+    empty = queries.select("query_id", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("int").alias("rank")).limit(0)
     sem = dense(query_vectors, vectors, pool, allowed, only) if cfg.mode != "keyword" and vectors is not None and query_vectors is not None else empty.withColumn("similarity", F.lit(None).cast("double"))
     key = bm25(queries, index, pool, cfg, allowed, only) if cfg.mode != "semantic" and index is not None else empty.withColumn("score", F.lit(None).cast("double"))
     return ranked(queries, sem, key, cfg, k, reranker)
