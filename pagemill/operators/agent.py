@@ -61,6 +61,14 @@ ALIAS_STOPWORDS = ["policy", "insurance", "health", "general", "the", "and", "of
 FAMILIES = ["waiting_period", "exclusion", "eligibility", "coverage"]
 
 
+def product_list(docs: DataFrame, product_col: str, order: str | None = None) -> DataFrame:
+    """(product, pos) of the products that docs name, each once: by name, or in
+    the order in which they first appear by `order`."""
+    named = docs.where(F.coalesce(F.col(product_col).cast("string"), F.lit("")) != "").groupBy(F.col(product_col).cast("string").alias("product"))
+    found = named.agg((F.min(order) if order else F.lit(0)).alias("_first"))
+    return found.withColumn("pos", F.row_number().over(Window.orderBy("_first", "product"))).select("product", "pos")  # a row a product
+
+
 def product_aliases(products: DataFrame) -> DataFrame:
     """(alias, product) of (product): the whole name, its words of four letters
     or more, its first two of these; none that two products share."""

@@ -300,7 +300,20 @@ def failure_rates(spark: SparkSession, sf: str) -> DataFrame:
     return both
 
 
-QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, pipeline_records, failure_rates, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
+def product_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as products, in the order in which the documents name them."""
+    return A.product_list(T.documents(spark, sf), "source", "doc_id")
+
+
+def api_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """What a service would return, read back from its JSON."""
+    r = _run(spark, sf)
+    body = W.respond(W.unverified(r), r.citations)
+    part = lambda p: F.get_json_object("body", p)
+    return body.select("query_id", F.md5(part("$.answer")).alias("answer_md5"), part("$.query_type").alias("query_type"), part("$.abstained").alias("abstained"), part("$.evidence_count").cast("long").alias("evidence_count"), F.regexp_count("body", F.lit('"n":[0-9]+')).cast("long").alias("citations"), F.md5(part("$.clarification")).alias("clarification_md5"))
+
+
+QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, pipeline_records, failure_rates, product_list, api_responses, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(QUESTIONS, 1)) + ") v(query_id, query))"
 _L = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
@@ -488,6 +501,8 @@ coalesce(declined OR silent OR weak, true) AS abstained, coalesce(ec.evidence_co
 FROM r1 LEFT JOIN fi ON r1.query_id = fi.query_id LEFT JOIN ec ON r1.query_id = ec.query_id""",
     "pipeline_records": f"SELECT * FROM ({_RECORDS} {_SHOWREC}full) UNION ALL SELECT * FROM ({_BASED} {_SHOWREC}baseline)",
     "failure_rates": f"{_RATE.format('full', f'{_RECORDS} {_SHOWREC}full')} UNION ALL {_RATE.format('baseline', f'{_BASED} {_SHOWREC}baseline')}",
+    "product_list": "SELECT source AS product, CAST(row_number() OVER (ORDER BY min(doc_id), source) AS INT) AS pos FROM documents WHERE source <> '' GROUP BY source",
+    "api_responses": f"WITH {_KRUN} SELECT r1.query_id, md5(coalesce(short, answer)) AS answer_md5, query_type, CAST(coalesce(declined, true) AS VARCHAR) AS abstained, coalesce(evidence_count, 0) AS evidence_count, coalesce(n_citations, 0) AS citations, md5(ask) AS clarification_md5 FROM r1 LEFT JOIN ans ON r1.query_id = ans.query_id LEFT JOIN ec ON r1.query_id = ec.query_id LEFT JOIN nc ON r1.query_id = nc.query_id",
     "evidence_by_product": f"{_EXEC} SELECT query_id, source AS product, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY step_id, rank) AS doc_ids FROM ex GROUP BY query_id, source",
     "evidence_budget": f"""{_SHOWN}, bl AS (SELECT query_id, rank, doc_id, '[' || rank || '] Source: ' || label || chr(10) || CASE WHEN length(text) > 1200 THEN rtrim(left(text, 1200)) || '…' ELSE text END AS block FROM shown),
 u AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_chars FROM bl) SELECT query_id, rank, doc_id, used_chars, md5(block) AS block_md5 FROM u WHERE used_chars <= 6000 OR rank = 1""",

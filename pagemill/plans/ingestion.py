@@ -189,7 +189,47 @@ def document_report(spark: SparkSession, sf: str) -> DataFrame:
     return G.document_report(pages, seen, files)
 
 
-QUERIES = {f.__name__.removesuffix("_query"): f for f in (normalize_text_query, block_classify, structure_lists, repeated_headers, section_carry, registry_duplicates, duplicate_of, version_variants, metadata_extract, registry, page_inspection, manual_review, extraction_report, chunk_documents, chunk_invariants, upsert_chunks, metadata_pages, registry_pages, cover_texts, detected_tables, page_signals, normalize_document, page_layout, document_report)}
+def _styled(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with fonts, weights and boxes by their number."""
+    n = F.col("reading_order")
+    b = G.line_blocks(T.documents(spark, sf)).withColumn("text", F.left("text", F.lit(110))).withColumn("n", n)
+    return b.withColumn("font_size", (n % 21).cast("double")).withColumn("is_bold", n % 3 == 0).withColumn("is_upper", n % 4 == 0).withColumn("bbox", F.when(n % 5 != 4, F.array(F.lit(0.0), F.lit(0.0), (n % 7 * 60).cast("double"), F.lit(9.0))))
+
+
+def heading_styles(spark: SparkSession, sf: str) -> DataFrame:
+    """Types, confidences and levels where style is known."""
+    k = B.classify(F.col("text"), F.col("font_size"), F.col("is_bold"), F.col("is_upper"), F.col("bbox"))
+    rows = _styled(spark, sf).select(F.col("document_id").alias("doc_id"), F.col("n").cast("long").alias("line_no"), k.alias("k"), B.heading_level(F.col("text"), F.col("font_size"), F.col("is_bold"), F.col("is_upper")).alias("level"))
+    return rows.select("doc_id", "line_no", "k.type", "k.subtype", "k.confidence", "level")
+
+
+def ocr_need_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The need for OCR over all its signals."""
+    d = F.col("doc_id")
+    need = B.ocr_need(F.when(d % 4 == 0, 0).when(d % 4 == 1, d % 120).otherwise(F.col("n_chars")).cast("long"), d % 3, (d % 9 * 5000).cast("double"), d % 2, (d % 5).cast("double") / 4, d % 6)
+    return T.documents(spark, sf).select("doc_id", *[(F.array_join(v, ",") if k == "ocr_reasons" else v).alias(k) for k, v in need.items()])
+
+
+def ocr_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixel boxes as points within the page, and confidences by page."""
+    d = F.col("doc_id")
+    b = T.documents(spark, sf).where("source is not null").select(F.col("source").alias("document_id"), (d % 7).alias("page_number"), F.array(*[(d * k % 4000).cast("double") for k in (3, 5, 7, 11)]).alias("bbox"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), ((d % 100) / 100).alias("confidence"))
+    c = G.ocr_confidence(b)
+    boxes = G.ocr_boxes(b).groupBy("document_id", "page_number").agg(*[F.round(F.sum(F.get("bbox", F.lit(i))), 4).alias(f"b{i}") for i in range(4)])
+    return c.join(boxes, ["document_id", "page_number"]).withColumn("ocr_confidence_mean", F.round("ocr_confidence_mean", 6))
+
+
+def store_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as a store's scalar rows, and these as hits again."""
+    d = T.documents(spark, sf)
+    n = F.col("doc_id")
+    null = F.lit(None).cast("string")
+    chunks = d.select(n.cast("string").alias("chunk_id"), F.left("text", F.lit(20)).alias("context_text"), F.col("source").alias("document_id"), null.alias("filename"), null.alias("insurer"), F.col("source").alias("product"), null.alias("uin"), F.col("lang").alias("document_type"), F.when(n % 3 == 0, F.col("lang")).alias("section"), null.alias("subsection"), F.lit("prose").alias("chunk_type"), null.alias("embedding_model"), F.when(n % 4 == 0, F.expr("cast(array() as array<string>)")).when(n % 4 == 1, F.lit(None).cast("array<string>")).otherwise(F.array(F.lit("1.2"), n.cast("string"))).alias("clause_ids"), F.when(n % 5 != 0, (n % 5).cast("int")).alias("page_start"), (n % 5 + 1).cast("int").alias("page_end"))
+    hits = io.hits_of_store(C.store_rows(chunks).withColumn("distance", (F.col("chunk_id").cast("long") % 100) / 100))
+    return hits.select("chunk_id", "document_id", "section", "subsection", F.size("clause_ids").cast("long").alias("n_clauses"), F.array_join("clause_ids", "|").alias("clauses"), "page_start", "page_end", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {f.__name__.removesuffix("_query"): f for f in (normalize_text_query, block_classify, structure_lists, repeated_headers, section_carry, registry_duplicates, duplicate_of, version_variants, metadata_extract, registry, page_inspection, manual_review, extraction_report, chunk_documents, chunk_invariants, upsert_chunks, metadata_pages, registry_pages, cover_texts, detected_tables, page_signals, normalize_document, page_layout, document_report, heading_styles, ocr_need_grid, ocr_summary, store_hits)}
 
 _LINES = "lines AS (SELECT doc_id, i - 1 AS line_no, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), generate_series(1, len(l)) g(i))"
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s ]+', ''), '[\s ]+$', '')"
@@ -323,5 +363,19 @@ f AS (SELECT DISTINCT document_id FROM pg UNION ALL SELECT 'missing'),
 p AS (SELECT pg.document_id, count(*) AS pages, count(*) FILTER (pg.doc_id % 9 <> 0 AND pg.n_chars > 50) AS native_text_pages, count(*) FILTER (pg.doc_id % 9 = 0) AS ocr_pages, coalesce(sum(im), 0) AS images, sum(pg.doc_id % 3) AS tables, count(*) FILTER (c < 50 AND im > 0) AS suspicious_pages, sum(pg.n_chars) AS chars
   FROM pg LEFT JOIN i ON pg.document_id = i.document_id AND pg.page_number = i.page_number GROUP BY pg.document_id)
 SELECT f.document_id, f.document_id || '.pdf' AS filename, coalesce(pages, 0) AS pages, coalesce(native_text_pages, 0) AS native_text_pages, coalesce(ocr_pages, 0) AS ocr_pages, CAST(coalesce(images, 0) AS BIGINT) AS images, CAST(coalesce(tables, 0) AS BIGINT) AS tables, coalesce(suspicious_pages, 0) AS suspicious_pages, CAST(coalesce(chars, 0) AS BIGINT) AS chars FROM f LEFT JOIN p USING (document_id)""",
+    "heading_styles": f"""WITH {_LINES}, b AS (SELECT doc_id, line_no, left(text, 110) AS text, trim(left(text, 110)) AS t, CAST(line_no % 21 AS DOUBLE) AS fs, line_no % 3 = 0 AS bold, line_no % 4 = 0 AS caps, CASE WHEN line_no % 5 <> 4 THEN line_no % 7 * 60 END AS w FROM lines),
+c AS (SELECT *, {_CLAUSE} AS clause, upper(t) = t AND lower(t) <> t AND length(t) < 100 AS by_caps, fs > 14 AND length(t) < 200 AS by_font, bold AND length(t) < 80 AND t <> '' AS b1, bold AND length(t) < 120 AS b2, coalesce(w < 240 AND caps AND length(t) < 80, false) AS nar FROM b),
+f AS (SELECT *, greatest(CASE WHEN by_caps THEN 0.7 ELSE 0 END, CASE WHEN by_font THEN 0.6 ELSE 0 END, CASE WHEN b1 THEN 0.8 ELSE 0 END, CASE WHEN b2 THEN 0.7 ELSE 0 END, CASE WHEN nar THEN 0.75 ELSE 0 END) AS conf FROM c),
+g AS (SELECT *, CASE WHEN conf >= 0.6 THEN CASE WHEN nar THEN 1 WHEN b1 OR b2 THEN 2 WHEN by_caps OR by_font THEN 1 END END AS lv, {_classify_sql('text')} AS k FROM f)
+SELECT doc_id, line_no, CASE WHEN k[1] IN ('clause', 'list_item', 'footer') OR t = '' THEN k[1] WHEN lv IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN k[1] IN ('clause', 'list_item', 'footer') THEN k[2] WHEN t = '' THEN NULL WHEN lv = 1 THEN 'section_heading' WHEN lv IS NOT NULL THEN 'subsection_heading_l' || lv END AS subtype,
+CASE WHEN k[1] IN ('clause', 'list_item', 'footer') OR t = '' THEN CAST(k[3] AS DOUBLE) WHEN lv IS NOT NULL THEN CAST(conf AS DOUBLE) ELSE 1.0 END AS confidence, CASE WHEN fs > 0 AND t <> '' THEN CASE WHEN fs > 18 OR (bold AND caps AND length(t) < 80) THEN 1 WHEN fs > 14 OR bold THEN 2 WHEN fs > 12 AND bold THEN 3 END END AS level FROM g""",
+    "ocr_need_grid": """WITH g AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN doc_id % 120 ELSE n_chars END AS c, doc_id % 3 AS b, doc_id % 9 * 5000.0 AS a, doc_id % 2 AS i, (doc_id % 5) / 4.0 AS v, doc_id % 6 AS f FROM documents)
+SELECT doc_id, i > 0 AND c < 100 AS needs_ocr, CASE WHEN NOT (i > 0 AND c < 100) THEN 'not_required' WHEN c = 0 THEN 'high' WHEN c < 50 THEN 'medium' ELSE 'low' END AS ocr_confidence,
+coalesce(nullif(concat_ws(',', CASE WHEN c = 0 THEN 'no_extractable_text' END, CASE WHEN c > 0 AND c < 100 THEN 'very_low_text_count' END, CASE WHEN b < 2 AND c < 50 THEN 'insufficient_text_blocks' END, CASE WHEN i > 0 THEN 'images_present' END, CASE WHEN i > 0 AND v > 0.5 THEN 'high_image_coverage' END,
+CASE WHEN a > 0 AND c / (a / 1000) < 0.05 THEN 'low_text_density' END, CASE WHEN f = 0 AND c > 0 THEN 'no_font_info_with_text' END), ''), 'text_extraction_ok') AS ocr_reasons FROM g""",
+    "ocr_summary": """WITH b AS (SELECT source AS document_id, doc_id % 7 AS page_number, [doc_id * 3 % 4000, doc_id * 5 % 4000, doc_id * 7 % 4000, doc_id * 11 % 4000] AS x, (doc_id % 100) / 100.0::DOUBLE AS c FROM documents WHERE source IS NOT NULL)
+SELECT document_id, page_number, round(avg(c), 6) AS ocr_confidence_mean, min(c) AS ocr_confidence_min, round(sum(least(x[1] * 0.24::DOUBLE, 595)), 4) AS b0, round(sum(least(x[2] * 0.24::DOUBLE, 842)), 4) AS b1, round(sum(least(x[3] * 0.24::DOUBLE, 595)), 4) AS b2, round(sum(least(x[4] * 0.24::DOUBLE, 842)), 4) AS b3 FROM b GROUP BY 1, 2""",
+    "store_hits": """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, nullif(source, '') AS document_id, CASE WHEN doc_id % 3 = 0 THEN nullif(lang, '') END AS section, CAST(NULL AS VARCHAR) AS subsection, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE 2 END::BIGINT AS n_clauses, CASE WHEN doc_id % 4 < 2 THEN '' ELSE '1.2|' || doc_id END AS clauses,
+CAST(doc_id % 5 AS INT) AS page_start, CAST(doc_id % 5 + 1 AS INT) AS page_end, round(1 - (doc_id % 100) / 100.0::DOUBLE, 6) AS similarity FROM documents""",
     "upsert_chunks": "SELECT doc_id AS chunk_id, 'new' AS state, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'old', n_chars FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0",
 }
