@@ -86,8 +86,13 @@ def shape(s: str) -> str:
 def left_context(text: str, start: int, n: int = 2) -> str | None:
     """The n tokens that stand before start on its line, lower-cased, digits
     as 9; None where there are fewer."""
-    line = text[max(0, start - 120) : start].rpartition("\n")[2].lower()
-    got = line.split()
+    width, got = 120, []
+    while True:  # until the line's begin or a token more than asked for is seen
+        _, cut, line = text[max(0, start - width) : start].rpartition("\n")
+        got = line.lower().split()
+        if cut or width >= start or len(got) > n:
+            break
+        width *= 4
     return re.sub(r"[0-9]+", "9", " ".join(got[-n:])) if len(got) >= n and (start == 0 or text[start - 1].isspace() or text[start - 1] in "(\"'<[") else None
 
 

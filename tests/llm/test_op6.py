@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from pagemill.llm.pii import KINDS, base_spans, bootstrap, candidates, edges, find, joined, luhn, mask, op6_pii, shape
+from pagemill.llm.pii import KINDS, base_spans, bootstrap, candidates, edges, find, joined, luhn, mask, op6_pii, shape, left_context
 
 SF = "/root/testdata/sf0.01"
 
@@ -102,3 +102,12 @@ def test_a_long_identifier_is_learned_and_masked(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     masked = [r.text for r in mask(df, bootstrap(edges(df, "text"))).orderBy("doc_id").collect()]
     assert masked[30:] == ["write login as <email> now"] * 4
+
+
+def test_contexts_of_any_length():
+    long = "x" * 3000
+    for lead in (f"{long} id ", f"a {long} ", f"first line {long}\nno {long[:200]} "):
+        text = lead + "K1234567"
+        want = " ".join(lead.rpartition("\n")[2].split()[-2:]).lower()
+        assert left_context(text, len(lead)) == want
+    assert left_context("only 12345", 5) is None and left_context("", 0) is None
