@@ -147,10 +147,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(count(b.column(0).to_pylist(), b.column(1).to_pylist()).items())
-            for at in range(0, len(rows), 100_000):
-                part = rows[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in part], t) for i, t in ((0, pa.string()), (1, pa.int32()), (2, pa.string()))] + [pa.array([c for _, c in part], pa.int64())], names=["v", "n", "g", "c"])
+            texts, langs, size = [], [], 0
+            for i, v in enumerate(b.column(1).to_pylist()):
+                texts.append(b.column(0)[i].as_py())
+                langs.append(v)
+                size += len(texts[-1])
+                if size > 100_000 or i + 1 == b.num_rows:  # a worker keeps what it once took
+                    rows = list(count(texts, langs).items())
+                    yield pa.RecordBatch.from_arrays([pa.array([k[j] for k, _ in rows], t) for j, t in ((0, pa.string()), (1, pa.int32()), (2, pa.string()))] + [pa.array([c for _, c in rows], pa.int64())], names=["v", "n", "g", "c"])
+                    texts, langs, size = [], [], 0
 
     picked = put(sample(docs, id_col, text_col, lang_col, per_lang), "sample")
     counts = put(picked.select("text", "v").mapInArrow(run, "v string, n int, g string, c long").groupBy("v", "n", "g").agg(F.sum("c").alias("c")), "counts")

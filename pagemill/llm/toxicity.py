@@ -216,12 +216,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(of, least: int = 0, clean: bool = True) -> dict:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = (Counter(), Counter())
             for b in batches:
-                seen = (Counter(), Counter())
                 for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                     seen[y].update(map(repr, of(fold(t.as_py()))))
-                items = sorted(seen[0].keys() | seen[1].keys())
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), *[pa.array([seen[y][i] for i in items], pa.int64()) for y in (0, 1)]], names=["item", "clean", "toxic"])
+                    if len(seen[0]) + len(seen[1]) > 50_000:  # a worker keeps what it once took
+                        yield told(seen)
+                        seen = (Counter(), Counter())
+            yield told(seen)
+
+        def told(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
+            items = sorted(seen[0].keys() | seen[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(items, pa.string()), *[pa.array([seen[y][i] for i in items], pa.int64()) for y in (0, 1)]], names=["item", "clean", "toxic"])
 
         asked = rows if clean else rows.where("y = 1")
         found = asked.mapInArrow(run, "item string, clean long, toxic long").groupBy("item").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -237,6 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scored(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """id, score, predicted, n_hits, and the columns of keep as k0, k1, ..."""
     bias, slope, length = lexicon.model
+    # the text goes to Python once, also where it is kept
+    others = [i for i, c in enumerate(keep) if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = lexicon.automaton()
@@ -248,10 +256,12 @@ def _scored(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, keep:
                 found.append(len(h))
                 scores.append(_sigmoid(bias + slope * math.log1p(sum(w for _, _, w in h)) + length * math.log1p(len(folded.split()))) if auto else 0.0)
             columns = [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [b.column(2 + i) for i in range(len(keep))], names=["id", "score", "predicted", "n_hits", *[f"k{i}" for i in range(len(keep))]])
+            kept = [b.column(2 + others.index(i)) if i in others else b.column(1) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays(columns + kept, names=["id", "score", "predicted", "n_hits", *[f"k{i}" for i in range(len(keep))]])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
-    schema = StructType([StructField("id", LongType()), StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("n_hits", LongType()), *picked.schema.fields[2:]])
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{keep[i]}`").alias(f"k{i}") for i in others])
+    kinds = [StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    schema = StructType([StructField("id", LongType()), StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("n_hits", LongType()), *kinds])
     return picked.mapInArrow(run, schema)
 
 
