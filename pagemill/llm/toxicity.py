@@ -50,7 +50,7 @@ def fold(text: str) -> str:
 class Lexicon:
     """weights: by term (a gap, then a word's beginning or a whole word and a
     gap); exceptions: phrases inside which terms don't count; model: bias,
-    slope of the hits and of the length."""
+    slope of the normalised hits and of the length (0 unless given)."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
@@ -85,9 +85,14 @@ def hits(folded: str, automaton: ahocorasick.Automaton | None) -> list[tuple[int
 
 
 def features(folded: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float]:
-    """log1p of the weight found, log1p of the words."""
-    found = sum(w for _, _, w in hits(folded, automaton))
-    return math.log1p(found), math.log1p(len(folded.split()))
+    """log1p of the weight found over the square root of the words, log1p of
+    the words."""
+    return _features(sum(w for _, _, w in hits(folded, automaton)), folded)
+
+
+def _features(found: float, folded: str) -> tuple[float, float]:
+    n = len(folded.split())
+    return math.log1p(found / math.sqrt(max(n, 1))), math.log1p(n)
 
 
 def _sigmoid(x: float) -> float:
@@ -144,12 +149,13 @@ def weigh(df: dict[str, tuple[int, int]], n: tuple[int, int], min_docs: int = 4,
     return weights
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """A ridge fit by Newton's steps."""
-    b = np.array([-2.0, 1.0, 0.0])
-    for _ in range(50):
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Bias and slopes of a ridge fit by Newton's steps."""
+    x = np.column_stack([np.ones(len(x)), x])
+    b = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3), x.T @ (y - p) - 0.5 * b)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(b)), x.T @ (y - p) - 0.5 * b)
         b = b + step
         if np.abs(step).max() < 1e-8:
             break
@@ -162,7 +168,7 @@ def learn_counts(n: tuple[int, int], count, min_docs: int = 4) -> Lexicon:
     texts, `least` toxic ones at least, clean texts left out if not asked. A term goes that few different pairs
     of neighbours show for its frequency (copies of a text repeat it, not its
     use). Phrases of two words around a term that occur in clean texts alone
-    become exceptions. A logistic fit joins hits and length."""
+    become exceptions. A logistic fit scales the hits, normalised by length."""
     if not all(n):
         return Lexicon()
     df = count(terms_of, least=min_docs)
@@ -173,10 +179,10 @@ def learn_counts(n: tuple[int, int], count, min_docs: int = 4) -> Lexicon:
     auto = out.automaton()
     out.exceptions = sorted(p for p, (c, t) in count(lambda t: phrases_of(t, auto)).items() if c >= 3 and not t)
     auto = out.automaton()
-    points = count(lambda t: [features(t, auto)])
+    points = count(lambda t: [features(t, auto)[0]])
     rows = sorted((f, y, k) for f, by in points.items() for y, k in enumerate(by) if k)
-    x = np.array([(1.0, *f) for f, _, k in rows for _ in range(k)])
-    out.model = logistic(x, np.array([y for _, y, k in rows for _ in range(k)], float))
+    x = np.array([f for f, _, k in rows for _ in range(k)])
+    out.model = (*logistic(x, np.array([y for _, y, k in rows for _ in range(k)], float)), 0.0)
     return out
 
 
@@ -254,7 +260,8 @@ def _scored(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, keep:
                 folded = fold(t.as_py() or "")
                 h = hits(folded, auto)
                 found.append(len(h))
-                scores.append(_sigmoid(bias + slope * math.log1p(sum(w for _, _, w in h)) + length * math.log1p(len(folded.split()))) if auto else 0.0)
+                hit, size = _features(sum(w for _, _, w in h), folded)
+                scores.append(_sigmoid(bias + slope * hit + length * size) if auto else 0.0)
             columns = [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.int64())]
             kept = [b.column(2 + others.index(i)) if i in others else b.column(1) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(columns + kept, names=["id", "score", "predicted", "n_hits", *[f"k{i}" for i in range(len(keep))]])
@@ -269,8 +276,8 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     """id_col, score (0 to 1), predicted (1 if score >= 0.5) and n_hits, one
     row per row of docs.
 
-    score is the logistic of the found weight and of the length, both in logs:
-    the same hits count less in a longer text. Null texts count as empty; null
+    score is the logistic of the log of the found weight over the square root
+    of the words: the same hits count less in a longer text. Null texts count as empty; null
     ids and repeated rows pass; extra columns are left out.
     """
     return _scored(docs, lexicon, id_col, text_col, []).withColumnRenamed("id", id_col)

@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
         found = naive_hits(fold(docs[r.doc_id]), lex)
         assert r.n_hits == len(found)
         words = len(fold(docs[r.doc_id]).split())
-        want = _sigmoid(lex.model[0] + lex.model[1] * log1p(sum(found.values())) + lex.model[2] * log1p(words))
+        want = _sigmoid(lex.model[0] + lex.model[1] * log1p(sum(found.values()) / max(words, 1) ** 0.5))
         assert abs(r.score - want) < 1e-9
 
 
@@ -86,3 +86,12 @@ def test_rows_that_share_an_id_and_both_labels(spark):
     a, b = fit(docs, labels), fit(docs.repartition(7), labels)
     assert a == b and " vequ" in a.weights
     assert fit(docs.limit(0), labels).weights == {}
+
+
+def test_longer_texts_with_the_same_hits_score_less(spark):
+    texts = [f"plain words {i} of a text" for i in range(60)] + [f"a vequ{chr(97 + i % 26)}{chr(97 + i % 7)} text" for i in range(60)]
+    lex = learn(texts, [0] * 60 + [1] * 60)
+    assert lex.model[1] > 0 and lex.model[2] == 0
+    df = spark.createDataFrame([(n, "vequzz " + "word " * n) for n in (0, 3, 30, 300, 3000)], "doc_id long, text string")
+    got = [r.score for r in score(df, lex).orderBy("doc_id").collect()]
+    assert got == sorted(got, reverse=True) and len(set(got)) == len(got)
