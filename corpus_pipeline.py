@@ -10,7 +10,7 @@ from pagemill.llm.minhash_dedup import without_near_copies
 from pagemill.llm.mixing import in_mixed_order
 from pagemill.llm.packing import packed
 from pagemill.llm.pii import without_personal_data
-from pagemill.llm.shelf import put, table
+from pagemill.llm.shelf import drop, put, table
 from pagemill.llm.toxicity import without_toxic
 
 #: (name, function of (spark, docs, sf_dir)); each but the last returns the
@@ -31,5 +31,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of sf_dir, each written before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = put(stage(spark, docs, sf_dir), name)
+        done = put(stage(spark, docs, sf_dir), name)
+        drop(docs)  # the former stage's table, which nothing reads any more
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
