@@ -42,9 +42,14 @@ def aligned(lines: Column) -> Column:
 
 def classify(text: Column, font_size: Column | None = None, is_bold: Column | None = None, is_upper: Column | None = None, bbox: Column | None = None) -> Column:
     """struct(type, subtype, confidence) of a block's raw text; first rule wins."""
-    null = lambda t: F.lit(None).cast(t)
     t = strip(text)
-    lines = _lines(t)
+    return classify_from(t, _lines(t), clause_number(t), font_size, is_bold, is_upper, bbox)
+
+
+def classify_from(t: Column, lines: Column, clause: Column, font_size: Column | None = None, is_bold: Column | None = None, is_upper: Column | None = None, bbox: Column | None = None) -> Column:
+    """classify() of a stripped text, its lines and its clause number: given as
+    columns, they are worked out once a row."""
+    null = lambda t: F.lit(None).cast(t)
     tabbed = F.filter(lines, lambda x: x.contains("\t"))
     level, conf = heading(t, F.size(lines), font_size if font_size is not None else null("double"), is_bold if is_bold is not None else null("boolean"), is_upper if is_upper is not None else null("boolean"), bbox if bbox is not None else null("array<double>"))
     bare = F.regexp_replace(t, r"\.+\z", "")
@@ -52,8 +57,8 @@ def classify(text: Column, font_size: Column | None = None, is_bold: Column | No
     sub = F.struct(F.lit("heading").alias("type"), F.concat(F.lit("subsection_heading_l"), level.cast("string")).alias("subtype"), conf.cast("double").alias("confidence"))
     return (
         F.when(t == "", kind("paragraph", None, 1.0))
-        .when(clause_number(t).isNotNull(), kind("clause", "numbered_clause", 0.9))
-        .when(F.size(tabbed) >= 2, kind("table", "tab_separated", 0.8))
+        .when(clause.isNotNull(), kind("clause", "numbered_clause", 0.9))
+        .when((F.size(lines) >= 2) & (F.size(tabbed) >= 2), kind("table", "tab_separated", 0.8))
         .when(aligned(lines), kind("table", "aligned_columns", 0.7))
         .when(F.get(lines, F.lit(0)).rlike(rf"^[*\-{BULLETS[2:]}]\s+"), kind("list_item", "bulleted_list", 0.8))
         .when((F.length(t) < 100) & (F.size(lines) <= 2) & bare.rlike(r"^(\d+|\d+\s*/\s*\d+)$"), kind("footer", "page_number", 0.7))

@@ -47,11 +47,16 @@ def containment(claim: Column, evidence: Column) -> Column:
     return F.when(n == 0, 0.0).when((both <= 1) & (n > 1), 0.0).otherwise(both / F.nullif(n, F.lit(0))).cast("double")
 
 
+#: What Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def normalize_text(text: Column) -> Column:
     """Tabs to spaces, control characters out, runs of spaces squeezed, line ends and the whole trimmed."""
     t = F.regexp_replace(F.translate(text, "\t", " "), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
-    t = F.regexp_replace(F.regexp_replace(t, " {2,}", " "), r"(?U)[\s&&[^\n]]+(?=\n)", "")
-    return F.regexp_replace(t, r"(?U)^\s+|\s+\z", "")
+    t = F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
+    t = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(t, r"(?U)[\s&&[^\n]]+(?=\n)", "")).otherwise(t)
+    return F.btrim(t, F.lit(WHITE))
 
 
 def has_unicode_issues(text: Column) -> Column:
@@ -59,7 +64,7 @@ def has_unicode_issues(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
 
 
 def clause_number(text: Column) -> Column:

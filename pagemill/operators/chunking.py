@@ -27,14 +27,17 @@ def _parts(texts: Column, alone: bool) -> Column:
     return F.transform(texts, lambda t: F.struct(t.alias("t"), F.lit(alone).alias("alone")))
 
 
-def _filled(parts: Column, glue: str, limit: int) -> Column:
+def _filled(parts: Column, glue: str, limit: int, ragged: bool = False) -> Column:
     """Parts joined in order for as long as they fit in limit; those that must
-    stand alone are never joined."""
+    stand alone are never joined. Ragged parts may have white space around
+    them, which what they join into loses."""
 
     def step(state: Column, x: Column) -> Column:
         full = F.when(state["held"] == "", state["done"]).otherwise(F.array_append(state["done"], state["held"]))
-        both = strip(F.concat(state["held"], F.lit(glue), x["t"]))
-        fits = (state["held"] != "") & (F.length(both) <= limit)
+        both = F.concat(state["held"], F.lit(glue), x["t"])
+        both = strip(both) if ragged else both
+        size = F.length(both) if ragged else F.length(state["held"]) + len(glue) + F.length(x["t"])
+        fits = (state["held"] != "") & (size <= limit)
         return F.when(x["alone"], F.struct(F.array_append(full, x["t"]).alias("done"), F.lit("").alias("held"))).when(fits, F.struct(state["done"].alias("done"), both.alias("held"))).otherwise(F.struct(full.alias("done"), x["t"].alias("held")))
 
     begin = F.struct(F.expr(_NONE).alias("done"), F.lit("").alias("held"))
@@ -43,15 +46,16 @@ def _filled(parts: Column, glue: str, limit: int) -> Column:
 
 
 def split_pieces(text: Column, limit: int) -> Column:
-    """A text as pieces of at most limit: by paragraphs, then sentences, then
-    words, then characters, as many as fit together."""
+    """A text without white space around it as pieces of at most limit: by
+    paragraphs, then sentences, then words, then characters, as many as fit
+    together."""
     short = lambda t: F.length(t) <= limit
     slices = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / limit).cast("int")), lambda i: F.substring(w, i * limit + 1, F.lit(limit)))
     words = lambda t: _filled(F.flatten(F.transform(F.split(strip(t), r"(?U)\s+"), lambda w: F.when(short(w), _parts(F.array(w), False)).otherwise(_parts(slices(w), True)))), " ", limit)
-    sentences = lambda t: _filled(F.flatten(F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), lambda s: F.when(short(s), _parts(F.array(s), False)).otherwise(_parts(words(s), False)))), " ", limit)
+    sentences = lambda t, ragged: _filled(F.flatten(F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), lambda s: F.when(short(s), _parts(F.array(s), False)).otherwise(_parts(words(s), False)))), " ", limit, ragged)
     paragraphs = F.filter(F.split(text, r"(?U)\n\s*\n"), lambda p: strip(p) != "")
-    by_paragraph = _filled(F.flatten(F.transform(paragraphs, lambda p: F.when(short(p), _parts(F.array(p), False)).otherwise(_parts(sentences(p), True)))), "\n\n", limit)
-    return F.when(short(text), F.array(text)).when(F.size(paragraphs) > 1, by_paragraph).otherwise(sentences(text))
+    by_paragraph = _filled(F.flatten(F.transform(paragraphs, lambda p: F.when(short(p), _parts(F.array(p), False)).otherwise(_parts(sentences(p, True), True)))), "\n\n", limit, True)
+    return F.when(short(text), F.array(text)).when(F.size(paragraphs) > 1, by_paragraph).otherwise(sentences(text, False))
 
 
 _LEVELS = [(re.compile(r"\n\s*\n"), "\n\n"), (re.compile(r"(?<=[.!?])\s+"), " "), (re.compile(r"\s+"), " ")]
@@ -77,60 +81,51 @@ def split_long(text: str, limit: int, level: int = 0) -> list[str]:
 
 
 def pieces_of_blocks(body: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """Each block's pieces (document_id, run, ord, piece, ...), with the run
+    """Each block's pieces (document_id, n, i, run, piece, ...), with the run
     that they belong to. A run begins where structure demands a new chunk: at a
     marker that follows something else, at a change between table and prose, at
-    a text beyond max_chars and at each of its pieces."""
+    a text beyond max_chars and at each of its pieces. All windows share one
+    order, so a document is sorted once."""
     order = Window.partitionBy("document_id").orderBy("page_number", "reading_order")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = body.withColumn("marker", F.col("is_section") | F.col("is_subsection")).withColumn("kind", F.when(F.col("type") == "table", "table").otherwise("prose")).withColumn("pieces", split_pieces(F.col("text"), cfg.max_chars))
     lone = F.col("marker") & (F.size("pieces") == 1)
+    below = F.when(F.col("is_section"), F.struct(F.lit(None).cast("string").alias("t"))).when(F.col("is_subsection"), F.struct(F.col("text").alias("t")))
     rows = (
         rows.withColumn("prior", F.lag(F.struct("kind", lone.alias("lone"))).over(order))
         .withColumn("section", F.last(F.when(F.col("is_section"), F.col("title")), ignorenulls=True).over(upto))
-        .withColumn("_s", F.sum(F.col("is_section").cast("int")).over(upto))
-        .withColumn("_n", F.row_number().over(order))
+        .withColumn("subsection", F.last(below, ignorenulls=True).over(upto)["t"])
+        .withColumn("n", F.row_number().over(order))
     )
-    within = Window.partitionBy("document_id", "_s").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("subsection", F.last(F.when(F.col("is_subsection") & ~F.col("is_section"), F.col("text")), ignorenulls=True).over(within))
     turn = F.coalesce(F.col("prior.kind") != F.col("kind"), F.lit(True)) | (F.col("marker") & ~F.coalesce("prior.lone", F.lit(False))) | (F.length("text") > cfg.max_chars)
-    flat = rows.select("document_id", "_n", turn.alias("turn"), "page_number", "clause_id", (F.col("type") == "clause").alias("is_clause"), "kind", "section", "subsection", F.posexplode("pieces").alias("i", "piece"))
-    return flat.withColumn("ord", F.struct("_n", "i")).withColumn("run", F.sum((F.col("turn") | (F.col("i") > 0)).cast("int")).over(Window.partitionBy("document_id").orderBy("_n", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    more = F.size("pieces") - 1
+    rows = rows.withColumn("run", F.sum(turn.cast("int") + more).over(upto) - more)
+    flat = rows.select("document_id", "n", "run", "page_number", "clause_id", (F.col("type") == "clause").alias("is_clause"), "kind", "section", "subsection", F.posexplode("pieces").alias("i", "piece"))
+    return flat.withColumn("run", F.col("run") + F.col("i"))
 
 
-def fill(pieces: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """Chunks (document_id, run, c, text, ...) of runs of pieces: a clause
+_CHUNK = ["text", "page_start", "page_end", "chunk_type", "section", "subsection", "clause_ids"]
+
+
+def filled(pieces: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """(document_id, l): each document's chunks in order. Within a run a clause
     begins one once target_chars is reached, and so does what would pass
     max_chars. A chunk keeps the section under which it began."""
 
     def step(state: Column, x: Column) -> Column:
-        size = F.length(x["piece"])
-        new = (state["size"] > 0) & ((x["is_clause"] & (state["size"] >= cfg.target_chars)) | (state["size"] + size > cfg.max_chars))
-        c = state["c"] + new.cast("int")
-        return F.struct(F.when(new, size).otherwise(state["size"] + size).alias("size"), c.alias("c"), F.array_append(state["at"], c).alias("at"))
-
-    fields = ["ord", "piece", "is_clause", "page_number", "clause_id", "kind", "section", "subsection"]
-    runs = pieces.groupBy("document_id", "run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x"))
-    begin = F.struct(F.lit(0).alias("size"), F.lit(0).alias("c"), F.expr("cast(array() as array<int>)").alias("at"))
-    placed = runs.withColumn("at", F.aggregate("x", begin, step, lambda s: s["at"]))
-    each = placed.select("document_id", "run", F.explode(F.arrays_zip("at", "x")).alias("z")).select("document_id", "run", F.col("z.at").alias("c"), "z.x")
-    whole = each.groupBy("document_id", "run", "c").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    first = F.get("x", F.lit(0))
-    return whole.select(
-        "document_id",
-        "run",
-        "c",
-        strip(F.array_join(F.col("x.piece"), "\n")).alias("text"),
-        first["page_number"].alias("page_start"),
-        F.element_at("x", -1)["page_number"].alias("page_end"),
-        first["kind"].alias("chunk_type"),
-        first["section"].alias("section"),
-        first["subsection"].alias("subsection"),
-        F.array_distinct(F.array_compact(F.col("x.clause_id"))).alias("clause_ids"),
-    ).where("text <> ''")
+        size, last = F.length(x["piece"]), F.element_at(state["done"], -1)
+        own = F.array_compact(F.array(x["clause_id"]))
+        fresh = F.struct(x["piece"].alias("text"), x["page_number"].alias("page_start"), x["page_number"].alias("page_end"), x["kind"].alias("chunk_type"), x["section"].alias("section"), x["subsection"].alias("subsection"), own.alias("clause_ids"))
+        longer = F.struct(F.concat(last["text"], F.lit("\n"), x["piece"]).alias("text"), last["page_start"].alias("page_start"), x["page_number"].alias("page_end"), *[last[c].alias(c) for c in ("chunk_type", "section", "subsection")], F.array_union(last["clause_ids"], own).alias("clause_ids"))
+        new = (x["run"] != state["run"]) | (x["is_clause"] & (state["size"] >= cfg.target_chars)) | (state["size"] + size > cfg.max_chars)
+        return F.struct(F.when(new, F.array_append(state["done"], fresh)).otherwise(_with_last(state["done"], longer)).alias("done"), F.when(new, size).otherwise(state["size"] + size).alias("size"), x["run"].alias("run"))
 
-
-_CHUNK = ["text", "page_start", "page_end", "chunk_type", "section", "subsection", "clause_ids"]
+    fields = ["n", "i", "run", "piece", "is_clause", "page_number", "clause_id", "kind", "section", "subsection"]
+    docs = pieces.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x"))
+    none = "cast(array() as array<struct<text:string,page_start:int,page_end:int,chunk_type:string,section:string,subsection:string,clause_ids:array<string>>>)"
+    begin = F.struct(F.expr(none).alias("done"), F.lit(0).alias("size"), F.lit(0).cast("bigint").alias("run"))
+    trimmed = lambda done: F.filter(F.transform(done, lambda k: F.struct(strip(k["text"]).alias("text"), *[k[c].alias(c) for c in _CHUNK[1:]])), lambda k: k["text"] != "")
+    return docs.select("document_id", F.aggregate("x", begin, step, lambda s: trimmed(s["done"])).alias("l"))
 
 
 def _both(a: Column, b: Column, second_leads: bool = False) -> Column:
@@ -154,15 +149,14 @@ def _with_last(done: Column, x: Column) -> Column:
     return F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), x)
 
 
-def merged(chunks: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """(document_id, n, ...) of chunks: those under min_chars join the one
+def merged(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """(document_id, n, ...) of documents' chunks (document_id, l): those under min_chars join the one
     before (same section and type, no table), the rest of them the one after,
     the last again the one before; never beyond max_chars + min_chars."""
     room = cfg.max_chars + cfg.min_chars
     size = lambda c: F.length(c["text"])
     same = lambda a, b: F.coalesce(a["section"], F.lit("")) == F.coalesce(b["section"], F.lit(""))
     small = lambda c: (size(c) < cfg.min_chars) & (c["chunk_type"] != "table")
-    docs = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("run", "c", F.struct(*_CHUNK).alias("k")))).alias("l")).select("document_id", F.col("l.k").alias("l"))
     if cfg.min_chars > 0:
         none = F.slice("l", 1, 0)
 
@@ -214,7 +208,7 @@ def chunk(blocks: DataFrame, meta: DataFrame | None = None, cfg: ChunkConfig | N
         is_subsection(F.col("type"), F.col("subtype"), F.col("heading_level")).alias("is_subsection"),
         section_title(F.col("text")).alias("title"),
     )
-    made = merged(fill(pieces_of_blocks(body, cfg), cfg), cfg)
+    made = merged(filled(pieces_of_blocks(body, cfg), cfg), cfg)
     fields = ["filename", "insurer", "product", "uin", "document_type", "source_path"]
     if meta is None:
         made = made.select("*", *[F.lit(None).cast("string").alias(c) for c in fields])

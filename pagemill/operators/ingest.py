@@ -51,12 +51,14 @@ def normalize_blocks(blocks: DataFrame) -> DataFrame:
     for c, kind in (("font_size", "double"), ("is_bold", "boolean"), ("is_upper", "boolean"), ("bbox", "array<double>")):
         if c not in blocks.columns:
             blocks = blocks.withColumn(c, F.lit(None).cast(kind))
-    raw = F.col("text")
-    kind = B.classify(raw, F.col("font_size"), F.col("is_bold"), F.col("is_upper"), F.col("bbox"))
-    out = blocks.withColumn("raw_text", raw).withColumn("_k", kind).withColumn("clause_number", clause_number(raw)).withColumn("heading_level", B.heading_level(raw, F.col("font_size"), F.col("is_bold"), F.col("is_upper")))
-    out = out.withColumn("type", F.col("_k.type")).withColumn("subtype", F.col("_k.subtype")).withColumn("classification_confidence", F.col("_k.confidence")).drop("_k")
-    clean = normalize_text(F.coalesce(raw, F.lit("")))
-    return out.withColumn("text", clean).withColumn("char_count", F.length("text")).withColumn("word_count", F.when(strip(F.col("text")) == "", 0).otherwise(F.size(F.split(strip(F.col("text")), r"(?U)\s+")))).withColumn("has_unicode_issues", has_unicode_issues(F.col("raw_text"))).withColumn("clause_id", F.col("clause_number"))
+    style = [F.col(c) for c in ("font_size", "is_bold", "is_upper")]
+    # step by step, so that what several rules read is worked out once a row
+    out = blocks.withColumn("raw_text", F.col("text")).withColumn("_t", strip(F.col("raw_text")))
+    out = out.withColumn("_l", B._lines(F.col("_t"))).withColumn("clause_number", clause_number(F.col("raw_text")))
+    out = out.withColumn("_k", B.classify_from(F.col("_t"), F.col("_l"), F.col("clause_number"), *style, F.col("bbox"))).withColumn("heading_level", B.heading_level(F.col("raw_text"), *style))
+    out = out.withColumn("type", F.col("_k.type")).withColumn("subtype", F.col("_k.subtype")).withColumn("classification_confidence", F.col("_k.confidence")).drop("_k", "_l", "_t")
+    out = out.withColumn("text", normalize_text(F.coalesce("raw_text", F.lit("")))).withColumn("_s", strip(F.col("text")))
+    return out.withColumn("char_count", F.length("text")).withColumn("word_count", F.when(F.col("_s") == "", 0).otherwise(F.size(F.split("_s", r"(?U)\s+")))).withColumn("has_unicode_issues", has_unicode_issues(F.col("raw_text"))).withColumn("clause_id", F.col("clause_number")).drop("_s")
 
 
 def with_ocr(blocks: DataFrame, ocr: DataFrame, least_chars: int = 50) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import blocks as B
-from pagemill.functions.text import clause_number, has_unicode_issues, normalize_text
+from pagemill.functions.text import has_unicode_issues, normalize_text
 from pagemill.operators import chunking as C
 from pagemill.operators import ingest as G
 from pagemill.plans import tables as T
@@ -29,7 +29,7 @@ def normalize_text_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def block_classify(spark: SparkSession, sf: str) -> DataFrame:
     b = G.line_blocks(T.documents(spark, sf)).withColumn("text", F.when(F.col("reading_order") % 7 == 0, F.concat(F.lit("1.2 "), F.col("text"))).when(F.col("reading_order") % 7 == 1, F.concat(F.lit("- "), F.col("text"))).when(F.col("reading_order") % 7 == 2, F.upper(F.left("text", F.lit(40)))).otherwise(F.col("text")))
-    return b.select(F.col("document_id").alias("doc_id"), F.col("reading_order").cast("long").alias("line_no"), B.classify(F.col("text")).alias("k"), clause_number(F.col("text")).alias("clause")).select("doc_id", "line_no", "k.type", "k.subtype", "k.confidence", "clause")
+    return G.normalize_blocks(b).select(F.col("document_id").alias("doc_id"), F.col("reading_order").cast("long").alias("line_no"), "type", "subtype", F.col("classification_confidence").alias("confidence"), F.col("clause_number").alias("clause"))
 
 
 def structure_lists(spark: SparkSession, sf: str) -> DataFrame:
