@@ -54,7 +54,7 @@ def build_index(chunks: DataFrame, out: str, embed: Callable[[DataFrame], DataFr
     """The term index and the vectors (chunk_id, embedding) of chunks, written
     below out; embed gives the vectors (hashed ones unless told otherwise)."""
     spark = chunks.sparkSession
-    index.write_index(index.build_terms(chunking.index_text(chunks), "chunk_id"), f"{out}/index")
+    index.write_index(chunking.index_text(chunks), f"{out}/index", "chunk_id")
     vectors = (embed or (lambda c: index.hashed_vectors(c, "chunk_id", "context_text")))(chunks)
     vectors.write.mode("overwrite").parquet(f"{out}/vectors")
     return open_index(spark, out)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import tokenize
+from pagemill.sources import store
 
 
 @dataclass(frozen=True)
@@ -36,28 +37,41 @@ def build_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("doc_id", "term")
         .agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     )
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return TermIndex(postings, with_df(postings.groupBy("term").agg(F.count("*").alias("df")), corpus), corpus)
+
+
+def with_df(df: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df), given the corpus row."""
     n, d = F.col("n_docs"), F.col("df")
-    terms = df.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))  # one-row side
-    return TermIndex(postings, terms, corpus)
+    return df.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))  # one-row side
 
 
-#: Folders that persisted postings are dealt into by term.
-BUCKETS = 32
+#: Folders that persisted postings are dealt into by term, and tasks that write
+#: one of them.
+BUCKETS, SPREAD = 32, 8
 
 
 def bucket(term: str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def write_index(index: TermIndex, path: str) -> None:
-    """An index as tables: postings with their term's idf, in folders by term
-    and sorted by it, so that a query reads its terms' folders only; terms; and
-    the corpus row."""
-    rows = index.postings.join(index.terms.select("term", "idf"), "term").withColumn("bucket", bucket("term"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.corpus.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize) -> None:
+    """docs' index as tables: postings with their term's idf, in folders by
+    term and sorted by it, so that a query reads its terms' folders only;
+    terms; and the corpus row. Texts are tokenised once: everything else comes
+    from the postings, which are written first."""
+    spark = docs.sparkSession
+    build_terms(docs, id_col, text_col, tokenizer).postings.write.mode("overwrite").parquet(f"{path}/raw")
+    raw = spark.read.parquet(f"{path}/raw")
+    n = docs.agg(F.count("*").alias("n_docs"))
+    corpus = n.crossJoin(F.broadcast(raw.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("total_terms"))))
+    corpus.withColumn("avgdl", F.try_divide(F.col("total_terms").cast("double"), F.col("n_docs").cast("double"))).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+    corpus = spark.read.parquet(f"{path}/corpus")
+    with_df(raw.groupBy("term").agg(F.count("*").alias("df")), corpus).write.mode("overwrite").parquet(f"{path}/terms")
+    rows = raw.join(spark.read.parquet(f"{path}/terms").select("term", "idf"), "term").withColumn("bucket", bucket("term"))
+    # a folder's rows are dealt over several tasks, a file each
+    rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    store.delete(spark, f"{path}/raw")
 
 
 def read_index(spark: SparkSession, path: str) -> TermIndex:

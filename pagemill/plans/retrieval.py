@@ -98,7 +98,7 @@ def _index(spark: SparkSession, sf: str) -> I.TermIndex:
 
     def build() -> str:
         path = store.fresh_path(spark, "index")
-        I.write_index(I.build_terms(T.documents(spark, sf)), path)
+        I.write_index(T.documents(spark, sf), path)
         return path
 
     return I.read_index(spark, store.once(spark, ("index", sf), build))
