@@ -1,77 +1,44 @@
 """Structure-aware chunks of body blocks.
 
-Everything is an expression. Blocks start runs where the structure says so
-(windows over the document); within a run sizes alone decide, in one fold; small
-chunks join their neighbours in two more. One shuffle, by document.
+Blocks come sorted by document and place; one Arrow pass takes them in that
+order and carries what it needs from batch to batch: the section in force, the
+chunk being filled and the two before it. So a document of any length takes
+time in proportion to it and no more memory than a few chunks.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.config import ChunkConfig
 from pagemill.functions.blocks import is_section, is_subsection, section_title
-from pagemill.functions.text import strip
+from pagemill.functions.text import WHITE, strip
 from pagemill.operators.ingest import body_blocks
 from pagemill.schemas import CHUNKS
 
-#: A part of a text, and whether it must stand alone.
-PART = "struct<t:string,alone:boolean>"
-_NONE = "cast(array() as array<string>)"
-
-
-def _parts(texts: Column, alone: bool) -> Column:
-    return F.transform(texts, lambda t: F.struct(t.alias("t"), F.lit(alone).alias("alone")))
-
-
-def _filled(parts: Column, glue: str, limit: int, ragged: bool = False) -> Column:
-    """Parts joined in order for as long as they fit in limit; those that must
-    stand alone are never joined. Ragged parts may have white space around
-    them, which what they join into loses."""
-
-    def step(state: Column, x: Column) -> Column:
-        full = F.when(state["held"] == "", state["done"]).otherwise(F.array_append(state["done"], state["held"]))
-        both = F.concat(state["held"], F.lit(glue), x["t"])
-        both = strip(both) if ragged else both
-        size = F.length(both) if ragged else F.length(state["held"]) + len(glue) + F.length(x["t"])
-        fits = (state["held"] != "") & (size <= limit)
-        return F.when(x["alone"], F.struct(F.array_append(full, x["t"]).alias("done"), F.lit("").alias("held"))).when(fits, F.struct(state["done"].alias("done"), both.alias("held"))).otherwise(F.struct(full.alias("done"), x["t"].alias("held")))
-
-    begin = F.struct(F.expr(_NONE).alias("done"), F.lit("").alias("held"))
-    end = lambda s: F.filter(F.array_append(s["done"], s["held"]), lambda t: strip(t) != "")
-    return F.aggregate(F.filter(parts, lambda x: x["t"] != ""), begin, step, end)
-
-
-def split_pieces(text: Column, limit: int) -> Column:
-    """A text without white space around it as pieces of at most limit: by
-    paragraphs, then sentences, then words, then characters, as many as fit
-    together."""
-    short = lambda t: F.length(t) <= limit
-    slices = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / limit).cast("int")), lambda i: F.substring(w, i * limit + 1, F.lit(limit)))
-    words = lambda t: _filled(F.flatten(F.transform(F.split(strip(t), r"(?U)\s+"), lambda w: F.when(short(w), _parts(F.array(w), False)).otherwise(_parts(slices(w), True)))), " ", limit)
-    sentences = lambda t, ragged: _filled(F.flatten(F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), lambda s: F.when(short(s), _parts(F.array(s), False)).otherwise(_parts(words(s), False)))), " ", limit, ragged)
-    paragraphs = F.filter(F.split(text, r"(?U)\n\s*\n"), lambda p: strip(p) != "")
-    by_paragraph = _filled(F.flatten(F.transform(paragraphs, lambda p: F.when(short(p), _parts(F.array(p), False)).otherwise(_parts(sentences(p, True), True)))), "\n\n", limit, True)
-    return F.when(short(text), F.array(text)).when(F.size(paragraphs) > 1, by_paragraph).otherwise(sentences(text, False))
-
-
-_LEVELS = [(re.compile(r"\n\s*\n"), "\n\n"), (re.compile(r"(?<=[.!?])\s+"), " "), (re.compile(r"\s+"), " ")]
+_LEVELS = [(re.compile(rf"\n[{WHITE}]*\n"), "\n\n"), (re.compile(rf"(?<=[.!?])[{WHITE}]+"), " "), (re.compile(rf"[{WHITE}]+"), " ")]
 
 
 def split_long(text: str, limit: int, level: int = 0) -> list[str]:
-    """split_pieces() of one text, for table functions: what is too long is
-    split at the next finer level, and what a level split joins again; pieces
-    of a paragraph and of a word stand alone."""
+    """A text as pieces of at most limit: by paragraphs, then sentences, then
+    words, then characters, as many as fit together. What is too long is split
+    at the next finer level, and what a level split joins again; pieces of a
+    paragraph and of a word stand alone."""
     if len(text) <= limit or level == len(_LEVELS):
         return [text[i : i + limit] for i in range(0, len(text) or 1, limit)]
     (gap, glue), out, last_free = _LEVELS[level], [], False
-    for part in filter(str.strip, gap.split(text)):
+    for part in gap.split(text):
+        if not part.strip(WHITE):
+            continue
         free = level == 1 or len(part) <= limit
         for piece in split_long(part, limit, level + 1):
-            joined = f"{out[-1]}{glue}{piece}".strip() if free and last_free else ""
+            joined = f"{out[-1]}{glue}{piece}".strip(WHITE) if free and last_free else ""
             if joined and len(joined) <= limit:
                 out[-1] = joined
             else:
@@ -80,103 +47,179 @@ def split_long(text: str, limit: int, level: int = 0) -> list[str]:
     return out
 
 
-def pieces_of_blocks(body: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """Each block's pieces (document_id, n, i, run, piece, ...), with the run
-    that they belong to. A run begins where structure demands a new chunk: at a
-    marker that follows something else, at a change between table and prose, at
-    a text beyond max_chars and at each of its pieces. All windows share one
-    order, so a document is sorted once."""
-    order = Window.partitionBy("document_id").orderBy("page_number", "reading_order")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = body.withColumn("marker", F.col("is_section") | F.col("is_subsection")).withColumn("kind", F.when(F.col("type") == "table", "table").otherwise("prose")).withColumn("pieces", split_pieces(F.col("text"), cfg.max_chars))
-    lone = F.col("marker") & (F.size("pieces") == 1)
-    below = F.when(F.col("is_section"), F.struct(F.lit(None).cast("string").alias("t"))).when(F.col("is_subsection"), F.struct(F.col("text").alias("t")))
-    rows = (
-        rows.withColumn("prior", F.lag(F.struct("kind", lone.alias("lone"))).over(order))
-        .withColumn("section", F.last(F.when(F.col("is_section"), F.col("title")), ignorenulls=True).over(upto))
-        .withColumn("subsection", F.last(below, ignorenulls=True).over(upto)["t"])
-        .withColumn("n", F.row_number().over(order))
+@dataclass(frozen=True)
+class Chunk:
+    text: str
+    page_start: int
+    page_end: int
+    chunk_type: str
+    section: str | None
+    subsection: str | None
+    clause_ids: tuple[str, ...] = ()
+
+
+@dataclass
+class Document:
+    """What the pass knows of the document it is in."""
+
+    document_id: object
+    section: str | None = None
+    subsection: str | None = None
+    #: Kind of the block before, and whether it was a marker in one piece.
+    prior: tuple[str, bool] | None = None
+    #: The chunk being filled: its first piece's data, its pieces, their size.
+    open: Chunk | None = None
+    pieces: list[str] = field(default_factory=list)
+    size: int = 0
+    #: Finished chunks that may still be joined: to what comes, by what is
+    #: behind them, at the end of the document.
+    back: Chunk | None = None
+    ahead: Chunk | None = None
+    held: Chunk | None = None
+    n: int = 0
+
+
+def _both(a: Chunk, b: Chunk, second_leads: bool = False) -> Chunk:
+    """a and b as one chunk, in this order; type, section, clauses and
+    subsection are first those of the one that leads."""
+    lead, other = (b, a) if second_leads else (a, b)
+    return Chunk(
+        f"{a.text}\n{b.text}".strip(WHITE),
+        min(a.page_start, b.page_start),
+        max(a.page_end, b.page_end),
+        lead.chunk_type,
+        lead.section,
+        lead.subsection or other.subsection,
+        tuple(dict.fromkeys(lead.clause_ids + other.clause_ids)),
     )
-    turn = F.coalesce(F.col("prior.kind") != F.col("kind"), F.lit(True)) | (F.col("marker") & ~F.coalesce("prior.lone", F.lit(False))) | (F.length("text") > cfg.max_chars)
-    more = F.size("pieces") - 1
-    rows = rows.withColumn("run", F.sum(turn.cast("int") + more).over(upto) - more)
-    flat = rows.select("document_id", "n", "run", "page_number", "clause_id", (F.col("type") == "clause").alias("is_clause"), "kind", "section", "subsection", F.posexplode("pieces").alias("i", "piece"))
-    return flat.withColumn("run", F.col("run") + F.col("i"))
-
-
-_CHUNK = ["text", "page_start", "page_end", "chunk_type", "section", "subsection", "clause_ids"]
-
 
-def filled(pieces: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """(document_id, l): each document's chunks in order. Within a run a clause
-    begins one once target_chars is reached, and so does what would pass
-    max_chars. A chunk keeps the section under which it began."""
 
-    def step(state: Column, x: Column) -> Column:
-        size, last = F.length(x["piece"]), F.element_at(state["done"], -1)
-        own = F.array_compact(F.array(x["clause_id"]))
-        fresh = F.struct(x["piece"].alias("text"), x["page_number"].alias("page_start"), x["page_number"].alias("page_end"), x["kind"].alias("chunk_type"), x["section"].alias("section"), x["subsection"].alias("subsection"), own.alias("clause_ids"))
-        longer = F.struct(F.concat(last["text"], F.lit("\n"), x["piece"]).alias("text"), last["page_start"].alias("page_start"), x["page_number"].alias("page_end"), *[last[c].alias(c) for c in ("chunk_type", "section", "subsection")], F.array_union(last["clause_ids"], own).alias("clause_ids"))
-        new = (x["run"] != state["run"]) | (x["is_clause"] & (state["size"] >= cfg.target_chars)) | (state["size"] + size > cfg.max_chars)
-        return F.struct(F.when(new, F.array_append(state["done"], fresh)).otherwise(_with_last(state["done"], longer)).alias("done"), F.when(new, size).otherwise(state["size"] + size).alias("size"), x["run"].alias("run"))
-
-    fields = ["n", "i", "run", "piece", "is_clause", "page_number", "clause_id", "kind", "section", "subsection"]
-    docs = pieces.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x"))
-    none = "cast(array() as array<struct<text:string,page_start:int,page_end:int,chunk_type:string,section:string,subsection:string,clause_ids:array<string>>>)"
-    begin = F.struct(F.expr(none).alias("done"), F.lit(0).alias("size"), F.lit(0).cast("bigint").alias("run"))
-    trimmed = lambda done: F.filter(F.transform(done, lambda k: F.struct(strip(k["text"]).alias("text"), *[k[c].alias(c) for c in _CHUNK[1:]])), lambda k: k["text"] != "")
-    return docs.select("document_id", F.aggregate("x", begin, step, lambda s: trimmed(s["done"])).alias("l"))
-
-
-def _both(a: Column, b: Column, second_leads: bool = False) -> Column:
-    """a and b as one chunk, in this order; section, clauses and subsection are
-    first those of the one that leads."""
-    lead, other = (b, a) if second_leads else (a, b)
-    joined = {
-        "text": strip(F.concat(a["text"], F.lit("\n"), b["text"])),
-        "page_start": F.least(a["page_start"], b["page_start"]),
-        "page_end": F.greatest(a["page_end"], b["page_end"]),
-        "chunk_type": lead["chunk_type"],
-        "section": lead["section"],
-        "subsection": F.coalesce(F.nullif(lead["subsection"], F.lit("")), other["subsection"]),
-        "clause_ids": F.array_union(lead["clause_ids"], other["clause_ids"]),
-    }
-    return F.struct(*[joined[k].alias(k) for k in _CHUNK])
-
-
-def _with_last(done: Column, x: Column) -> Column:
-    """done, its last element replaced by x."""
-    return F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), x)
-
-
-def merged(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """(document_id, n, ...) of documents' chunks (document_id, l): those under min_chars join the one
-    before (same section and type, no table), the rest of them the one after,
-    the last again the one before; never beyond max_chars + min_chars."""
-    room = cfg.max_chars + cfg.min_chars
-    size = lambda c: F.length(c["text"])
-    same = lambda a, b: F.coalesce(a["section"], F.lit("")) == F.coalesce(b["section"], F.lit(""))
-    small = lambda c: (size(c) < cfg.min_chars) & (c["chunk_type"] != "table")
-    if cfg.min_chars > 0:
-        none = F.slice("l", 1, 0)
-
-        def back(done: Column, x: Column) -> Column:
-            p = F.element_at(done, -1)
-            joins = small(x) & (x["chunk_type"] == p["chunk_type"]) & x["section"].eqNullSafe(p["section"]) & (size(p) + size(x) <= room)
-            return F.when(F.size(done) == 0, F.array(x)).when(joins, _with_last(done, _both(p, x))).otherwise(F.array_append(done, x))
-
-        def ahead(done: Column, x: Column) -> Column:
-            p = F.element_at(done, -1)
-            joins = small(p) & (x["chunk_type"] == p["chunk_type"]) & same(p, x) & (size(p) + size(x) <= room)
-            return F.when(F.size(done) == 0, F.array(x)).when(joins, _with_last(done, _both(p, x, second_leads=True))).otherwise(F.array_append(done, x))
-
-        def ending(done: Column) -> Column:
-            x, p = F.element_at(done, -1), F.element_at(done, -2)
-            joins = small(x) & same(p, x) & (size(p) + size(x) <= room)
-            return F.when(F.size(done) < 2, done).when(joins, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 2, F.lit(0))), _both(p, x))).otherwise(done)
-
-        docs = docs.withColumn("l", F.aggregate("l", none, back)).withColumn("l", F.aggregate("l", none, ahead, ending))
-    return docs.select("document_id", F.posexplode("l").alias("n", "k")).select("document_id", "n", "k.*")
+class Chunker:
+    """Takes blocks one by one and gives chunks (document_id, n, chunk) as soon
+    as nothing to come can change them.
+
+    Structure demands a new chunk at a marker that follows something else, at a
+    change between table and prose, at a text beyond max_chars and at each of
+    its pieces; within what is left a clause begins one once target_chars is
+    reached, and so does what would pass max_chars. A chunk keeps the section
+    under which it began. Those under min_chars join the one before (same
+    section and type, no table), the rest of them the one after, the last again
+    the one before; never beyond max_chars + min_chars.
+    """
+
+    def __init__(self, cfg: ChunkConfig):
+        self.cfg, self.doc, self.out = cfg, None, []
+
+    def block(self, document_id: object, page: int, kind: str, text: str, clause_id: str | None, section: bool, subsection: bool, title: str | None) -> None:
+        if self.doc is None or self.doc.document_id != document_id:
+            self.finish()
+            self.doc = Document(document_id)
+        d, cfg = self.doc, self.cfg
+        marker, chunk_type = section or subsection, "table" if kind == "table" else "prose"
+        if section:
+            d.section, d.subsection = title, None
+        elif subsection:
+            d.subsection = text
+        pieces = split_long(text, cfg.max_chars)
+        turn = d.prior is None or d.prior[0] != chunk_type or (marker and not d.prior[1]) or len(text) > cfg.max_chars
+        for i, piece in enumerate(pieces):
+            if turn or i or (kind == "clause" and d.size >= cfg.target_chars) or d.size + len(piece) > cfg.max_chars:
+                self._close()
+                d.open = Chunk("", page, page, chunk_type, d.section, d.subsection)
+                turn = False
+            d.pieces.append(piece)
+            d.size += len(piece)
+            clauses = d.open.clause_ids if clause_id is None or clause_id in d.open.clause_ids else (*d.open.clause_ids, clause_id)
+            d.open = replace(d.open, page_end=page, clause_ids=clauses)
+        d.prior = chunk_type, marker and len(pieces) == 1
+
+    def _close(self) -> None:
+        """The chunk being filled is complete."""
+        d = self.doc
+        if d.open is not None and (text := "\n".join(d.pieces).strip(WHITE)):
+            self._back(replace(d.open, text=text))
+        d.open, d.pieces, d.size = None, [], 0
+
+    def _small(self, c: Chunk) -> bool:
+        return len(c.text) < self.cfg.min_chars and c.chunk_type != "table"
+
+    def _fit(self, a: Chunk, b: Chunk) -> bool:
+        return len(a.text) + len(b.text) <= self.cfg.max_chars + self.cfg.min_chars
+
+    def _back(self, x: Chunk) -> None:
+        d, p = self.doc, self.doc.back
+        if self.cfg.min_chars <= 0:
+            self._put(x)
+        elif p is not None and self._small(x) and x.chunk_type == p.chunk_type and x.section == p.section and self._fit(p, x):
+            d.back = _both(p, x)
+        else:
+            if p is not None:
+                self._ahead(p)
+            d.back = x
+
+    def _ahead(self, x: Chunk) -> None:
+        d, p = self.doc, self.doc.ahead
+        if p is not None and self._small(p) and x.chunk_type == p.chunk_type and (x.section or "") == (p.section or "") and self._fit(p, x):
+            d.ahead = _both(p, x, second_leads=True)
+        else:
+            if p is not None:
+                if d.held is not None:
+                    self._put(d.held)
+                d.held = p
+            d.ahead = x
+
+    def _put(self, c: Chunk) -> None:
+        self.out.append((self.doc.document_id, self.doc.n, c))
+        self.doc.n += 1
+
+    def finish(self) -> None:
+        """The document ends here."""
+        if self.doc is None:
+            return
+        self._close()
+        d = self.doc
+        if d.back is not None:
+            self._ahead(d.back)
+        p, x = d.held, d.ahead
+        if p is not None and self._small(x) and (p.section or "") == (x.section or "") and self._fit(p, x):
+            p, x = None, _both(p, x)
+        for c in (p, x):
+            if c is not None:
+                self._put(c)
+        self.doc = None
+
+
+_CHUNK = "document_id string, n int, text string, page_start int, page_end int, chunk_type string, section string, subsection string, clause_ids array<string>"
+#: Chunks that the pass gives at once.
+BATCH = 4096
+
+
+def chunks_of(body: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """(document_id, n, ...) of each document's chunks. One shuffle and one
+    sort, by document and place, then the pass; the blocks of one document meet
+    in a task, in whose memory only a few chunks of it are."""
+    tasks = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = body.withColumn("title", F.when(F.col("is_section"), F.col("title")))
+    # equal places stand in the order of their texts
+    dealt = rows.repartition(tasks, "document_id").sortWithinPartitions("document_id", "page_number", "reading_order", "text")
+
+    def record(rows: list) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+        cols = zip(*[(i, n, c.text, c.page_start, c.page_end, c.chunk_type, c.section, c.subsection, list(c.clause_ids)) for i, n, c in rows], strict=True) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _CHUNK.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Chunker(cfg)
+        for b in batches:
+            for row in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                c.block(*row)
+                if len(c.out) >= BATCH:
+                    yield record(c.out)
+                    c.out = []
+        c.finish()
+        yield record(c.out)
+
+    return dealt.select("document_id", "page_number", "type", "text", "clause_id", "is_section", "is_subsection", "title").mapInArrow(run, _CHUNK)
 
 
 def context_text(product: Column, section: Column, subsection: Column, text: Column, prefix: bool = True) -> Column:
@@ -192,7 +235,7 @@ def context_text(product: Column, section: Column, subsection: Column, text: Col
 def chunk(blocks: DataFrame, meta: DataFrame | None = None, cfg: ChunkConfig | None = None) -> DataFrame:
     """chunks (schemas.CHUNKS) of typed blocks; meta: document_id and any of
     filename, insurer, product, uin, document_type, source_path. One document's
-    blocks meet in a task."""
+    blocks pass through one task in order."""
     cfg = cfg or ChunkConfig()
     for c, kind in (("subtype", "string"), ("heading_level", "int"), ("clause_id", "string")):
         if c not in blocks.columns:
@@ -208,7 +251,7 @@ def chunk(blocks: DataFrame, meta: DataFrame | None = None, cfg: ChunkConfig | N
         is_subsection(F.col("type"), F.col("subtype"), F.col("heading_level")).alias("is_subsection"),
         section_title(F.col("text")).alias("title"),
     )
-    made = merged(filled(pieces_of_blocks(body, cfg), cfg), cfg)
+    made = chunks_of(body, cfg)
     fields = ["filename", "insurer", "product", "uin", "document_type", "source_path"]
     if meta is None:
         made = made.select("*", *[F.lit(None).cast("string").alias(c) for c in fields])

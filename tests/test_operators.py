@@ -1,6 +1,7 @@
 """Operators on small fixtures, against values worked out by hand or in plain Python."""
 
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -223,3 +224,83 @@ def test_table_functions(spark):
     assert [r[0] for r in spark.sql("select t.term from udtf_docs, lateral terms(text) t order by pos").collect()] == ["red", "apple", "so"]
     assert spark.sql("select s.* from udtf_docs, lateral sentences_of(text) s").count() == 2
     assert spark.sql("select p.* from udtf_docs, lateral pieces_of(text, 8) p").count() >= 3
+
+
+def _plain_chunks(blocks, cfg):
+    """Chunk texts and clauses of one document by lists: fill, join back, join
+    ahead, join the last."""
+    raw, cur, section, sub, prior = [], None, None, None, None
+    for page, kind, text, clause, is_sec, is_sub, title in blocks:
+        marker, ct = is_sec or is_sub, "table" if kind == "table" else "prose"
+        if is_sec:
+            section, sub = title, None
+        elif is_sub:
+            sub = text
+        pieces = chunking.split_long(text, cfg.max_chars)
+        turn = prior is None or prior[0] != ct or (marker and not prior[1]) or len(text) > cfg.max_chars
+        for i, x in enumerate(pieces):
+            if (turn and i == 0) or i or (kind == "clause" and cur["size"] >= cfg.target_chars) or cur["size"] + len(x) > cfg.max_chars:
+                cur = {"texts": [], "size": 0, "type": ct, "section": section, "sub": sub, "clauses": []}
+                raw.append(cur)
+            cur["texts"].append(x)
+            cur["size"] += len(x)
+            if clause and clause not in cur["clauses"]:
+                cur["clauses"].append(clause)
+        prior = ct, marker and len(pieces) == 1
+    l = [{**c, "text": "\n".join(c["texts"]).strip()} for c in raw]
+    room = cfg.max_chars + cfg.min_chars
+    small = lambda c: len(c["text"]) < cfg.min_chars and c["type"] != "table"
+
+    def join(a, b, lead, other):
+        return {**lead, "text": a["text"] + "\n" + b["text"], "sub": lead["sub"] or other["sub"], "clauses": list(dict.fromkeys(lead["clauses"] + other["clauses"]))}
+
+    out = []
+    for x in l:
+        p = out[-1] if out else None
+        if p and small(x) and x["type"] == p["type"] and x["section"] == p["section"] and len(p["text"]) + len(x["text"]) <= room:
+            out[-1] = join(p, x, p, x)
+        else:
+            out.append(x)
+    l, out = out, []
+    for x in l:
+        p = out[-1] if out else None
+        if p and small(p) and x["type"] == p["type"] and (x["section"] or "") == (p["section"] or "") and len(p["text"]) + len(x["text"]) <= room:
+            out[-1] = join(p, x, x, p)
+        else:
+            out.append(x)
+    if len(out) > 1 and small(out[-1]) and (out[-1]["section"] or "") == (out[-2]["section"] or "") and len(out[-1]["text"]) + len(out[-2]["text"]) <= room:
+        out[-2:] = [join(out[-2], out[-1], out[-2], out[-1])]
+    return [(c["text"], c["type"], c["section"], c["sub"], tuple(c["clauses"])) for c in out]
+
+
+def test_the_pass_gives_what_lists_give():
+    import random
+
+    r = random.Random(4)
+    cfg = ChunkConfig(target_chars=60, max_chars=90, min_chars=25)
+    for _ in range(300):
+        blocks = []
+        for i in range(r.randint(0, 25)):
+            kind = r.choices(["paragraph", "clause", "table", "heading"], weights=[6, 3, 1, 2])[0]
+            sec = kind == "heading" and r.random() < 0.5
+            text = r.choice(["x" * r.randint(1, 30), "word. " * r.randint(1, 40), "A b. " * 3 + "\n\n" + "c " * r.randint(1, 90)]).strip()
+            blocks.append((i // 4, kind, text, f"{i % 5}" if kind == "clause" else None, sec, kind == "heading" and not sec, f"S{i % 2}" if sec else None))
+        c = chunking.Chunker(cfg)
+        for b in blocks:
+            c.block("d", *b)
+        c.finish()
+        assert [(k.text, k.chunk_type, k.section, k.subsection, k.clause_ids) for _, _, k in c.out] == _plain_chunks(blocks, cfg)
+        assert [n for _, n, _ in c.out] == list(range(len(c.out)))
+
+
+def test_a_document_of_many_blocks_takes_time_in_proportion(spark):
+    """One document of 200,000 blocks beside a few small ones."""
+    n = 200_000
+    long = spark.range(n).select(F.lit("long").alias("document_id"), (F.col("id") / 100).cast("int").alias("page_number"), (F.col("id") % 100).cast("int").alias("reading_order"), F.when(F.col("id") % 50 == 0, "heading").otherwise("paragraph").alias("type"), F.when(F.col("id") % 50 == 0, "section_heading").alias("subtype"), F.concat(F.lit("Block number "), F.col("id"), F.lit(" of a long text.")).alias("text"))
+    short = spark.createDataFrame([(f"s{i}", 1, 1, "paragraph", None, "Short one.") for i in range(5)], "document_id string, page_number int, reading_order int, type string, subtype string, text string")
+    got = chunking.chunk(long.unionByName(short).repartition(8)).select("document_id", "chunk_id", "text", "section").collect()
+    mine = sorted((x for x in got if x.document_id == "long"), key=lambda x: int(x.chunk_id.rpartition("::c")[2]))
+    assert len(got) - len(mine) == 5
+    said = [int(w) for x in mine for w in re.findall(r"Block number (\d+)", x.text)]
+    assert said == list(range(n))
+    assert all(x.section == f"Block number {int(re.search(r'(\d+)', x.text)[1]) // 50 * 50} of a long text." for x in mine[:200])
