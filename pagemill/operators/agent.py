@@ -271,14 +271,16 @@ def execute(steps: DataFrame, index: TermIndex, docs: DataFrame, product_col: st
 
     All steps of all queries are scored in one join on terms and, where
     vectors and step_vectors (query_id, step_id, embedding) are given, one
-    dense search; what a step asks for restricts the scored rows by equi-joins
-    before they are ranked.
+    dense search for each pool size, max(candidate_k, top_k) of a step as a
+    single search has it; what a step asks for restricts the scored rows by
+    equi-joins before they are ranked. Where less than top_k is left of the
+    room, the first of the same ranking are taken.
     """
     cfg, rcfg = cfg or AgentConfig(), rcfg or RetrievalConfig()
     wants = {"product": product_col, "document_id": "document_id", "chunk_type": "chunk_type"}
     wants = {w: c for w, c in wants.items() if w in steps.columns and c in docs.columns}
     flat = steps.withColumn("sid", F.struct("query_id", "step_id"))
-    by_step = flat.select(F.col("sid").alias("query_id"), "query")
+    by_step = flat.select(F.col("sid").alias("query_id"), "query", F.greatest(F.col("top_k").cast("int"), F.lit(0)).alias("top_k"))
     asked = flat.select(F.col("sid").alias("query_id"), *[F.col(w).cast("string").alias(f"want_{w}") for w in wants])
     have = docs.select("doc_id", *[F.col(c).cast("string").alias(f"has_{w}") for w, c in wants.items()])
 
@@ -288,19 +290,25 @@ def execute(steps: DataFrame, index: TermIndex, docs: DataFrame, product_col: st
             rows = rows.where(F.col(f"want_{w}").isNull() | (F.col(f"want_{w}") == F.col(f"has_{w}")))
         return rows.select(*scored.columns)
 
-    most = cfg.max_evidence_chunks
+    # a step's pool follows from its own top_k, never from the room for evidence
+    room, wanted = cfg.max_evidence_chunks, sorted(r.top_k for r in by_step.select("top_k").distinct().collect())
     if vectors is None or step_vectors is None:
-        hits = bm25(by_step, index, most, rcfg, only=only).select("query_id", "doc_id", "rank", "score")
+        hits = bm25(by_step, index, max(wanted, default=0), rcfg, only=only).select("query_id", "doc_id", "rank", "score")
     else:
-        asked_vectors = step_vectors.select(F.struct("query_id", "step_id").alias("query_id"), "embedding")
-        found = hybrid(by_step, asked_vectors, index, vectors, rcfg, most, reranker, only=only)
-        hits = found.select("query_id", "doc_id", "rank", F.col("rerank_score" if reranker is not None else "fused_score").alias("score"))
+        asked_vectors = step_vectors.select(F.struct("query_id", "step_id").alias("query_id"), "embedding").join(asked, "query_id")
+        match = [(f"want_{w}", f"has_{w}") for w in wants]
+        hits = None
+        for pool in sorted({max(rcfg.candidate_k, k) for k in wanted} or {rcfg.candidate_k}):
+            own = by_step.where(F.greatest("top_k", F.lit(rcfg.candidate_k)) == pool)
+            found = hybrid(own, asked_vectors.join(own.select("query_id"), "query_id", "left_semi"), index, vectors, rcfg, pool, reranker, only=only, match=match, attributes=have if wants else None)
+            found = found.select("query_id", "doc_id", "rank", F.col("rerank_score" if reranker is not None else "fused_score").alias("score"))
+            hits = found if hits is None else hits.unionByName(found)
     lists = hits.select("query_id.query_id", "query_id.step_id", F.struct("rank", "doc_id", "score").alias("h")).groupBy("query_id", "step_id").agg(F.array_sort(F.collect_list("h")).alias("hits"))
     ordered = steps.select("query_id", "step_id", "top_k").join(lists, ["query_id", "step_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("step_id", "top_k", "hits"))).alias("steps"))
 
     def fetch(state, step):
         seen = F.transform(state, lambda x: x["doc_id"])
-        left = F.greatest(F.lit(most) - F.size(state), F.lit(0))
+        left = F.greatest(F.lit(room) - F.size(state), F.lit(0))
         fresh = F.filter(F.slice(step["hits"], 1, F.least(step["top_k"].cast("int"), left)), lambda h: ~F.array_contains(seen, h["doc_id"]))
         return F.concat(state, F.transform(fresh, lambda h: F.struct(step["step_id"].alias("step_id"), h["rank"].alias("rank"), h["doc_id"].alias("doc_id"), h["score"].alias("score"))))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import tokenize
-from pagemill.sources import store
+from pagemill.operators import postings
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,9 @@ class TermIndex:
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    #: Of a persisted index: its blocks (see postings.py), in so many folders.
+    blocks: DataFrame | None = None
+    buckets: int = 1
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize) -> DataFrame:
@@ -32,12 +35,12 @@ def build_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     toks = tokens(docs, id_col, text_col, tokenizer)
     corpus = toks.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("toks")), F.lit(0)).cast("long").alias("total_terms"))
     corpus = corpus.withColumn("avgdl", F.try_divide(F.col("total_terms").cast("double"), F.col("n_docs").cast("double")))
-    postings = (
+    rows = (
         toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
         .groupBy("doc_id", "term")
         .agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     )
-    return TermIndex(postings, with_df(postings.groupBy("term").agg(F.count("*").alias("df")), corpus), corpus)
+    return TermIndex(rows, with_df(rows.groupBy("term").agg(F.count("*").alias("df")), corpus), corpus)
 
 
 def with_df(df: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -46,46 +49,33 @@ def with_df(df: DataFrame, corpus: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))  # one-row side
 
 
-#: Folders that persisted postings are dealt into by term, and tasks that write
-#: one of them.
-BUCKETS, SPREAD = 32, 8
-
-
-def bucket(term: str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize) -> None:
-    """docs' index as tables: postings with their term's idf, in folders by
-    term and sorted by it, so that a query reads its terms' folders only;
-    terms; and the corpus row. Texts are tokenised once: everything else comes
-    from the postings, which are written first."""
-    spark = docs.sparkSession
-    build_terms(docs, id_col, text_col, tokenizer).postings.write.mode("overwrite").parquet(f"{path}/raw")
-    raw = spark.read.parquet(f"{path}/raw")
-    n = docs.agg(F.count("*").alias("n_docs"))
-    corpus = n.crossJoin(F.broadcast(raw.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("total_terms"))))
-    corpus.withColumn("avgdl", F.try_divide(F.col("total_terms").cast("double"), F.col("n_docs").cast("double"))).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
-    corpus = spark.read.parquet(f"{path}/corpus")
-    with_df(raw.groupBy("term").agg(F.count("*").alias("df")), corpus).write.mode("overwrite").parquet(f"{path}/terms")
-    rows = raw.join(spark.read.parquet(f"{path}/terms").select("term", "idf"), "term").withColumn("bucket", bucket("term"))
-    # a folder's rows are dealt over several tasks, a file each
-    rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    store.delete(spark, f"{path}/raw")
+    """docs' index as tables: postings in blocks with their greatest impact, in
+    folders by term; terms; and the corpus row."""
+    postings.write(docs, path, id_col, text_col, tokenizer)
 
 
 def read_index(spark: SparkSession, path: str) -> TermIndex:
     """What write_index() wrote. A missing one raises."""
-    return TermIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus")))
+    corpus = spark.read.parquet(f"{path}/corpus")
+    row = corpus.select("buckets", "id_type").first()
+    return of_blocks(postings.read_blocks(spark, path, row.id_type), spark.read.parquet(f"{path}/terms"), corpus, row.buckets)
+
+
+def of_blocks(blocks: DataFrame, terms: DataFrame, corpus: DataFrame, buckets: int) -> TermIndex:
+    rows = blocks.select("term", F.explode("rows").alias("r")).select("r.doc_id", "term", "r.tf", "r.dl")
+    return TermIndex(rows, terms, corpus, blocks, buckets)
 
 
 def with_idf(terms: DataFrame, index: TermIndex) -> DataFrame:
     """terms (term, ...) joined to their postings and idf. What a batch of
-    queries asks for is small next to the postings, which stay where they are
-    if they carry their idf and bucket."""
-    if "idf" in index.postings.columns:
-        return terms.withColumn("bucket", bucket("term")).join(index.postings, ["bucket", "term"]).drop("bucket")
-    return terms.join(index.terms, "term").join(index.postings, "term")
+    queries asks for is small next to the postings: of persisted ones only the
+    blocks of its terms are opened."""
+    known = terms.join(index.terms.select("term", "df", "idf"), "term")
+    if index.blocks is None:
+        return known.join(index.postings, "term")
+    found = known.withColumn("bucket", postings.bucket("term", index.buckets)).join(index.blocks.select("bucket", "term", "rows"), ["bucket", "term"])
+    return found.withColumn("r", F.explode("rows")).select(*known.columns, "r.doc_id", "r.tf", "r.dl")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pagemill.config import RetrievalConfig
 from pagemill.functions.text import tokenize
-from pagemill.operators.index import TermIndex, dot, with_idf
+from pagemill.operators import postings, vectors
+from pagemill.operators.index import TermIndex, with_idf
 
 
 def metadata_filter(where: dict | None) -> Column | None:
@@ -48,10 +49,6 @@ def term_score(tf: Column, dl: Column, avgdl: Column, cfg: RetrievalConfig) -> C
     return tf * (cfg.k1 + 1) / (tf + cfg.k1 * norm)
 
 
-#: Rows of a query set that are broadcast at once.
-QUERY_BLOCK = 20_000
-
-
 def score_terms(queries: DataFrame, index: TermIndex, cfg: RetrievalConfig | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document that has a query term."""
     cfg = cfg or RetrievalConfig()
@@ -69,29 +66,42 @@ def bm25(queries: DataFrame, index: TermIndex, k: int, cfg: RetrievalConfig | No
     """(query_id, doc_id, rank, score): documents by summed term scores, query
     terms counted as often as they stand. An equi-join on terms, so documents
     without a query term are never touched; allowed (doc_id) filters before
-    scoring, only (a function of the scored rows) before ranking."""
-    scored = score_terms(queries, index, cfg, allowed)
-    if only is not None:
-        scored = only(scored)
-    return _ranked(scored, k, F.desc("score"), F.col("doc_id")) if k > 0 else scored.withColumn("rank", F.lit(0)).limit(0)
-
-
-def dense(query_vectors: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, only=None) -> DataFrame:
-    """(query_id, doc_id, rank, similarity): exact cosine of unit vectors. The
-    query vectors are a stated set met by every row: counted, and broadcast in
-    blocks of at most QUERY_BLOCK; each task keeps its best k a query before
-    anything is shuffled (a limit within the window)."""
-    rows = vectors if allowed is None else vectors.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    asked = query_vectors.select("query_id", F.col("embedding").alias("qv"))
-    n = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for i in range(n):
-        block = asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-        pairs = rows.select("doc_id", "embedding").join(F.broadcast(block), F.lit(True))
-        sims = pairs.select("query_id", "doc_id", F.round(dot(F.col("qv"), F.col("embedding")), 9).alias("similarity"))
-        best = _ranked(sims if only is None else only(sims), k, F.desc("similarity"), F.col("doc_id"))
-        out = best if out is None else out.unionByName(best)
-    return out
+    scoring, only (a function of the scored rows) before ranking. Of an index
+    in blocks only those are opened that can hold one of the first k."""
+    cfg = cfg or RetrievalConfig()
+    if k <= 0:
+        return score_terms(queries, index, cfg).withColumn("rank", F.lit(0)).limit(0)
+    if index.blocks is not None:
+        scored = postings.search(query_terms(queries), index, term_score, k, cfg, restriction(allowed, only)).scores()
+    else:
+        scored = score_terms(queries, index, cfg, allowed)
+        scored = scored if only is None else only(scored)
+    return _ranked(scored, k, F.desc("score"), F.col("doc_id"))
+
+
+def restriction(allowed: DataFrame | None, only):
+    """One function of rows (query_id, doc_id, ...), or None."""
+    if allowed is None and only is None:
+        return None
+    ids = None if allowed is None else allowed.select("doc_id")
+
+    def keep(rows: DataFrame) -> DataFrame:
+        rows = rows if ids is None else rows.join(ids, "doc_id", "left_semi")
+        return rows if only is None else only(rows)
+
+    return keep
+
+
+def dense(query_vectors: DataFrame, rows: DataFrame | vectors.VectorIndex, k: int, allowed: DataFrame | None = None, match: list[tuple[str, str]] | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, rank, similarity): the rows of greatest inner product
+    with each query, exactly, or within the cells that an inverted file probes.
+    allowed (doc_id) restricts the rows; match pairs columns of query_vectors
+    with columns of attributes (doc_id, ...) that must agree where the query's
+    is not null."""
+    if isinstance(rows, vectors.VectorIndex):
+        return vectors.probed(query_vectors, rows, k, allowed, match, attributes)
+    rows = rows if allowed is None else rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    return vectors.exact(query_vectors, rows if attributes is None else rows.join(attributes, "doc_id"), k, match)
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, cfg: RetrievalConfig) -> DataFrame:
@@ -207,15 +217,16 @@ def build_reranker(kind: str, index: TermIndex | None, docs: DataFrame, cfg: Ret
     raise ValueError(f"unknown reranker: {kind}")
 
 
-def hybrid(queries: DataFrame, query_vectors: DataFrame | None, index: TermIndex, vectors: DataFrame | None, cfg: RetrievalConfig, k: int | None = None, reranker: Reranker | None = None, allowed: DataFrame | None = None, only=None) -> DataFrame:
+def hybrid(queries: DataFrame, query_vectors: DataFrame | None, index: TermIndex, rows: DataFrame | vectors.VectorIndex | None, cfg: RetrievalConfig, k: int | None = None, reranker: Reranker | None = None, allowed: DataFrame | None = None, only=None, match: list[tuple[str, str]] | None = None, attributes: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rank, ...): the mode's lists over a candidate pool,
     fused, optionally reranked, cut to k. A mode whose index is missing adds
-    an empty list."""
+    an empty list. What restricts hits is `only` for the lexical list and
+    match (see dense()) for the other."""
     k = k or cfg.default_k
     pool = max(cfg.candidate_k, k)
-    kind = dict((index.postings if index is not None else vectors).dtypes)["doc_id"]
+    kind = dict((index.postings if index is not None else getattr(rows, "rows", rows)).dtypes)["doc_id"]
     empty = queries.select("query_id", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("int").alias("rank")).limit(0)
-    sem = dense(query_vectors, vectors, pool, allowed, only) if cfg.mode != "keyword" and vectors is not None and query_vectors is not None else empty.withColumn("similarity", F.lit(None).cast("double"))
+    sem = dense(query_vectors, rows, pool, allowed, match, attributes) if cfg.mode != "keyword" and rows is not None and query_vectors is not None else empty.withColumn("similarity", F.lit(None).cast("double"))
     key = bm25(queries, index, pool, cfg, allowed, only) if cfg.mode != "semantic" and index is not None else empty.withColumn("score", F.lit(None).cast("double"))
     return ranked(queries, sem, key, cfg, k, reranker)
 

@@ -204,6 +204,15 @@ def execute_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("query_id", "step_id", F.col("rank").cast("long"), "doc_id", "score")
 
 
+def execute_hybrid_default(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the default configuration: room for 80 hits a query, pools
+    of 20 a step."""
+    steps = _steps(spark, sf)
+    v = T.query_vectors(spark, sf).join(steps.select("query_id", "step_id"), "query_id")
+    got = A.execute(steps, P._index(spark, sf), T.documents(spark, sf), "source", vectors=T.vectors(spark, sf), step_vectors=v)
+    return got.select("query_id", "step_id", F.col("rank").cast("long"), "doc_id", "score")
+
+
 def refine_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Analyses of the questions, unsure ones refined by replies of all kinds."""
     reply = (
@@ -313,7 +322,7 @@ def api_responses(spark: SparkSession, sf: str) -> DataFrame:
     return body.select("query_id", F.md5(part("$.answer")).alias("answer_md5"), part("$.query_type").alias("query_type"), part("$.abstained").alias("abstained"), part("$.evidence_count").cast("long").alias("evidence_count"), F.regexp_count("body", F.lit('"n":[0-9]+')).cast("long").alias("citations"), F.md5(part("$.clarification")).alias("clarification_md5"))
 
 
-QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, pipeline_records, failure_rates, product_list, api_responses, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
+QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, execute_hybrid_default, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, pipeline_records, failure_rates, product_list, api_responses, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(QUESTIONS, 1)) + ") v(query_id, query))"
 _L = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
@@ -488,6 +497,7 @@ ORACLE = {
     "execute_plan": f"{_EXEC} SELECT query_id, step_id, rank, doc_id, round(score, 6) AS score FROM ex",
     "execute_budget": f"{_EXEC}, {_budget_sql('sh', 7, 4)} SELECT query_id, step_id, rank, doc_id, round(score, 6) AS score FROM bud",
     "execute_hybrid": f"{_HYB}, {_budget_sql('fr', 9, 4)} SELECT query_id, step_id, rank, doc_id, score FROM bud",
+    "execute_hybrid_default": f"{_HYB}, {_budget_sql('fr', 80, 4)} SELECT query_id, step_id, rank, doc_id, score FROM bud",
     "refine_replies": f"""WITH {_ANALYZE}, {_REQ}, j AS (SELECT an.*, rq.age, rq.sum_insured, rq.priorities, confidence < 0.7 AND query_id % 4 IN (0, 3) AS turned FROM an JOIN rq USING (query_id))
 SELECT query_id, CASE WHEN NOT turned THEN query_type WHEN query_id % 4 = 0 THEN 'exclusion' ELSE 'multi_step' END AS query_type, CASE WHEN turned THEN 0.7::DOUBLE ELSE confidence END AS confidence, CASE WHEN turned THEN query_id % 4 = 3 ELSE is_complex END AS is_complex,
 CASE WHEN turned AND query_id % 4 = 0 THEN 'coverage' ELSE array_to_string(criteria, '|') END AS criteria, CASE WHEN turned AND query_id % 4 = 0 THEN 'X' ELSE array_to_string(products, '|') END AS products, array_to_string(CASE WHEN turned THEN matched || ['llm'] ELSE matched END, '|') AS matched_cues,

@@ -11,7 +11,9 @@ from pagemill.config import RetrievalConfig
 from pagemill.functions.text import RETRIEVAL_STOPWORDS, tokenize
 from pagemill.operators import evaluate as E
 from pagemill.operators import index as I
+from pagemill.operators import postings as PO
 from pagemill.operators import retrieve as R
+from pagemill.operators import vectors as V
 from pagemill.plans import tables as T
 from pagemill.sources import store
 
@@ -138,6 +140,19 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.bm25(T.queries(spark, sf), _index(spark, sf), K, CFG).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
 
 
+def bm25_rows_opened(spark: SparkSession, sf: str) -> DataFrame:
+    """How many postings the terms of each query have, and how many of them a
+    search for its first five documents opens."""
+    i = _index(spark, sf)
+    return PO.search(R.query_terms(T.queries(spark, sf)), i, R.term_score, K, CFG).opened()
+
+
+def block_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks added up by term, their frontiers' corners by value."""
+    b = _index(spark, sf).blocks
+    return b.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("tokens").alias("tokens"), F.max(F.get("frontier", 0)["tf"]).alias("most"), F.min(F.element_at("frontier", -1)["dl"]).alias("shortest"))
+
+
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     allowed = T.documents(spark, sf).where(R.metadata_filter({"$and": [{"lang": {"$eq": "en"}}, {"$or": [{"source": "src1"}, {"source": "src2"}, {"source": "src3"}]}]}))
     return R.bm25(T.queries(spark, sf), _index(spark, sf), K, CFG, allowed).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
@@ -147,6 +162,31 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.dense(T.query_vectors(spark, sf), T.vectors(spark, sf), K).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _ivf(spark: SparkSession, sf: str) -> V.VectorIndex:
+    """The vectors' inverted file, written when first asked for."""
+
+    def build() -> str:
+        path = store.fresh_path(spark, "ivf")
+        V.write_ivf(T.vectors(spark, sf), path, k=K)
+        return path
+
+    return V.read_ivf(spark, store.once(spark, ("ivf", sf), build))
+
+
+def dense_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """The dense search within the cells that the inverted file probes."""
+    return R.dense(T.query_vectors(spark, sf), _ivf(spark, sf), K).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the exact first five the inverted file has; whether that is
+    nine tenths of them, and every one of its scores exact."""
+    q = T.query_vectors(spark, sf)
+    want = R.dense(q, T.vectors(spark, sf), K).select("query_id", "doc_id", F.col("similarity").alias("exact"))
+    both = want.join(R.dense(q, _ivf(spark, sf), K).select("query_id", "doc_id", "similarity"), ["query_id", "doc_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), (F.count("similarity") >= 0.9 * F.count("*")).alias("enough"), F.coalesce(F.every(F.abs(F.col("similarity") - F.col("exact")) < 1e-6), F.lit(True)).alias("scores_agree"))
+
+
 def _hits(spark: SparkSession, sf: str, **kw) -> DataFrame:
     cfg, index = replace(CFG, **kw), _index(spark, sf)
     rr = R.build_reranker(cfg.rerank, index, T.documents(spark, sf), cfg)
@@ -206,7 +246,7 @@ def ablation_grid(spark: SparkSession, sf: str) -> DataFrame:
     return E.ablation(overlays, lambda o: E.macro(_metrics(spark, sf, **o)))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, term_stats, corpus_stats, bm25_topk, bm25_filtered, dense_topk, hybrid_rrf, hybrid_weighted, rerank_lexical, rerank_without_index, index_round_trip, retrieval_metrics, retrieval_macro, retrieval_by_category, missed_relevant, mode_comparison, ablation_grid)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, term_stats, corpus_stats, bm25_topk, bm25_rows_opened, block_heads, bm25_filtered, dense_topk, dense_ivf, ivf_recall, hybrid_rrf, hybrid_weighted, rerank_lexical, rerank_without_index, index_round_trip, retrieval_metrics, retrieval_macro, retrieval_by_category, missed_relevant, mode_comparison, ablation_grid)}
 _W = f"WITH {INDEX_SQL}"
 _ALL = f"{_W}, {bm_sql(POOL)}, {sem_sql(POOL)}, "
 _HY = f"{_ALL} {fuse_sql('rrf')}, hy AS (SELECT query_id, doc_id, fused_rank AS rank FROM ranked WHERE fused_rank <= {K}), {QRELS_SQL}, {metrics_sql('hy', 'mh')}"
@@ -222,8 +262,10 @@ ORACLE = {
     "term_stats": f"{_W} SELECT term, df, round(idf, 9) AS idf FROM ts",
     "corpus_stats": f"{_W} SELECT n_docs, total_terms, (SELECT count(*) FROM ts) AS unique_terms FROM cs",
     "bm25_topk": f"{_W}, {bm_sql(K)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw",
+    "block_heads": f"{_W} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tokens, CAST(max(tf) AS BIGINT) AS most, CAST(min(dl) AS BIGINT) AS shortest FROM post GROUP BY term",
     "bm25_filtered": f"{_W}, " + bm_sql(K, "lang = 'en' AND source IN ('src1', 'src2', 'src3')") + " SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw",
     "dense_topk": f"WITH {sem_sql(K)} SELECT query_id, rank, doc_id, round(similarity, 6) AS similarity FROM sem",
+    "ivf_recall": f"WITH {sem_sql(K)} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, true AS enough, true AS scores_agree FROM sem",
     "hybrid_rrf": f"{_ALL} {fuse_sql('rrf')} SELECT query_id, fused_rank AS rank, doc_id, fused_score, CASE WHEN similarity IS NULL THEN 'keyword' WHEN keyword_score IS NULL THEN 'semantic' ELSE 'keyword+semantic' END AS sources FROM ranked WHERE fused_rank <= {K}",
     "hybrid_weighted": f"{_ALL} {fuse_sql('weighted')} SELECT query_id, fused_rank AS rank, doc_id, fused_score FROM ranked WHERE fused_rank <= {K}",
     "rerank_lexical": f"{_ALL} {fuse_sql('rrf')}, {RERANK_SQL} SELECT query_id, rank, doc_id, round(sc, 6) AS rerank_score FROM rer WHERE rank <= {K}",

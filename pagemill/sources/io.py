@@ -130,11 +130,6 @@ def write_documents(blocks: DataFrame, path: str, parts: int = 64) -> None:
     whole.repartition("part").sortWithinPartitions("part", "document_id").write.mode("overwrite").partitionBy("part").json(path)
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
-    """Postings bucketed by term, so term joins read them without a shuffle."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
-
-
 def write_stats(index: TermIndex, path: str, vectors: DataFrame | None = None, chunks: DataFrame | None = None) -> int:
     return write_json(index_stats(index, vectors, chunks), path)
 

@@ -31,7 +31,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """df written, and read again."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that keep() wrote and nothing reads any more."""
+    if path := getattr(df, "_kept_at", None):
+        delete(df.sparkSession, path)
 
 
 def once(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
