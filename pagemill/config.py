@@ -29,6 +29,9 @@ class RetrievalConfig:
     lexical_weight: float = 0.20
     semantic_weight: float = 0.80
     coverage_weight: float = 0.0
+    #: Postings that a batch of queries may score one by one; beyond that a
+    #: search in rounds opens only the blocks that can matter. Both are exact.
+    plain_postings: int = 20_000_000
 
     def __post_init__(self) -> None:
         if self.mode not in ("semantic", "keyword", "hybrid"):

@@ -12,6 +12,7 @@ of a block is that of one of them, whatever k1, b and the mean length are.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ from pagemill.sources import store
 #: Postings of a block, about; of a term, beyond which several tasks make its
 #: blocks; characters of text whose postings make a folder, a file, and a task
 #: where there is room for more.
-BLOCK, HOT, FOLDER_CHARS, FILE_CHARS, TASK_CHARS = 64, 1_000_000, 16 << 30, 64 << 20, 1 << 20
+BLOCK, HOT, FOLDER_CHARS, FILE_CHARS, TASK_CHARS = 16, 1_000_000, 16 << 30, 64 << 20, 1 << 20
+#: Parts that each task's terms are dealt into, so that tasks are even.
+DEALS = 16
 #: Scores this much apart count as equal while blocks are left out.
 SLACK = 1e-6
 
@@ -48,20 +51,6 @@ def bucket(term: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def term_counts(toks: Column) -> Column:
-    """array<struct<term, tf>> of a list of tokens, in one pass over the sorted
-    list: a term's count is how far its first place is from the next one's."""
-    s = F.array_sort(toks)
-
-    def counted(ts: Column) -> Column:
-        n = F.size(ts)
-        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
-        ends = lambda f: F.transform(f, lambda i, j: F.struct(F.get(ts, i).alias("term"), (F.coalesce(F.get(f, j + 1), n) - i).alias("tf")))
-        return F.when(n > 0, F.get(F.transform(F.array(firsts), ends), 0))
-
-    return F.get(F.transform(F.array(s), counted), 0)
-
-
 def frontier(rows: Column) -> Column:
     """The (tf, dl) pairs of rows that none of them beats: tf falling, dl
     falling too. A score rises with tf and falls with dl, so one of them has
@@ -102,27 +91,44 @@ def layout(docs: DataFrame, id_col: str, text_col: str, tokenizer=tokenize, hot:
     return Layout(buckets, spread, counts, max(0, (hot // BLOCK).bit_length() - 2))
 
 
+def cells_of(rows: Column, bits: Column) -> Column:
+    """array<struct<cell, rows>> of a term's postings in the order of their
+    places: a cell's stand together, from where it changes to where the next
+    does."""
+    own = lambda i: cell(F.get(rows, i)["place"], bits)
+    firsts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (own(i) != own(i - 1)))
+
+    def parted(f: Column) -> Column:
+        return F.transform(f, lambda i, j: F.struct(own(i).alias("cell"), F.slice(rows, i + 1, F.coalesce(F.get(f, j + 1), F.size(rows)) - i).alias("rows")))
+
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("cell"), rows.alias("rows")))
+    return F.when(bits > 0, F.get(F.transform(F.array(firsts), parted), 0)).otherwise(whole)
+
+
 def blocks(docs: DataFrame, to: Layout, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize) -> DataFrame:
     """(bucket, term, bits, cell, n, tokens, frontier, rows) of docs' postings;
-    rows are array<struct<doc_id, tf, dl>>. Texts are tokenised once and their
-    terms counted in place; one shuffle brings a term's postings together (a
-    hot one's, those of neighbouring cells). Rows that share an id add up."""
-    counted = docs.select(F.col(id_col).alias("doc_id"), term_counts(tokenizer(F.col(text_col))).alias("t"))
-    dl = F.aggregate("t", F.lit(0), lambda s, x: s + x["tf"])
-    rows = counted.select("doc_id", dl.alias("dl"), F.explode("t").alias("t")).select("doc_id", place("doc_id").alias("place"), "dl", "t.term", "t.tf")
+    rows are array<struct<doc_id, tf, dl>>. Texts are tokenised once, and one
+    shuffle brings a term's tokens together (a hot one's, those of neighbouring
+    cells): what is counted and put into blocks there needs no other. Rows that
+    share an id add up."""
+    toks = docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("toks"))
+    rows = toks.select("doc_id", place("doc_id").alias("place"), F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
     if to.hot is not None:
         rows = rows.join(to.hot, "term", "left")  # Spark sends it to all tasks where its size allows
     else:
         rows = rows.withColumn("hot_bits", F.lit(None).cast("int"))
     part = F.when(F.col("hot_bits") > to.wide, cell(F.col("place"), F.col("hot_bits") - to.wide)).otherwise(F.lit(0).cast("long"))
-    keyed = rows.withColumn("part", part).withColumn("bucket", bucket("term", to.buckets)).withColumn("deal", F.pmod(F.xxhash64("term", "part"), F.lit(to.spread)).cast("int"))
+    keyed = rows.withColumn("part", part).withColumn("bucket", bucket("term", to.buckets)).withColumn("deal", F.pmod(F.xxhash64("term", "part"), F.lit(to.spread * DEALS)).cast("int"))
     keys = ["bucket", "deal", "term", "part"]
     dealt = keyed.repartition(to.buckets * to.spread, "bucket", "deal")
-    one = dealt.groupBy(*keys, "place", "doc_id").agg(F.sum("tf").cast("long").alias("tf"), F.max("dl").cast("long").alias("dl"), F.max("hot_bits").alias("hot_bits"))
-    sized = one.withColumn("bits", F.coalesce("hot_bits", bits_of(F.count("*").over(Window.partitionBy(*keys)))))
-    grouped = sized.withColumn("cell", cell(F.col("place"), F.col("bits"))).groupBy(*keys, "bits", "cell").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("rows"))
+    one = dealt.groupBy(*keys, "place", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("hot_bits").alias("hot_bits"))
+    listed = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "tf", "dl"))).alias("rows"), F.max("hot_bits").alias("hot_bits"))
+    sized = listed.withColumn("bits", F.coalesce("hot_bits", bits_of(F.size("rows"))))
+    each = sized.select("bucket", "term", "bits", F.explode(cells_of(F.col("rows"), F.col("bits"))).alias("c")).select("bucket", "term", "bits", "c.cell", F.transform("c.rows", lambda r: F.struct(r["doc_id"].alias("doc_id"), r["tf"].alias("tf"), r["dl"].alias("dl"))).alias("rows"))
     tokens = F.aggregate("rows", F.lit(0).cast("long"), lambda s, r: s + r["tf"])
-    return grouped.select("bucket", "term", "bits", "cell", F.size("rows").alias("n"), tokens.alias("tokens"), frontier(F.col("rows")).alias("frontier"), "rows")
+    # a single posting, as most terms have, is its own frontier
+    edge = F.when(F.size("rows") == 1, F.transform("rows", lambda r: F.struct(r["tf"].alias("tf"), r["dl"].alias("dl")))).otherwise(frontier(F.col("rows")))
+    return each.select("bucket", "term", "bits", "cell", F.size("rows").alias("n"), tokens.alias("tokens"), edge.alias("frontier"), "rows")
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize, hot: int = HOT) -> None:
@@ -170,7 +176,7 @@ class Search:
     """
 
     #: Postings of a query's rarest terms that give its first threshold.
-    SEED = 256
+    SEED = 1024
 
     def __init__(self, terms: DataFrame, blocks: DataFrame, buckets: int, score, k: int, keep=None):
         self.blocks, self.buckets, self.score, self.k = blocks, buckets, score, k
@@ -189,25 +195,46 @@ class Search:
         return self.keep(rows.select("query_id", F.col("r.doc_id").alias("doc_id"), "term", *more, (F.col("w") * self.score(F.col("r.tf"), F.col("r.dl"))).alias("part")))
 
     def seeds(self) -> DataFrame:
-        return self.terms.where("seed").join(self.blocks.select("bucket", "term", "rows", "n"), ["bucket", "term"])
+        return self.terms.where("seed").join(self.blocks.select("bucket", "term", "cell", "rows", "n"), ["bucket", "term"])
 
     def _kth(self, rows: DataFrame, value: str) -> DataFrame:
         """(query_id, low): the k-th greatest value of each query that has k."""
         top = rows.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(value)))).where(F.col("i") <= self.k)
         return top.groupBy("query_id").agg(F.count("*").alias("n"), F.min(value).alias("low")).where(F.col("n") == self.k).select("query_id", "low")
 
+    def trials(self) -> tuple[DataFrame, DataFrame]:
+        """The best documents within a query's rarest terms (query_id, doc_id,
+        part), twice k of them, and the blocks of its other terms for them."""
+        parts = self._found(self.seeds(), []).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
+        top = store.keep(parts.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part"), "doc_id"))).where(F.col("i") <= 2 * self.k).drop("i"), "trials")
+        return top, self._at(top.select("query_id", "doc_id").join(self.terms.where("not seed"), "query_id"), ["rows", "n"])
+
     def threshold(self) -> DataFrame:
         """(query_id, low): no document of the top k has less. The k-th
-        greatest sum over a query's rarest terms, or the k-th greatest bound of
-        a block of its greatest term, for each block has a posting that has it
+        greatest score of the trials, or the k-th greatest bound of a block of
+        the query's greatest term, for each block has a posting that has it
         (unless rows are restricted)."""
-        low = self._kth(self._found(self.seeds(), []).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part")), "part")
+        top, more = self.trials()
+        low = self._kth(self._summed(top, more), "part")
         if self.all:
             bound = F.col("w") * impact(F.col("frontier"), self.score)
             heads = self.terms.where("first").join(self.blocks.select("bucket", "term", "frontier"), ["bucket", "term"])
             low = low.unionByName(self._kth(heads.select("query_id", bound.alias("bound")), "bound"))
         return low.groupBy("query_id").agg(F.max("low").alias("low"))
 
+    def _at(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """rows (query_id, doc_id, a term's columns) with the block that has the
+        document's posting of the term, if any has."""
+        at = rows.withColumn("cell", cell(place("doc_id"), F.col("bits")))
+        return at.join(self.blocks.select("bucket", "term", "cell", *columns), ["bucket", "term", "cell"])
+
+    def _summed(self, parts: DataFrame, opened: DataFrame) -> DataFrame:
+        """parts (query_id, doc_id, part) with what their documents have in the
+        blocks that were opened for them added."""
+        hit = F.get(F.filter("rows", lambda r: r["doc_id"] == F.col("doc_id")), 0)
+        more = opened.withColumn("r", hit).where("r is not null").select("query_id", "doc_id", (F.col("w") * self.score(F.col("r.tf"), F.col("r.dl"))).alias("part"))
+        return parts.select("query_id", "doc_id", "part").unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
+
     def limits(self) -> DataFrame:
         """The terms with `least`, what a posting must add for its document to
         be found by it, and `miss`, what a document that is found may have of
@@ -221,39 +248,40 @@ class Search:
     def discoveries(self, limits: DataFrame) -> DataFrame:
         bound = F.col("w") * impact(F.col("frontier"), self.score)
         asked = limits.where("ub >= least").select("query_id", "term", "bucket", "w", "avgdl", "least", "miss")
-        return asked.join(self.blocks.select("bucket", "term", "rows", "n", "frontier"), ["bucket", "term"]).where(bound >= F.col("least"))
+        return asked.join(self.blocks.select("bucket", "term", "cell", "rows", "n", "frontier"), ["bucket", "term"]).where(bound >= F.col("least"))
 
     def survivors(self, limits: DataFrame) -> DataFrame:
-        """(query_id, doc_id, part, open): documents that may be of the top k;
-        open are the terms with something unopened that were not found."""
+        """(query_id, doc_id, part, open): documents that may be of the top k,
+        first by the bounds of the terms of which something is unopened and
+        that they were not found by (open), then by those of the very blocks
+        that have them, of which the heads alone are read."""
         total = limits.groupBy("query_id").agg(F.max("low").alias("low"), F.sum("miss").alias("all_miss"), F.collect_list(F.when(F.col("miss") > 0, F.col("term"))).alias("unsure"))
         seen = self._found(self.discoveries(limits), ["miss"]).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"), F.sum("miss").alias("found_miss"), F.collect_list(F.when(F.col("miss") > 0, F.col("term"))).alias("found"))
-        rows = seen.join(total, "query_id").withColumn("most", F.col("part") + F.col("all_miss") - F.col("found_miss"))
-        may = lambda low: F.col(low).isNull() | (F.col("most") >= F.col(low) - SLACK)
-        rows = store.keep(rows.where(may("low")).select("query_id", "doc_id", "part", "most", F.array_except("unsure", "found").alias("open")), "candidates")
-        low = self._kth(rows, "part")
-        return rows.join(low, "query_id", "left").where(may("low")).select("query_id", "doc_id", "part", "open")
+        may = F.col("low").isNull() | (F.col("most") >= F.col("low") - SLACK)
+        rows = seen.join(total, "query_id").withColumn("most", F.col("part") + F.col("all_miss") - F.col("found_miss")).where(may)
+        rows = store.keep(rows.select("query_id", "doc_id", "part", "low", F.array_except("unsure", "found").alias("open")), "candidates")
+        bound = F.col("w") * impact(F.col("frontier"), self.score)
+        asked = rows.select("query_id", "doc_id", F.explode("open").alias("term")).join(self.terms, ["query_id", "term"])
+        more = self._at(asked, ["frontier"]).groupBy("query_id", "doc_id").agg(F.sum(bound).alias("more"), F.collect_list("term").alias("there"))
+        rows = rows.join(more, ["query_id", "doc_id"], "left").withColumn("most", F.col("part") + F.coalesce("more", F.lit(0.0))).where(may)
+        return store.keep(rows.select("query_id", "doc_id", "part", F.coalesce("there", F.slice("open", 1, 0)).alias("open")), "survivors")
 
     def lookups(self, survivors: DataFrame) -> DataFrame:
         """Survivors' blocks of what is still open of them."""
-        asked = survivors.select("query_id", "doc_id", F.explode("open").alias("term")).join(self.terms.select("query_id", "term", "bucket", "w", "bits", "avgdl"), ["query_id", "term"])
-        asked = asked.withColumn("cell", cell(place("doc_id"), F.col("bits")))
-        return asked.join(self.blocks.select("bucket", "term", "cell", "rows", "n"), ["bucket", "term", "cell"])
+        asked = survivors.select("query_id", "doc_id", F.explode("open").alias("term"))
+        return self._at(asked.join(self.terms, ["query_id", "term"]), ["rows", "n"])
 
     def scores(self) -> DataFrame:
         """(query_id, doc_id, score) of at least the top k documents."""
         left = self.survivors(store.keep(self.limits(), "limits"))
-        hit = F.get(F.filter("rows", lambda r: r["doc_id"] == F.col("doc_id")), 0)
-        more = self.lookups(left).withColumn("r", hit).where("r is not null").select("query_id", "doc_id", (F.col("w") * self.score(F.col("r.tf"), F.col("r.dl"))).alias("part"))
-        return left.select("query_id", "doc_id", "part").unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
+        return self._summed(left, self.lookups(left)).select("query_id", "doc_id", F.round("part", 9).alias("score"))
 
     def opened(self) -> DataFrame:
         """(query_id, n_terms, postings, opened): how many postings a query's
         terms have, and how many of them the search reads."""
         limits = store.keep(self.limits(), "limits")
-        seeds, first = self.seeds().select("query_id", "term", "n"), self.discoveries(limits).select("query_id", "term", "n")
-        last = self.lookups(self.survivors(limits)).select("query_id", "term", "cell", "n").distinct().select("query_id", "term", "n")
-        rows = seeds.unionByName(first).unionByName(last).groupBy("query_id").agg(F.sum("n").alias("opened"))
+        blocks = [self.seeds(), self.trials()[1], self.discoveries(limits), self.lookups(self.survivors(limits))]
+        rows = reduce(DataFrame.unionByName, [b.select("query_id", "term", "cell", "n").distinct() for b in blocks]).groupBy("query_id").agg(F.sum("n").alias("opened"))
         asked = self.terms.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.sum("df").alias("postings"))
         return asked.join(rows, "query_id", "left").select("query_id", "n_terms", "postings", F.coalesce("opened", F.lit(0)).alias("opened"))
 

@@ -66,12 +66,14 @@ def bm25(queries: DataFrame, index: TermIndex, k: int, cfg: RetrievalConfig | No
     """(query_id, doc_id, rank, score): documents by summed term scores, query
     terms counted as often as they stand. An equi-join on terms, so documents
     without a query term are never touched; allowed (doc_id) filters before
-    scoring, only (a function of the scored rows) before ranking. Of an index
-    in blocks only those are opened that can hold one of the first k."""
+    scoring, only (a function of the scored rows) before ranking. Where the
+    terms of the batch have more than cfg.plain_postings in an index of blocks,
+    only those are opened that can hold one of the first k; that takes several
+    rounds, which few postings don't pay for."""
     cfg = cfg or RetrievalConfig()
     if k <= 0:
         return score_terms(queries, index, cfg).withColumn("rank", F.lit(0)).limit(0)
-    if index.blocks is not None:
+    if index.blocks is not None and (query_terms(queries).join(index.terms.select("term", "df"), "term").agg(F.sum("df")).first()[0] or 0) > cfg.plain_postings:
         scored = postings.search(query_terms(queries), index, term_score, k, cfg, restriction(allowed, only)).scores()
     else:
         scored = score_terms(queries, index, cfg, allowed)

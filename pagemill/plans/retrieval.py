@@ -140,6 +140,11 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.bm25(T.queries(spark, sf), _index(spark, sf), K, CFG).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
 
 
+def bm25_block_max(spark: SparkSession, sf: str) -> DataFrame:
+    """bm25_topk by the search that opens blocks in rounds."""
+    return R.bm25(T.queries(spark, sf), _index(spark, sf), K, replace(CFG, plain_postings=0)).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
+
+
 def bm25_rows_opened(spark: SparkSession, sf: str) -> DataFrame:
     """How many postings the terms of each query have, and how many of them a
     search for its first five documents opens."""
@@ -246,7 +251,7 @@ def ablation_grid(spark: SparkSession, sf: str) -> DataFrame:
     return E.ablation(overlays, lambda o: E.macro(_metrics(spark, sf, **o)))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, term_stats, corpus_stats, bm25_topk, bm25_rows_opened, block_heads, bm25_filtered, dense_topk, dense_ivf, ivf_recall, hybrid_rrf, hybrid_weighted, rerank_lexical, rerank_without_index, index_round_trip, retrieval_metrics, retrieval_macro, retrieval_by_category, missed_relevant, mode_comparison, ablation_grid)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, term_stats, corpus_stats, bm25_topk, bm25_block_max, bm25_rows_opened, block_heads, bm25_filtered, dense_topk, dense_ivf, ivf_recall, hybrid_rrf, hybrid_weighted, rerank_lexical, rerank_without_index, index_round_trip, retrieval_metrics, retrieval_macro, retrieval_by_category, missed_relevant, mode_comparison, ablation_grid)}
 _W = f"WITH {INDEX_SQL}"
 _ALL = f"{_W}, {bm_sql(POOL)}, {sem_sql(POOL)}, "
 _HY = f"{_ALL} {fuse_sql('rrf')}, hy AS (SELECT query_id, doc_id, fused_rank AS rank FROM ranked WHERE fused_rank <= {K}), {QRELS_SQL}, {metrics_sql('hy', 'mh')}"
@@ -262,6 +267,7 @@ ORACLE = {
     "term_stats": f"{_W} SELECT term, df, round(idf, 9) AS idf FROM ts",
     "corpus_stats": f"{_W} SELECT n_docs, total_terms, (SELECT count(*) FROM ts) AS unique_terms FROM cs",
     "bm25_topk": f"{_W}, {bm_sql(K)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw",
+    "bm25_block_max": f"{_W}, {bm_sql(K)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw",
     "block_heads": f"{_W} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tokens, CAST(max(tf) AS BIGINT) AS most, CAST(min(dl) AS BIGINT) AS shortest FROM post GROUP BY term",
     "bm25_filtered": f"{_W}, " + bm_sql(K, "lang = 'en' AND source IN ('src1', 'src2', 'src3')") + " SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw",
     "dense_topk": f"WITH {sem_sql(K)} SELECT query_id, rank, doc_id, round(similarity, 6) AS similarity FROM sem",
