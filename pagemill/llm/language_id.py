@@ -131,12 +131,16 @@ def held_out(id_col: str) -> F.Column:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
     """(id, text, v) of at most per_lang documents of each language, those of
     least id hash outside the held-out quarter. Rows that share id and language
-    are one document, that of least text. A share of each language's hashes
-    that surely holds them is ranked, so no task sorts a whole language."""
+    are one document, that of least text, however often they are repeated. Of a
+    large language a share of the ids that should hold them several times over
+    is ranked, so no task sorts it whole; where a share does not, all are."""
     train = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("v")).where("id is not null and text is not null and v is not null").where(~held_out("id"))
-    sizes = train.groupBy("v").agg(F.count("*").alias("size"))  # a row a language, as the model has
-    low = train.select("id", "v").join(F.broadcast(sizes), "v").where(F.xxhash64("id") / 2.0**64 + 0.5 < 4.0 * per_lang / F.col("size")).select("id", "v")
-    ranked = low.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("id"), "id")))
+    named = put(train.select("id", "v").distinct(), "ids")
+    share = F.xxhash64("id") / 2.0**64 + 0.5 < 4.0 * per_lang / F.col("size")
+    sizes = named.groupBy("v").agg(F.count("*").alias("size"))
+    sizes = named.join(F.broadcast(sizes), "v").groupBy("v", "size").agg(F.count_if(share).alias("within"))  # a row a language, as the model has
+    low = named.join(F.broadcast(sizes), "v").where(share | (F.col("within") < F.least(F.lit(per_lang), F.col("size")))).select("id", "v")
+    ranked = low.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("id"), "id")))
     ids = ranked.where(F.col("n") <= per_lang).select("id", "v")
     return train.join(F.broadcast(ids), ["id", "v"], "left_semi").groupBy("id", "v").agg(F.min("text").alias("text"))
 
@@ -172,7 +176,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score per row: the language of greatest likelihood
-    and its share of the likelihoods (0 to 1). Null texts and those without a
+    and its share of the likelihoods (0 to 1), of equal ones the first by name.
+    Null texts and those without a
     letter are `und` at score 0, as all are when nothing was learned. Null ids,
     repeated rows and extra columns do no harm."""
 

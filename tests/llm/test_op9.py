@@ -99,3 +99,13 @@ def test_sample_of_a_large_language(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, size int")
     a, b = fit(docs, per_lang=50), fit(docs.repartition(5), per_lang=50)
     assert a == b and a.langs == ["de", "en"]
+
+
+def test_repeated_rows_leave_every_language_its_documents(spark):
+    rows = [(i % 3, "der die das", "de") for i in range(4000)] + [(1000 + i, f"the thing w{i}", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit(docs, per_lang=50).langs == ["de", "en"]
+    # of a share that holds too few, all count
+    few = [(i, f"w{i} v", "xx") for i in range(400)]
+    model = fit(spark.createDataFrame(few, "doc_id long, text string, lang string"), per_lang=299)
+    assert model.langs == ["xx"]
