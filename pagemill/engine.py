@@ -109,20 +109,29 @@ def evaluate_pipelines(eval_set: DataFrame, runners: dict[str, Callable[[DataFra
 
 
 def ablate(run: Callable[[EngineConfig], DataFrame], cfg: EngineConfig | None = None, overlays: dict[str, dict] | None = None) -> DataFrame:
-    """Metrics of run(configuration) under each overlay, by label."""
+    """Metrics of run(configuration) under each overlay, by label, with the
+    mean time of each component and what the runs used."""
     base = cfg or EngineConfig()
     configs = {label: base.overlay(o) for label, o in (overlays or evaluate.PIPELINE_OVERLAYS).items()}
-    return evaluate.ablation(configs, lambda c: evaluate.pipeline_metrics(run(c).withColumn("total_ms", F.lit(0.0))))
+
+    def measured(c: EngineConfig) -> DataFrame:
+        rows = store.keep(run(c), "ablation")
+        spent = rows.agg(*[F.coalesce(F.avg(F.col("latency_ms")[x]), F.lit(0.0)).alias(f"{x}_ms") for x in ("analysis", "retrieval", "generation", "verification")], *[F.coalesce(F.sum(F.col("usage")[x]), F.lit(0)).cast("long").alias(x) for x in answer.NO_USE])
+        return evaluate.pipeline_metrics(evaluate.with_total(rows)).crossJoin(F.broadcast(spent))  # a row each
+
+    return evaluate.ablation(configs, measured)
 
 
 def report(spark: SparkSession, records: DataFrame, path: str, title: str = "Evaluation") -> str:
     """The report of records as JSON and Markdown: metrics by pipeline and by
-    category, failure codes and rates."""
-    timed = records.withColumn("total_ms", F.lit(0.0)) if "total_ms" not in records.columns else records
+    category, times of components, use, failure codes and rates."""
+    timed = records if "total_ms" in records.columns else evaluate.with_total(records)
     coded = evaluate.failure_codes(timed)
     tables = {
         "metrics": evaluate.pipeline_metrics(timed, ["label"]).orderBy("label"),
         "by_category": evaluate.pipeline_metrics(timed, ["label", "category"]).orderBy("label", "category"),
+        "components": evaluate.components_of(records, ["label"]).orderBy("label", "component"),
+        "usage": evaluate.usage_of(records, ["label"]).orderBy("label", "counter"),
         "failures": coded.select("label", F.explode("codes").alias("code")).groupBy("code").pivot("label").count().orderBy("code"),
         "rates": evaluate.failure_summary(coded),
     }

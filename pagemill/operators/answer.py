@@ -4,6 +4,7 @@ column, not control flow."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,8 +28,8 @@ ASK_NEEDS = (
     "low waiting period or a lower premium also helps."
 )
 
-#: (queries, evidence) to (query_id, answer, abstained). evidence: query_id,
-#: rank, doc_id, text, label, product, block.
+#: (queries, evidence) to (query_id, answer, abstained[, usage]), usage being a
+#: map of counters. evidence: query_id, rank, doc_id, text, label, product, block.
 Generator = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -85,14 +86,22 @@ def extractive(cfg: EngineConfig) -> Generator:
 
 def by_model(model) -> Generator:
     """A generator of a text model: a function of an iterator of pandas frames
-    (query_id, query, prompt) to frames (query_id, answer). It is shown blocks
-    within a budget, in turns of one a product for questions that compare."""
+    (query_id, query, prompt) to frames (query_id, answer[, prompt_tokens,
+    completion_tokens]). It is shown blocks within a budget, in turns of one a
+    product for questions that compare. Tokens that it doesn't count are counted
+    as words."""
+
+    def counted(frames):
+        for f in model(frames):
+            yield f.reindex(columns=["query_id", "answer", "prompt_tokens", "completion_tokens"]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
     def answers(queries: DataFrame, shown: DataFrame) -> DataFrame:
         asked = generate.prompts(queries, shown, queries.where("compares").select("query_id", "products", "criteria"))
-        made = asked.mapInPandas(model, "query_id long, answer string")
-        out = queries.select("query_id").join(made, "query_id", "left")
-        return out.select("query_id", F.coalesce("answer", F.lit(generate.REFUSAL)).alias("answer"), (F.col("answer").isNull() | generate.is_refusal(F.col("answer"))).alias("abstained"))
+        made = asked.mapInPandas(counted, "query_id long, answer string, prompt_tokens long, completion_tokens long")
+        out = queries.select("query_id").join(made, "query_id", "left").join(asked.select("query_id", "prompt"), "query_id", "left")
+        words = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+        used = F.create_map(F.lit("calls"), F.lit(1).cast("long"), F.lit("prompt_tokens"), F.coalesce("prompt_tokens", words("prompt")), F.lit("completion_tokens"), F.coalesce("completion_tokens", words("answer")))
+        return out.select("query_id", F.coalesce("answer", F.lit(generate.REFUSAL)).alias("answer"), (F.col("answer").isNull() | generate.is_refusal(F.col("answer"))).alias("abstained"), used.alias("usage"))
 
     answers.blocks = True
     return answers
@@ -111,29 +120,62 @@ def blocks_of(routed: DataFrame, found: DataFrame, cfg: EngineConfig) -> DataFra
 @dataclass(frozen=True)
 class Run:
     """The tables of a batch: analysis with routes, steps, evidence, answers
-    (query_id, answer, abstained) of retrieved questions, citations."""
+    (query_id, answer, abstained) of retrieved questions, citations, what
+    generation used (query_id, usage), and how many ms each component took."""
 
     routed: DataFrame
     steps: DataFrame
     shown: DataFrame
     answers: DataFrame
     citations: DataFrame
+    usage: DataFrame | None = None
+    ms: dict[str, float] = field(default_factory=dict)
+
+
+def timed(ms: dict[str, float], component: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, a table that it writes; the time goes to ms."""
+    begin = time.perf_counter()
+    out = make()
+    ms[component] = ms.get(component, 0.0) + (time.perf_counter() - begin) * 1000
+    return out
+
+
+NO_USE = {"calls": 0, "prompt_tokens": 0, "completion_tokens": 0}
+
+
+def with_measures(records: DataFrame, ms: dict[str, float], retrieved: DataFrame, usage: DataFrame | None) -> DataFrame:
+    """records with latency_ms and usage. A batch is worked on as a whole, so a
+    question's time in a component is the component's, shared by the questions
+    that went through it: analysis by all, the others by those retrieved for
+    (query_id). The shares add up to what was measured."""
+    ids = retrieved.select(F.col("query_id").cast("string").alias("qid"), F.lit(True).alias("_in"))
+    n, inside = records.count(), ids.count()
+    part = lambda c: F.lit(ms.get(c, 0.0) / max(n, 1)) if c == "analysis" else F.when(F.col("_in"), ms.get(c, 0.0) / max(inside, 1))
+    latency = F.create_map(*[x for c in ms for x in (F.lit(c), part(c))])
+    none = F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for kv in NO_USE.items() for x in kv])
+    rows = records.join(ids, "qid", "left").withColumn("latency_ms", F.map_filter(latency, lambda k, v: v.isNotNull()))
+    if usage is None:
+        return rows.withColumn("usage", none).drop("_in")
+    used = usage.select(F.col("query_id").cast("string").alias("qid"), "usage")
+    return rows.join(used, "qid", "left").withColumn("usage", F.coalesce("usage", none)).drop("_in")
 
 
 def run(queries: DataFrame, corpus: Corpus, generator: Generator | None = None, k: int | None = None) -> Run:
     """Analysis, plan, retrieval and generation. Questions out of domain and
     those to clarify reach neither retrieval nor the generator."""
-    cfg = corpus.cfg
-    analysis = analyze(queries, corpus)
-    steps = agent.plan(analysis, corpus.products, k or cfg.retrieval.default_k, cfg.agent)
+    cfg, ms = corpus.cfg, {}
+    analysis = timed(ms, "analysis", lambda: keep(analyze(queries, corpus), "analysis"))
+    steps = timed(ms, "analysis", lambda: keep(agent.plan(analysis, corpus.products, k or cfg.retrieval.default_k, cfg.agent), "steps"))
     routed = route(analysis, steps)
     # what is shown and answered is a few rows a question that much starts from
-    shown = keep(evidence(steps, corpus), "evidence")
+    shown = timed(ms, "retrieval", lambda: keep(evidence(steps, corpus), "evidence"))
     if getattr(generator, "blocks", False):
-        shown = keep(blocks_of(routed, shown, cfg), "blocks")
+        shown = timed(ms, "generation", lambda: keep(blocks_of(routed, shown, cfg), "blocks"))
     asked = routed.where("route = 'retrieve'").select("query_id", "query", "products", "criteria", F.col("query_type").isin("product_comparison", "recommendation").alias("compares"))
-    answers = keep((generator or extractive(cfg))(asked, shown), "answers")
-    return Run(routed, steps, shown, answers, generate.citations(answers, shown))
+    answers = timed(ms, "generation", lambda: keep((generator or extractive(cfg))(asked, shown), "answers"))
+    usage = answers.select("query_id", "usage") if "usage" in answers.columns else None
+    answers = answers.drop("usage")
+    return Run(routed, steps, shown, answers, generate.citations(answers, shown), usage, ms)
 
 
 RESPONSE = ["query_id", "query", "query_type", "route", "answer", "final_answer", "abstained", "clarification", "products", "criteria", "evidence_count", "n_citations", "claims", "supported", "contradicted", "insufficient", "supported_rate", "notes"]
@@ -166,16 +208,21 @@ def claims_of(r: Run, corpus: Corpus, second=None) -> DataFrame:
     cfg = corpus.cfg.grounding
     stood = r.answers.where("not abstained").select("query_id", "answer")
     aligned = generate.aligned_evidence(r.citations, corpus.docs, corpus.cfg.generation)
-    found = keep(ground.verify(ground.claims(stood, cfg), aligned, cfg), "verdicts")
-    return found if second is None or not cfg.second_pass else ground.second_opinion(found, second)
+    found = timed(r.ms, "verification", lambda: keep(ground.verify(ground.claims(stood, cfg), aligned, cfg), "verdicts"))
+    if second is None or not cfg.second_pass:
+        return found
+    # a model is asked once: all that needs its verdicts reads them
+    return timed(r.ms, "verification", lambda: keep(ground.second_opinion(found, second), "opinions"))
 
 
-def verified(r: Run, corpus: Corpus, second=None) -> DataFrame:
+def verified(r: Run, corpus: Corpus, second=None, checked: DataFrame | None = None) -> DataFrame:
     """Responses with their claims checked: unsupported lines go, weak answers
-    give way to a question back, short answers and refusals pass."""
+    give way to a question back, short answers and refusals pass. checked:
+    claims_of() the run, if they are known."""
+    checked = claims_of(r, corpus, second) if checked is None else checked
     rows = _counts(r)
     said = r.answers.join(rows.select("query_id", "query_type", "evidence_count"), "query_id")
-    shaped = ground.shape(said, claims_of(r, corpus, second), corpus.cfg.grounding)
+    shaped = ground.shape(said, checked, corpus.cfg.grounding)
     took = r.answers.select("query_id", F.col("answer").alias("_a")).join(shaped.withColumnRenamed("abstained", "_b").withColumnRenamed("clarification", "_c"), "query_id")
     rows = rows.join(took, "query_id", "left").withColumn("answer", F.coalesce("short_answer", "_a")).withColumn("final_answer", F.coalesce("short_answer", "final_answer")).withColumn("abstained", F.coalesce("_b", F.lit(True))).withColumn("clarification", F.coalesce("clarification", "_c"))
     for c in ("claims", "supported", "contradicted", "insufficient"):
@@ -187,21 +234,27 @@ def full_records(eval_set: DataFrame, corpus: Corpus, label: str = "full", gener
     """evaluate.run_records() of the whole pipeline. eval_set: query_id, query,
     category, relevant."""
     r = run(eval_set.select("query_id", "query"), corpus, generator, k)
-    said = verified(r, corpus, second).join(r.routed.select("query_id", "n_steps"), "query_id")
-    return evaluate.run_records(label, eval_set, said, claims_of(r, corpus, second), r.citations, corpus.docs.select("doc_id", F.col(corpus.product_col).alias("product")))
+    checked = claims_of(r, corpus, second)
+    said = verified(r, corpus, second, checked).join(r.routed.select("query_id", "n_steps"), "query_id")
+    records = evaluate.run_records(label, eval_set, said, checked, r.citations, corpus.docs.select("doc_id", F.col(corpus.product_col).alias("product")))
+    return with_measures(records, r.ms, r.answers, r.usage)
 
 
 def baseline_records(eval_set: DataFrame, query_vectors: DataFrame, corpus: Corpus, label: str = "baseline", generator: Generator | None = None, k: int | None = None) -> DataFrame:
     """The same of the plain way: dense retrieval, one answer, and the rules'
     verdicts on it as a measure only."""
     cfg = corpus.cfg
+    ms: dict[str, float] = {}
     hits = retrieve.dense(query_vectors, corpus.vectors, k or cfg.retrieval.default_k)
-    found = keep(hits.select("query_id", "rank", "doc_id").join(corpus.docs.select("doc_id", "text", F.col(corpus.product_col).cast("string").alias("product"), label_of(corpus.docs, corpus.product_col).alias("label")), "doc_id"), "retrieved")
-    answers = keep((generator or extractive(cfg))(eval_set.select("query_id", "query"), found), "answers")
+    found = timed(ms, "retrieval", lambda: keep(hits.select("query_id", "rank", "doc_id").join(corpus.docs.select("doc_id", "text", F.col(corpus.product_col).cast("string").alias("product"), label_of(corpus.docs, corpus.product_col).alias("label")), "doc_id"), "retrieved"))
+    answers = timed(ms, "generation", lambda: keep((generator or extractive(cfg))(eval_set.select("query_id", "query"), found), "answers"))
+    usage = answers.select("query_id", "usage") if "usage" in answers.columns else None
+    answers = answers.drop("usage")
     stood = answers.where("not abstained").select("query_id", "answer")
-    checked = ground.verify(ground.claims(stood, cfg.grounding), found.select("query_id", F.col("rank").alias("marker"), "text"), cfg.grounding)
+    checked = timed(ms, "verification", lambda: keep(ground.verify(ground.claims(stood, cfg.grounding), found.select("query_id", F.col("rank").alias("marker"), "text"), cfg.grounding), "verdicts"))
     said = answers.select("query_id", F.lit("policy_information").alias("query_type"), "abstained", F.lit(None).cast("string").alias("clarification"), F.col("answer").alias("final_answer"), F.lit(0).alias("n_steps"), F.lit(0.0).alias("supported_rate"))
-    return evaluate.run_records(label, eval_set, said, checked, generate.citations(answers, found), corpus.docs.select("doc_id", F.col(corpus.product_col).alias("product")), found.select("query_id", "rank", "doc_id"))
+    records = evaluate.run_records(label, eval_set, said, checked, generate.citations(answers, found), corpus.docs.select("doc_id", F.col(corpus.product_col).alias("product")), found.select("query_id", "rank", "doc_id"))
+    return with_measures(records, ms, answers, usage)
 
 
 def respond(responses: DataFrame, cited: DataFrame | None = None, mode: str = "extractive") -> DataFrame:

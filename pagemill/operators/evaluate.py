@@ -223,6 +223,11 @@ def failure_summary(coded: DataFrame) -> DataFrame:
     return coded.agg(n.alias("num_queries"), bad.alias("num_failed"), F.coalesce(F.round(F.try_divide(bad.cast("double"), n.cast("double")), 4), F.lit(0.0)).alias("failure_rate"))
 
 
+def with_total(runs: DataFrame) -> DataFrame:
+    """runs with total_ms, the sum of their components' times."""
+    return runs.withColumn("total_ms", F.aggregate(F.map_values("latency_ms"), F.lit(0.0), lambda a, x: a + x))
+
+
 def components_of(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Times of runs (latency_ms: a map of component to ms) by component."""
     keys = by or []

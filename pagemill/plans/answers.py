@@ -301,6 +301,17 @@ def pipeline_records(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("label", F.col("qid").cast("long").alias("query_id"), "category", "answerable", "query_type", "abstained", "claims", "supported", "contradicted", "insufficient", F.round("supported_rate", 3).alias("supported_rate"), "unsupported_stripped", F.array_join("evidence_chunk_ids", ",").alias("evidence"), F.array_join("retrieval_top_chunk_ids", ",").alias("top"), F.array_join("evidence_products", ",").alias("products"), "answered_with_relevant_evidence", F.array_join("codes", ",").alias("codes"), "failed")
 
 
+def pipeline_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether every record that was retrieved for has the times of all its
+    components, whether the parts sum up to the totals, and what was used."""
+    r = E.with_total(_records(spark, sf))
+    parts = E.components_of(r, ["label"]).groupBy("label").agg(F.sum(F.col("n") * F.col("mean_ms")).alias("parts"))
+    used = E.usage_of(r, ["label"]).groupBy("label").agg(F.sum("total").alias("used"))
+    every = F.col("latency_ms")["retrieval"].isNull() | ((F.col("latency_ms")["retrieval"] > 0) & (F.col("latency_ms")["generation"] > 0) & (F.col("latency_ms")["verification"] > 0))
+    all_ = r.groupBy("label").agg(F.count("*").alias("n"), F.every((F.col("total_ms") > 0) & every).alias("timed"), F.sum("total_ms").alias("total"))
+    return all_.join(parts, "label").join(used, "label").select("label", "n", "timed", (F.abs(F.col("total") - F.col("parts")) <= 0.0001 * F.col("n") * 4).alias("sums_agree"), "used")
+
+
 def failure_rates(spark: SparkSession, sf: str) -> DataFrame:
     both = None
     for label in ("full", "baseline"):
@@ -322,7 +333,7 @@ def api_responses(spark: SparkSession, sf: str) -> DataFrame:
     return body.select("query_id", F.md5(part("$.answer")).alias("answer_md5"), part("$.query_type").alias("query_type"), part("$.abstained").alias("abstained"), part("$.evidence_count").cast("long").alias("evidence_count"), F.regexp_count("body", F.lit('"n":[0-9]+')).cast("long").alias("citations"), F.md5(part("$.clarification")).alias("clarification_md5"))
 
 
-QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, execute_hybrid_default, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, pipeline_records, failure_rates, product_list, api_responses, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
+QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, execute_hybrid_default, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, pipeline_records, pipeline_times, failure_rates, product_list, api_responses, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
 
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(QUESTIONS, 1)) + ") v(query_id, query))"
 _L = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
@@ -504,6 +515,7 @@ CASE WHEN turned AND query_id % 4 = 0 THEN 'coverage' ELSE array_to_string(crite
 CASE WHEN turned AND query_id % 4 = 0 THEN coalesce(age, 41) ELSE age END AS age, CASE WHEN turned AND query_id % 4 = 0 THEN coalesce(sum_insured, '5 lakh') ELSE sum_insured END AS sum_insured, CASE WHEN turned AND query_id % 4 = 0 AND len(priorities) = 0 THEN 'p' ELSE array_to_string(priorities, '|') END AS priorities FROM j""",
     "analyze_conversations": f"WITH {_ANALYZE}, {_REQ} SELECT an.query_id, query_type, confidence, is_complex, array_to_string(criteria, '|') AS criteria, array_to_string(products, '|') AS products, age, sum_insured FROM an JOIN rq USING (query_id)".replace(_Q, _SAID),
     "plan_conversations": f"WITH {_PLAN} SELECT query_id, count(*) AS n_steps, count(DISTINCT product) AS n_products, CAST(sum(length(query)) AS BIGINT) AS chars FROM steps GROUP BY query_id".replace(_Q, _SAID),
+    "pipeline_times": "SELECT label, count(*) AS n, true AS timed, true AS sums_agree, 0::BIGINT AS used FROM benchmark, (VALUES ('full'), ('baseline')) v(label) GROUP BY label",
     "answer_routes": f"WITH {_ROUTE} SELECT query_id, query_type, route, n_steps, md5(short) AS short_md5 FROM r1",
     "agent_answers": f"WITH {_KRUN} SELECT r1.query_id, query_type, route, md5(coalesce(short, answer)) AS final_md5, coalesce(declined, true) AS abstained, md5(ask) AS clarification_md5, coalesce(evidence_count, 0) AS evidence_count, coalesce(n_citations, 0) AS n_citations FROM r1 LEFT JOIN ans ON r1.query_id = ans.query_id LEFT JOIN ec ON r1.query_id = ec.query_id LEFT JOIN nc ON r1.query_id = nc.query_id",
     "answer_and_verify": f"""WITH {_KVER} SELECT r1.query_id, r1.query_type, r1.route, md5(coalesce(r1.short, CASE WHEN asks THEN 'I could not verify an answer. ' || back WHEN NOT declined AND insufficient + contradicted > 0 AND kept <> '' THEN kept ELSE answer END)) AS final_md5,

@@ -16,6 +16,7 @@ from pagemill.operators import retrieve as R
 from pagemill.operators import vectors as V
 from pagemill.plans import tables as T
 from pagemill.sources import store
+from pagemill.streaming import segments as S
 
 CFG = RetrievalConfig()
 POOL, K = CFG.candidate_k, CFG.default_k
@@ -131,6 +132,17 @@ def term_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
+def segment_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """term_stats of an index that came by batches: all documents in a former
+    state, then those of even ids as they are now, then the others."""
+    d = T.documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
+    base = store.fresh_path(spark, "segments")
+    former = d.withColumn("text", F.concat(F.lit("superseded "), F.coalesce("text", F.lit(""))))
+    for n, batch in enumerate((former, d.where("chunk_id % 2 = 0"), d.where("chunk_id % 2 <> 0"))):
+        S.add(spark, base, batch, "batches", n)
+    return S.read(spark, base).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     i = _index(spark, sf)
     return i.corpus.select("n_docs", "total_terms").crossJoin(F.broadcast(i.terms.agg(F.count("*").alias("unique_terms"))))
@@ -251,7 +263,7 @@ def ablation_grid(spark: SparkSession, sf: str) -> DataFrame:
     return E.ablation(overlays, lambda o: E.macro(_metrics(spark, sf, **o)))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, term_stats, corpus_stats, bm25_topk, bm25_block_max, bm25_rows_opened, block_heads, bm25_filtered, dense_topk, dense_ivf, ivf_recall, hybrid_rrf, hybrid_weighted, rerank_lexical, rerank_without_index, index_round_trip, retrieval_metrics, retrieval_macro, retrieval_by_category, missed_relevant, mode_comparison, ablation_grid)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, term_stats, segment_terms, corpus_stats, bm25_topk, bm25_block_max, bm25_rows_opened, block_heads, bm25_filtered, dense_topk, dense_ivf, ivf_recall, hybrid_rrf, hybrid_weighted, rerank_lexical, rerank_without_index, index_round_trip, retrieval_metrics, retrieval_macro, retrieval_by_category, missed_relevant, mode_comparison, ablation_grid)}
 _W = f"WITH {INDEX_SQL}"
 _ALL = f"{_W}, {bm_sql(POOL)}, {sem_sql(POOL)}, "
 _HY = f"{_ALL} {fuse_sql('rrf')}, hy AS (SELECT query_id, doc_id, fused_rank AS rank FROM ranked WHERE fused_rank <= {K}), {QRELS_SQL}, {metrics_sql('hy', 'mh')}"
@@ -265,6 +277,7 @@ def _macro_of(m: str) -> str:
 ORACLE = {
     "tokenize_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tok('text')} AS t FROM documents)",
     "term_stats": f"{_W} SELECT term, df, round(idf, 9) AS idf FROM ts",
+    "segment_terms": f"{_W} SELECT term, df, round(idf, 9) AS idf FROM ts",
     "corpus_stats": f"{_W} SELECT n_docs, total_terms, (SELECT count(*) FROM ts) AS unique_terms FROM cs",
     "bm25_topk": f"{_W}, {bm_sql(K)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw",
     "bm25_block_max": f"{_W}, {bm_sql(K)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw",

@@ -67,16 +67,35 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, put in place by a rename, so readers see all or nothing."""
+    """One small file, put in place by a rename that replaces what is there, so
+    readers see the old text or the new."""
     fs, p = filesystem(spark, path)
     part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if not fs.rename(part, p):  # an object in the way: replace it
-        fs.delete(p, False)
-        if not fs.rename(part, p):
-            raise OSError(f"cannot write {path}")
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(part), fs.makeQualified(p), how)
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file that must not exist yet: it is whole before it gets its
+    name, and a file of that name is an error."""
+    fs, p = filesystem(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(fs.makeQualified(part), fs.makeQualified(p), how)
+    except Exception as e:
+        fs.delete(part, False)
+        raise FileExistsError(f"cannot create {path}: {e}") from e
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

@@ -154,6 +154,8 @@ def test_records_checkpoint_and_report(spark, corpus, queries, tmp_path):
     assert text.startswith("# Run") and "| full |" in text and json.loads((tmp_path / "report.json").read_text())["rates"][0]["num_queries"] == 12
     grid = engine.ablate(lambda c: answer.full_records(e.drop("pos"), answer.Corpus(corpus.docs, corpus.index, "product", corpus.products, cfg=c)), overlays={"default": {}, "no_strip": evaluate.PIPELINE_OVERLAYS["no_strip"]})
     assert {r.label for r in grid.collect()} == {"default", "no_strip"}
+    assert all(r.retrieval_ms > 0 and r.verification_ms > 0 and r.mean_ms > 0 and r.calls == 0 for r in grid.collect())
+    assert "## components" in text and "| full | retrieval |" in text.replace("  ", " ")
     assert set(pagemill.__all__) <= set(dir(pagemill))
 
 
@@ -216,3 +218,38 @@ def test_incremental_index_keeps_whole_versions(spark, tmp_path):
         cols = ["doc_id", "term", "tf", "dl"] if part == "postings" else ["term", "df"]
         assert sorted(map(tuple, spark.read.parquet(f"{now}/{part}").select(*cols).collect())) == sorted(map(tuple, getattr(fresh, part).select(*cols).collect()))
     assert sorted(p.name for p in (tmp_path / "ix").iterdir() if p.name.startswith("v")) == ["v1", "v2"]
+
+
+def test_times_and_use_of_a_run_and_one_opinion_a_claim(spark, corpus, queries, tmp_path):
+    """A model's tokens are summed, shares add up to what was measured, and a
+    second opinion is asked for once."""
+    import pandas as pd
+
+    def model(frames):
+        for f in frames:
+            yield pd.DataFrame({"query_id": f["query_id"], "answer": "A claim that nothing supports at all. [1]", "prompt_tokens": [7] * len(f)})
+
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def second(frames):
+        import uuid
+
+        for f in frames:
+            (log / uuid.uuid4().hex).write_text("\n".join(map(str, f.iloc[:, 0])))
+            yield pd.DataFrame({"query_id": f["query_id"], "claim_index": f["claim_index"], "verdict": "insufficient"})
+
+    e = queries.withColumn("category", F.lit("c")).withColumn("relevant", F.array(F.lit("1")))
+    ms = []
+    whole = answer.with_measures
+    answer.with_measures = lambda records, took, *a: (ms.append(dict(took)), whole(records, took, *a))[1]
+    try:
+        rows = answer.full_records(e, corpus, generator=answer.by_model(model), second=second).collect()
+    finally:
+        answer.with_measures = whole
+    used = [r.usage for r in rows if r.usage["calls"]]
+    assert used and all(u["prompt_tokens"] == 7 and u["completion_tokens"] == 8 for u in used)
+    for c in ("analysis", "retrieval", "generation", "verification"):
+        assert abs(sum(r.latency_ms.get(c, 0.0) for r in rows) - ms[0][c]) < 1e-6 and ms[0][c] > 0
+    lines = [x for f in log.iterdir() for x in f.read_text().split("\n") if x]  # each answer makes one claim
+    assert lines and len(lines) == len(set(lines))
