@@ -105,7 +105,7 @@ def mix(
     tasks. When a source ends, its slots stay empty and the others go on.
 
     Weights are taken exactly over the whole schedule; `rounded` takes them as
-    whole slots of a cycle of about CYCLE that repeats, as op2_mixing's SQL.
+    whole slots of a cycle of about CYCLE that repeats.
 
     Null sources are one source, every source is scheduled by its own
     weight (unless MOST_SOURCES is set: those beyond it share one group), null and empty texts count one character, null ids sort first,
@@ -160,7 +160,7 @@ def mix(
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, rounded=True).select("doc_id", "mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset")
+    return mix(docs).select("doc_id", "mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset")
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -174,27 +174,26 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 QUERIES = {"op2_mixing": op2_mixing}
 ORACLE = {
-    "op2_mixing": f"""
+    "op2_mixing": """
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS src, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS h,
          greatest(length(coalesce(text, '')), 1) AS n FROM documents),
 pos AS (
   SELECT *, coalesce(sum(n) OVER (PARTITION BY src ORDER BY h, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b0 FROM d),
-wt AS (SELECT src, sqrt(CAST(sum(n) AS DOUBLE)) AS w FROM d GROUP BY src),
-sh AS (SELECT src, greatest(1, CAST(floor({CYCLE} * w / (SELECT sum(w) FROM wt) + 0.5) AS BIGINT)) AS a FROM wt),
-g AS (SELECT list(src ORDER BY src) AS srcs, list(a ORDER BY src) AS aa, CAST(sum(a) AS BIGINT) AS cyc FROM sh),
+wt AS (SELECT src, CAST(pow(CAST(sum(n) AS DOUBLE), 0.5) * pow(2.0, 52) AS HUGEINT) AS a, CAST((sum(n) + 65535) // 65536 AS BIGINT) AS blocks FROM d GROUP BY src),
+g AS (SELECT list(src ORDER BY src) AS srcs, list(a ORDER BY src) AS aa, list(blocks ORDER BY src) AS nn, CAST(sum(a) AS HUGEINT) AS cyc, CAST(sum(blocks) AS BIGINT) AS every FROM wt),
 edf AS (
   SELECT CAST(-1 AS BIGINT) AS t, list_transform(aa, lambda x: CAST(0 AS BIGINT)) AS c, CAST(0 AS BIGINT) AS pick FROM g
   UNION ALL
   SELECT t + 1, list_transform(c, lambda v, i: CASE WHEN i = p THEN v + 1 ELSE v END), p
-  FROM (SELECT t, c, list_min(list_filter(list_transform(range(1, len(aa) + 1), lambda s:
-          CASE WHEN (c[s] * cyc) // aa[s] <= t + 1 THEN (((c[s] + 1) * cyc + aa[s] - 1) // aa[s]) * 100000 + s END), lambda z: z IS NOT NULL)) % 100000 AS p
-        FROM edf, g WHERE t + 1 < cyc)),
+  FROM (SELECT t, c, coalesce(CAST(list_min(list_filter(list_transform(range(1, len(aa) + 1), lambda s:
+          CASE WHEN c[s] < nn[s] AND (c[s] * cyc) // aa[s] <= t + 1 THEN (((c[s] + 1) * cyc + aa[s] - 1) // aa[s]) * 100000 + s END), lambda z: z IS NOT NULL)) % 100000 AS BIGINT), 0) AS p
+        FROM edf, g WHERE list_sum(c) < every)),
 slots AS (
-  SELECT srcs[pick] AS src, t AS slot_in, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM edf, g WHERE t >= 0),
-blk AS (SELECT doc_id, pos.src, CAST(b0 // 65536 AS BIGINT) AS b, CAST(b0 % 65536 AS BIGINT) AS off, a, cyc FROM pos JOIN sh ON pos.src = sh.src, g)
-SELECT doc_id, blk.src AS mix_source, b AS mix_block, (b * cyc) // a AS mix_release, ((b + 1) * cyc + a - 1) // a AS mix_deadline,
-       (b // a) * cyc + slot_in AS mix_slot, off AS mix_offset
-FROM blk JOIN slots ON blk.src = slots.src AND b % a = slots.k
+  SELECT srcs[pick] AS src, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM edf, g WHERE pick > 0),
+blk AS (SELECT doc_id, pos.src, CAST(b0 // 65536 AS BIGINT) AS b, CAST(b0 % 65536 AS BIGINT) AS off, a, cyc FROM pos JOIN wt ON pos.src = wt.src, g)
+SELECT doc_id, blk.src AS mix_source, b AS mix_block, CAST((b * cyc) // a AS BIGINT) AS mix_release, CAST(((b + 1) * cyc + a - 1) // a AS BIGINT) AS mix_deadline,
+       slot AS mix_slot, off AS mix_offset
+FROM blk JOIN slots ON blk.src = slots.src AND b = slots.k
 """
 }
