@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,12 +77,21 @@ def mine(labelled: DataFrame, support: float = 0.01, least: int = 20, confidence
     """Blocking rules of (tokens, bad) rows by FP-growth: token sets of at most
     `longest` (None: of any size) that `support` of the rows have (and `least` rows), bad ones among
     them to `confidence`. A rule that a part of it equals or betters goes.
-    Tokens of 19 rows in 20 or more say nothing and are left out."""
+    Tokens of 19 rows in 20 or more say nothing and are left out. Tokens that
+    stand in the very same rows are one item while sets are mined, so that many
+    of them don't make every set of them frequent; each rule then holds for
+    each choice of them."""
     rows = put(labelled.where("bad is not null").select("tokens", "bad"), "labelled")
     n = rows.count()
     if not n:
         return []
     everywhere = [r.t for r in rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= 0.95 * n).select("t").collect()]
+    # of tokens with the same rows, told by 128 bits of these, the first stands for all
+    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(F.array_distinct("tokens")).alias("t"))
+    alike = each.groupBy("t").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    classes = alike.where(F.col("n") >= max(support * n, least)).groupBy("n", "x", "y").agg(F.sort_array(F.collect_list("t")).alias("ts")).where(F.size("ts") > 1)
+    same = {r.ts[0]: r.ts for r in classes.select("ts").collect()}
+    everywhere = sorted({*everywhere, *(t for ts in same.values() for t in ts[1:])})
     kept = F.filter("tokens", lambda t: ~t.isin(everywhere)) if everywhere else F.col("tokens")
     baskets = rows.select(F.concat(kept, F.array(F.when(F.col("bad") == 1, BLOCK).otherwise(ALLOW))).alias("items"))
     share = max(support, least / n)
@@ -96,8 +105,8 @@ def mine(labelled: DataFrame, support: float = 0.01, least: int = 20, confidence
         .collect()
     )
     out: dict[tuple[str, ...], Mined] = {}
-    for r in found:
-        items = tuple(sorted(r.antecedent))
+    chosen = ((tuple(sorted(c)), r) for r in found for c in product(*[same.get(t, [t]) for t in r.antecedent]))
+    for items, r in chosen:
         if 2 ** len(items) < len(out):
             parts = (out[p] for k in range(1, len(items)) for p in combinations(items, k) if p in out)
         else:

@@ -97,3 +97,20 @@ def test_rules_of_any_size(spark):
     rows = [(list(s), int(s == "abcd")) for s in sets for _ in range(40)] + [(["z"], 0)] * 100
     df = spark.createDataFrame(rows, "tokens array<string>, bad int")
     assert {m.items for m in mine(df, longest=None)} == {tuple("abcd")} and mine(df) == []
+
+
+def test_tokens_of_the_same_rows_are_one_item(spark):
+    """Many tokens that stand together make neither 2 ** n sets nor fewer rules."""
+    import time
+
+    together = [f"t{i:02}" for i in range(30)]
+    rows = [([*together, "x"], 1)] * 40 + [(["x", "y"], 0)] * 60 + [([*together[:2], "y", "z"], 1)] * 30
+    df = spark.createDataFrame(rows, "tokens array<string>, bad int")
+    begin = time.time()
+    got = mine(df, support=0.01, least=20, confidence=0.8, longest=None)
+    assert time.time() - begin < 60
+    rules = {m.items: (m.confidence, m.support) for m in got}
+    # the first two stand in 70 bad rows, the other 28 in 40, z in 30
+    assert {(t,) for t in together} | {("z",)} == {i for i in rules if len(i) == 1}
+    assert all(rules[t,] == (1.0, 70 if t in together[:2] else 40) for t in together)
+    assert not [i for i in rules if len(i) > 1]
