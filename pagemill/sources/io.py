@@ -65,9 +65,10 @@ def read_ocr(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checkpoint(spark: SparkSession, path: str, label: str) -> DataFrame:
-    """Finished queries of a label; torn lines are dropped and the last file
-    position of a query id wins."""
-    rows = spark.read.schema(S.CHECKPOINT).option("mode", "DROPMALFORMED").json(path).withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    """Finished queries of a label; torn lines are dropped and of a query id
+    the last append wins, within it the last file position."""
+    append = F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"append=(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+    rows = spark.read.schema(S.CHECKPOINT).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path).withColumn("_at", F.struct(append.alias("n"), F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")))
     w = Window.partitionBy("qid").orderBy(F.desc("_at"))
     return rows.where((F.col("label") == label) & F.col("qid").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at")
 
@@ -113,9 +114,15 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_checkpoint(rows: DataFrame, path: str) -> None:
-    """Finished records, appended: files of an append are whole or not there,
-    and read_checkpoint() passes over what a crash elsewhere has torn."""
-    rows.write.mode("append").json(path)
+    """Finished records, appended under the next number: files of an append are
+    whole or not there, of two writers of a number one fails, and
+    read_checkpoint() passes over what a crash elsewhere has torn."""
+    spark, last = rows.sparkSession, 0
+    if store.exists(spark, path):
+        fs, p = store.filesystem(spark, path)
+        names = (f.getPath().getName() for f in fs.listStatus(p))
+        last = max((int(n[7:]) for n in names if n.startswith("append=") and n[7:].isdigit()), default=0)
+    rows.write.mode("error").json(f"{path}/append={last + 1:012d}")
 
 
 def write_registry(rows: DataFrame, path: str, outcome: DataFrame | None = None) -> int:

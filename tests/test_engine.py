@@ -253,3 +253,16 @@ def test_times_and_use_of_a_run_and_one_opinion_a_claim(spark, corpus, queries,
         assert abs(sum(r.latency_ms.get(c, 0.0) for r in rows) - ms[0][c]) < 1e-6 and ms[0][c] > 0
     lines = [x for f in log.iterdir() for x in f.read_text().split("\n") if x]  # each answer makes one claim
     assert lines and len(lines) == len(set(lines))
+
+
+def test_the_last_append_of_a_checkpoint_wins(spark, tmp_path):
+    path = tmp_path / "done"
+    for answer_ in ("first", "second", "third"):
+        io.write_checkpoint(spark.createDataFrame([("a", "1", answer_), ("a", answer_, "x")], "label string, qid string, final_answer string").coalesce(1), f"file://{path}")
+    # file names say nothing of the order, and a torn tail is passed over
+    for n, f in enumerate(sorted(path.glob("append=*/part-*.json"))):
+        f.rename(f.with_name(f"part-{9 - n}.json"))
+    (path / "append=000000000004").mkdir()
+    (path / "append=000000000004" / "part-0.json").write_text('{"label": "a", "qid": "1", "final_ans')
+    got = {r.qid: r.final_answer for r in io.read_checkpoint(spark, f"file://{path}", "a").collect()}
+    assert got == {"1": "third", "first": "x", "second": "x", "third": "x"}
