@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.config import AgentConfig, RetrievalConfig
 from pagemill.functions.text import count_cues, words_of
 from pagemill.operators.index import TermIndex
+from pagemill.operators.phrases import as_words, occurrences
 from pagemill.operators.retrieve import bm25, hybrid
 
 # Phrases that mark what a question asks for.
@@ -81,12 +82,16 @@ def product_aliases(products: DataFrame) -> DataFrame:
     return named.groupBy("alias").agg(F.min("product").alias("product"), F.count_distinct("product").alias("n")).where("n = 1 and alias <> ''").select("alias", "product")
 
 
-def match_products(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(query_id, products) whose aliases stand as words in the query. The
-    alias list is a stated set that every query meets."""
-    hit = F.regexp_like(F.lower("query"), F.concat(F.lit(r"\b\Q"), F.col("alias"), F.lit(r"\E\b")))
-    found = queries.join(aliases, hit).select("query_id", "product").distinct()
-    return found.groupBy("query_id").agg(F.sort_array(F.collect_list("product")).alias("products"))
+def match_products(queries: DataFrame, aliases: DataFrame, few: bool = False) -> DataFrame:
+    """(query_id, products) whose aliases stand as words in the query. Aliases
+    are met by their rarest tokens; with `few`, for lists that the caller knows
+    to be short, every query meets every alias instead."""
+    said = queries.select("query_id", F.lower("query").alias("query"))
+    if few:
+        found = said.join(F.broadcast(aliases), as_words(F.col("query"), F.col("alias")))
+    else:
+        found = occurrences(said, "query_id", "query", aliases, "alias")
+    return found.select("query_id", "product").distinct().groupBy("query_id").agg(F.sort_array(F.collect_list("product")).alias("products"))
 
 
 def requirements(query: Column) -> Column:

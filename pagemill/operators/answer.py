@@ -17,6 +17,9 @@ from pagemill.operators import agent, evaluate, generate, ground, retrieve
 from pagemill.operators.index import TermIndex
 from pagemill.sources.store import keep
 
+#: A list of products up to this length is matched in one stage, without an index.
+FEW_PRODUCTS = 100
+
 # Answers to questions that are never retrieved for.
 OUT_OF_DOMAIN = (
     "This question is outside the insurance policy knowledge base I support. I can only answer from the ingested insurance policy documents — "
@@ -52,7 +55,7 @@ class Corpus:
 
 def analyze(queries: DataFrame, corpus: Corpus) -> DataFrame:
     names = queries.sparkSession.createDataFrame([(p,) for p in corpus.products], "product string")
-    found = agent.match_products(queries, agent.product_aliases(names))
+    found = agent.match_products(queries, agent.product_aliases(names), len(corpus.products) <= FEW_PRODUCTS)
     return agent.analyze(queries, found, corpus.cfg.agent)
 
 

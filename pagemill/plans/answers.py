@@ -41,42 +41,57 @@ QUESTIONS = [
 ]
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS, 1)), "query_id long, query string")
+def _turns(spark: SparkSession, sf: str, openings: list[str]) -> DataFrame:
+    """What users say in the conversations, each turn after one of the openings."""
+    opening = F.element_at(F.array(*[F.lit(x) for x in openings]), (F.col("conv_id") % len(openings) + 1).cast("int"))
+    return T.table(spark, sf, "conversations").where("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(opening, F.col("text")).alias("query"))
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns(spark, sf, [f"{q} " for q in QUESTIONS])
 
 
 def _products(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in PRODUCTS], "product string")
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    """As many product names as there are openings of three words in documents, and the fixed ones."""
+    opening = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), 1, 3), " ")
+    return T.documents(spark, sf).select(opening.alias("product")).unionByName(_products(spark))
+
+
 def product_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    return A.product_aliases(_products(spark))
+    return A.product_aliases(_names(spark, sf))
 
 
 def match_products(spark: SparkSession, sf: str) -> DataFrame:
-    return A.match_products(_questions(spark), A.product_aliases(_products(spark))).select("query_id", F.array_join("products", "|").alias("products"))
+    return A.match_products(_questions(spark, sf), A.product_aliases(_names(spark, sf))).select("query_id", F.array_join("products", "|").alias("products"))
+
+
+def _analysed(spark: SparkSession, q: DataFrame) -> DataFrame:
+    return A.analyze(q, A.match_products(q, A.product_aliases(_products(spark)), few=True))
 
 
-def _analysis(spark: SparkSession) -> DataFrame:
-    q = _questions(spark)
-    return A.analyze(q, A.match_products(q, A.product_aliases(_products(spark))))
+def _analysis(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, _questions(spark, sf))
 
 
 def analyze_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return _analysis(spark).select("query_id", "query_type", "confidence", "is_complex", *[F.array_join(c, "|").alias(c) for c in ("criteria", "products", "matched_cues", "detected_types")])
+    return _analysis(spark, sf).select("query_id", "query_type", "confidence", "is_complex", *[F.array_join(c, "|").alias(c) for c in ("criteria", "products", "matched_cues", "detected_types")])
 
 
 def requirements(spark: SparkSession, sf: str) -> DataFrame:
-    r = _questions(spark).select("query_id", A.requirements(F.col("query")).alias("r"))
+    r = _questions(spark, sf).select("query_id", A.requirements(F.col("query")).alias("r"))
     return r.select("query_id", F.col("r.age").alias("age"), F.col("r.sum_insured").alias("sum_insured"), F.col("r.objective").alias("objective"), F.array_join("r.priorities", "|").alias("priorities"), F.col("r.tenure").alias("tenure"))
 
 
 def plan_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return A.plan(_analysis(spark), PRODUCTS).select("query_id", "step_id", "query", "product", F.array_join("criteria", "|").alias("criteria"), "top_k")
+    return A.plan(_analysis(spark, sf), PRODUCTS).select("query_id", "step_id", "query", "product", F.array_join("criteria", "|").alias("criteria"), "top_k")
 
 
 def clarifications(spark: SparkSession, sf: str) -> DataFrame:
-    a = _analysis(spark)
+    a = _analysis(spark, sf)
     return A.needs_clarification(a, A.plan(a, PRODUCTS))
 
 
@@ -221,14 +236,13 @@ def refine_replies(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("query_id") % 4 == 2, '{"query_type": "bogus"}')
         .otherwise('{"query_type": "multi_step", "criteria": []}')
     )
-    a = _analysis(spark)
+    a = _analysis(spark, sf)
     r = A.refine_with_replies(a, a.select("query_id", reply.alias("raw")), AgentConfig(llm_confidence_threshold=0.7))
     return r.select("query_id", "query_type", "confidence", "is_complex", *[F.array_join(c, "|").alias(c) for c in ("criteria", "products", "matched_cues")], F.col("requirements.age").alias("age"), F.col("requirements.sum_insured").alias("sum_insured"), F.array_join("requirements.priorities", "|").alias("priorities"))
 
 
 def _said(spark: SparkSession, sf: str) -> DataFrame:
-    """What users say in the conversations, as questions."""
-    return T.table(spark, sf, "conversations").where("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.element_at(F.array(*[F.lit(x) for x in _OPENINGS]), (F.col("conv_id") % len(_OPENINGS) + 1).cast("int")), F.col("text")).alias("query"))
+    return _turns(spark, sf, _OPENINGS)
 
 
 _OPENINGS = ["", "What is the waiting period for ", "Compare Cedar Family Floater and my:Delta Secure on ", "recommend a plan with 10 lakh cover, age: 45, for ", "Are these exclusions and is the entry age fine: ", "who won "]
@@ -236,14 +250,14 @@ _OPENINGS = ["", "What is the waiting period for ", "Compare Cedar Family Floate
 
 def analyze_conversations(spark: SparkSession, sf: str) -> DataFrame:
     q = _said(spark, sf)
-    a = A.analyze(q, A.match_products(q, A.product_aliases(_products(spark))))
+    a = _analysed(spark, q)
     return a.select("query_id", "query_type", "confidence", "is_complex", F.array_join("criteria", "|").alias("criteria"), F.array_join("products", "|").alias("products"), F.col("requirements.age").alias("age"), F.col("requirements.sum_insured").alias("sum_insured"))
 
 
 def plan_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """How many steps each question takes, and on which products."""
     q = _said(spark, sf)
-    steps = A.plan(A.analyze(q, A.match_products(q, A.product_aliases(_products(spark)))), PRODUCTS)
+    steps = A.plan(_analysed(spark, q), PRODUCTS)
     return steps.groupBy("query_id").agg(F.count("*").alias("n_steps"), F.count_distinct("product").alias("n_products"), F.sum(F.length("query")).cast("long").alias("chars"))
 
 
@@ -335,12 +349,14 @@ def api_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (product_aliases, match_products, analyze_queries, requirements, plan_steps, clarifications, execute_plan, execute_budget, execute_hybrid, execute_hybrid_default, refine_replies, analyze_conversations, plan_conversations, answer_routes, agent_answers, answer_and_verify, pipeline_records, pipeline_times, failure_rates, product_list, api_responses, evidence_by_product, evidence_budget, interleave_products, extractive_answer, claims, conversation_claims, citations, unresolved_citations, aligned_evidence, verify_claims, verify_claims_all_words, second_opinions, shape_response)}
 
-_Q = "q AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(QUESTIONS, 1)) + ") v(query_id, query))"
 _L = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+_turns_sql = lambda xs: f"q AS (SELECT conv_id * 1000 + turn AS query_id, {_L(xs)}[conv_id % {len(xs)} + 1] || text AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL)"
+_Q = _turns_sql([f"{q} " for q in QUESTIONS])
 _ALIAS = f"""pr AS (SELECT unnest({_L(PRODUCTS)}) AS product),
 w AS (SELECT product, lower(product) AS base, list_filter(regexp_extract_all(lower(product), '[a-z0-9]+'), lambda x: length(x) >= 4 AND NOT list_contains({_L(A.ALIAS_STOPWORDS)}, x)) AS w FROM pr),
 al0 AS (SELECT DISTINCT product, unnest(list_filter(list_concat([base], w, [CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END]), lambda x: x IS NOT NULL)) AS alias FROM w),
 al AS (SELECT alias, min(product) AS product FROM al0 GROUP BY alias HAVING count(DISTINCT product) = 1)"""
+_NAMED = _ALIAS.replace(f"SELECT unnest({_L(PRODUCTS)}) AS product", f"SELECT DISTINCT product FROM (SELECT array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3], ' ') AS product FROM documents WHERE text IS NOT NULL UNION ALL SELECT unnest({_L(PRODUCTS)})) WHERE product <> ''")
 _MATCH = f"{_Q}, {_ALIAS}, mt AS (SELECT query_id, list(DISTINCT product ORDER BY product) AS products FROM q JOIN al ON regexp_matches(lower(query), '\\b\\Q' || alias || '\\E\\b') GROUP BY query_id)"
 _N = lambda cues: f"len(list_filter({_L(cues)}, lambda c: contains(t, c)))"
 _FAM = [*A.FAMILIES, "policy_information"]
@@ -405,7 +421,7 @@ fu AS (SELECT query_id, step_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6
 fr AS (SELECT query_id, step_id, doc_id, score, row_number() OVER (PARTITION BY query_id, step_id ORDER BY score DESC, seen, doc_id) AS rank FROM fu)"""
 _REPLY = "[CASE query_id % 4 WHEN 0 THEN 'exclusion' WHEN 3 THEN 'multi_step' END][1]"
 _OPEN = lambda xs: f"{_L(xs)}"
-_SAID = f"q AS (SELECT conv_id * 1000 + turn AS query_id, {_L(_OPENINGS)}[conv_id % {len(_OPENINGS)} + 1] || text AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL)"
+_SAID = _turns_sql(_OPENINGS)
 _KINDS = f"q AS (SELECT item_id AS query_id, {_L(_ASKED)}[item_id % {len(_ASKED)} + 1] || text AS query FROM benchmark)"
 _KPLAN = _PLAN.replace(_Q, _KINDS).replace(_L(PRODUCTS), _L(SOURCES)).replace(_ALLP, _L(SOURCES))
 _ROUTE = f"""{_KPLAN}, ns AS (SELECT query_id, count(*) AS n_steps FROM steps GROUP BY query_id),
@@ -499,8 +515,9 @@ um AS (SELECT DISTINCT query_id, CAST(unnest(regexp_extract_all(answer, '\\[(\\d
 _SHOWREC = "SELECT label, query_id, category, answerable, query_type, abstained, CAST(claims AS INT) AS claims, CAST(supported AS INT) AS supported, CAST(contradicted AS INT) AS contradicted, CAST(insufficient AS INT) AS insufficient, round(supported_rate, 3) AS supported_rate, CAST(unsupported_stripped AS INT) AS unsupported_stripped, array_to_string(evidence_chunk_ids, ',') AS evidence, array_to_string(retrieval_top_chunk_ids, ',') AS top, array_to_string(evidence_products, ',') AS products, used AS answered_with_relevant_evidence, array_to_string(codes, ',') AS codes, len(list_filter(codes, lambda x: x NOT IN ('F15', 'F16'))) > 0 AS failed FROM rec_"
 _RATE = "SELECT '{0}' AS label, count(*) AS num_queries, count(*) FILTER (failed) AS num_failed, coalesce(round(count(*) FILTER (failed) / CAST(nullif(count(*), 0) AS DOUBLE), 4), 0.0) AS failure_rate FROM ({1})"
 ORACLE = {
-    "product_aliases": f"WITH {_ALIAS} SELECT alias, product FROM al",
-    "match_products": f"WITH {_MATCH} SELECT query_id, array_to_string(products, '|') AS products FROM mt",
+    "product_aliases": f"WITH {_NAMED} SELECT alias, product FROM al",
+    "match_products": f"""WITH {_Q}, {_NAMED}, m AS (SELECT DISTINCT query_id, product FROM (SELECT query_id, lower(query) AS t FROM q) JOIN al ON CASE WHEN contains(t, alias) THEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{Nd}}_])\\Q' || alias || '\\E($|[^\\p{{L}}\\p{{Nd}}_])') ELSE false END)
+SELECT query_id, string_agg(product, '|' ORDER BY product) AS products FROM m GROUP BY query_id""",
     "analyze_queries": f"WITH {_ANALYZE} SELECT query_id, query_type, confidence, is_complex, array_to_string(criteria, '|') AS criteria, array_to_string(products, '|') AS products, array_to_string(matched, '|') AS matched_cues, array_to_string(types, '|') AS detected_types FROM an",
     "requirements": f"WITH {_Q}, {_REQ} SELECT query_id, age, sum_insured, objective, array_to_string(priorities, '|') AS priorities, tenure FROM rq",
     "plan_steps": f"WITH {_PLAN} SELECT query_id, CAST(step_id AS INT) AS step_id, query, product, criteria, CAST(5 AS INT) AS top_k FROM steps",

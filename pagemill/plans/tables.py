@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators.phrases import occurrences
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +32,5 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A substring join: every document meets the stated query set."""
-    d, q = documents(spark, sf_dir), queries(spark, sf_dir)
-    return d.join(q, (F.length("query") > 0) & F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    """A passage's documents: those that contain it, met by its rarest token."""
+    return occurrences(documents(spark, sf_dir), "doc_id", "text", queries(spark, sf_dir), "query", whole=False).select("query_id", "doc_id")
