@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RUNS = "[A-Za-z0-9_]+"
-_TOKENS = f"{_RUNS}|[^A-Za-z0-9_]"
 
 
 def as_words(text: Column, phrase: Column) -> Column:
@@ -21,7 +20,9 @@ def as_words(text: Column, phrase: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """What a text can be met by: its runs and its other characters, each once."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKENS), 0))
+    runs = F.split(text, "[^A-Za-z0-9_]+")
+    other = F.split(F.concat(F.when(F.contains(text, F.lit(" ")), " ").otherwise(""), F.regexp_replace(text, "[A-Za-z0-9_ ]+", "")), "")
+    return F.array_distinct(F.filter(F.concat(runs, other), lambda t: t != ""))
 
 
 def _runs(text: Column) -> Column:

@@ -70,15 +70,23 @@ def version_variants(spark: SparkSession, sf: str) -> DataFrame:
     return G.version_variants(T.documents(spark, sf), "source", "lang").select("source", F.array_join("versions", ",").alias("versions"))
 
 
+def _covers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document after one of the covers, in a file of that cover's name."""
+    at = (F.col("doc_id") % len(SAMPLES) + 1).cast("int")
+    of = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in SAMPLES]), at)
+    return T.documents(spark, sf).select("doc_id", of(1).alias("filename"), F.concat(of(2), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def metadata_extract(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(SAMPLES, "id long, filename string, text string")
     m = B.metadata("text", "filename")
-    return rows.select("id", *[(F.array_join(v, ",") if k == "review_flags" else v).alias(k) for k, v in m.items()])
+    return _covers(spark, sf).select(F.col("doc_id").alias("id"), *[(F.array_join(v, ",") if k == "review_flags" else v).alias(k) for k, v in m.items()])
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(f"/p/{f}", t) for _, f, t in [*SAMPLES, (7, "zz.pdf", SAMPLES[1][2])]], "path string, text string")
-    return G.registry(rows).select("document_id", "filename", "duplicate_of", F.array_join("review_flags", ",").alias("review_flags"))
+    """A registry of these files: ids by path, copies, and files that share a
+    policy number."""
+    rows = _covers(spark, sf).select(F.concat(F.lit("/p/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("filename")).alias("path"), "text")
+    return G.registry(rows).select("document_id", "path", "duplicate_of", F.array_join("review_flags", ",").alias("review_flags"))
 
 
 def page_inspection(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +148,7 @@ def metadata_pages(spark: SparkSession, sf: str) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
     opening = F.element_at(F.array(*[F.lit(t) for _, _, t in SAMPLES]), (F.col("page_id") % len(SAMPLES) + 1).cast("int"))
     name = F.concat(F.element_at(F.array(*[F.lit(f) for _, f, _ in SAMPLES]), (F.col("page_id") % 4 + 1).cast("int")), F.coalesce(F.regexp_extract("url", r"([^/]*)$", 1), F.lit("")))
-    rows = T.table(spark, sf, "pages").select("page_id", F.concat(opening, F.lit("\n"), F.left(F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")), F.lit(400))).alias("text"), name.alias("filename"))
+    rows = T.table(spark, sf, "pages").select("page_id", F.concat(opening, F.lit("\n"), F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))).alias("text"), name.alias("filename"))
     m = B.metadata("text", "filename")
     return rows.select("page_id", *[(F.array_join(v, ",") if k == "review_flags" else v).alias(k) for k, v in m.items()])
 
@@ -148,7 +156,7 @@ def metadata_pages(spark: SparkSession, sf: str) -> DataFrame:
 def registry_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A registry of the documents, a file each: ids by path, first earlier
     documents of the same content."""
-    rows = T.documents(spark, sf).select(F.concat(F.lit("/corpus/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.left("text", F.lit(60)).alias("text"))
+    rows = T.documents(spark, sf).select(F.concat(F.lit("/corpus/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "text")
     return G.registry(rows).select("document_id", "path", "duplicate_of")
 
 
@@ -207,7 +215,7 @@ def document_report(spark: SparkSession, sf: str) -> DataFrame:
 def _styled(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with fonts, weights and boxes by their number."""
     n = F.col("reading_order")
-    b = G.line_blocks(T.documents(spark, sf)).withColumn("text", F.left("text", F.lit(110))).withColumn("n", n)
+    b = G.line_blocks(T.documents(spark, sf)).withColumn("n", n)
     return b.withColumn("font_size", (n % 21).cast("double")).withColumn("is_bold", n % 3 == 0).withColumn("is_upper", n % 4 == 0).withColumn("bbox", F.when(n % 5 != 4, F.array(F.lit(0.0), F.lit(0.0), (n % 7 * 60).cast("double"), F.lit(9.0))))
 
 
@@ -288,7 +296,8 @@ ch AS (SELECT doc_id, i - 1 AS n, l[i].text AS text, nullif(l[i].section, '') AS
 cx AS (SELECT ch.*, concat_ws(' > ', nullif(source, ''), CASE WHEN NOT starts_with(lower(left(ltrim(ch.text), 30)), lower(left(section, 30))) THEN section END) AS crumbs FROM ch JOIN documents d ON ch.doc_id = d.doc_id)"""
 _PAGES = "pg AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, doc_id, text, n_chars FROM documents WHERE source IS NOT NULL)"
 _TABS = "tb AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ', ', ' ' || chr(9) || chr(7) || '  ') ELSE text END AS text FROM documents)"
-_VALUES = ", ".join("({}, '{}', '{}')".format(i, f, t.replace("'", "''")) for i, f, t in SAMPLES)
+_texts = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+_COVERS = f"r AS (SELECT doc_id AS id, {_texts([f for _, f, _ in SAMPLES])}[doc_id % {len(SAMPLES)} + 1] AS filename, {_texts([x for _, _, x in SAMPLES])}[doc_id % {len(SAMPLES)} + 1] || chr(10) || coalesce(text, '') AS text FROM documents)"
 
 
 def _first_sql(cases: list[tuple[str, str]]) -> str:
@@ -315,14 +324,12 @@ md AS (SELECT id, coalesce(ins, fins) AS insurer, coalesce(prod, fpr, bare_name)
   CASE WHEN differ THEN 'document_type_mismatch_content_vs_filename' END, CASE WHEN kind IS NULL AND fkind IS NULL THEN 'document_type_inferred' END, CASE WHEN differ OR (kind IS NULL AND fkind IS NULL) THEN 'document_type_from_filename' END], lambda z: z IS NOT NULL), ',') AS review_flags FROM x5)"""
 
 
-_FILES = [*SAMPLES, (7, "zz.pdf", SAMPLES[1][2])]
-_FILE_VALUES = ", ".join("({}, '{}', '{}')".format(i, f, t.replace("'", "''")) for i, f, t in _FILES)
 ORACLE = {
-    "metadata_extract": f"WITH r AS (SELECT * FROM (VALUES {_VALUES}) v(id, filename, text)), {_metadata_sql('r')} SELECT CAST(id AS BIGINT) AS id, * EXCLUDE (id) FROM md",
-    "metadata_pages": f"""WITH r AS (SELECT page_id AS id, [{", ".join("'" + f + "'" for _, f, _ in SAMPLES)}][page_id % 4 + 1] || coalesce(regexp_extract(url, '([^/]*)$', 1), '') AS filename, [{", ".join("'" + t + "'" for _, _, t in SAMPLES)}][page_id % {len(SAMPLES)} + 1] || chr(10) || left({_BARE}, 400) AS text FROM pages), {_metadata_sql('r')} SELECT id AS page_id, * EXCLUDE (id) FROM md""",
-    "registry": f"""WITH r AS (SELECT * FROM (VALUES {_FILE_VALUES}) v(id, filename, text)), {_metadata_sql('r')}, n AS (SELECT md.*, r.filename, r.text, row_number() OVER (ORDER BY '/p/' || r.filename) AS n FROM md JOIN r ON md.id = r.id),
+    "metadata_extract": f"WITH {_COVERS}, {_metadata_sql('r')} SELECT CAST(id AS BIGINT) AS id, * EXCLUDE (id) FROM md",
+    "metadata_pages": f"""WITH r AS (SELECT page_id AS id, [{", ".join("'" + f + "'" for _, f, _ in SAMPLES)}][page_id % 4 + 1] || coalesce(regexp_extract(url, '([^/]*)$', 1), '') AS filename, [{", ".join("'" + t + "'" for _, _, t in SAMPLES)}][page_id % {len(SAMPLES)} + 1] || chr(10) || {_BARE} AS text FROM pages), {_metadata_sql('r')} SELECT id AS page_id, * EXCLUDE (id) FROM md""",
+    "registry": f"""WITH {_COVERS}, {_metadata_sql('r')}, n AS (SELECT md.*, '/p/' || r.id || '/' || r.filename AS path, r.text, row_number() OVER (ORDER BY '/p/' || r.id || '/' || r.filename) AS n FROM md JOIN r ON md.id = r.id),
 o AS (SELECT *, min(n) OVER (PARTITION BY text) AS f, CASE WHEN uin IS NOT NULL THEN min(n) OVER (PARTITION BY uin) END AS u FROM n)
-SELECT printf('DOC-%03d', n) AS document_id, filename, CASE WHEN f < n THEN printf('DOC-%03d', f) END AS duplicate_of, concat_ws(',', nullif(review_flags, ''), CASE WHEN u < n THEN printf('possible_version_variant_of_DOC-%03d', u) END, CASE WHEN f < n THEN 'exact_duplicate' END) AS review_flags FROM o""",
+SELECT printf('DOC-%03d', n) AS document_id, path, CASE WHEN f < n THEN printf('DOC-%03d', f) END AS duplicate_of, concat_ws(',', nullif(review_flags, ''), CASE WHEN u < n THEN printf('possible_version_variant_of_DOC-%03d', u) END, CASE WHEN f < n THEN 'exact_duplicate' END) AS review_flags FROM o""",
     "normalize_text": r"""WITH r AS (SELECT doc_id, text, ' ' || chr(9) || replace(replace(text, ', ', ',' || chr(9) || '  '), '.' || chr(10), '.  ' || chr(10) || chr(7)) || chr(10) || ' ' AS raw FROM documents),
 n AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(replace(raw, chr(9), ' '), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|\x{80}|[\x{81}-\x{9F}]', '', 'g'), ' {2,}', ' ', 'g'), ' +\n', chr(10), 'g'), ' ' || chr(10) || chr(13)) AS t FROM r)
 SELECT doc_id, md5(t) AS md5, length(t) AS n, contains(text, chr(65533)) AS issues FROM n""",
@@ -351,7 +358,7 @@ SELECT page_id, page_number, char_count, unnest(CASE WHEN o THEN ['ocr_processed
     "chunk_documents": f"""WITH {_CHUNKS} SELECT printf('%d::c%04d', doc_id, n) AS chunk_id, CAST(doc_id AS VARCHAR) AS document_id, text, CASE WHEN crumbs = '' THEN text ELSE crumbs || chr(10) || text END AS context_text,
 'prose' AS chunk_type, CAST(length(text) AS INT) AS char_count, CAST(len(regexp_split_to_array(text, '\\s+')) AS INT) AS word_count FROM cx""",
     "chunk_invariants": r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS bare_chars, true AS numbered, true AS fits FROM documents WHERE trim(regexp_replace(text, '\s+', '', 'g')) <> ''",
-    "registry_pages": """WITH f AS (SELECT '/corpus/' || coalesce(source, 'none') || '/' || doc_id || '.pdf' AS path, left(text, 60) AS t FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY path) AS n FROM f),
+    "registry_pages": """WITH f AS (SELECT '/corpus/' || coalesce(source, 'none') || '/' || doc_id || '.pdf' AS path, text AS t FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY path) AS n FROM f),
 m AS (SELECT *, min(n) OVER (PARTITION BY coalesce(t, '')) AS f FROM n) SELECT printf('DOC-%03d', n) AS document_id, path, CASE WHEN f < n THEN printf('DOC-%03d', f) END AS duplicate_of FROM m""",
     "cover_texts": f"""WITH {_PAGES}, s AS (SELECT *, max(page_number) OVER (PARTITION BY document_id) AS last FROM pg)
 SELECT document_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY page_number)) AS cover_md5, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY page_number) FILTER (page_number <= 2)) AS first_md5 FROM s WHERE page_number <= 5 OR page_number = last GROUP BY document_id""",
@@ -378,7 +385,7 @@ f AS (SELECT DISTINCT document_id FROM pg UNION ALL SELECT 'missing'),
 p AS (SELECT pg.document_id, count(*) AS pages, count(*) FILTER (pg.doc_id % 9 <> 0 AND pg.n_chars > 50) AS native_text_pages, count(*) FILTER (pg.doc_id % 9 = 0) AS ocr_pages, coalesce(sum(im), 0) AS images, sum(pg.doc_id % 3) AS tables, count(*) FILTER (c < 50 AND im > 0) AS suspicious_pages, sum(pg.n_chars) AS chars
   FROM pg LEFT JOIN i ON pg.document_id = i.document_id AND pg.page_number = i.page_number GROUP BY pg.document_id)
 SELECT f.document_id, f.document_id || '.pdf' AS filename, coalesce(pages, 0) AS pages, coalesce(native_text_pages, 0) AS native_text_pages, coalesce(ocr_pages, 0) AS ocr_pages, CAST(coalesce(images, 0) AS BIGINT) AS images, CAST(coalesce(tables, 0) AS BIGINT) AS tables, coalesce(suspicious_pages, 0) AS suspicious_pages, CAST(coalesce(chars, 0) AS BIGINT) AS chars FROM f LEFT JOIN p USING (document_id)""",
-    "heading_styles": f"""WITH {_LINES}, b AS (SELECT doc_id, line_no, left(text, 110) AS text, trim(left(text, 110)) AS t, CAST(line_no % 21 AS DOUBLE) AS fs, line_no % 3 = 0 AS bold, line_no % 4 = 0 AS caps, CASE WHEN line_no % 5 <> 4 THEN line_no % 7 * 60 END AS w FROM lines),
+    "heading_styles": f"""WITH {_LINES}, b AS (SELECT doc_id, line_no, text, trim(text) AS t, CAST(line_no % 21 AS DOUBLE) AS fs, line_no % 3 = 0 AS bold, line_no % 4 = 0 AS caps, CASE WHEN line_no % 5 <> 4 THEN line_no % 7 * 60 END AS w FROM lines),
 c AS (SELECT *, {_CLAUSE} AS clause, upper(t) = t AND lower(t) <> t AND length(t) < 100 AS by_caps, fs > 14 AND length(t) < 200 AS by_font, bold AND length(t) < 80 AND t <> '' AS b1, bold AND length(t) < 120 AS b2, coalesce(w < 240 AND caps AND length(t) < 80, false) AS nar FROM b),
 f AS (SELECT *, greatest(CASE WHEN by_caps THEN 0.7 ELSE 0 END, CASE WHEN by_font THEN 0.6 ELSE 0 END, CASE WHEN b1 THEN 0.8 ELSE 0 END, CASE WHEN b2 THEN 0.7 ELSE 0 END, CASE WHEN nar THEN 0.75 ELSE 0 END) AS conf FROM c),
 g AS (SELECT *, CASE WHEN conf >= 0.6 THEN CASE WHEN nar THEN 1 WHEN b1 OR b2 THEN 2 WHEN by_caps OR by_font THEN 1 END END AS lv, {_classify_sql('text')} AS k FROM f)

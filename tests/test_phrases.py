@@ -12,7 +12,7 @@ from pagemill.operators.phrases import occurrences
 @pytest.mark.parametrize("whole", [True, False])
 def test_occurrences_equal_a_loop(spark, whole):
     rng = random.Random(5)
-    words = ["a", "ab", "abc", "bab", "b_a", "7", "x7", "été", "(", ").", "\\E", "ab-c", "", " "]
+    words = ["a", "ab", "abc", "bab", "b_a", "7", "x7", "été", "(", ").", "\\E", "ab-c", "", " ", "😀"]
     make = lambda n: rng.choice([" ", "", "-", "  "]).join(rng.choice(words) for _ in range(n))
     texts = [(i if i else None, make(rng.randint(0, 12))) for i in range(150)] + [(900, None), (900, "ab abc"), (901, "")]
     phrases = [(i, make(rng.randint(1, 4))) for i in range(120)] + [(500, None), (501, ""), (502, "ab"), (503, "ab"), (504, "("), (505, "bc")]
