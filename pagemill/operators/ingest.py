@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import blocks as B
@@ -74,15 +74,41 @@ def with_ocr(blocks: DataFrame, ocr: DataFrame, least_chars: int = 50) -> DataFr
     return blocks.withColumn("ocr_used", F.lit(False)).unionByName(extra, allowMissingColumns=True)
 
 
+def page_sets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bucket, bitmap, last) of the distinct page numbers of each key: a
+    bitmap of 4 KB for 32,768 numbers, combined before the shuffle, and the
+    last bit that is set."""
+    page = F.col("page_number").cast("long")
+    at = F.bitmap_bit_position(page)
+    sets = rows.where("page_number is not null").groupBy(*keys, F.bitmap_bucket_number(page).alias("bucket"))
+    return sets.agg(F.bitmap_construct_agg(at).alias("bitmap"), F.max(at).alias("last"))
+
+
+def pages_of(bucket: Column, bitmap: Column, last: Column) -> Column:
+    """The page numbers of a bucket's bitmap, up to the last bit that is set."""
+    octet = lambda i: F.conv(F.hex(F.substring(bitmap, (i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = lambda i: octet(i).bitwiseAND(F.pow(F.lit(2), i % 8).cast("int")) > 0
+    number = lambda i: F.when(bucket > 0, (bucket - 1) * 32768 + i + 1).otherwise(bucket * 32768 - i)
+    return F.transform(F.filter(F.sequence(F.lit(0), last.cast("int")), is_set), number)
+
+
 def repeated_bands(blocks: DataFrame, share: float = 1 / 3) -> DataFrame:
     """(document_id, band, text, frequency, pages) of texts that stand in the
     top 15 % or bottom 10 % of max(2, pages * share) pages. blocks: document_id,
-    page_number, text, y (top edge as a share of the page's height)."""
+    page_number, text, y (top edge as a share of the page's height).
+
+    Pages are gathered only for the texts that repeat, as bitmaps. A text on
+    no numbered page has an empty list."""
+    keys = ["document_id", "band", "text"]
     band = F.when(F.col("y") < 0.15, "header").when(F.col("y") > 0.90, "footer")
     pages = blocks.groupBy("document_id").agg(F.count_distinct("page_number").alias("n_pages"))
     rows = blocks.select("document_id", "page_number", strip(F.col("text")).alias("text"), band.alias("band")).where("band is not null and text <> ''")
-    found = rows.groupBy("document_id", "band", "text").agg(F.count("*").alias("frequency"), F.sort_array(F.collect_set("page_number")).alias("pages"))
-    return found.join(pages, "document_id").where(F.col("frequency") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") * share))).drop("n_pages")
+    found = rows.groupBy(*keys).agg(F.count("*").alias("frequency")).join(pages, "document_id")
+    often = found.where(F.col("frequency") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") * share))).drop("n_pages")
+    kind = blocks.schema["page_number"].dataType.simpleString()
+    sets = page_sets(rows.join(often.select(*keys), keys, "left_semi"), keys).select(*keys, "bucket", pages_of(F.col("bucket"), F.col("bitmap"), F.col("last")).alias("p"))
+    listed = sets.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("p"))).cast(f"array<{kind}>").alias("pages"))
+    return often.join(listed, keys, "left").withColumn("pages", F.coalesce("pages", F.expr(f"cast(array() as array<{kind}>)")))
 
 
 def mark_bands(blocks: DataFrame, bands: DataFrame) -> DataFrame:

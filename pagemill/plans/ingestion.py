@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import blocks as B
+from pagemill.functions import udtf
 from pagemill.functions.text import has_unicode_issues, normalize_text
 from pagemill.operators import chunking as C
 from pagemill.operators import ingest as G
 from pagemill.plans import tables as T
+from pagemill.plans.retrieval import tok
 from pagemill.sources import io, keyed, store
 
 #: Folders of the synthetic tables hold few rows, so that there are several.
@@ -143,6 +145,17 @@ def upsert_folders(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.read(spark, base)
 
 
+def table_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms, sentences and pieces of every document by SQL, counted."""
+    udtf.register(spark)
+    T.documents(spark, sf).createOrReplaceTempView("texts_to_split")
+    return spark.sql(r"""WITH t AS (SELECT id, count(*) AS n_terms, sum(length(term)) AS term_chars FROM terms_of(TABLE(SELECT doc_id, text FROM texts_to_split)) GROUP BY id),
+        s AS (SELECT id, count(*) AS n_sentences, max(pos) AS last_pos FROM sentences_in(TABLE(SELECT doc_id, text FROM texts_to_split) PARTITION BY doc_id) GROUP BY id),
+        p AS (SELECT id, max(length(piece)) <= 300 AS fits, sum(length(regexp_replace(piece, '\\s', ''))) AS piece_chars FROM pieces_in(TABLE(SELECT doc_id, text, 300 AS size FROM texts_to_split)) GROUP BY id)
+        SELECT d.doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(term_chars, 0) AS term_chars, n_sentences, CAST(last_pos AS BIGINT) AS last_pos, coalesce(fits, true) AS fits, coalesce(piece_chars, 0) AS piece_chars
+        FROM texts_to_split d LEFT JOIN t ON t.id = d.doc_id LEFT JOIN s ON s.id = d.doc_id LEFT JOIN p ON p.id = d.doc_id""")
+
+
 def metadata_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata of web pages by their text and the last part of their URL."""
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
@@ -252,7 +265,7 @@ def store_hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("chunk_id", "document_id", "section", "subsection", F.size("clause_ids").cast("long").alias("n_clauses"), F.array_join("clause_ids", "|").alias("clauses"), "page_start", "page_end", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {f.__name__.removesuffix("_query"): f for f in (normalize_text_query, block_classify, structure_lists, repeated_headers, section_carry, registry_duplicates, duplicate_of, version_variants, metadata_extract, registry, page_inspection, manual_review, extraction_report, chunk_documents, chunk_invariants, upsert_chunks, upsert_folders, metadata_pages, registry_pages, cover_texts, detected_tables, page_signals, normalize_document, page_layout, document_report, heading_styles, ocr_need_grid, ocr_summary, store_hits)}
+QUERIES = {f.__name__.removesuffix("_query"): f for f in (normalize_text_query, block_classify, structure_lists, repeated_headers, section_carry, registry_duplicates, duplicate_of, version_variants, metadata_extract, registry, page_inspection, manual_review, extraction_report, chunk_documents, chunk_invariants, upsert_chunks, upsert_folders, table_functions, metadata_pages, registry_pages, cover_texts, detected_tables, page_signals, normalize_document, page_layout, document_report, heading_styles, ocr_need_grid, ocr_summary, store_hits)}
 
 _LINES = "lines AS (SELECT doc_id, i - 1 AS line_no, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), generate_series(1, len(l)) g(i))"
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s ]+', ''), '[\s ]+$', '')"
@@ -399,6 +412,8 @@ CASE WHEN a > 0 AND c / (a / 1000) < 0.05 THEN 'low_text_density' END, CASE WHEN
 SELECT document_id, page_number, round(avg(c), 6) AS ocr_confidence_mean, min(c) AS ocr_confidence_min, round(sum(least(x[1] * 0.24::DOUBLE, 595)), 4) AS b0, round(sum(least(x[2] * 0.24::DOUBLE, 842)), 4) AS b1, round(sum(least(x[3] * 0.24::DOUBLE, 595)), 4) AS b2, round(sum(least(x[4] * 0.24::DOUBLE, 842)), 4) AS b3 FROM b GROUP BY 1, 2""",
     "store_hits": """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, nullif(source, '') AS document_id, CASE WHEN doc_id % 3 = 0 THEN nullif(lang, '') END AS section, CAST(NULL AS VARCHAR) AS subsection, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE 2 END::BIGINT AS n_clauses, CASE WHEN doc_id % 4 < 2 THEN '' ELSE '1.2|' || doc_id END AS clauses,
 CAST(doc_id % 5 AS INT) AS page_start, CAST(doc_id % 5 + 1 AS INT) AS page_end, round(1 - (doc_id % 100) / 100.0::DOUBLE, 6) AS similarity FROM documents""",
+    "table_functions": rf"""SELECT doc_id, CAST(len(k) AS BIGINT) AS n_terms, CAST(coalesce(list_sum(list_transform(k, lambda x: length(x))), 0) AS BIGINT) AS term_chars, n AS n_sentences, n - 1 AS last_pos, true AS fits, CAST(length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) AS BIGINT) AS piece_chars
+FROM (SELECT doc_id, text, {tok('text')} AS k, CAST(1 + len(regexp_extract_all(coalesce(text, ''), '[.!?]\s+')) AS BIGINT) AS n FROM documents)""",
     "upsert_folders": "SELECT d.doc_id, lang, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "upsert_chunks": "SELECT doc_id AS chunk_id, 'new' AS state, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'old', n_chars FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.config import ChunkConfig, EngineConfig, RetrievalConfig, deep_merge, load_layers
 from pagemill.functions import text as X
 from pagemill.functions import udtf
+from pagemill.functions.text import sentences, tokenize
 from pagemill.operators import agent, chunking, evaluate, generate, ground, index, ingest, retrieve
 from pagemill.plans import ingestion
 from pagemill.sources import adapters, io
@@ -304,3 +305,28 @@ def test_a_document_of_many_blocks_takes_time_in_proportion(spark):
     said = [int(w) for x in mine for w in re.findall(r"Block number (\d+)", x.text)]
     assert said == list(range(n))
     assert all(x.section == f"Block number {int(re.search(r'(\d+)', x.text)[1]) // 50 * 50} of a long text." for x in mine[:200])
+
+
+def test_page_sets_of_many_pages(spark):
+    """A line on a million pages, twice on some, in any order of numbers."""
+    many = spark.range(-40000, 960000).selectExpr("'d' as document_id", "id as page_number", "'line' as text", "0.0D as y")
+    few = spark.createDataFrame([("d", n, "odd", 0.95) for n in (7, 7, 0, -32768, 32768, 32769, None)] + [("d", 1, "once", 0.0), ("e", None, "x", 0.0), ("e", None, "x", 0.0)], "document_id string, page_number long, text string, y double")
+    sets = ingest.page_sets(many.withColumn("band", F.lit("header")).repartition(7), ["document_id", "band", "text"])
+    assert sets.agg(F.sum(F.bitmap_count("bitmap")), F.max(F.length("bitmap"))).first()[:] == (1000000, 4096) and sets.count() == 32
+    got = {r.text: r for r in ingest.repeated_bands(few.unionByName(many), 0.0).collect()}
+    assert set(got) == {"line", "odd", "x"} and got["line"].pages == list(range(-40000, 960000)) and got["line"].frequency == 1000000
+    assert got["odd"].pages == [-32768, 0, 7, 32768, 32769] and got["odd"].frequency == 7 and got["x"].pages == []
+
+
+def test_table_functions_of_tables(spark):
+    udtf.register(spark)
+    texts = [(1, "The red Apple. So it is!  Yes no"), (2, None), (3, ""), (4, "x y. " * 40), (None, "Blue plum")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    df.createOrReplaceTempView("udtf_texts")
+    for partition in ("", " PARTITION BY id"):
+        for name, column, want in (("terms_of", "term", tokenize(F.col("text"))), ("sentences_in", "sentence", sentences(F.coalesce("text", F.lit(""))))):
+            got = spark.sql(f"select id, pos, {column} from {name}(table(select id, text from udtf_texts){partition})")
+            assert sorted(got.collect(), key=str) == sorted(df.select("id", F.posexplode(want).alias("pos", column)).collect(), key=str)
+    pieces = spark.sql("select * from pieces_in(table(select id, text, 20 as size from udtf_texts)) order by id, pos").collect()
+    assert [(r.id, r.pos, r.piece) for r in pieces] == [(i, n, p) for i, t in sorted(texts, key=lambda x: x[0] or 0) for n, p in enumerate(chunking.split_long(t or "", 20))]
+    assert spark.sql("select * from terms_of(table(select id, text from udtf_texts where false))").count() == 0
