@@ -37,7 +37,7 @@ def extractive_answers(queries: DataFrame, hits: DataFrame, cfg: GenerationConfi
     six hits (query_id, rank, text), each with its marker; else the refusal."""
     cfg = cfg or GenerationConfig()
     flat = F.replace(F.trim("text"), F.lit("\n"), F.lit(" "))
-    parts = F.slice(F.filter(F.transform(F.split(flat, r"\. "), F.trim), lambda s: F.length(s) >= 15), 1, cfg.extractive_sentences)
+    parts = F.slice(F.filter(F.transform(F.split(flat, r"\. "), lambda s: F.trim(s)), lambda s: F.length(s) >= 15), 1, cfg.extractive_sentences)
     lines = F.transform(parts, lambda s: F.concat(F.regexp_replace(s, r"\.+$", ""), F.lit(". ["), F.col("rank").cast("string"), F.lit("]")))
     per = hits.where(F.col("rank") <= cfg.extractive_chunks).select("query_id", "rank", F.array_join(lines, "\n").alias("part")).where("part <> ''")
     made = per.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n").alias("answer"))

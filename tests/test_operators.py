@@ -340,3 +340,10 @@ def test_chunks_within_the_limit(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "src0") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = ingestion.chunk_invariants(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.bare_chars, r.numbered, r.fits) for r in got} == {(i, len(t.replace("\n", "")), True, True) for i, t in texts}
+
+
+def test_quoted_sentences_keep_their_characters(spark):
+    """The n-th sentence was trimmed of the digits of n, too."""
+    q = spark.createDataFrame([(1, "?")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, 1, "Licensed under CC BY-NC 4.0.\n10 days is the term of version 1.1. And no more")], "query_id long, rank int, text string")
+    assert generate.extractive_answers(q, hits).first().answer == "Licensed under CC BY-NC 4.0. [1]\n10 days is the term of version 1.1. [1]"
