@@ -285,8 +285,10 @@ def execute(steps: DataFrame, index: TermIndex, docs: DataFrame, product_col: st
     wants = {"product": product_col, "document_id": "document_id", "chunk_type": "chunk_type"}
     wants = {w: c for w, c in wants.items() if w in steps.columns and c in docs.columns}
     flat = steps.withColumn("sid", F.struct("query_id", "step_id"))
-    by_step = flat.select(F.col("sid").alias("query_id"), "query", F.greatest(F.col("top_k").cast("int"), F.lit(0)).alias("top_k"))
-    asked = flat.select(F.col("sid").alias("query_id"), *[F.col(w).cast("string").alias(f"want_{w}") for w in wants])
+    wanting = [F.col(w).cast("string").alias(f"want_{w}") for w in wants]
+    by_step = flat.select(F.col("sid").alias("query_id"), "query", F.greatest(F.col("top_k").cast("int"), F.lit(0)).alias("top_k"), *wanting)
+    asked = flat.select(F.col("sid").alias("query_id"), *wanting)
+    match = [(f"want_{w}", f"has_{w}") for w in wants]
     have = docs.select("doc_id", *[F.col(c).cast("string").alias(f"has_{w}") for w, c in wants.items()])
 
     def only(scored: DataFrame) -> DataFrame:
@@ -298,10 +300,9 @@ def execute(steps: DataFrame, index: TermIndex, docs: DataFrame, product_col: st
     # a step's pool follows from its own top_k, never from the room for evidence
     room, wanted = cfg.max_evidence_chunks, sorted(r.top_k for r in by_step.select("top_k").distinct().collect())
     if vectors is None or step_vectors is None:
-        hits = bm25(by_step, index, max(wanted, default=0), rcfg, only=only).select("query_id", "doc_id", "rank", "score")
+        hits = bm25(by_step, index, max(wanted, default=0), rcfg, only=only, match=match, attributes=have).select("query_id", "doc_id", "rank", "score")
     else:
         asked_vectors = step_vectors.select(F.struct("query_id", "step_id").alias("query_id"), "embedding").join(asked, "query_id")
-        match = [(f"want_{w}", f"has_{w}") for w in wants]
         hits = None
         for pool in sorted({max(rcfg.candidate_k, k) for k in wanted} or {rcfg.candidate_k}):
             own = by_step.where(F.greatest("top_k", F.lit(rcfg.candidate_k)) == pool)

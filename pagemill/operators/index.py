@@ -71,7 +71,11 @@ def with_idf(terms: DataFrame, index: TermIndex) -> DataFrame:
     """terms (term, ...) joined to their postings and idf. What a batch of
     queries asks for is small next to the postings: of persisted ones only the
     blocks of its terms are opened."""
-    known = terms.join(index.terms.select("term", "df", "idf"), "term")
+    return with_blocks(terms.join(index.terms.select("term", "df", "idf"), "term"), index)
+
+
+def with_blocks(known: DataFrame, index: TermIndex) -> DataFrame:
+    """known (term, ...) joined to their postings."""
     if index.blocks is None:
         return known.join(index.postings, "term")
     found = known.withColumn("bucket", postings.bucket("term", index.buckets)).join(index.blocks.select("bucket", "term", "rows"), ["bucket", "term"])

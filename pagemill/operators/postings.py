@@ -179,7 +179,7 @@ class Search:
     SEED = 1024
 
     def __init__(self, terms: DataFrame, blocks: DataFrame, buckets: int, score, k: int, keep=None):
-        self.blocks, self.buckets, self.score, self.k = blocks, buckets, score, k
+        self.blocks, self.buckets, self.score, self.k, self._limits = blocks, buckets, score, k, None
         self.keep, self.all = keep or (lambda rows: rows), keep is None
         ub = F.col("w") * impact(F.col("frontier"), score)
         by = Window.partitionBy("query_id").orderBy(F.desc("ub"), "term")
@@ -271,9 +271,23 @@ class Search:
         asked = survivors.select("query_id", "doc_id", F.explode("open").alias("term"))
         return self._at(asked.join(self.terms, ["query_id", "term"]), ["rows", "n"])
 
+    #: One block of so many is looked at to tell whether bounds pay.
+    SAMPLE = 64
+
+    def loose(self) -> bool:
+        """Whether bounds leave over half of the postings to open, told from
+        the heads of some blocks. Nothing but the way to the result hangs on
+        it."""
+        self._limits = store.keep(self.limits(), "limits")
+        some = self.blocks.select("bucket", "term", "cell", "n", "frontier").where(F.pmod(F.xxhash64("term", "cell"), F.lit(self.SAMPLE)) == 0)
+        bound = F.col("w") * impact(F.col("frontier"), self.score)
+        opens = (F.col("ub") >= F.col("least")) & (bound >= F.col("least"))
+        n = self._limits.join(some, ["bucket", "term"]).agg(F.sum(F.when(opens, F.col("n")).otherwise(0)).alias("opened"), F.sum("n").alias("all")).first()
+        return (n["opened"] or 0) > 0.5 * (n["all"] or 0)
+
     def scores(self) -> DataFrame:
         """(query_id, doc_id, score) of at least the top k documents."""
-        left = self.survivors(store.keep(self.limits(), "limits"))
+        left = self.survivors(self._limits or store.keep(self.limits(), "limits"))
         return self._summed(left, self.lookups(left)).select("query_id", "doc_id", F.round("part", 9).alias("score"))
 
     def opened(self) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from pagemill.config import RetrievalConfig
 from pagemill.functions.text import tokenize
-from pagemill.operators import postings, vectors
-from pagemill.operators.index import TermIndex, with_idf
+from pagemill.operators import dealt, postings, vectors
+from pagemill.operators.index import TermIndex, with_blocks, with_idf
+from pagemill.sources import store
 
 
 def metadata_filter(where: dict | None) -> Column | None:
@@ -62,25 +63,52 @@ def score_terms(queries: DataFrame, index: TermIndex, cfg: RetrievalConfig | Non
     )
 
 
-def bm25(queries: DataFrame, index: TermIndex, k: int, cfg: RetrievalConfig | None = None, allowed: DataFrame | None = None, only=None) -> DataFrame:
+def bm25(queries: DataFrame, index: TermIndex, k: int, cfg: RetrievalConfig | None = None, allowed: DataFrame | None = None, only=None, match: list[tuple[str, str]] | None = None, attributes: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rank, score): documents by summed term scores, query
     terms counted as often as they stand. An equi-join on terms, so documents
     without a query term are never touched; allowed (doc_id) filters before
-    scoring, only (a function of the scored rows) before ranking. Where the
-    terms of the batch have more than cfg.plain_postings in an index of blocks,
-    only those are opened that can hold one of the first k; that takes several
-    rounds, which few postings don't pay for."""
+    scoring, only (a function of the scored rows) before ranking. match pairs
+    columns of queries with columns of attributes (doc_id, ...) that must agree
+    where the query's is not null; where they are given they say the same as
+    `only`, in a form that whoever scores a document can judge. Where the terms
+    of the batch have more than cfg.plain_postings in an index of blocks,
+    postings are dealt out by document; where that is 0, only those blocks are
+    opened that can hold one of the first k, unless bounds leave most of them
+    to open."""
     cfg = cfg or RetrievalConfig()
     if k <= 0:
         return score_terms(queries, index, cfg).withColumn("rank", F.lit(0)).limit(0)
-    if index.blocks is not None and (query_terms(queries).join(index.terms.select("term", "df"), "term").agg(F.sum("df")).first()[0] or 0) > cfg.plain_postings:
-        scored = postings.search(query_terms(queries), index, term_score, k, cfg, restriction(allowed, only)).scores()
+    size = 0 if index.blocks is None else query_terms(queries).join(index.terms.select("term", "df"), "term").agg(F.sum("df")).first()[0] or 0
+    by_match = match is not None and all(w in queries.columns for w, _ in match)
+    if size > cfg.plain_postings and cfg.plain_postings > 0 and (only is None or by_match):
+        scored = dealt_scores(query_terms(queries), index, k, cfg, allowed, queries, match, attributes) if by_match else dealt_scores(query_terms(queries), index, k, cfg, allowed)
+    elif size > cfg.plain_postings:
+        found = postings.search(query_terms(queries), index, term_score, k, cfg, restriction(allowed, only))
+        by_blocks = only is not None or not found.loose()
+        scored = found.scores() if by_blocks else dealt_scores(query_terms(queries), index, k, cfg, allowed)
     else:
         scored = score_terms(queries, index, cfg, allowed)
         scored = scored if only is None else only(scored)
     return _ranked(scored, k, F.desc("score"), F.col("doc_id"))
 
 
+def dealt_scores(terms: DataFrame, index: TermIndex, k: int, cfg: RetrievalConfig, allowed: DataFrame | None = None, wants: DataFrame | None = None, match: list[tuple[str, str]] | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of at least the first k documents of terms
+    (query_id, term, qtf), by postings dealt out by document."""
+    stats = index.terms.select("term", "df", "idf")
+    names = store.keep(terms.select("term").distinct().join(stats, "term").withColumn("tno", F.monotonically_increasing_id()), "numbered_terms")
+    asked = terms.join(names.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    size = names.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    found = with_blocks(names.select("term", "tno"), index).crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one-row side
+    found = found.select("tno", "doc_id", term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), cfg).alias("v"))
+    docs = attributes
+    if allowed is not None:
+        docs = allowed.select("doc_id") if attributes is None else attributes.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    if wants is not None and match:
+        wants = wants.select("query_id", *[w for w, _ in match])
+    return dealt.top(asked, names.select("term", "tno"), found, size, k, docs, wants if match else None, match)
+
+
 def restriction(allowed: DataFrame | None, only):
     """One function of rows (query_id, doc_id, ...), or None."""
     if allowed is None and only is None:
@@ -222,14 +250,15 @@ def build_reranker(kind: str, index: TermIndex | None, docs: DataFrame, cfg: Ret
 def hybrid(queries: DataFrame, query_vectors: DataFrame | None, index: TermIndex, rows: DataFrame | vectors.VectorIndex | None, cfg: RetrievalConfig, k: int | None = None, reranker: Reranker | None = None, allowed: DataFrame | None = None, only=None, match: list[tuple[str, str]] | None = None, attributes: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rank, ...): the mode's lists over a candidate pool,
     fused, optionally reranked, cut to k. A mode whose index is missing adds
-    an empty list. What restricts hits is `only` for the lexical list and
-    match (see dense()) for the other."""
+    an empty list. What restricts hits is `only` for the lexical list (or
+    match, where queries have its columns) and match (see dense()) for the
+    other."""
     k = k or cfg.default_k
     pool = max(cfg.candidate_k, k)
     kind = dict((index.postings if index is not None else getattr(rows, "rows", rows)).dtypes)["doc_id"]
     empty = queries.select("query_id", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("int").alias("rank")).limit(0)
     sem = dense(query_vectors, rows, pool, allowed, match, attributes) if cfg.mode != "keyword" and rows is not None and query_vectors is not None else empty.withColumn("similarity", F.lit(None).cast("double"))
-    key = bm25(queries, index, pool, cfg, allowed, only) if cfg.mode != "semantic" and index is not None else empty.withColumn("score", F.lit(None).cast("double"))
+    key = bm25(queries, index, pool, cfg, allowed, only, match, attributes) if cfg.mode != "semantic" and index is not None else empty.withColumn("score", F.lit(None).cast("double"))
     return ranked(queries, sem, key, cfg, k, reranker)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.config import RetrievalConfig
-from pagemill.operators import index, postings, retrieve
+from pagemill.operators import dealt, index, postings, retrieve
 
 #: All searches go by blocks here.
 CFG = RetrievalConfig(plain_postings=0)
@@ -131,3 +131,34 @@ def test_an_empty_corpus(spark, tmp_path):
     ix = index.read_index(spark, f"{tmp_path}/ix")
     q = spark.createDataFrame([(1, "aa")], "query_id long, query string")
     assert retrieve.bm25(q, ix, 5, CFG).count() == 0 and ix.postings.count() == 0
+
+
+#: Searches by postings dealt out by document, in several parts.
+DEALT = RetrievalConfig(plain_postings=1)
+
+
+@pytest.mark.parametrize("k", [1, 5, 3000])
+def test_dealt_postings_equal_plain_sums(spark, corpus, built, k, monkeypatch):
+    monkeypatch.setattr(dealt, "POSTINGS", 2000)
+    monkeypatch.setattr(postings.Search, "__init__", None)  # goes by no search
+    q = spark.createDataFrame(QUERIES, "query_id long, query string")
+    same(retrieve.bm25(q, built, k, DEALT), brute(corpus, QUERIES, k, DEALT))
+    some = set(range(0, 1500, 3))
+    allowed = spark.createDataFrame([(i,) for i in [*some, 99999]], "doc_id long")
+    same(retrieve.bm25(q, built, k, DEALT, allowed), brute(corpus, QUERIES, k, DEALT, some))
+    wants = q.withColumn("want", F.when(F.col("query_id") % 3 == 0, None).otherwise((F.col("query_id") % 3).cast("string")))
+    have = spark.range(2010).select(F.col("id").alias("doc_id"), (F.col("id") % 4).cast("string").alias("has"))
+    got = retrieve.bm25(wants, built, k, DEALT, match=[("want", "has")], attributes=have)
+    for rest in range(3):
+        mine = [x for x in QUERIES if x[0] % 3 == rest]
+        same(got.where(F.col("query_id") % 3 == rest), brute(corpus, mine, k, DEALT, None if rest == 0 else set(range(rest, 2010, 4))))
+
+
+def test_dealt_postings_move_once(spark, corpus, built, monkeypatch):
+    """A hundred queries of the same words move no more postings than one."""
+    moved = []
+    monkeypatch.setattr(dealt, "top", lambda asked, names, found, size, *rest: moved.append((found.count(), size)) or asked.selectExpr("query_id", "1L as doc_id", "1.0D as score"))
+    for n in (1, 100):
+        q = spark.createDataFrame([(i, "aa bb w1") for i in range(n)], "query_id long, query string")
+        retrieve.bm25(q, built, 5, DEALT).count()
+    assert moved[0] == moved[1] and moved[0][0] == moved[0][1]
