@@ -24,7 +24,7 @@ from pagemill.sources import store
 #: Postings of a block, about; of a term, beyond which several tasks make its
 #: blocks; characters of text whose postings make a folder, a file, and a task
 #: where there is room for more.
-BLOCK, HOT, FOLDER_CHARS, FILE_CHARS, TASK_CHARS = 16, 1_000_000, 16 << 30, 64 << 20, 1 << 20
+BLOCK, HOT, FOLDER_CHARS, FILE_CHARS, TASK_CHARS = 16, 1_000_000, 16 << 30, 8 << 20, 1 << 20
 #: Parts that each task's terms are dealt into, so that tasks are even.
 DEALS = 16
 #: Scores this much apart count as equal while blocks are left out.

@@ -162,3 +162,12 @@ def test_dealt_postings_move_once(spark, corpus, built, monkeypatch):
         q = spark.createDataFrame([(i, "aa bb w1") for i in range(n)], "query_id long, query string")
         retrieve.bm25(q, built, 5, DEALT).count()
     assert moved[0] == moved[1] and moved[0][0] == moved[0][1]
+
+
+def test_a_part_of_the_index_stays_small(spark):
+    """A task makes the postings of some 8 million characters, however many
+    there are in all and whatever the number of cores."""
+    for n in (40, 160):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat('x', 1048576)").alias("text"))
+        to = postings.layout(docs, "doc_id", "text")
+        assert n / (to.buckets * to.spread) <= 10
