@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.runs import term_counts
 from pagemill.functions.text import tokenize
 from pagemill.operators import postings
 
@@ -29,17 +30,14 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("toks"))
 
 
-def build_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize) -> TermIndex:
-    """Postings are made within each row (a document's counts need no shuffle
-    of their own when ids are unique, but rows that share an id add up)."""
-    toks = tokens(docs, id_col, text_col, tokenizer)
-    corpus = toks.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("toks")), F.lit(0)).cast("long").alias("total_terms"))
+def build_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize, unique: bool = False) -> TermIndex:
+    """Postings are made within each row; where ids are not known to be unique,
+    a shuffle adds up rows that share one."""
+    rows = term_counts(docs, id_col, text_col, tokenizer).withColumn("dl", F.col("dl").cast("int"))
+    corpus = docs.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("total_terms"))))  # one-row sides
     corpus = corpus.withColumn("avgdl", F.try_divide(F.col("total_terms").cast("double"), F.col("n_docs").cast("double")))
-    rows = (
-        toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    )
+    if not unique:
+        rows = rows.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
     return TermIndex(rows, with_df(rows.groupBy("term").agg(F.count("*").alias("df")), corpus), corpus)
 
 

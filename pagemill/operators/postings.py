@@ -11,13 +11,18 @@ of a block is that of one of them, whatever k1, b and the mean length are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.config import RetrievalConfig
+from pagemill.functions.runs import packed_counts, term_counts
 from pagemill.functions.text import tokenize
 from pagemill.sources import store
 
@@ -67,12 +72,12 @@ def frontier(rows: Column) -> Column:
 @dataclass(frozen=True)
 class Layout:
     """How a corpus' postings are dealt out: folders, files of one, and the
-    terms (term, hot_bits) whose blocks several tasks make, if any, each
+    terms, with their bits, whose blocks several tasks make, if any, each
     2 ** wide of them."""
 
     buckets: int
     spread: int
-    hot: DataFrame | None
+    hot: dict[str, int]
     wide: int
 
 
@@ -80,10 +85,10 @@ def layout(docs: DataFrame, id_col: str, text_col: str, tokenizer=tokenize, hot:
     """From the size of the texts; terms are counted only where a corpus is
     large enough to have hot ones."""
     n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()
-    counts = None
+    counts = {}
     if n > hot:
-        seen = docs.select(F.explode(F.array_distinct(tokenizer(F.col(text_col)))).alias("term"))
-        counts = store.keep(seen.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > hot).select("term", bits_of(F.col("df")).alias("hot_bits")), "hot_terms")
+        seen = term_counts(docs, id_col, text_col, tokenizer).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > hot)
+        counts = {r.term: r.hot_bits for r in seen.select("term", bits_of(F.col("df")).alias("hot_bits")).collect()}  # one a million postings at most
     buckets = 1
     while buckets * FOLDER_CHARS < chars:
         buckets *= 2
@@ -91,44 +96,96 @@ def layout(docs: DataFrame, id_col: str, text_col: str, tokenizer=tokenize, hot:
     return Layout(buckets, spread, counts, max(0, (hot // BLOCK).bit_length() - 2))
 
 
-def cells_of(rows: Column, bits: Column) -> Column:
-    """array<struct<cell, rows>> of a term's postings in the order of their
-    places: a cell's stand together, from where it changes to where the next
-    does."""
-    own = lambda i: cell(F.get(rows, i)["place"], bits)
-    firsts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (own(i) != own(i - 1)))
-
-    def parted(f: Column) -> Column:
-        return F.transform(f, lambda i, j: F.struct(own(i).alias("cell"), F.slice(rows, i + 1, F.coalesce(F.get(f, j + 1), F.size(rows)) - i).alias("rows")))
-
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("cell"), rows.alias("rows")))
-    return F.when(bits > 0, F.get(F.transform(F.array(firsts), parted), 0)).otherwise(whole)
+def parts_of(table: pa.Table) -> np.ndarray:
+    """Where the rows of another (term, part) begin."""
+    term, part = table["term"].combine_chunks(), table["part"].to_numpy()
+    other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False) | (part[1:] != part[:-1])
+    return np.concatenate([[0], np.flatnonzero(other) + 1])
+
+
+def in_blocks(table: pa.Table, hot: dict[str, int]) -> pa.RecordBatch:
+    """blocks()' rows of whole parts of terms: packed_counts() in the order of
+    term and part. hot: how many bits part the terms that have several parts."""
+    table = table.combine_chunks()
+    parts = parts_of(table)
+    lists = {c: table[c].combine_chunks() for c in ("places", "ids", "tfs", "dls")}
+    long = pc.list_value_length(lists["places"]).to_numpy()
+    group = np.repeat(np.cumsum(np.bincount(parts, minlength=len(table))) - 1, long)
+    place, tf, dl = (lists[c].flatten().to_numpy() for c in ("places", "tfs", "dls"))
+    ids, place, tf, dl = lists["ids"].flatten(), place.view(np.uint64), tf.astype(np.int64), dl.astype(np.int64)
+    order = np.lexsort((place, group))
+    same = (place[order][1:] == place[order][:-1]) & (group[order][1:] == group[order][:-1])
+    if same.any():  # rows that share an id add up; other ids hardly ever share a place
+        order = pc.sort_indices(pa.table({"g": group, "p": place, "i": ids}), sort_keys=[("g", "ascending"), ("p", "ascending"), ("i", "ascending")]).to_numpy()
+    group, place, tf, dl, ids = group[order], place[order], tf[order], dl[order], ids.take(pa.array(order))
+    if same.any():
+        a, b = ids.slice(1), ids.slice(0, len(ids) - 1)
+        equal = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+        kept = np.concatenate([[0], np.flatnonzero(~(same & equal)) + 1])
+        group, place, tf, dl, ids = group[kept], place[kept], np.add.reduceat(tf, kept), np.maximum.reduceat(dl, kept), ids.take(pa.array(kept))
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    terms, buckets = (table[c].combine_chunks().take(pa.array(parts)) for c in ("term", "bucket"))
+    sizes = np.diff(np.append(begins, len(place)))
+    given = np.array([hot.get(t, -1) for t in terms.to_pylist()]) if hot else np.full(len(sizes), -1)
+    bits = np.where(given >= 0, given, np.maximum(0, np.ceil(np.log2(sizes / BLOCK)))).astype(np.int64)
+    each = np.repeat(bits, sizes)
+    cells = np.where(each > 0, place >> (64 - each).clip(0, 63).astype(np.uint64), 0).astype(np.int64)
+    change = np.ones(len(place), bool)
+    change[1:] = cells[1:] != cells[:-1]
+    change[begins] = True
+    first = np.flatnonzero(change)
+    n = np.diff(np.append(first, len(place)))
+    # the frontier: by falling tf and rising dl, those of less dl than all before them in the block
+    block = np.cumsum(change) - 1
+    order = np.lexsort((dl, -tf, block))
+    low = dl[order] - block[order] * (int(dl.max(initial=0)) + 1)
+    edge = np.ones(len(low), bool)
+    edge[1:] = low[1:] < np.minimum.accumulate(low)[:-1]
+    order = order[edge]
+    pair = lambda at: [pa.array(tf[at]), pa.array(dl[at])]
+    listed = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+    whole = np.arange(len(place))
+    frontiers = listed(np.bincount(block[order], minlength=len(first)), pa.StructArray.from_arrays(pair(order), names=["tf", "dl"]))
+    rows = listed(n, pa.StructArray.from_arrays([ids, *pair(whole)], names=["doc_id", "tf", "dl"]))
+    term, bucket = (x.take(pa.array(group[first])) for x in (terms, buckets))
+    return pa.RecordBatch.from_arrays([bucket, term, pa.array(each[first].astype(np.int32)), pa.array(cells[first]), pa.array(n.astype(np.int32)), pa.array(np.add.reduceat(tf, first)), frontiers, rows], names=["bucket", "term", "bits", "cell", "n", "tokens", "frontier", "rows"])
+
+
+#: Postings that are put into blocks at once, unless a term has more.
+AT_ONCE = 1 << 18
 
 
 def blocks(docs: DataFrame, to: Layout, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize) -> DataFrame:
-    """(bucket, term, bits, cell, n, tokens, frontier, rows) of docs' postings;
-    rows are array<struct<doc_id, tf, dl>>. Texts are tokenised once, and one
-    shuffle brings a term's tokens together (a hot one's, those of neighbouring
-    cells): what is counted and put into blocks there needs no other. Rows that
-    share an id add up."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("toks"))
-    rows = toks.select("doc_id", place("doc_id").alias("place"), F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
-    if to.hot is not None:
-        rows = rows.join(to.hot, "term", "left")  # Spark sends it to all tasks where its size allows
-    else:
-        rows = rows.withColumn("hot_bits", F.lit(None).cast("int"))
-    part = F.when(F.col("hot_bits") > to.wide, cell(F.col("place"), F.col("hot_bits") - to.wide)).otherwise(F.lit(0).cast("long"))
-    keyed = rows.withColumn("part", part).withColumn("bucket", bucket("term", to.buckets)).withColumn("deal", F.pmod(F.xxhash64("term", "part"), F.lit(to.spread * DEALS)).cast("int"))
-    keys = ["bucket", "deal", "term", "part"]
-    dealt = keyed.repartition(to.buckets * to.spread, "bucket", "deal")
-    one = dealt.groupBy(*keys, "place", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("hot_bits").alias("hot_bits"))
-    listed = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "tf", "dl"))).alias("rows"), F.max("hot_bits").alias("hot_bits"))
-    sized = listed.withColumn("bits", F.coalesce("hot_bits", bits_of(F.size("rows"))))
-    each = sized.select("bucket", "term", "bits", F.explode(cells_of(F.col("rows"), F.col("bits"))).alias("c")).select("bucket", "term", "bits", "c.cell", F.transform("c.rows", lambda r: F.struct(r["doc_id"].alias("doc_id"), r["tf"].alias("tf"), r["dl"].alias("dl"))).alias("rows"))
-    tokens = F.aggregate("rows", F.lit(0).cast("long"), lambda s, r: s + r["tf"])
-    # a single posting, as most terms have, is its own frontier
-    edge = F.when(F.size("rows") == 1, F.transform("rows", lambda r: F.struct(r["tf"].alias("tf"), r["dl"].alias("dl")))).otherwise(frontier(F.col("rows")))
-    return each.select("bucket", "term", "bits", "cell", F.size("rows").alias("n"), tokens.alias("tokens"), edge.alias("frontier"), "rows")
+    """(bucket, term, bits, cell, n, tokens, frontier, rows) of docs' postings,
+    a task's by term and cell; rows are array<struct<doc_id, tf, dl>>. Texts
+    are tokenised and counted once, and one shuffle brings a term's postings
+    together (a hot one's, those of neighbouring cells). Rows that share an id
+    add up."""
+    hot, wide = to.hot, to.wide
+    rows = packed_counts(docs, place(id_col), {t: b - wide for t, b in hot.items() if b > wide}, id_col, text_col, tokenizer)
+    deal = F.pmod(F.xxhash64("term", "part"), F.lit(to.spread * DEALS)).cast("int")
+    dealt = rows.withColumn("bucket", bucket("term", to.buckets)).repartition(to.buckets * to.spread, "bucket", deal).sortWithinPartitions("bucket", "term", "part")
+    kind = dict(docs.dtypes)[id_col]
+    schema = f"bucket int, term string, bits int, cell long, n int, tokens long, frontier array<struct<tf: long, dl: long>>, rows array<struct<doc_id: {kind}, tf: long, dl: long>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0  # what is held is the last part of a term, until its end is seen
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += pc.sum(pc.list_value_length(b.column("places"))).as_py()
+            if n < AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held)
+            cut = int(parts_of(table)[-1])
+            if cut:
+                yield in_blocks(table.slice(0, cut), hot)
+            held, n = table.slice(cut).combine_chunks().to_batches(), 0
+        if held:
+            yield in_blocks(pa.Table.from_batches(held), hot)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer=tokenize, hot: int = HOT) -> None:
@@ -136,22 +193,25 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     from the blocks' heads alone, the corpus row and the terms."""
     spark = docs.sparkSession
     to = layout(docs, id_col, text_col, tokenizer, hot)
-    blocks(docs, to, id_col, text_col, tokenizer).sortWithinPartitions("bucket", "term", "cell").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    made = blocks(docs, to, id_col, text_col, tokenizer)
+    if to.buckets == 1:  # a folder of its own needs no sort by folder
+        made.drop("bucket").write.mode("overwrite").parquet(f"{path}/blocks/bucket=0")
+    else:
+        made.sortWithinPartitions("bucket", "term", "cell").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     heads = read_blocks(spark, path, dict(docs.dtypes)[id_col]).drop("rows")
     corpus = docs.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(heads.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("total_terms"))))
     corpus = corpus.withColumn("avgdl", F.try_divide(F.col("total_terms").cast("double"), F.col("n_docs").cast("double"))).withColumn("buckets", F.lit(to.buckets)).withColumn("id_type", F.lit(dict(docs.dtypes)[id_col]))
     corpus.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
     terms_of(heads, spark.read.parquet(f"{path}/corpus")).write.mode("overwrite").parquet(f"{path}/terms")
-    if to.hot is not None:
-        store.drop(to.hot)
 
 
 def terms_of(heads: DataFrame, corpus: DataFrame) -> DataFrame:
     """(term, df, bits, frontier, idf): a term's frontier is that of its blocks'
     frontiers, those of a hot one merged by tasks before they meet."""
-    best = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
-    some = heads.withColumn("piece", F.shiftright("cell", 10)).groupBy("term", "piece").agg(F.sum("n").alias("df"), F.max("bits").alias("bits"), frontier(best("frontier")).alias("frontier"))
-    df = some.groupBy("term").agg(F.sum("df").cast("long").alias("df"), F.max("bits").alias("bits"), frontier(best("frontier")).alias("frontier"))
+    # what is alone, as of most terms, is its own frontier
+    merged = F.when(F.count("*") == 1, F.first("frontier")).otherwise(frontier(F.flatten(F.collect_list("frontier"))))
+    some = heads.withColumn("piece", F.shiftright("cell", 10)).groupBy("term", "piece").agg(F.sum("n").alias("df"), F.max("bits").alias("bits"), merged.alias("frontier"))
+    df = some.groupBy("term").agg(F.sum("df").cast("long").alias("df"), F.max("bits").alias("bits"), merged.alias("frontier"))
     n, d = F.col("n_docs"), F.col("df")
     return df.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", "bits", "frontier", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))  # one-row side
 
