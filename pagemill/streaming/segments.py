@@ -134,28 +134,31 @@ def add(spark: SparkSession, base: str, batch: DataFrame, stream: str, batch_id:
     id_type = _id_type(schema, id_col)
     name, ids = uuid.uuid4().hex, rows.select(F.col(id_col).alias("doc_id"))
     path = f"{base}/segments/{name}"
-    old = None
+    old = former = None
     if m.segments:
-        found = read_chunks(spark, base, id_col, m).join(rows.select(id_col), id_col, "left_semi")
-        old = store.keep(found.select(F.col(id_col).alias("doc_id"), "text", F.col("segment").alias("void_in")), "old")
-        old.select("doc_id", "void_in").write.parquet(f"{path}/void")
+        # ids alone are met first; of the texts, only those of rows found are moved
+        found = read_chunks(spark, base, id_col, m).select(id_col, "segment").join(rows.select(id_col), id_col, "left_semi")
+        old = store.keep(found.select(F.col(id_col).alias("doc_id"), F.col("segment").alias("void_in")), "old")
+        old.write.parquet(f"{path}/void")
+        texts = _table(spark, base, m.segments, "chunks", m.schema).select(F.col(id_col).alias("doc_id"), "text", F.col("segment").alias("void_in"))
+        counted = build_terms(texts.join(old, ["doc_id", "void_in"], "left_semi"), unique=True).postings
+        former = store.keep(counted.groupBy("term").agg((-F.count("*")).alias("change"), F.sum("tf").alias("tokens")), "former")
     else:
         ids.limit(0).withColumn("void_in", F.lit("")).write.parquet(f"{path}/void")
     new.select(*[F.col(f.split()[0]) for f in schema.split(", ")]).write.parquet(f"{path}/chunks")
-    build_terms(new, id_col).postings.withColumn("dl", F.col("dl").cast("int")).write.parquet(f"{path}/postings")
+    build_terms(new, id_col, unique=True).postings.write.parquet(f"{path}/postings")  # a row an id, since upsert()
     postings = spark.read.parquet(f"{path}/postings")
     change = postings.groupBy("term").agg(F.count("*").alias("change"))
     docs, total = new.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     if old is not None:
-        former = build_terms(old).postings
-        docs, total = docs - old.count(), total - former.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-        change = change.unionByName(former.groupBy("term").agg((-F.count("*")).alias("change"))).groupBy("term").agg(F.sum("change").alias("change")).where("change <> 0")
+        docs, total = docs - old.count(), total - former.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        change = change.unionByName(former.select("term", "change")).groupBy("term").agg(F.sum("change").alias("change")).where("change <> 0")
     change.write.parquet(f"{path}/terms")
     done = Manifest(m.number + 1, m.batches | {stream: batch_id}, (*m.segments, Segment(name, 0, docs, total)), schema)
     while len(done.segments) >= FAN and len({s.level for s in done.segments[-FAN:]}) == 1:
         done = Manifest(done.number, done.batches, (*done.segments[:-FAN], _merge(spark, base, done, id_type, id_col)), schema)
     commit(spark, base, done)
-    for kept in (rows, old):
+    for kept in (rows, old, former):
         if kept is not None:
             store.drop(kept)
     return done

@@ -94,3 +94,14 @@ def test_a_stream_and_then_another(spark, tmp_path):
     segments.maintain(spark, spark.readStream.schema("chunk_id long, text string").json(str(other)), base)()
     check(spark, base, {1: "alpha beta", 2: "gamma", 3: "alpha", 4: "delta"})
     assert len(segments.read_manifest(spark, base).batches) == 2
+
+
+def test_former_texts_are_not_written_again(spark, tmp_path, monkeypatch):
+    """What a batch replaces is noted by id; its texts are counted, not kept."""
+    base, kept = f"file://{tmp_path}/ix", {}
+    segments.add(spark, base, frame(spark, [(1, "alpha beta", False), (2, "beta", False), (3, "beta", False)]), "s", 0)
+    plain = store.keep
+    monkeypatch.setattr(store, "keep", lambda df, label: kept.setdefault(label, plain(df, label)))
+    segments.add(spark, base, frame(spark, [(1, "gamma", False), (2, "", True)]), "s", 1)
+    assert set(kept["old"].columns) == {"doc_id", "void_in"} and kept["old"].schema["doc_id"].dataType.simpleString() == "bigint"
+    check(spark, base, {1: "gamma", 3: "beta"})
