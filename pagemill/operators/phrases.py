@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.runs import packed_tokens
+
 _RUNS = "[A-Za-z0-9_]+"
 
 
@@ -18,13 +20,6 @@ def as_words(text: Column, phrase: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"\b\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")))
 
 
-def tokens(text: Column) -> Column:
-    """What a text can be met by: its runs and its other characters, each once."""
-    runs = F.split(text, "[^A-Za-z0-9_]+")
-    other = F.split(F.concat(F.when(F.contains(text, F.lit(" ")), " ").otherwise(""), F.regexp_replace(text, "[A-Za-z0-9_ ]+", "")), "")
-    return F.array_distinct(F.filter(F.concat(runs, other), lambda t: t != ""))
-
-
 def _runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_RUNS), 0)
 
@@ -66,18 +61,19 @@ def occurrences(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame
     """(id_col, *phrases) of the phrases that occur in each text, each pair
     once; with `whole` between word boundaries, else anywhere. Case counts.
 
-    Texts are tokenised by id and read once more to verify. What stands inside
-    longer words is found in the vocabulary first, by substrings of up to
-    three characters, so no phrase has to meet every text. Empty and null
-    phrases and texts meet nothing; a null id is an id like any other."""
+    Texts are tokenised, a row a token of some texts, and read once more to
+    verify. What stands inside longer words is found in the vocabulary first,
+    by substrings of up to three characters, so no phrase has to meet every
+    text. Empty and null phrases and texts meet nothing; a null id is an id
+    like any other."""
     index = phrase_index(phrases, column, whole)
-    said = texts.select(F.col(id_col).alias("_id"), F.explode(tokens(F.col(text_col))).alias("token"))
-    met = said.join(index.where("token is not null").select("token", "phrase"), "token").select("_id", "phrase")
+    said = packed_tokens(texts, id_col, text_col)
+    met = said.join(index.where("token is not null").select("token", "phrase"), "token").select(F.explode("ids").alias("_id"), "phrase")
     if not whole:
         parts = index.where("token is null").withColumn("gram", F.left("part", F.lit(3)))
         words = said.select("token").distinct().withColumn("gram", F.explode(_grams(F.col("token"))))
         longer = words.join(parts.select("gram", "part", "phrase"), "gram").where(F.contains("token", "part")).select("token", "phrase")
-        met = met.unionByName(said.join(longer, "token").select("_id", "phrase"))
+        met = met.unionByName(said.join(longer, "token").select(F.explode("ids").alias("_id"), "phrase"))
     test = as_words if whole else F.contains
     rows = texts.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
     found = met.distinct().join(rows, F.expr("_id <=> _own")).where(test(F.col("_text"), F.col("phrase"))).select("_id", F.col("phrase").alias("_p")).distinct()
