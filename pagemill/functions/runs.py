@@ -83,6 +83,75 @@ def packed_tokens(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(id_col, F.coalesce(text_col, F.lit("")).alias("_said")).mapInArrow(run, f"token string, ids array<{kind}>")
 
 
+_FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _SPREAD
+    return x ^ (x >> np.uint64(29))
+
+
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What words_and_others() finds, and each two and three runs that follow one
+    another, whatever stands between them: which text each is of, its 64-bit
+    hash, and how many runs it has, 0 if it is another character."""
+    of, found = words_and_others(data, offsets)
+    at = np.frombuffer(found.buffers()[1], np.int32)
+    begins, sizes = at[:-1], np.diff(at)
+    if not len(begins):
+        return of, np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    powers = np.full(sizes.max(), _FACTOR).cumprod()
+    one = _spread(np.add.reduceat((data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(begins, sizes)], begins))
+    is_run = _IN_WORD[data[begins]]
+    run, text = one[is_run], of[is_run]
+    two = _spread(run[:-1] * _FACTOR + run[1:])
+    three = _spread(two[:-1] * _FACTOR + run[2:])
+    in_two, in_three = text[:-1] == text[1:], text[:-2] == text[2:]
+    keys = [one, two[in_two], three[in_three]]
+    n = np.concatenate([is_run.astype(np.int8), np.full(len(keys[1]), 2, np.int8), np.full(len(keys[2]), 3, np.int8)])
+    return np.concatenate([of, text[:-1][in_two], text[:-2][in_three]]), np.concatenate(keys), n
+
+
+def _by_key(of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both by key, then text, each pair once."""
+    order = np.lexsort((of, key))
+    of, key = of[order], key[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+    return of[fresh], key[fresh]
+
+
+def packed_windows(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, ids): of some texts, those that have a window of that hash, each
+    once; a key has a row for each lot of texts."""
+    kind = dict(texts.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, _, data, offsets in pieces(b.column(1)):
+                of, key = _by_key(*windows(data, offsets)[:2])
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+                at = pa.array(np.append(first, len(key)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.ListArray.from_arrays(at, b.column(0).take(pa.array(of + lo)))], names=["key", "ids"])
+
+    return texts.select(id_col, F.coalesce(text_col, F.lit("")).alias("_said")).mapInArrow(run, f"key long, ids array<{kind}>")
+
+
+def widest_windows(phrases: DataFrame, column: str) -> DataFrame:
+    """(phrase, key): the hashes of a phrase's widest windows, each once: of all
+    its runs, up to three; of its characters if it has no run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in pieces(b.column(0)):
+                of, key, n = windows(data, offsets)
+                widest = np.minimum(np.bincount(of[n == 1], minlength=hi - lo), 3)[of] == n
+                of, key = _by_key(of[widest], key[widest])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + lo)), pa.array(key.view(np.int64))], names=["phrase", "key"])
+
+    return phrases.select(F.coalesce(column, F.lit("")).alias("phrase")).mapInArrow(run, "phrase string, key long")
+
+
 def _asked(docs: DataFrame, text_col: str, tokenizer) -> Column:
     """What the counting functions take of a text: its lower case, or the terms
     that another tokenizer gives."""

@@ -43,3 +43,27 @@ def test_a_hundred_thousand_aliases_without_a_nested_loop(spark):
     assert len(got) == 200 and all(p == sorted({f"Plan{n} Cover{n % 7} Gold" for n in (q, q * 3)}) for q, p in got.items())
     few = agent.match_products(said.limit(5), aliases.where("alias like 'plan1%'"), few=True)
     assert few.count() == agent.match_products(said.limit(5), aliases.where("alias like 'plan1%'")).count()
+
+
+def test_phrases_of_frequent_words_meet_few_texts(spark):
+    """Every text has every word of every phrase, but few phrases: texts that
+    have one word of a phrase aren't rows each."""
+    words = [f"w{i}" for i in range(60)]
+    stated = [(f"{a} {b}",) for i, a in enumerate(words) for b in words[i + 1 :]] + [(" ".join(words[i : i + 5]),) for i in range(56)]
+    said = [(i, " ".join(words[::-1]) + (f" w{i % 50} w{i % 50 + 1} w{i % 50 + 2}, w{i % 50 + 3} w{i % 50 + 4}" if i % 5 else "")) for i in range(500)]
+    texts, phrases = spark.createDataFrame(said, "id long, text string"), spark.createDataFrame(stated, "phrase string")
+    sc = spark.sparkContext
+    sc.setJobGroup("frequent words", "")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger tables
+    try:
+        got = sorted((r.id, r.phrase) for r in occurrences(texts, "id", "text", phrases, "phrase").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted((i, p) for i, t in said for (p,) in stated if f" {p} " in f" {t} ".replace(",", " , ")) and len(got) == 1600
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {k for j in sc.statusTracker().getJobIdsForGroup("frequent words") for k in sc.statusTracker().getJobInfo(j).stageIds}
+    written = 0
+    for k in stages:
+        written += sc._jsc.sc().statusStore().lastStageAttempt(k).shuffleWriteRecords()
+    assert 0 < written < 100_000
